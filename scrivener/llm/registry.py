@@ -4,22 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scrivener.llm import exact_dedup, url_filter
-from scrivener.llm.common import read_table
+from scrivener.llm import bpe, exact_dedup, language_id, mixing, simhash, url_filter, warc
+from scrivener.llm.common import read_table, scratch_path
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    first = mixed.withColumn("first_position", F.get("positions", F.lit(0)))
+    # documents in the order in which training meets them; those that it does not take come first
+    return first.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_index(spark, path)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, url_filter.RULES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_bpe": op2_bpe,
+    "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
+    "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -28,6 +62,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+            FROM pages),
+        digits AS (
+            SELECT page_id, string_agg(lpad(to_base(('0x' || substr(h, 1 + 5 * k, 5))::BIGINT, 32), 4, '0'), '' ORDER BY k) AS b
+            FROM p, range(8) r(k) GROUP BY page_id)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               translate(b, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM p JOIN digits USING (page_id)""",
     "op10_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
