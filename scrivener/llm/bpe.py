@@ -22,11 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: States that a transducer keeps, and pieces whose tokens it remembers, before it starts anew.
 MAX_STATES = 1 << 18
 MAX_PIECES = 1 << 18
+ROWS_OUT = 1000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,18 +229,32 @@ def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str) -> Callable[[], T
     return get
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with an array of token identifiers; a null text has none."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None) -> DataFrame:
+    """``docs`` with an array of token identifiers; a null text has none.
+
+    ``verify_col`` names a further column: whether decoding the identifiers gives the
+    text back (a null text counts as empty).
+    """
     tokenizer = _tokenizer(docs, ranks_path, pattern)
     at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields]).add(out_col, ArrayType(IntegerType()))
+    if verify_col:
+        schema = schema.add(verify_col, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer()
-        for batch in batches:
-            ids = pa.array([own.encode(t.as_py()) for t in batch.column(at)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out_col])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out_col, "array<int>"))
+        for whole in batches:
+            # token lists are larger than texts, so batches go out in smaller parts
+            for i in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(i, ROWS_OUT)
+                texts = [t.as_py() or "" for t in batch.column(at)]
+                ids = [own.encode(t) for t in texts]
+                arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
+                if verify_col:
+                    arrays.append(pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

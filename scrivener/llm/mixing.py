@@ -21,6 +21,8 @@ from scrivener.llm.common import WORD
 #: Slices of the hash range within a source.
 SLICES = 256
 SEED = 8
+#: Slices of all sources that are broadcast, at most; 40 bytes each.
+BROADCAST_ROWS = 1 << 18
 BASE_WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -106,9 +108,12 @@ def mix_sources(
     # slices of a source: at most ``slices`` rows a source
     order = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__source", "__slice", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("__offset"))
+    # at most ``slices`` rows a source: sent to all tasks while few, joined by shuffle beyond that
     facts = offsets.join(targets, offsets["__source"].eqNullSafe(targets["__source"])).select(
         offsets["__source"].alias("__s"), offsets["__slice"].alias("__k"), "__offset", "source_size", "__place", "target"
     )
+    if facts.count() <= BROADCAST_ROWS:
+        facts = F.broadcast(facts)
     within = Window.partitionBy("__source", "__slice").orderBy("__hash", F.col("__id").cast("string")).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(facts, placed["__source"].eqNullSafe(facts["__s"]) & (placed["__slice"] == facts["__k"]))

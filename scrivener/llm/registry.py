@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, exact_dedup, language_id, mixing, simhash, url_filter, warc
+from scrivener.llm import bpe, ctw, exact_dedup, html_text, language_id, mixing, simhash, url_filter, vptree, warc
 from scrivener.llm.common import read_table, scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.ctw_score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     first = mixed.withColumn("first_position", F.get("positions", F.lit(0)))
@@ -50,8 +62,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_vptree": op3_vptree,
+    "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_ctw": op7_ctw,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
@@ -62,6 +77,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op3_vptree": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+              AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 10""",
     "op9_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivener.llm.common import stored
 from scrivener.llm.components import component_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -60,15 +61,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The identifier and its text's fingerprint as a signed 64-bit number."""
+    """The identifier, a hash of its text and the fingerprint as a signed 64-bit number (id, text_hash, fp)."""
     kind = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, fp bigint")
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -142,6 +144,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return found.unionByName(more).distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The marked documents (id, text_hash, fp), and each fingerprint's component (__fp, component_id)."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    edges = links(least.select("fp"), radius)
+    member = component_of(edges, "src", "dst")  # fp of every linked fingerprint -> its component
+    named = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked, named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row a document: the identifier, fingerprint (16 hex digits) and component_id.
 
@@ -151,14 +164,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints are linked; a null identifier keeps its row and never names a component
     unless all of it are null; repeated rows stay repeated; an empty table gives no rows.
     """
-    from scrivener.llm.common import stored
-
-    marked = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = links(least.select("fp"), radius)
-    member = component_of(edges, "src", "dst")  # fp of every linked fingerprint -> its component
-    named = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    facts = named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
+    kind = dict(docs.dtypes)[id_col]
+    marked, facts = _components(docs, id_col, text_col, shingle, radius)
     out = marked.join(facts, marked["fp"] == facts["__fp"])
-    return out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(dict(docs.dtypes)[id_col]).alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all of their columns: of each component the one with the smallest identifier.
+
+    Where that identifier is repeated within the component, one of its rows stays.
+    """
+    marked, facts = _components(docs, id_col, text_col, shingle, radius)
+    name = lambda ident, text_hash: F.concat_ws(":", ident.cast("string"), text_hash.cast("string"))
+    found = marked.join(facts, marked["fp"] == facts["__fp"]).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    # a component of null identifiers only is named by one of its fingerprints
+    owners = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("k")).agg(F.min("text_hash").alias("text_hash")).select(name(F.col("component_id"), F.col("text_hash")).alias("__owner"))
+    rows = docs.withColumn("__row", name(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))
+    kept = rows.join(owners, rows["__row"] == owners["__owner"], "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
