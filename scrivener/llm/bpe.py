@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: States that a transducer keeps, and pieces whose tokens it remembers, before it starts anew.
 MAX_STATES = 1 << 18
-MAX_PIECES = 1 << 18
+MAX_PIECES = 1 << 19
 ROWS_OUT = 1000
 
 
@@ -111,7 +112,9 @@ class BytePairTransducer:
         while shared < least and all(p[shared] == first[shared] for _, p in alive):
             shared += 1
         emitted = first[:shared]
-        key = (emitted[-1] if emitted else last, tuple((n, p[shared:]) for n, p in alive))
+        rest = tuple((n, p[shared:]) for n, p in alive)
+        # the last token emitted matters only to a place with nothing pending before it
+        key = ((emitted[-1] if emitted else last) if any(not p for _, p in rest) else None, rest)
         if key not in self.states and len(self.keys) >= self.max_states:
             self._reset()
             state = None
@@ -141,21 +144,64 @@ class BytePairTransducer:
 
 
 class _Pieces(dict):
-    """Tokens by piece, made by the transducer when first asked for."""
+    """Tokens by piece, made by the transducer when first asked for.
+
+    Two generations of ``MAX_PIECES`` pieces each: a piece of the older one that is met
+    again moves to the newer, so frequent pieces outlive the turn of generations.
+    """
 
     def __init__(self, transducer: BytePairTransducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        tokens = self.older.get(piece)
+        if tokens is None:
+            tokens = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = tokens
         return tokens
 
 
+#: Code points for which ``narrow`` spells out the classes of a pattern.
+NARROW_TOP = 0x250
+
+
+def narrow(pattern: str) -> str | None:
+    r"""The pattern for Python's own regular expressions, for texts below ``NARROW_TOP``.
+
+    There ``\p{L}``, ``\p{N}`` and ``\s`` are short lists of ranges, and that engine is the
+    faster one. None if the pattern has other Unicode classes.
+    """
+    points = range(NARROW_TOP)
+
+    def ranges(cls: str) -> str:
+        inside = [bool(regex.match(cls, chr(i))) for i in points]
+        edges = [i for i in points if inside[i] != (i > 0 and inside[i - 1])] + [NARROW_TOP] * inside[-1]
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+    known = {cls: ranges(cls) for cls in (r"\p{L}", r"\p{N}", r"\s")}
+    known[r"\S"] = None
+    out, in_set = [], False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, regex.S):
+        if part in known:
+            if part == r"\S":
+                if in_set:
+                    return None
+                out.append(f"[^{known[chr(92) + 's']}]")
+            else:
+                out.append(known[part] if in_set else f"[{known[part]}]")
+            continue
+        if regex.match(r"\\[a-zA-Z]", part):
+            return None
+        in_set = part == "[" or in_set and part != "]"
+        out.append(part)
+    return "".join(out)
+
+
 class StreamingDecoder:
     """Text from tokens that arrive in parts; a character split between parts waits for its rest.
 
@@ -201,9 +247,14 @@ class Tokenizer:
         self.transducer = BytePairTransducer(ranks)
         self.pieces = _Pieces(self.transducer)
         self.findall = regex.compile(pattern).findall
+        simple = narrow(pattern)
+        self.findall_narrow = re.compile(simple).findall if simple else self.findall
+        self.is_wide = re.compile(f"[^\x00-\\u{NARROW_TOP - 1:04x}]").search
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.findall(text or ""))))
+        text = text or ""
+        findall = self.findall if self.is_wide(text) else self.findall_narrow
+        return list(chain.from_iterable(map(self.pieces.__getitem__, findall(text))))
 
     def decode(self, tokens: list[int], part: int = 1 << 16) -> str:
         decoder = StreamingDecoder(self.transducer.bytes_of)
