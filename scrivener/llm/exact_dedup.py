@@ -123,8 +123,10 @@ class PatriciaOwners:
                 self.held = 0
                 return
             first, child = max(held.items(), key=lambda x: self._size(x[1]))
-            if len(node.children) > 1 or node.owner is not None or not child.children:
+            if len(node.children) > 1 or node.owner is not None:
                 break
+            if not child.children:
+                return  # one string alone: a file would hold as much
             node, prefix = child, prefix + child.label
         out = _Spilled(prefix)
         for suffix, owner in self._walk(child, b""):
@@ -163,16 +165,20 @@ class PatriciaOwners:
 
     def items(self) -> Iterator[tuple[bytes, list]]:
         """Every distinct string once; spilled subtrees follow, each in a trie of its own."""
-        for text, owner in self._walk(self.root, self.prefix):
-            if type(owner) is not _Spilled:
-                yield text, owner
-        self.root, self.held = _Node(b""), 0
-        while self.spilled:
-            part = self.spilled.pop()
-            below = PatriciaOwners(self.keep, self.budget, part.prefix)
+        waiting: list[_Spilled] = []
+        trie = self
+        while True:
+            for text, owner in trie._walk(trie.root, trie.prefix):
+                if type(owner) is not _Spilled:
+                    yield text, owner
+            waiting += trie.spilled
+            trie.root, trie.held, trie.spilled = _Node(b""), 0, []
+            if not waiting:
+                return
+            part = waiting.pop()
+            trie = PatriciaOwners(self.keep, self.budget, part.prefix)
             for suffix, owner in part.read():
-                below.add(suffix, owner)
-            yield from below.items()
+                trie.add(suffix, owner)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,471 @@
+"""Corpus operators against brute force, with null, empty, tied, repeated and clashing rows."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from scrivener.llm import bpe, common, components, ctw, exact_dedup, html_text, language_id, mixing, simhash, url_filter, vptree, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string, TARGET string"
+
+
+def docs(spark, rows):
+    """Documents with further columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "x", "y", "z") for i, t, lang, src in rows], DOCS)
+
+
+# exact deduplication
+
+
+def test_exact_dedup_owner_is_largest_id(spark):
+    rows = [(1, "a", "en", "s"), (5, "a", "en", "s"), (2, None, "en", "s"), (9, "", "en", "s"), (3, "A", "en", "s"), (4, "a ", "en", "s"), (5, "a", "en", "s"), (7, "x" * 200_000, "en", "s"), (8, "x" * 200_000, "en", "s")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()}
+    want = set()
+    for i, t, *_ in rows:
+        same = [r for r in rows if (r[1] or "") == (t or "")]
+        keep = max(r[0] for r in same)
+        want.add((i, keep, len(same), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == want
+    kept = exact_dedup.kept_documents(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8, 9]
+
+
+def test_exact_dedup_null_id_and_empty_table(spark):
+    rows = docs(spark, [(None, "a", "en", "s"), (1, "a", "en", "s"), (None, "b", "en", "s")])
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(rows).collect()}
+    assert got == {(None, 1, False), (1, 1, True), (None, None, True)}
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("budget", [1, 2_000, 50_000, 1 << 30])
+def test_trie_spills_by_subtree_and_keeps_all(budget):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(3000)] + [b"p" * 300 + bytes([k]) for k in range(200)]
+    trie = exact_dedup.PatriciaOwners("max", budget)
+    want: dict = {}
+    for i, t in enumerate(texts):
+        trie.add(t, [i, 1])
+        want[t] = [i, want.get(t, [0, 0])[1] + 1]
+    found = list(trie.items())
+    assert len(found) == len(want) and dict(found) == want
+
+
+# byte-level BPE
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+def test_bpe_equals_tiktoken(reference_encoding):
+    own = bpe.Tokenizer(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    letters = "abcdefghijklmnop   \n\t'sé漢字😀 \x1c\x85​٣½²ªǅ  THE123!@"
+    texts = ["", " ", "a" * 3000, "theth" * 400, "<|endoftext|>", "it's we'll I'D"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    for t in texts:
+        assert own.encode(t) == reference_encoding.encode_ordinary(t)
+        assert own.decode(own.encode(t), part=2) == t
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_transducer_equals_merging_for_any_merge_table(seed):
+    rng = random.Random(seed)
+    ranks = {bytes([b]): b for b in range(256)}
+    known = [b"a", b"b", b"c"]
+    while len(ranks) < 290:
+        token = rng.choice(known) + rng.choice(known)
+        if token not in ranks:
+            ranks[token] = len(ranks)
+            known.append(token)
+    plain = tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    own = bpe.BytePairTransducer(ranks, max_states=50)
+    for _ in range(400):
+        t = "".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))
+        assert list(own.encode(t.encode())) == plain.encode_ordinary(t)
+
+
+def test_streaming_decoder_waits_for_whole_characters():
+    data = "é漢😀".encode() + b"\xff\xe6\xbc" + "ñ".encode() + b"\xf0\x9f"
+    decoder = bpe.StreamingDecoder({i: bytes([b]) for i, b in enumerate(data)})
+    assert "".join(decoder.feed([i]) for i in range(len(data))) + decoder.finish() == data.decode("utf-8", "replace")
+
+
+def test_bpe_round_trip_and_columns(spark, reference_encoding):
+    rows = [(1, "the cat\nsat", "en", "s"), (2, None, "en", "s"), (3, "", "en", "s"), (1, "the cat\nsat", "en", "s"), (None, "ñ" * 5000, "es", "s")]
+    got = sorted(((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs(spark, rows), RANKS, public_tokenizers.PATTERN).collect()))
+    want = []
+    for i, t, *_ in rows:
+        ids = reference_encoding.encode_ordinary(t or "")
+        want.append((i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    encoded = bpe.encode(docs(spark, rows), RANKS, public_tokenizers.PATTERN, verify_col="same")
+    back = bpe.decode(encoded, RANKS).collect()
+    assert all(r.same and r.decoded == (r.text or "") for r in back)
+    assert bpe.round_trip(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+# nearest neighbours
+
+
+def brute(vectors, k, every):
+    good = [(i, v) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for i, v in good:
+        if i % every == 0:
+            near = sorted((math.sqrt(sum((np.float64(np.float32(a)) - np.float64(np.float32(b))) ** 2 for a, b in zip(v, w, strict=True))), j) for j, w in good if j != i and len(w) == len(v))
+            out += [(i, r + 1, j, round(s, 9)) for r, (s, j) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def test_nearest_is_exact_with_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(i, rng.normal(size=6).round(1).tolist()) for i in range(400)]
+    vectors += [(i, [1.0] * 6) for i in range(400, 480)] + [(500, [0.0] * 6), (600, None), (700, []), (701, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (702, [float("nan")] * 6), (None, [1.0] * 6), (800, [1.0, 2.0])]
+    rows = spark.createDataFrame([(i, v, 0, 1) for i, v in vectors], "vec_id bigint, embedding array<float>, rank int, score int")
+    for shard_rows, query_rows in ((8192, 4096), (90, 2)):
+        got = vptree.nearest(rows, query_every=20, shard_rows=shard_rows, query_rows=query_rows).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == brute(vectors, 10, 20)
+    assert vptree.nearest(rows.limit(0)).count() == 0
+
+
+def test_relaxed_search_keeps_recall_and_skips_more():
+    rng = np.random.default_rng(1)
+    points, queries = rng.normal(size=(3000, 8)), rng.normal(size=(40, 8))
+    tree = vptree.VantagePointTree(points)
+    exact, off = tree.search(queries, 10)
+    assert np.allclose(np.sort(np.linalg.norm(queries[:, None] - points, axis=2), axis=1)[:, :10], off)
+    relaxed, _ = tree.search(queries, 10, relax=1.5)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact.tolist(), relaxed.tolist(), strict=True)]) >= 0.9
+
+
+# HTML extraction
+
+
+def test_html_blocks():
+    page = """<html><head><title>T</title><script>var x="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div>
+    <article><header><h1>Title &amp; more</h1></header><p>One<b>two</b> <!-- c --> three<br>four<p>Caf&eacute;&nbsp;x</p><aside>Side</aside><div class="comments"><p>First!</div><form>q</form></article>
+    <footer>&copy; me</footer></body>"""
+    assert html_text.blocks(page, True) == ["Title & more", "Onetwo three four", "Café x"]
+    assert html_text.blocks("a < b &lt;i&gt; <", False) == ["a < b <i> <"]
+    assert html_text.blocks("", True) == [] and html_text.blocks("<div><p>open", True) == ["open"]
+
+
+def test_repeated_substrings_by_brute_force():
+    rng = np.random.default_rng(3)
+    tokens, page = rng.integers(0, 3, 300), np.sort(rng.integers(0, 12, 300))
+    run = 5
+    where: dict = {}
+    for i in range(300 - run + 1):
+        if page[i] == page[i + run - 1]:
+            where.setdefault(tuple(tokens[i : i + run]), []).append(i)
+    want = np.zeros(300, bool)
+    for places in where.values():
+        if len({page[i] for i in places}) >= 2:
+            for i in places:
+                want[i : i + run] = True
+    assert (html_text.repeated(tokens, page, run) == want).all()
+
+
+def test_extract_text_with_and_without_landmarks(spark):
+    same = "<div><p>welcome to our site please read the rules before posting</p><p>{}</p></div>"
+    rows = [(1, "http://a.b/1", same.format("unique words about cats and dogs in the rain")), (2, "http://a.b/2", same.format("other text about boats")), (3, "http://c.d/1", same.format("alone on its host")),
+            (4, None, None), (5, "x", ""), (6, "http://a.b/3", "<article><p>welcome to our site please read the rules before posting</p></article>")]
+    frame = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id bigint, url string, html string, text string, host string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(frame).collect()}
+    assert got[1][0] == "unique words about cats and dogs in the rain" and got[2][0] == "other text about boats"
+    assert got[3][0].endswith("\nalone on its host") and got[4] == ("", 0) == got[5]
+    assert got[6][0] == "welcome to our site please read the rules before posting"
+    assert html_text.extract_text(frame.limit(0)).count() == 0
+
+
+# language identification
+
+
+def test_language_id_learns_outside_the_fold(spark):
+    words = {"en": "the of and that with this from have".split(), "de": "der die und nicht mit sich auf eine".split()}
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang, "s") for i, lang in enumerate(["en", "de"] * 60)] + [(1000, None, "en", "s"), (1001, "123 !!", "de", "s"), (1002, "", None, "s"), (None, "the and", "xx", "s")]
+    got = {r.doc_id: r for r in language_id.language_id(docs(spark, rows)).collect()}
+    for i, t, lang, _ in rows:
+        assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= got[i].score <= 1
+        if t and re.search("[a-z]", t) and i is not None:
+            assert got[i].lang_pred == lang
+    assert got[1000].lang_pred == got[1001].lang_pred == got[1002].lang_pred == "und" and got[None].lang_pred in ("en", "de")
+    assert language_id.language_id(docs(spark, [])).count() == 0
+
+
+def test_grams_by_brute_force():
+    text = "Été, 12 ab—a"
+    codes, counts = language_id.grams(text)
+    want: Counter = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        padded = f" {word} "
+        want.update(word)
+        want.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        want.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    assert sorted(counts.tolist()) == sorted(want.values()) and len(codes) == len(want)
+
+
+# SimHash
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    bits = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if bits[b] * 2 > len(shingles))
+
+
+def test_fingerprints():
+    for t in (None, "", " \t", "One", "one two", "A b C d É x", "w " * 70_000, " ".join(map(str, range(500)))):
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+
+
+def test_covering_masks_leave_no_pair_out():
+    masks = [m & (1 << 64) - 1 for m in simhash.covering_masks()]
+    assert len(masks) == 15
+    for bits in itertools.combinations(range(64), 3):
+        flip = sum(1 << b for b in bits)
+        assert any(not m & flip for m in masks)
+
+
+@pytest.mark.parametrize("bucket", [4096, 7])
+def test_links_keep_every_component(spark, bucket):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) for b in base for _ in range(15)} | {b ^ 1 << 3 | 1 << 60 for b in base} | {0, 7}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), bucket=bucket)
+    got = {r.node: r.component for r in components.component_of(edges, "src", "dst").collect()}
+    parent = {f: f for f in signed}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(signed, 2):
+        if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert {f: got.get(f, f) for f in signed} == {f: top(f) for f in signed}
+
+
+def test_near_duplicates_rows(spark):
+    long = " ".join(f"w{k}" for k in range(400))
+    rows = [(4, long, "en", "s"), (2, long + " tail", "en", "s"), (9, None, "en", "s"), (8, " ", "en", "s"), (7, "other words here now", "en", "s"), (7, "other words here now", "en", "s"), (None, "alone in the dark", "en", "s")]
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()]
+    assert len(got) == len(rows) and all(f == f"{plain_fingerprint(dict((r[0], r[1]) for r in rows)[i]):016x}" for i, f, _ in got)
+    by = {i: c for i, _, c in got}
+    assert by[9] == by[8] == 8 and by[7] == 7 and by[None] is None
+    kept = simhash.representatives(docs(spark, rows))
+    assert sorted(((r.doc_id or -1) for r in kept.collect())) == sorted([-1, 7, 8] + ([2] if by[4] == 2 else [2, 4]))
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+# context-tree weighting
+
+
+def plain_base(rows):
+    low = {c: c + 32 for c in range(65, 91)}
+    toks = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [""] for i, t, *_ in rows}
+    counts = Counter(w for i in toks if zlib.crc32(str(i).encode()) % 7 != 2 for w in toks[i])
+    n, v = sum(counts.values()), len(counts)
+    return {i: (len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks.items()}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"tree_bound": 300, "head_words": 2}])
+def test_ctw_base_score_and_bounds(spark, bounds):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["the", "Then", "that", "cat", "sat", "mat", "zz" + str(i)], k=rng.randint(1, 60))), "en", "s") for i in range(60)] + [(100, None, "en", "s"), (101, "", "en", "s")]
+    want = plain_base(rows)
+    got = ctw.ctw_score(docs(spark, rows), **bounds).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, known, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-9 * abs(base) + 1e-9
+        assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    assert ctw.ctw_score(docs(spark, [])).count() == 0
+
+
+def plain_ctw(train, depth):
+    """Log-probability of a byte after a context, by recursion over a tree of plain counts."""
+    counts: dict = {}
+    for text in train:
+        data = ctw.END * depth + text + ctw.END
+        for at in range(depth, len(data)):
+            for d in range(depth + 1):
+                for j in range(8):
+                    cell = counts.setdefault((data[at - d : at], 1 << j | data[at] >> 8 - j), [0, 0])
+                    cell[data[at] >> 7 - j & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted: dict = {}
+
+    def log_w(context, node):
+        if (context, node) not in counts:
+            return 0.0
+        if (context, node) not in weighted:
+            own = kt(*counts[context, node])
+            if len(context) < depth:
+                below = sum(log_w(bytes([b]) + context, node) for b in range(256))
+                own = math.log(0.5 * math.exp(own) + 0.5 * math.exp(below))
+            weighted[context, node] = own
+        return weighted[context, node]
+
+    def log10(context, byte):
+        total = 0.0
+        for j in range(8):
+            node, p = 1 << j | byte >> 8 - j, None
+            for d in range(depth, -1, -1):
+                own = context[len(context) - d :]
+                if (own, 1) not in counts:
+                    continue
+                a, b = counts.get((own, node), (0, 0))
+                here = (b + 0.5) / (a + b + 1)
+                w = 0.5 if (own, node) not in counts else math.exp(math.log(0.5) + kt(a, b) - log_w(own, node))
+                p = here if p is None else w * here + (1 - w) * p
+            total += math.log10(p if byte >> 7 - j & 1 else 1 - p)
+        return total
+
+    return log10
+
+
+def test_ctw_against_recursion_and_sums_to_one(spark):
+    train = [b"abab", b"abba ab", b"b"]
+    grams = spark.createDataFrame([(int(c), int(n)) for c, n in Counter(ctw._codes([t + ctw.END for t in train]).tolist()).items()], "code bigint, n bigint")
+    nodes = sorted((int(r.depth) << 48 | r.key, (r.ones + 0.5) / (r.zeros + r.ones + 1), r.weight) for r in ctw.tree_nodes(grams).collect())
+    tree = ctw.ContextTree(np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes], np.float64), np.array([n[2] for n in nodes], np.float64))
+    plain = plain_ctw(train, ctw.DEPTH)
+    for context in (b"\n\n\n\nb", b"\n\n\nab", b"xxxba", b"qqqqq"):
+        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
+        found = tree.log10(codes)
+        assert abs((10**found).sum() - 1) < 1e-5
+        assert np.allclose(found, [plain(context, b) for b in range(256)], atol=1e-5)
+
+
+# mixing
+
+
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, free, left = {}, set(names), share * sum(sizes.values())
+    while free:
+        level = left / sum(w[s] for s in free)
+        cut = {s for s in free if level * w[s] > most * sizes[s]}
+        if not cut:
+            target |= {s: level * w[s] for s in free}
+            break
+        target |= {s: most * sizes[s] for s in cut}
+        left -= sum(most * sizes[s] for s in cut)
+        free -= cut
+    return target
+
+
+def test_mixing_targets_and_positions(spark):
+    rng = random.Random(1)
+    names = ["b", "a", "Z", "é", None, "hot", "c"]
+    rows = [(i, " ".join("w" * rng.randint(1, 40)), "en", rng.choice([*names, "hot", "hot", "hot"])) for i in range(900)] + [(1000, None, "en", "a"), (1001, "", "en", None)]
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    sizes: dict = {}
+    for r, (i, t, _, s) in zip(sorted(got, key=lambda r: r.doc_id), rows, strict=True):
+        assert (r.doc_id, r.size) == (i, len((t or "").split())) and r.taken <= 2 * r.size and r.taken == r.size * len(r.positions)
+        assert all(0 <= p <= 1 for p in r.positions)
+        sizes[s] = sizes.get(s, 0) + r.size
+    want, of = plain_targets(sizes), {i: s for i, _, _, s in rows}
+    for s in sizes:
+        mine = [r for r in got if of[r.doc_id] == s]
+        assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - want[s]) <= max(r.size for r in mine)
+    again = mixing.mix_sources(docs(spark, rows).repartition(7)).collect()
+    assert sorted((r.doc_id, r.taken, *r.positions) for r in got) == sorted((r.doc_id, r.taken, *r.positions) for r in again)
+    order = [r.position for r in mixing.training_order(mixing.mix_sources(docs(spark, rows))).collect()]
+    assert order == sorted(order) and len(order) == sum(len(r.positions) for r in got)
+
+
+def test_mixing_empty_and_wordless(spark):
+    assert mixing.mix_sources(docs(spark, [])).count() == 0
+    got = mixing.mix_sources(docs(spark, [(1, "", "en", "a"), (2, None, "en", None)])).collect()
+    assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 2
+
+
+# WARC
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "http://a/", "<p>é</p>"), (1, "http://b/\r\nX: y", "<p>é</p>"), (2, None, None), (5, "u", ""), (9, "u", "z"), (9, "u", "z")]
+    pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id bigint, url string, html string, header string")
+    path = common.scratch_path(spark, "warc-test")
+    warc.write_archive(pages, path)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_index(spark, path).collect()), key=str)
+    want = []
+    for i, _, h in rows:
+        same = [r[0] for r in rows if (r[2] or "") == (h or "")]
+        body = (h or "").encode()
+        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == min(same) else "revisit", None if i == min(same) else min(same)))
+    assert got == sorted(want, key=str)
+    records = warc.read_records(spark, path).collect()
+    assert len(records) == len(rows) and all(bytes(r.payload) == (dict((x[0], x[2]) for x in rows)[r.record_id] or "").encode() and bytes(r.header).endswith(b"\r\n\r\n") for r in records)
+    assert not any(b"\r\nX: y" in bytes(r.header) for r in records)
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
+
+
+def test_warc_stops_at_damaged_payloads(spark):
+    path = common.scratch_path(spark, "warc-bad")
+    warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string"), path)
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"y")).collect()
+    spark.createDataFrame(bad, "digest binary, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_index(spark, path).collect()
+
+
+# URL filter
+
+
+def test_url_rules(spark):
+    urls = ["http://Example.NET/en/x?q", "https://a.example.net/en/", "http://example.net/fr/", "http://m.example.com/de/1#t", "http://example.com/d", "ftp://x.org/fr/1", "http://org", "http://net/", "http://notnet/", "no scheme net/", None, "http://net?x", "://b.net/"]
+    pages = spark.createDataFrame([(k, u, "p", "r") for k, u in enumerate(urls)] + [(0, urls[0], "p", "r")], "page_id bigint, url string, path string, rule string")
+    got = url_filter.judge_urls(pages, url_filter.rules_frame(spark, url_filter.RULES)).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        url = urls[r.page_id] or ""
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, *best[1:])
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rules_frame(spark, url_filter.RULES)).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, url_filter.rules_frame(spark, url_filter.RULES).limit(0)).collect()} == {"allow"}
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    listed = spark.range(3000).select(F.concat(F.lit("http://h"), F.col("id"), F.lit(".net/p")).alias("url"))
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("HTTP://H"), F.col("id"), F.lit(".NET/p?x=1")).alias("url"))
+    assert sorted(r.page_id for r in url_filter.listed_urls(pages, listed).collect()) == list(range(3000))
+    keys = listed.select(F.col("url").alias("k"))
+    other = spark.range(20000).select(F.concat(F.lit("other"), F.col("id")).alias("k2"))
+    assert url_filter.possible_hits(other, "k2", keys, "k", 3000).count() < 1000
+
+
+# components
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000), (None, 3)]
+    got = {r.node: r.component for r in components.component_of(spark.createDataFrame(edges, "s bigint, d bigint"), "s", "d").collect()}
+    assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)}
