@@ -47,6 +47,19 @@ def word_count(text: Column) -> Column:
     return count_matches(text, r"\S+")
 
 
+def grams(items: Column, n: int) -> Column:
+    """Every n items in a row, joined by a space; for arrays of n items or more.
+
+    Built from whole slices: a lambda that cut the array at each place would make the
+    array anew for every item once the optimizer inlines it.
+    """
+    size = F.size(items) - (n - 1)
+    out = F.slice(items, 1, size)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(items, k, size), lambda a, b: F.concat_ws(" ", a, b))
+    return out
+
+
 def tag(token: Column) -> Column:
     """A coarse part of speech by closed-class words, shape and suffix."""
     out = F.lit("NOUN")

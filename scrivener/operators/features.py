@@ -50,12 +50,12 @@ def mattr(docs: DataFrame, window: int = MATTR_WINDOW, id_col: str = "doc_id", t
     of its last occurrence; summing how many windows that is gives all distinct counts in
     one pass, with one exchange on (document, token).
     """
-    rows = token_rows(docs, id_col=id_col, text_col=text_col)
     sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(T.count_matches(F.col(text_col), T.LEXICAL), F.lit(0)).alias("n"))
+    arrays = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
+    rows = arrays.filter(F.size("w") >= window).select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
     before = F.coalesce(F.lag("pos").over(Window.partitionBy("id", "token").orderBy("pos")), F.lit(-1))
-    firsts = rows.withColumn("before", before).join(sizes, "id")
     new = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - window) - F.greatest(F.col("pos") - window + 1, F.col("before") + 1, F.lit(0)) + 1)
-    sums = firsts.filter(F.col("n") >= window).groupBy("id").agg(F.sum(new).alias("distinct"))
+    sums = rows.withColumn("before", before).groupBy("id").agg(F.sum(new).alias("distinct"))
     joined = sizes.join(sums, "id", "left")
     reason = F.when(F.col("n") < window, F.concat(F.lit("insufficient_tokens_for_window: have="), F.col("n").cast("string"), F.lit(f" require_at_least={window}")))
     return joined.select("id", F.when(reason.isNull(), F.col("distinct") / (window * (F.col("n") - window + 1))).alias("mattr"), reason.alias("mattr_reason"))
@@ -66,8 +66,7 @@ def pos_trigram_entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tags = F.transform(T.tokens(F.coalesce(F.col(text_col), F.lit("")), T.COUNTED), T.tag)
     rows = docs.select(F.col(id_col).alias("id"), tags.alias("g"))
     have = rows.select("id", F.size("g").alias("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("g") - 2), lambda i: F.concat_ws(" ", F.slice("g", i, 3)))
-    counts = rows.filter(F.size("g") >= 3).select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
+    counts = rows.filter(F.size("g") >= 3).select("id", F.explode(T.grams(F.col("g"), 3)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
     sums = counts.groupBy("id").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     reason = F.when(F.col("n") < 3, F.concat(F.lit("insufficient_pos_tags_for_3grams: have="), F.col("n").cast("string"), F.lit(" require_at_least=3")))
     return have.join(sums, "id", "left").select("id", (F.log2("t") - F.col("s") / F.col("t")).alias("pos_3gram_entropy"), reason.alias("pos_reason"))

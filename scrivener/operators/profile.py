@@ -71,16 +71,15 @@ def map_spans(spans: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sentence_id, start, end): where each raw sentence match lies; matches follow each other without gaps."""
     raw = F.regexp_extract_all(F.col(text_col), F.lit(T.SENTENCE), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), raw.alias("s"))
-    ends = F.transform("s", lambda x, i: F.aggregate(F.slice("s", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + F.length(y)))
-    return rows.select("id", F.posexplode(F.arrays_zip(F.col("s").alias("t"), ends.alias("e"))).alias("p", "x")).select("id", (F.col("p") + 1).alias("sentence_id"), (F.col("x.e") - F.length("x.t")).alias("start"), F.col("x.e").alias("end"))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(raw).alias("p", "s"))
+    end = F.sum(F.length("s").cast("long")).over(Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("end", end).select("id", (F.col("p") + 1).alias("sentence_id"), (F.col("end") - F.length("s")).alias("start"), "end")
 
 
 def repeated_ngram_ratio(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, repeated_ngram_ratio): repeats beyond the first over all n-grams; null below 2n words."""
     rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit("")), T.COUNTED).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, n)))
-    counts = rows.filter(F.size("w") >= 2 * n).select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    counts = rows.filter(F.size("w") >= 2 * n).select("id", F.explode(T.grams(F.col("w"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
     ratios = counts.groupBy("id").agg(ratio(F.sum(F.col("c") - 1), F.sum("c")).alias("repeated_ngram_ratio"))
     return rows.select("id").join(ratios, "id", "left")
 
