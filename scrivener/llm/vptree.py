@@ -132,7 +132,8 @@ def _search(k: int, relax: float):
                     out["qv"].append(vector)
                     out["vec_id"].append(i)
                     out["score"].append(s)
-        return pd.DataFrame(out)
+        # typed by hand: pandas would make an empty list of vectors a column of numbers
+        return pd.DataFrame({"qv": pd.Series(out["qv"], dtype=object), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
 
     return run
 
