@@ -113,11 +113,10 @@ def robust_z(rows: DataFrame, group: str, index: str, value: str) -> DataFrame:
     medians = F.array_distinct(F.filter(F.transform("c", lambda c: c["m"]), lambda m: m.isNotNull()))
     docs = docs.withColumn("m", medians)
     docs = docs.withColumn("d", F.transform("m", lambda m: F.array_sort(F.transform("s", lambda v: F.abs(v - m)))))
-    out = docs.select(group, F.explode("c").alias("c"), F.col("m").alias("ms"), "d")
-    # each row keeps only the sorted deviations of its own median
-    own = F.get(F.col("d"), (F.array_position("ms", F.col("c.m")) - 1).cast("int"))
-    mad = _without(own, place(own, F.abs(F.col("c.x") - F.col("c.m"))))
-    out = out.select(group, F.col("c.i").alias(index), F.col("c.x").alias("x"), F.col("c.m").alias("m"), mad.alias("mad"))
+    # read inside the document's row: exploding first would copy the arrays to every sentence
+    own = lambda c: F.get(F.col("d"), (F.array_position("m", c["m"]) - 1).cast("int"))
+    mad = F.transform("c", lambda c: F.struct(c["i"].alias("i"), c["x"].alias("x"), c["m"].alias("m"), _without(own(c), place(own(c), F.abs(c["x"] - c["m"]))).alias("mad")))
+    out = docs.select(group, F.explode(mad).alias("c")).select(group, F.col("c.i").alias(index), "c.x", "c.m", "c.mad")
     reason = F.when(F.col("x").isNull(), "current_value_unavailable").when(F.col("m").isNull(), "no_reference_values").when(F.col("mad") == 0, "mad_zero")
     return out.select(group, index, F.when(reason.isNull(), 0.6745 * (F.col("x") - F.col("m")) / F.col("mad")).alias("z"), reason.alias("z_reason"))
 
@@ -146,10 +145,10 @@ def ranked(rows: DataFrame, group: str, index: str, score: str = "score", floor_
 
 
 def boundaries(rows: DataFrame, values: tuple[str, ...]) -> DataFrame:
-    """Adjacent sentences: boundary_index, origins, flags and the absolute change of each value."""
+    """Adjacent sentences: boundary_index, origins, flags and the absolute change of each value, to nine decimals."""
     by = Window.partitionBy("pair_id").orderBy("hybrid_index")
     right = F.lead("origin").over(by)
-    out = rows.select("pair_id", F.col("hybrid_index").alias("boundary_index"), F.col("origin").alias("left_origin"), right.alias("right_origin"), *[F.abs(F.lead(v).over(by) - F.col(v)).alias(f"change_{v}") for v in values])
+    out = rows.select("pair_id", F.col("hybrid_index").alias("boundary_index"), F.col("origin").alias("left_origin"), right.alias("right_origin"), *[rounded(F.abs(F.lead(v).over(by) - F.col(v)), 9).alias(f"change_{v}") for v in values])
     out = out.filter("right_origin is not null")
     ai = lambda c: F.col(c) == "ai_inserted"
     return out.withColumns({

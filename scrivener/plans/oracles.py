@@ -49,7 +49,7 @@ def mattr(rel: str) -> str:
     return rf"""(WITH r AS ({rel}), w AS (SELECT id, {tokens("coalesce(text, '')")} AS w FROM r),
         t AS (SELECT id, len(w) AS n, unnest(w) AS tok, unnest(range(0, len(w))) AS p FROM w),
         d AS (SELECT id, n, p, count(DISTINCT tok) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS c FROM t),
-        m AS (SELECT id, avg(c / 25.0) AS v FROM d WHERE p + 25 <= n GROUP BY id)
+        m AS (SELECT id, sum(c) / (25 * count(*)) AS v FROM d WHERE p + 25 <= n GROUP BY id)
         SELECT w.id, v AS mattr, CASE WHEN len(w) < 25 THEN 'insufficient_tokens_for_window: have=' || len(w) || ' require_at_least=25' END AS mattr_reason
         FROM w LEFT JOIN m USING (id))"""
 
@@ -229,7 +229,7 @@ def _grid() -> str:
 
 _CHANGES = ("length", "log_length", "mattr", "pos_3gram_entropy")
 _BOUNDARY = f"""(SELECT * FROM (SELECT pair_id, hybrid_index AS boundary_index, origin || '__TO__' || lead(origin) OVER o AS boundary_type, origin <> lead(origin) OVER o AS target_boundary,
-    {', '.join(f'abs(lead({c}) OVER o - {c}) AS change_{c}' for c in _CHANGES)}
+    {', '.join(six(f'abs(lead({c}) OVER o - {c})', 9) + f' AS change_{c}' for c in _CHANGES)}
     FROM (SELECT *, CASE WHEN length > 0 THEN ln(length) END AS log_length FROM {_LOCAL}) WINDOW o AS (PARTITION BY pair_id ORDER BY hybrid_index)) WHERE boundary_type IS NOT NULL)"""
 _VARIANTS = f"""(SELECT a.pair_id, k AS left_out, a.pair_id || '#' || k AS id, coalesce(string_agg(s.text, ' ' ORDER BY s.hybrid_index), '') AS text
     FROM (SELECT pair_id, unnest(range(-1, count(*))) AS k FROM {SPLICE} GROUP BY pair_id) a LEFT JOIN {SPLICE} s ON s.pair_id = a.pair_id AND s.hybrid_index <> k GROUP BY a.pair_id, k)"""
