@@ -85,3 +85,18 @@ def margins(rows: DataFrame) -> DataFrame:
 def capture(flagged: Column, known: Column) -> Column:
     """Share of the known rows that are flagged; null without known rows."""
     return ratio(F.count_if(flagged & known), F.count_if(known))
+
+
+def metric_deltas(new: DataFrame, old: DataFrame, names: tuple[str, ...], tolerance: float = 1e-12) -> DataFrame:
+    """(metric, delta, reproduced) of two one-row metric tables; null equals null."""
+    a = new.select(*[F.col(n).cast("double").alias(f"a_{n}") for n in names])
+    b = old.select(*[F.col(n).cast("double").alias(f"b_{n}") for n in names])
+    cells = [F.struct(F.lit(n).alias("metric"), (F.col(f"a_{n}") - F.col(f"b_{n}")).alias("delta"), F.coalesce(F.abs(F.col(f"a_{n}") - F.col(f"b_{n}")) <= tolerance, F.col(f"a_{n}").isNull() & F.col(f"b_{n}").isNull()).alias("reproduced")) for n in names]
+    return a.join(F.broadcast(b)).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def repeated(rows: DataFrame, key: str, seeds: tuple[int, ...]) -> DataFrame:
+    """Accuracy over a seeded half of the rows, once a seed, and its mean and deviation over seeds."""
+    half = F.filter(F.array(*map(F.lit, seeds)), lambda s: F.substring(F.md5(F.concat(s.cast("string"), F.lit("|"), F.col(key).cast("string"))), 1, 1) < "8")
+    each = rows.select("label", "predicted", F.explode(half).alias("seed")).groupBy("seed").agg(ratio(F.count_if(F.col("label") == F.col("predicted")), F.count("predicted")).alias("accuracy"))
+    return each.agg(F.count("*").alias("runs"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("sd_accuracy"))

@@ -149,3 +149,36 @@ def copies(rows: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """Texts that are equal after normalisation but belong to more than one family: leakage across a split by family."""
     digest = F.sha2(normalised(F.coalesce(F.col(text), F.lit(""))), 256)
     return rows.groupBy(digest.alias("text_hash")).agg(F.count("*").alias("n"), F.count_distinct(family).alias("families"), F.min(key).alias("first_id")).filter("families > 1")
+
+
+def chat_prompts(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, prompt): the turns of a conversation in order, one ``role: text`` a line."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat_ws(": ", "role", "text").alias("t"))))
+    return turns.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("prompt"))
+
+
+def inclusion(docs: DataFrame, languages: tuple[str, ...], least_words: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, verdict): ``included``, or the first criterion that a document fails.
+
+    Of equal normalised texts the smallest identifier is the one that counts. Copies are
+    found by hash with one grouping, joined back by hash.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), T.word_count(t).alias("words"), F.sha2(normalised(t), 256).alias("h"), t.rlike(r"[\x00-\x08\uFFFD]").alias("damaged"))
+    first = rows.groupBy("h").agg(F.min("id").alias("first"))
+    verdict = (
+        F.when(~F.coalesce(F.col("lang").isin(*languages), F.lit(False)), "other_language").when(F.col("words") < least_words, "too_short")
+        .when(F.col("damaged"), "damaged").when(F.col("id") != F.col("first"), "duplicate").otherwise("included")
+    )
+    return rows.join(first, "h").select("id", verdict.alias("verdict"))
+
+
+def manifest_rows(docs: DataFrame, split: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: identifier, family, language, words, text hash and split."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("document_id"), F.col("source").alias("family_id"), F.col("lang").alias("language"), T.word_count(t).alias("word_count"), F.sha2(t, 256).alias("text_sha256"), split.alias("split"))
+
+
+def runtime_summary(runs: DataFrame, order: str, seconds: str, tokens: str) -> DataFrame:
+    """Median and first latency, and median tokens a second, of timed runs."""
+    return runs.agg(F.median(seconds).alias("median_seconds"), F.min_by(seconds, order).alias("first_seconds"), F.median(ratio(F.col(tokens), F.col(seconds))).alias("median_tokens_per_second"))

@@ -358,6 +358,22 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT l.pair_id, l.hybrid_index, origin, {six('abs(z)', 9)} AS score FROM l JOIN {z('l', 'length')} USING (pair_id, hybrid_index))
         SELECT pair_id, {six("count(*) FILTER (top_25 AND origin = 'ai_inserted') / nullif(count(*) FILTER (top_25), 0)")} AS precision,
                {six("count(*) FILTER (top_25 AND origin = 'ai_inserted') / nullif(count(*) FILTER (origin = 'ai_inserted'), 0)")} AS recall FROM {banded('s', 'pair_id', True)} GROUP BY pair_id""",
+    "chat_prompts": "SELECT conv_id, sha256(t) AS prompt_sha256, length(t) AS n_chars FROM (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
+    "reproducibility": rf"""WITH w AS (SELECT conv_id, abs({count('text', r'\S+')} - first_value({count('text', r'\S+')}) OVER (PARTITION BY conv_id ORDER BY turn)) AS x FROM conversations)
+        SELECT conv_id, CASE WHEN count(*) >= 2 THEN max(x)::DOUBLE END AS max_absolute_difference, CASE WHEN count(*) >= 2 THEN max(x) <= 1e-9 END AS effectively_identical FROM w GROUP BY conv_id""",
+    "source_criteria": rf"""WITH t AS (SELECT doc_id, lang, {count('text', r'\S+')} AS words, regexp_matches(text, '[\x00-\x08\x{{FFFD}}]') AS damaged,
+            regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS n FROM documents),
+        v AS (SELECT CASE WHEN lang IS NULL OR lang <> 'en' THEN 'other_language' WHEN words < 50 THEN 'too_short' WHEN damaged THEN 'damaged' WHEN doc_id <> min(doc_id) OVER (PARTITION BY n) THEN 'duplicate' ELSE 'included' END AS verdict FROM t)
+        SELECT verdict, count(*) AS n FROM v GROUP BY verdict""",
+    "document_manifest": rf"""SELECT d.doc_id AS document_id, d.source AS family_id, lang AS language, {count('text', r'\S+')} AS word_count, sha256(text) AS text_sha256,
+        CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'test' END AS split
+        FROM (SELECT *, ('0x' || substr(md5('{SEED}|' || source), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM documents) d""",
+    "repeated_evaluation": f"""WITH e AS (SELECT s, count(*) FILTER (label = predicted) / nullif(count(predicted), 0) AS a FROM {SCORED}, (SELECT unnest([1, 2, 3, 4, 5]) AS s) WHERE substr(md5(s || '|' || doc_id), 1, 1) < '8' GROUP BY s)
+        SELECT count(*) AS runs, {six('avg(a)')} AS mean_accuracy, {six('stddev_samp(a)')} AS sd_accuracy FROM e""",
+    "metric_deltas": f"""WITH c AS (SELECT count(*) AS n, count(predicted) AS k, count(*) FILTER (label = 0) AS zeros, count(*) FILTER (label = predicted) AS hit, count(*) FILTER (label = 1 AND predicted = 1) AS tp,
+            count(*) FILTER (predicted = 1) AS flagged, count(*) FILTER (label = 1 AND predicted IS NOT NULL) AS pos FROM {SCORED}),
+        m AS (SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'coverage']) AS metric, unnest([hit / k - zeros / n, coalesce(tp / nullif(flagged, 0), 0), coalesce(tp / nullif(pos, 0), 0), coalesce(2 * tp / nullif(flagged + pos, 0), 0), k / n - 1]) AS x FROM c)
+        SELECT metric, {six('x')} AS delta, abs(x) <= 1e-12 AS reproduced FROM m""",
     "checks_features": f"""WITH f AS MATERIALIZED (SELECT * FROM {_FEATURES})
         SELECT 'value_or_reason' AS check_name, bool_and((perplexity IS NULL) = (perplexity_reason IS NOT NULL) AND (sentence_length_cv IS NULL) = (cv_reason IS NOT NULL) AND (mattr IS NULL) = (mattr_reason IS NOT NULL) AND (pos_3gram_entropy IS NULL) = (pos_reason IS NOT NULL)) AS passed FROM f
         UNION ALL SELECT 'finite_values', bool_and({' AND '.join(f'({c} IS NULL OR isfinite({c}))' for c in _ALL)}) FROM f

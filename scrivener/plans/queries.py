@@ -491,6 +491,38 @@ def localization(spark, d):
     return _six(ranks.groupBy("pair_id").agg(ratio(F.count_if(hit), F.count_if(F.col("top_25"))).alias("precision"), ratio(F.count_if(hit), F.count_if(F.col("origin") == "ai_inserted")).alias("recall")))
 
 
+@register
+def chat_prompts(spark, d):
+    return P.chat_prompts(table(spark, d, "conversations")).select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
+
+
+@register
+def reproducibility(spark, d):
+    rows = table(spark, d, "conversations").withColumn("words", T.word_count(F.col("text")).cast("double"))
+    return _six(P.reproducibility(rows, "conv_id", "turn", "words"))
+
+
+@register
+def source_criteria(spark, d):
+    return P.inclusion(_docs(spark, d), ("en",), 50).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@register
+def document_manifest(spark, d):
+    return P.manifest_rows(_docs(spark, d), S.three_way(F.col("source"), SEED))
+
+
+@register
+def repeated_evaluation(spark, d):
+    return _six(E.repeated(_scored(spark, d), "doc_id", (1, 2, 3, 4, 5)))
+
+
+@register
+def metric_deltas(spark, d):
+    rows = _scored(spark, d)
+    return _six(E.metric_deltas(E.metrics(rows), E.metrics(rows.withColumn("predicted", F.lit(0))), ("accuracy", "precision", "recall", "f1", "coverage")))
+
+
 @register
 def checks_features(spark, d):
     return C.feature_checks(_features(spark, d))
