@@ -17,6 +17,8 @@ from scrivener.llm.common import read_table, stored
 #: Documents that share less than this with every language's profile are rejected.
 MIN_LANGUAGE_SCORE = 0.05
 RANKS = "byte_bpe_50k.tiktoken"
+#: What an encoding worker remembers: less than alone, as four stages before it have filled the executors' heaps.
+MAX_PIECES, MAX_STATES = 1 << 17, 1 << 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token identifiers of every text, and whether decoding gives the text back."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, verify_col="round_trip")
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, verify_col="round_trip", max_pieces=MAX_PIECES, max_states=MAX_STATES)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -2,10 +2,12 @@
 
 A token sequence is the BPE encoding of its bytes exactly when every two neighbours are
 the encoding of their own concatenation. So the last token of a prefix is the one vocabulary
-suffix that may follow the encoding of what stands before it. The transducer reads bytes
-and holds, for each place where a token may still be open, the trie node reached since
-and the tokens pending there. Tokens that all of these share are emitted; the longest
-token bounds how far that lags. States and steps are made when first needed and kept.
+suffix that may follow the encoding of what stands before it. A state of the transducer
+holds, for each place where a token may still be open, the trie node reached since and
+the token before it; a step by a byte gives the last token of the prefix that ends there.
+Walking back over those gives the tokens. All places that are open lie within the longest
+token's length, so tokens before the last boundary that they share are settled and can be
+emitted. States and steps are made when first needed and kept.
 
 Decoding maps identifiers to bytes and bytes to text by a UTF-8 state machine that keeps
 an unfinished character from one call to the next.
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: States that a transducer keeps, and pieces whose tokens it remembers, before it starts anew.
-MAX_STATES = 1 << 18
-MAX_PIECES = 1 << 19
+MAX_STATES = 1 << 17
+MAX_PIECES = 1 << 18
+MAX_NEIGHBOURS = 1 << 17
+#: Bytes of a piece after which settled tokens are emitted.
+WINDOW = 1 << 12
 ROWS_OUT = 1000
 
 
@@ -49,6 +54,7 @@ class BytePairTransducer:
         # the trie: children by node and byte, and the token that ends at a node
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int | None] = [None]
+        self.depth = [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -57,18 +63,19 @@ class BytePairTransducer:
                     nxt = self.children[node][b] = len(self.children)
                     self.children.append({})
                     self.token_at.append(None)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
         # merging may never arrive at a token; such a token only stands for a whole piece
         self.reached: dict[int, bool] = {}
-        self.may_follow: dict[tuple[int, int], bool] = {}
+        self.may_follow: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (None, ((0, ()),))
+        start = ((0, None),)
         self.states: dict[tuple, int] = {start: 0}
         self.keys: list[tuple] = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.steps: list[dict[int, tuple[int, int]]] = [{}]
 
     def _merge(self, text: bytes) -> list[int]:
         """Tokens by merging, for the short strings that settle which tokens may be neighbours."""
@@ -85,46 +92,54 @@ class BytePairTransducer:
             if token not in self.reached:
                 self.reached[token] = self._merge(self.bytes_of[token]) == [token]
             return self.reached[token]
-        pair = (before, token)
+        pair = before << 32 | token
         if pair not in self.may_follow:
+            if len(self.may_follow) >= MAX_NEIGHBOURS:
+                self.may_follow.clear()
             self.may_follow[pair] = self._merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         return self.may_follow[pair]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the step from a state by a byte: the next state and the tokens emitted.
-
-        A state is the last token emitted and, for each place where a token may be open,
-        the trie node reached and the tokens pending before that place.
-        """
-        last, hypotheses = self.keys[state]
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """Make the step from a state by a byte: the next state, and the last token of the prefix."""
         alive, ended = [], None
-        for node, pending in hypotheses:
+        for node, before in self.keys[state]:
             nxt = self.children[node].get(byte)
             if nxt is None:
                 continue
             if self.children[nxt]:
-                alive.append((nxt, pending))
+                alive.append((nxt, before))
             token = self.token_at[nxt]
-            if ended is None and token is not None and self._fits(pending[-1] if pending else last, token):
-                ended = (*pending, token)
+            if ended is None and token is not None and self._fits(before, token):
+                ended = token
         alive.append((0, ended))
-        shared, first, least = 0, alive[0][1], min(len(p) for _, p in alive)
-        while shared < least and all(p[shared] == first[shared] for _, p in alive):
-            shared += 1
-        emitted = first[:shared]
-        rest = tuple((n, p[shared:]) for n, p in alive)
-        # the last token emitted matters only to a place with nothing pending before it
-        key = ((emitted[-1] if emitted else last) if any(not p for _, p in rest) else None, rest)
+        key = tuple(alive)
         if key not in self.states and len(self.keys) >= self.max_states:
             self._reset()
-            state = None
+            state = -1
         nxt = self.states.setdefault(key, len(self.keys))
         if nxt == len(self.keys):
             self.keys.append(key)
             self.steps.append({})
-        if state is not None:
-            self.steps[state][byte] = (nxt, emitted)
-        return nxt, emitted
+        if state >= 0:
+            self.steps[state][byte] = (nxt, ended)
+        return nxt, ended
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """Tokens up to ``end``, given the last token of every prefix."""
+        out = []
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= len(self.bytes_of[token])
+        out.reverse()
+        return out
+
+    def _settled(self, last: list[int], state: int) -> list[int]:
+        """The tokens that no further byte can change: those that all open places have before them."""
+        ways = [self._back(last, len(last) - self.depth[node]) for node, _ in self.keys[state]]
+        least = min(map(len, ways))
+        shared = next((k for k in range(least) if any(w[k] != ways[0][k] for w in ways)), least)
+        return ways[0][:shared]
 
     def encode(self, text: bytes) -> tuple[int, ...]:
         """The tokens of a piece; a piece that is a token is that token."""
@@ -133,32 +148,38 @@ class BytePairTransducer:
         if (whole := self.ranks.get(text)) is not None:
             return (whole,)
         out: list[int] = []
-        state = 0
+        last: list[int] = []
+        state, steps = 0, self.steps
         for byte in text:
-            step = self.steps[state].get(byte)
-            state, emitted = step if step is not None else self._step(state, byte)
-            if emitted:
-                out += emitted
-        # the place that opened last has all tokens up to the end pending
-        return (*out, *self.keys[state][1][-1][1])
+            step = steps[state].get(byte)
+            if step is None:
+                step = self._step(state, byte)
+                steps = self.steps
+            state, token = step
+            last.append(token)
+            if not len(last) % WINDOW:
+                settled = self._settled(last, state)
+                out += settled
+                del last[: sum(len(self.bytes_of[t]) for t in settled)]
+        return (*out, *self._back(last, len(last)))
 
 
 class _Pieces(dict):
     """Tokens by piece, made by the transducer when first asked for.
 
-    Two generations of ``MAX_PIECES`` pieces each: a piece of the older one that is met
-    again moves to the newer, so frequent pieces outlive the turn of generations.
+    Two generations of ``most`` pieces each: a piece of the older one that is met again
+    moves to the newer, so frequent pieces outlive the turn of generations.
     """
 
-    def __init__(self, transducer: BytePairTransducer):
+    def __init__(self, transducer: BytePairTransducer, most: int = MAX_PIECES):
         super().__init__()
-        self.transducer, self.older = transducer, {}
+        self.transducer, self.older, self.most = transducer, {}, most
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         tokens = self.older.get(piece)
         if tokens is None:
             tokens = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -243,9 +264,9 @@ class StreamingDecoder:
 class Tokenizer:
     """Pieces by pattern, tokens by transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = BytePairTransducer(ranks)
-        self.pieces = _Pieces(self.transducer)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
+        self.transducer = BytePairTransducer(ranks, max_states)
+        self.pieces = _Pieces(self.transducer, max_pieces)
         self.findall = regex.compile(pattern).findall
         simple = narrow(pattern)
         self.findall_narrow = re.compile(simple).findall if simple else self.findall
@@ -265,22 +286,22 @@ class Tokenizer:
 _COMPILED: dict[tuple, Tokenizer] = {}
 
 
-def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str) -> Callable[[], Tokenizer]:
+def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Callable[[], Tokenizer]:
     """Read the ranks once on the driver; each Python worker compiles them once."""
     ranks = read_ranks(ranks_path)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
-    name = (ranks_path, len(ranks), pattern)
+    name = (ranks_path, len(ranks), pattern, max_pieces, max_states)
 
     def get() -> Tokenizer:
         if name not in _COMPILED:
             _COMPILED.clear()
-            _COMPILED[name] = Tokenizer(shipped.value, pattern)
+            _COMPILED[name] = Tokenizer(shipped.value, pattern, max_pieces, max_states)
         return _COMPILED[name]
 
     return get
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """``docs`` with an array of token identifiers; a null text has none.
 
     ``verify_col`` names a further column: whether decoding the identifiers gives the
