@@ -122,10 +122,13 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def feature_table(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", scored: DataFrame | None = None) -> DataFrame:
-    """All four features of every document and their reasons, one row each."""
-    scored = sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col) if scored is None else scored
-    out = document_perplexity(docs, scored, id_col)
+def feature_table(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", perplexity: DataFrame | None = None) -> DataFrame:
+    """All four features of every document and their reasons, one row each.
+
+    ``perplexity`` may bring (id, perplexity, perplexity_reason) and further columns, where
+    a caller has grouped the scored sentences already.
+    """
+    out = document_perplexity(docs, sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col), id_col) if perplexity is None else perplexity
     for part in (sentence_length_cv(docs, id_col, text_col), mattr(docs, id_col=id_col, text_col=text_col), pos_trigram_entropy(docs, id_col, text_col)):
         out = out.join(part, "id", "left")
     return out

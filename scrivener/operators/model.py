@@ -73,13 +73,14 @@ def analyze(docs: DataFrame, corpus: DataFrame, params: DataFrame, id_col: str =
     """
     rows, intercept = load_parameters(params)
     scored = sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col)
-    table = feature_array(feature_table(docs, corpus, id_col, text_col, scored))
-    evidence = scored.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("sentence_id", F.col("sentence").alias("text"), "perplexity", F.col("perplexity").isNotNull().alias("available"), F.when(F.col("perplexity").isNull(), F.coalesce("reason", F.lit("perplexity_unavailable"))).alias("reason")))).alias("sentence_evidence")
-    )
+    cell = F.struct("sentence_id", F.col("sentence").alias("text"), "perplexity", F.col("perplexity").isNotNull().alias("available"), F.when(F.col("perplexity").isNull(), F.coalesce("reason", F.lit("perplexity_unavailable"))).alias("reason"))
+    # one grouping gives a document's median and its evidence, so sentences are scored once
+    grouped = scored.groupBy("id").agg(F.median("perplexity").alias("perplexity"), F.sort_array(F.collect_list(cell)).alias("sentence_evidence"))
+    perplexity = docs.select(F.col(id_col).alias("id")).join(grouped, "id", "left").withColumn("perplexity_reason", F.when(F.col("perplexity").isNull(), "no_valid_sentence_perplexity_values"))
+    table = feature_array(feature_table(docs, corpus, id_col, text_col, perplexity))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     gate = F.when(F.col("t") == "", "empty_input").when(T.strip(F.col("t")) == "", "whitespace_only_input")
-    joined = text_statistics(docs, id_col, text_col).join(texts.select("id", gate.alias("gate")), "id").join(table, "id", "left").join(evidence, "id", "left")
+    joined = text_statistics(docs, id_col, text_col).join(texts.select("id", gate.alias("gate")), "id").join(table, "id", "left")
     usable = F.col("gate").isNull() & F.col("complete")
     p = F.when(usable, probability(rows, intercept))
     barred = F.transform("features", lambda f: F.struct(f["name"].alias("name"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("available"), F.col("gate").alias("reason")))
