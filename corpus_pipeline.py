@@ -17,6 +17,9 @@ from scrivener.llm.common import read_table, stored
 #: Documents that share less than this with every language's profile are rejected.
 MIN_LANGUAGE_SCORE = 0.05
 RANKS = "byte_bpe_50k.tiktoken"
+#: Differing fingerprint bits of near copies: wider than the query's three, as one changed
+#: word in two hundred moves three or four bits. Unrelated texts differ by 32 on average.
+NEAR_RADIUS = 5
 #: What an encoding worker remembers: less than alone, as four stages before it have filled the executors' heaps.
 MAX_PIECES, MAX_STATES = 1 << 17, 1 << 16
 
@@ -36,7 +39,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked SimHash fingerprints the document with the smallest identifier stays."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, radius=NEAR_RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
