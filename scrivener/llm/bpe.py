@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: States that a transducer keeps, and pieces whose tokens it remembers, before it starts anew.
-MAX_STATES = 1 << 17
-MAX_PIECES = 1 << 18
-MAX_NEIGHBOURS = 1 << 17
+MAX_STATES = 1 << 18
+MAX_PIECES = 1 << 19
+MAX_NEIGHBOURS = 1 << 19
 #: Bytes of a piece after which settled tokens are emitted.
 WINDOW = 1 << 12
 ROWS_OUT = 1000
