@@ -10,8 +10,10 @@ fixed, and scoring walks from the root, mixing each depth by its posterior weigh
 n-grams are counted in each input partition, summed by a shuffle, and dealt out by
 their last three context bytes; a partition then weighs whole subtrees. What is sent to
 the scoring tasks is bounded by ``TREE_NODES`` nodes and ``HEAD_WORDS`` words: the most
-frequent contexts and words. Other words meet their counts in a join, so every count is
-used; contexts beyond the bound are predicted from their longest suffix in the tree.
+frequent contexts and words (contexts of up to two bytes, of which there are at most
+65,793, always). Other words meet their counts in a join, and bytes after other contexts
+meet their probabilities in one: those are computed once for each distinct context and
+byte, from the full tree, where its subtree is weighed. Bounds change no score.
 """
 
 from __future__ import annotations
@@ -34,7 +36,15 @@ DEPTH = 5
 TREE_NODES, HEAD_WORDS = 1 << 22, 1 << 18
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
+#: Longest contexts that are all sent to tasks, and whose longer ones are weighed apart.
+SHALLOW = 2
+#: Grams whose subtrees a task weighs at once, unless a single subtree has more.
+SUBTREE_GRAMS = 1 << 17
 CHUNK = 4 << 20
+#: Bytes scored at once, beside the linked model.
+SCORED = 1 << 20
+#: Texts of a chunk, at most: their places and 48 bits of a code share one number.
+PLACE_BITS = 15
 FLUSH = 1 << 22
 CACHE_BITS = 21
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -69,20 +79,27 @@ def _summed(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n_held, texts, size = [], 0, [], 0
+    """Of (text, whether it teaches) the distinct codes, and how often texts that teach have them."""
+    held, n_held, texts, size = [], 0, {True: [], False: []}, 0
 
     def total() -> tuple[np.ndarray, np.ndarray]:
         return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def take() -> int:
-        held.append(np.unique(_codes(texts), return_counts=True))
-        texts.clear()
-        return len(held[-1][0])
+        new = 0
+        for teaches, some in texts.items():
+            if some:
+                codes, n = np.unique(_codes(some), return_counts=True)
+                held.append((codes, n if teaches else np.zeros_like(n)))
+                some.clear()
+                new += len(codes)
+        return new
 
     for batch in batches:
-        for text in batch.column(0):
-            texts.append(b" ".join(words_of(text.as_py())) + END)
-            size += len(texts[-1])
+        for text, teaches in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            data = b" ".join(words_of(text.as_py())) + END
+            texts[teaches].append(data)
+            size += len(data)
             if size >= CHUNK:
                 n_held, size = n_held + take(), 0
                 if n_held > FLUSH:
@@ -90,8 +107,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (n_held := len(held[0][0])) > FLUSH // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["code", "n"])
                         n_held = 0
-    if texts:
-        take()
+    take()
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in total()], ["code", "n"])
 
@@ -147,8 +163,9 @@ def _decisions(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _summed(keys, np.where(bit, 0, every), np.where(bit, every, 0))
 
 
-_NODE_FIELDS = ["depth", "key", "zeros", "ones", "weight", "log_w"]
-_NODES = "depth int, key bigint, zeros bigint, ones bigint, weight double, log_w double"
+_NODE_FIELDS = ["depth", "key", "zeros", "ones", "weight", "log_w", "n"]
+#: ``n``: how often the context was met, of contexts longer than SHALLOW only.
+_NODES = "depth int, key bigint, zeros bigint, ones bigint, weight double, log_w double, n bigint"
 
 
 def _node_batches(depth: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,20 +179,77 @@ def _up(key: np.ndarray, depth: int) -> np.ndarray:
     return key & ((1 << 8 * depth + 8) - 1)
 
 
-def _deep_levels(lowest: int):
-    """Weigh depths DEPTH down to ``lowest`` of all contexts that share their last ``lowest`` bytes."""
+def _subtrees(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(depth, columns of its nodes, by key) from DEPTH down to SHALLOW + 1, of all contexts that share so many last bytes."""
+    key, zeros, ones = _decisions(code, n)
+    below = None
+    for depth in range(DEPTH, SHALLOW, -1):
+        if depth < DEPTH:
+            key, zeros, ones, below = _summed(_up(key, depth), zeros, ones, log_w)  # noqa: F821
+        weight, log_w = _weigh(zeros, ones, below)
+        # a context's own count is that of its first decision, which sorts before its others
+        first = np.flatnonzero(key & 255 == 1)
+        met = np.repeat((zeros + ones)[first], np.diff(np.append(first, len(key))))
+        yield depth, (key, zeros, ones, weight, log_w, met)
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of a partition, several subtrees at a time."""
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not pairs:
+        return
+    code, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    pairs.clear()
+    root = code >> 8 & (1 << 8 * (SHALLOW + 1)) - 1
+    order = np.argsort(root, kind="stable")
+    root = root[order]
+    starts = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
+    del root
+    at = 0
+    while at < len(order):
+        end = starts[np.searchsorted(starts, at + SUBTREE_GRAMS, side="right") - 1]
+        if end <= at:
+            later = np.searchsorted(starts, at, side="right")
+            end = starts[later] if later < len(starts) else len(order)
+        elif at + SUBTREE_GRAMS >= len(order):
+            end = len(order)
+        yield code[order[at:end]], n[order[at:end]]
+        at = end
+
+
+def _deep_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for code, n in _whole_subtrees(batches):
+        for depth, columns in _subtrees(code, n):
+            yield from _node_batches(depth, *columns)
+
+
+def _far_codes(shallow, floor: float):
+    """log10 of the probability of every code whose context was met less than ``floor`` times, by the full tree."""
+
+    def some(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, ones, weights = ([x] for x in shallow.value)
+        far = np.ones(len(code), bool)
+        taught = n > 0
+        for depth, (key, zeros, one, weight, _, met) in _subtrees(code[taught], n[taught]) if taught.any() else ():
+            if depth == DEPTH:
+                often = key[(key & 255 == 1) & (met >= floor)] >> 8
+                far = ~np.isin(code >> 8, often)
+                if not far.any():
+                    return
+            keys.append(np.int64(depth) << 48 | key)
+            ones.append(((one + 0.5) / (zeros + one + 1)).astype(np.float32))
+            weights.append(weight.astype(np.float32))
+        keys, ones, weights = (np.concatenate(x) for x in (keys, ones, weights))
+        order = np.argsort(keys, kind="stable")
+        tree = ContextTree(keys[order], ones[order], weights[order])
+        code = np.sort(code[far])
+        for i in range(0, len(code), 1 << 16):
+            part = code[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tree._evaluate(part))], ["code", "log10"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("code", pa.int64()), ("n", pa.int64())]))
-        if not table.num_rows:
-            return
-        key, zeros, ones = _decisions(table["code"].to_numpy(), table["n"].to_numpy())
-        below = None
-        for depth in range(DEPTH, lowest - 1, -1):
-            if depth < DEPTH:
-                key, zeros, ones, below = _summed(_up(key, depth), zeros, ones, log_w)  # noqa: F821
-            weight, log_w = _weigh(zeros, ones, below)
-            yield from _node_batches(depth, key, zeros, ones, weight, log_w)
+        for code, n in _whole_subtrees(batches):
+            yield from some(code, n)
 
     return run
 
@@ -187,18 +261,22 @@ def _one_level(depth: int):
         for batch in batches:
             key, zeros, ones, below = (batch.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
             weight, log_w = _weigh(zeros, ones, below)
-            yield from _node_batches(depth, key, zeros, ones, weight, log_w)
+            yield from _node_batches(depth, key, zeros, ones, weight, log_w, np.zeros(len(key), np.int64))
 
     return run
 
 
+def _by_subtree(grams: DataFrame) -> DataFrame:
+    """The (code, n) of all contexts that share their last SHALLOW + 1 bytes in one partition."""
+    last = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (SHALLOW + 1)) - 1))
+    return grams.select("code", "n").repartition(last)
+
+
 def tree_nodes(grams: DataFrame) -> DataFrame:
     """All nodes of the weighted tree: depth, key (context, then node of the byte's decisions), counts and weights."""
-    shared = 3
-    last = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * shared) - 1))
-    at = stored(grams.repartition(last).mapInArrow(_deep_levels(shared), _NODES), "ctw")
+    at = stored(_by_subtree(grams).mapInArrow(_deep_levels, _NODES), "ctw")
     levels = [at]
-    for depth in range(shared - 1, -1, -1):
+    for depth in range(SHALLOW, -1, -1):
         upper = F.col("key").bitwiseAND(F.lit((1 << 8 * depth + 8) - 1))
         sums = at.filter(F.col("depth") == depth + 1).groupBy(upper.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
         at = stored(sums.mapInArrow(_one_level(depth), _NODES), "ctw")
@@ -223,18 +301,19 @@ def _floor_for(rows: DataFrame, n, at_most: int) -> float:
 class ContextTree:
     """The nodes kept for scoring, linked from each decision to the next."""
 
-    def __init__(self, keys: np.ndarray, ones: np.ndarray, weights: np.ndarray):
-        """``keys``: depth, context and node in one number, sorted."""
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, ones: np.ndarray, weights: np.ndarray, whole: bool = True):
+        """``keys``: depth, context and node in one number, sorted. ``whole``: these are all nodes there are."""
+        self.keys, self.whole = keys, whole
         # one more node stands for all that were never seen
         self.null = len(keys)
         self.p_one = np.append(ones, np.float32(0.5))
         self.weight = np.append(weights, np.float32(0.5))
-        node = keys & 255
         self.next = np.full((2, len(keys) + 1), self.null, np.int32)
-        for bit in (0, 1):
-            inner = np.flatnonzero(node < 128)
-            self.next[bit, inner] = self._find((keys[inner] & ~np.int64(255)) | node[inner] * 2 + bit)
+        for i in range(0, len(keys), 1 << 18):
+            part = keys[i : i + (1 << 18)]
+            inner = np.flatnonzero(part & 255 < 128)
+            for bit in (0, 1):
+                self.next[bit, i + inner] = self._find(part[inner] + (part[inner] & 255) + bit)
         self.slots = np.full(1 << CACHE_BITS, -1, np.int64)
         self.known = np.zeros(1 << CACHE_BITS, np.float32)
 
@@ -245,7 +324,7 @@ class ContextTree:
         return np.where(self.keys[at] == keys, at, self.null).astype(np.int32)
 
     def _evaluate(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's last byte after its context."""
+        """log10 of the probability of each code's last byte after its context; NaN where that takes nodes not kept."""
         context, byte = codes >> 8, codes & 255
         at = [self._find(np.int64(d) << 48 | (context & ((1 << 8 * d) - 1)) << 8 | 1) for d in range(DEPTH + 1)]
         in_tree = [a != self.null for a in at]
@@ -260,7 +339,7 @@ class ContextTree:
                 started |= in_tree[d]
                 at[d] = np.where(bit, self.next[1][at[d]], self.next[0][at[d]])
             total += np.log10(np.where(bit, p, 1 - p))
-        return total
+        return total if self.whole else np.where(in_tree[DEPTH], total, np.nan)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """As ``_evaluate``, through a table of those met before."""
@@ -281,27 +360,45 @@ class ContextTree:
 _LINKED: dict[int, tuple] = {}
 
 
-def _score(model, key: str, id_kind: str, words_total: int, vocabulary: int):
+def _score(model, key: str, whole: bool, words_total: int, vocabulary: int):
+    """Rows of texts, with what their bounded model gives, and rows of codes that it has not: the texts that have them, and how often."""
+
+    names = ["row", "id", "held_out", "n_tokens", "n_head", "head", "score", "rest", "code", "at", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LINKED:
             _LINKED.clear()
             keys, ones, weights, words, counts = model.value
             base = np.log10((counts + 1) / (words_total + vocabulary + 1)).tolist()
-            _LINKED[key] = (ContextTree(keys, ones, weights), dict(zip(words, base, strict=True)))
+            _LINKED[key] = (ContextTree(keys, ones, weights, whole), dict(zip(words, base, strict=True)))
         tree, head = _LINKED[key]
         for batch in batches:
-            ids, held = batch.column(0), batch.column(1)
+            ids, held, places = batch.column(0), batch.column(1), batch.column(3).to_numpy()
             rows: list[tuple] = []
             texts: list[bytes] = []
             size = 0
 
-            def out() -> pa.RecordBatch:
-                starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
-                scores = np.add.reduceat(tree.log10(_codes(texts)), starts)
+            def out() -> Iterator[pa.RecordBatch]:
+                lengths = [len(t) for t in texts]
+                codes = _codes(texts)
+                values = tree.log10(codes)
+                far = np.flatnonzero(np.isnan(values))
+                values[far] = 0
+                scores = np.add.reduceat(values, np.cumsum([0, *lengths[:-1]]))
                 i = [r[0] for r in rows]
-                arrays = [ids.take(pa.array(i)), held.take(pa.array(i)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array(scores), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
+                arrays = [pa.array(places[i]), ids.take(pa.array(i)), held.take(pa.array(i)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array(scores), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
+                none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*arrays, *none], names)
+                if len(far):
+                    pairs, times = np.unique(codes[far] << PLACE_BITS | np.repeat(np.arange(len(texts)), lengths)[far], return_counts=True)
+                    code, at = pairs >> PLACE_BITS, places[np.array(i)[pairs & (1 << PLACE_BITS) - 1]]
+                    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                    ends = np.append(first, len(code)).astype(np.int32)
+                    for k in range(0, len(first), 1 << 16):
+                        e = ends[k : k + (1 << 16) + 1]
+                        lists = [pa.ListArray.from_arrays(pa.array(e - e[0]), pa.array(x[e[0] : e[-1]])) for x in (at, times)]
+                        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(e) - 1, a.type) for a in arrays), pa.array(code[e[:-1]]), *lists], names)
                 rows.clear(), texts.clear()
-                return pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "n_head", "head", "score", "rest"])
 
             for i, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
@@ -311,11 +408,11 @@ def _score(model, key: str, id_kind: str, words_total: int, vocabulary: int):
                 rest = [w for w, v in zip(words, values, strict=True) if v is None] if None in values else []
                 rows.append((i, len(words), len(words) - len(rest), sum(v for v in values if v is not None), rest))
                 size += len(texts[-1])
-                if size >= CHUNK:
-                    yield out()
+                if size >= SCORED or len(texts) >> PLACE_BITS:
+                    yield from out()
                     size = 0
             if rows:
-                yield out()
+                yield from out()
 
     return run
 
@@ -335,34 +432,50 @@ def ctw_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     own = fold(id_col, FOLDS)
     train = docs.filter(own != HELD_OUT).select(F.col(text_col).cast("string").alias("text"))
     counts = stored(train.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    grams = train.mapInArrow(_count_grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    nodes = tree_nodes(grams)
+    every = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(own != HELD_OUT, F.lit(False)).alias("teaches"))
+    grams = stored(every.mapInArrow(_count_grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "grams")
+    nodes = tree_nodes(grams.filter(F.col("n") > 0))
 
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"], sums["v"]
     head = counts.filter(F.col("n") >= _floor_for(counts, F.col("n"), head_words)).toArrow()
-    # a context's own count is that of its first decision
-    firsts = nodes.filter(F.col("key").bitwiseAND(F.lit(255)) == 1).select("depth", F.shiftright("key", 8).alias("context"), (F.col("zeros") + F.col("ones")).alias("n"))
-    sized = nodes.select("depth", "key", F.shiftright("key", 8).alias("context"), ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).cast("float").alias("p_one"), F.col("weight").cast("float").alias("weight")).join(firsts, ["depth", "context"])
-    floor = _floor_for(sized, F.col("n"), tree_bound)
-    kept = sized.filter(F.col("n") >= floor).select(F.shiftleft(F.col("depth").cast("long"), 48).bitwiseOR(F.col("key")).alias("key"), "p_one", "weight").toArrow()
+    deep = nodes.filter(F.col("depth") > SHALLOW)
+    shallow = nodes.filter(F.col("depth") <= SHALLOW).count()
+    floor = _floor_for(deep, F.col("n"), max(0, tree_bound - shallow))
+    share = ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).cast("float")
+    sent = nodes.filter((F.col("depth") <= SHALLOW) | (F.col("n") >= floor))
+    kept = sent.select(F.shiftleft(F.col("depth").cast("long"), 48).bitwiseOR(F.col("key")).alias("key"), share.alias("p_one"), F.col("weight").cast("float").alias("weight")).toArrow()
     keys = kept["key"].to_numpy()
     order = np.argsort(keys)
-    model = spark.sparkContext.broadcast((keys[order], kept["p_one"].to_numpy()[order], kept["weight"].to_numpy()[order], head["word"].to_pylist(), head["n"].to_numpy()))
+    keys, ones, weights = keys[order], kept["p_one"].to_numpy()[order], kept["weight"].to_numpy()[order]
+    del kept
+    whole, far = floor == 0, None
+    if not whole:
+        top = spark.sparkContext.broadcast(tuple(x[: np.searchsorted(keys, np.int64(SHALLOW + 1) << 48)].copy() for x in (keys, ones, weights)))
+        far = stored(_by_subtree(grams).mapInArrow(_far_codes(top, floor), "code bigint, log10 double"), "far")
+    model = spark.sparkContext.broadcast((keys, ones, weights, head["word"].to_pylist(), head["n"].to_numpy()))
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(own == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model, uuid.uuid4().hex, kind, total, vocabulary), f"id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head double, score double, rest array<binary>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(own == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    met = rows.mapInArrow(_score(model, uuid.uuid4().hex, whole, total, vocabulary), f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head double, score double, rest array<binary>, code bigint, at array<bigint>, times array<bigint>")
+    met = stored(met, "scored")
+    scored = met.filter(F.col("code").isNull()).drop("code", "at", "times")
     rest = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     share = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + vocabulary + 1)))
     tails = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("tail"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_tail"))
-    return scored.join(tails, "row", "left").select(
+    found = scored.join(tails, "row", "left")
+    score = F.col("score")
+    if far is not None:
+        asked = met.filter(F.col("code").isNotNull()).select("code", "at", "times").join(far, "code")
+        one = asked.select("log10", F.explode(F.arrays_zip("at", "times")).alias("x")).select(F.col("x.at").alias("row"), (F.col("x.times") * F.col("log10")).alias("part"))
+        found = found.join(one.groupBy("row").agg(F.sum("part").alias("far")), "row", "left")
+        score = F.col("score") + F.coalesce("far", F.lit(0.0))
+    return found.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head") + F.coalesce("tail", F.lit(0.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

@@ -358,6 +358,17 @@ def test_ctw_against_recursion_and_sums_to_one(spark):
         assert np.allclose(found, [plain(context, b) for b in range(256)], atol=1e-5)
 
 
+def test_ctw_bound_changes_no_score(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["the", "then", "cathedral", "sat", "zürich", "q" + str(i)], k=rng.randint(1, 40))), "en", "s") for i in range(80)] + [(100, None, "en", "s"), (100, "only here: xyzzy", "en", "s"), (None, "the cat", "en", "s")]
+    taught = [b" ".join(ctw.words_of(t)) for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    plain = plain_ctw(taught, ctw.DEPTH)
+    want = sorted(sum(plain((b"\n" * 5 + data)[at : at + 5], data[at]) for at in range(len(data))) for data in (b" ".join(ctw.words_of(t)) + ctw.END for _, t, *_ in rows))
+    for bound in (1, 9000, ctw.TREE_NODES):
+        got = ctw.ctw_score(docs(spark, rows), tree_bound=bound).collect()
+        assert len(got) == len(rows) and np.allclose(sorted(r.score for r in got), want, rtol=1e-5)
+
+
 # mixing
 
 
