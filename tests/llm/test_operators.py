@@ -369,6 +369,19 @@ def test_ctw_bound_changes_no_score(spark):
         assert len(got) == len(rows) and np.allclose(sorted(r.score for r in got), want, rtol=1e-5)
 
 
+def test_large_hosts_lose_the_same_passages(spark):
+    rng = random.Random(6)
+    notices = [" ".join(f"n{k}w{j}" for j in range(12)) for k in range(20)]
+    body = lambda k: " ".join(f"b{k}x{rng.randint(0, 9999)}" for _ in range(15))
+    # each notice is on two pages of its host only; the last pages are equal, and have no usable URL
+    pages = [(k, f"http://h{k % 2}.org/{k}", f"<p>{body(k)}</p><p>{notices[k // 4 * 2 + k % 2]}</p><p>{body(k)}</p>") for k in range(40)] + [(50, None, f"<p>{notices[0]}</p>"), (51, None, f"<p>{notices[0]}</p>"), (52, "http://h0.org/x", "<p>few words</p>"), (53, None, None)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    one, dealt = ({r.page_id: r.text for r in html_text.extract_text(table, chunk_tokens=n).collect()} for n in (html_text.CHUNK_TOKENS, 30))
+    assert dealt == one and len(one) == len(pages)
+    assert not any(n in text for n in notices for text in dealt.values()) and dealt[50] == dealt[51] == "" and dealt[52] == "few words"
+    assert all(len(dealt[k].split()) == 30 for k in range(40))
+
+
 # mixing
 
 
