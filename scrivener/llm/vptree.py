@@ -7,7 +7,8 @@ triangle inequality shows that nothing there is nearer than its k-th candidate s
 skips more and may miss some.
 
 Equal vectors are one point with its smallest identifiers, of which a list of k can
-never need more than k + 1. Points are dealt to shards and queries to blocks; a task
+never need more than k + 1. A query's list is longer than k by the rows of its own
+identifier, which leave it at the end. Points are dealt to shards and queries to blocks; a task
 joins one shard with one block, so its memory does not grow with either table.
 """
 
@@ -109,31 +110,33 @@ def usable(vector: Column) -> Column:
 
 def _search(k: int, relax: float):
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"qv": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"qv": [], "own": [], "vec_id": [], "score": []}
         if len(points) and len(queries):
             data, asked = np.array(points["v"].tolist(), np.float64), np.array(queries["qv"].tolist(), np.float64)
             # rows in order of their smallest identifier
             order = np.argsort(points["ids"].map(lambda x: x[0]).to_numpy(), kind="stable")
             ids = points["ids"].to_numpy()[order]
             tree = VantagePointTree(data[order])
-            # the tree breaks ties by row as it meets them, so all points as near as the last are asked for again
-            rows, off = tree.search(asked, min(k + 1, len(data)), relax)
-            for q, vector, found, dist in zip(asked, queries["qv"], rows, off, strict=True):
+            # one more than needed: where that is as near as the last, there may be others, and all of them are asked for
+            slots = min(k + int(queries["own"].max()) + 1, len(data))
+            rows, off = tree.search(asked, slots, relax)
+            for q, vector, own, found, dist in zip(asked, queries["qv"], queries["own"], rows, off, strict=True):
                 found = found[found >= 0]
-                last = dist[len(found) - 1]
-                tied = found[dist[: len(found)] >= last * (1 - SLACK)]
-                if len(found) == k + 1 and len(tied) > 1:
+                take = k + own
+                last = dist[min(take, len(found)) - 1]
+                if len(found) < len(data) and dist[len(found) - 1] <= last * (1 + SLACK):
                     every = np.nonzero(np.abs(_distances(q[None], tree.points)[0] - last) <= SLACK * last)[0]
                     found = np.union1d(found, every)
                 # sums in order of the components, as a loop over them would
                 exact = np.sqrt(np.cumsum((tree.points[found] - q) ** 2, axis=1)[:, -1])
-                pairs = sorted((float(s), int(i)) for s, r in zip(exact, found, strict=True) for i in ids[r])[: k + 1]
+                pairs = sorted((float(s), int(i)) for s, r in zip(exact, found, strict=True) for i in ids[r])[:take]
                 for s, i in pairs:
                     out["qv"].append(vector)
+                    out["own"].append(own)
                     out["vec_id"].append(i)
                     out["score"].append(s)
         # typed by hand: pandas would make an empty list of vectors a column of numbers
-        return pd.DataFrame({"qv": pd.Series(out["qv"], dtype=object), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
+        return pd.DataFrame({"qv": pd.Series(out["qv"], dtype=object), "own": pd.Series(out["own"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
 
     return run
 
@@ -167,12 +170,13 @@ def nearest(
     shards, blocks = -(-counts["n"] // shard_rows) or 1, -(-counts["q"] // query_rows) or 1
     # each shard meets each block of queries once
     spread = points.withColumn("dim", width).withColumn("shard", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.select(F.col("v").alias("qv")).distinct().withColumn("dim", F.size("qv")).withColumn("block", F.pmod(F.xxhash64("qv", F.lit(4)), F.lit(blocks)).cast("int"))
+    own_rows = asked.withColumn("own", F.count("*").over(Window.partitionBy("id")))
+    queries = own_rows.groupBy(F.col("v").alias("qv")).agg(F.max("own").alias("own")).withColumn("dim", F.size("qv")).withColumn("block", F.pmod(F.xxhash64("qv", F.lit(4)), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     key = ["dim", "shard", "block"]
     kind = dict(vectors.dtypes)[vector_col]
-    found = spread.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_search(k, relax), f"qv {kind}, vec_id bigint, score double")
-    merged = found.withColumn("place", F.row_number().over(Window.partitionBy("qv").orderBy("score", "vec_id"))).filter(F.col("place") <= k + 1)
+    found = spread.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_search(k, relax), f"qv {kind}, own bigint, vec_id bigint, score double")
+    merged = found.withColumn("place", F.row_number().over(Window.partitionBy("qv").orderBy("score", "vec_id"))).filter(F.col("place") <= k + F.col("own"))
     lists = merged.groupBy("qv").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     own = asked.join(lists, asked["v"] == lists["qv"]).select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("found"))
     return own.select("query_id", F.posexplode("found").alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")

@@ -144,6 +144,23 @@ def test_nearest_is_exact_with_ties_and_odd_vectors(spark):
     assert vptree.nearest(rows.limit(0)).count() == 0
 
 
+def test_nearest_with_ties_at_the_last_place_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(5)]) for i in rng.sample(range(1, 3000), 900)] + [(700, [float(a), 1.0, 0.0, 0.0, 0.5]) for a in range(15)]
+    rows += [(100 * k, [float(rng.randint(-2, 2)) for _ in range(5)]) for k in range(40, 60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in vptree.nearest(table, shard_rows=400).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    distinct = sorted({(i, tuple(v)) for i, v in rows if any(v)})
+    for q in {i for i, _ in distinct if i % 100 == 0}:
+        want = []
+        for _, v in [d for d in distinct if d[0] == q]:
+            near = sorted((math.dist(v, w), i) for i, w in distinct if i != q)[:10]
+            want += [(n + 1, s, i) for n, (s, i) in enumerate(near)]
+        assert sorted((n, round(s, 9), i) for n, s, i in got[q]) == sorted((n, round(s, 9), i) for n, s, i in want)
+
+
 def test_relaxed_search_keeps_recall_and_skips_more():
     rng = np.random.default_rng(1)
     points, queries = rng.normal(size=(3000, 8)), rng.normal(size=(40, 8))
