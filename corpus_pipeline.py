@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from scrivener.llm import bpe, exact_dedup, language_id, mixing, simhash
 from scrivener.llm.common import read_table, stored
 
-#: Documents that share less than this with every language's profile are rejected.
+#: Documents that share less than this with every language's profile are rejected, whatever their language's own floor.
 MIN_LANGUAGE_SCORE = 0.05
+#: A language's floor lies below this quantile of its own documents' scores by so many times what that lies below their median.
+LOW_QUANTILE, SPREADS = 0.01, 1.5
+SCORE_STEPS = 1000
 RANKS = "byte_bpe_50k.tiktoken"
 #: Differing fingerprint bits of near copies: wider than the query's three, as one changed
 #: word in two hundred moves three or four bits. Unrelated texts differ by 32 on average.
@@ -24,11 +27,34 @@ NEAR_RADIUS = 5
 MAX_PIECES, MAX_STATES = 1 << 17, 1 << 16
 
 
+def language_floors(found: DataFrame) -> list[tuple[str, float]]:
+    """The least score of each language, by the scores of rows that are labelled with it and taken for it."""
+    own = found.filter(F.col("lang").cast("string") == F.col("__lang_pred"))
+    counts: dict[str, dict[int, int]] = {}
+    for r in own.groupBy("__lang_pred", F.floor(F.col("__score") * SCORE_STEPS).cast("int").alias("step")).count().collect():
+        counts.setdefault(r["__lang_pred"], {})[r["step"]] = r["count"]
+
+    def at(steps: dict[int, int], share: float) -> int:
+        left = share * sum(steps.values())
+        for step in sorted(steps):
+            left -= steps[step]
+            if left <= 0:
+                return step
+        return max(steps)
+
+    low = {lang: at(steps, LOW_QUANTILE) for lang, steps in counts.items()}
+    return [(lang, max(MIN_LANGUAGE_SCORE, (low[lang] - SPREADS * (at(steps, 0.5) - low[lang])) / SCORE_STEPS)) for lang, steps in counts.items()]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, or that share next to nothing with any learned language."""
+    """Drop documents without a letter, or that are farther from every learned language than its own documents are."""
     taught = docs.filter(language_id.fold("doc_id", language_id.FOLDS) != language_id.HELD_OUT)
-    found = language_id.identify(docs, language_id.learn_profiles(taught))
-    kept = found.filter((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE))
+    profiles = language_id.learn_profiles(taught)
+    # learned once, as both the floors and the documents are scored by them
+    profiles = spark.createDataFrame(profiles.limit(language_id.MAX_PROFILE_ROWS + 1).toArrow(), profiles.schema)
+    floors = spark.createDataFrame(language_floors(language_id.identify(taught, profiles)), "__of string, __floor double")
+    found = language_id.identify(docs, profiles).join(F.broadcast(floors), F.col("__lang_pred") == F.col("__of"), "left")
+    kept = found.filter((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= F.coalesce("__floor", F.lit(MIN_LANGUAGE_SCORE))))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against brute force on a small table."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -35,3 +36,17 @@ def test_stages(spark, tmp_path):
     assert ids["bpe_encode"] == ids["mix_sources"] and all(r.round_trip and list(r.ids) == plain.encode_ordinary(text[r.doc_id]) for r in seen["bpe_encode"])
     spark.createDataFrame(rows[:30], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/small/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/small").count() > 0
+
+
+def test_language_floor_rejects_unlearned_languages_and_noise(spark):
+    rng = random.Random(5)
+    words = {
+        "en": "the of and that with this from have which their would there about other people water between through never while house morning children thought because".split(),
+        "de": "der die und das nicht mit sich auch eine werden durch zwischen wasser menschen morgen kinder haus gedanke weil niemals andere deutsche straße schön über".split(),
+    }
+    clean = [(k, " ".join(rng.choices(words[lang], k=60)), lang, "s", 1) for k, lang in enumerate(["en", "de"] * 60)]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60))
+    rows = [*clean, (500, polish, None, "s", 1), (501, noise, None, "s", 1), (502, "12 34", None, "s", 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, table, "").collect()) == [r[0] for r in clean]
