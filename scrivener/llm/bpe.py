@@ -307,7 +307,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     ``verify_col`` names a further column: whether decoding the identifiers gives the
     text back (a null text counts as empty).
     """
-    tokenizer = _tokenizer(docs, ranks_path, pattern)
+    tokenizer = _tokenizer(docs, ranks_path, pattern, max_pieces, max_states)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields]).add(out_col, ArrayType(IntegerType()))
     if verify_col:

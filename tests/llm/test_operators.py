@@ -100,6 +100,14 @@ def test_transducer_equals_merging_for_any_merge_table(seed):
         assert list(own.encode(t.encode())) == plain.encode_ordinary(t)
 
 
+def test_encode_hands_its_caps_on(spark, monkeypatch):
+    seen = []
+    plain = bpe._tokenizer
+    monkeypatch.setattr(bpe, "_tokenizer", lambda *a: seen.append(a[3:]) or plain(*a))
+    bpe.encode(docs(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_pieces=64, max_states=32)
+    assert seen == [(64, 32)]
+
+
 def test_streaming_decoder_waits_for_whole_characters():
     data = "é漢😀".encode() + b"\xff\xe6\xbc" + "ñ".encode() + b"\xf0\x9f"
     decoder = bpe.StreamingDecoder({i: bytes([b]) for i, b in enumerate(data)})
