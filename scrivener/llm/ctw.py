@@ -5,19 +5,23 @@ is eight binary decisions; the node of a decision under a context (the bytes bef
 to ``DEPTH``) counts zeros and ones. A node's weighted probability is the mean of its
 Krichevsky-Trofimov estimate and of the product over its longer contexts, so the tree
 mixes all depths. Counts come from every training text; the weights they give are then
-fixed, and scoring walks from the root, mixing each depth by its posterior weight.
-
-n-grams are counted in each input partition, summed by a shuffle, and dealt out by
-their last three context bytes; a partition then weighs whole subtrees. What is sent to
-the scoring tasks is bounded by ``TREE_NODES`` nodes and ``HEAD_WORDS`` words: the most
-frequent contexts and words (contexts of up to two bytes, of which there are at most
-65,793, always). Other words meet their counts in a join, and bytes after other contexts
-meet their probabilities in one: those are computed once for each distinct context and
-byte, from the full tree, where its subtree is weighed. Bounds change no score.
+fixed, and a byte is scored from the root, mixing each depth by its posterior weight.
+
+n-grams (a context and the byte after it, one number: a code) are counted in each input
+partition, summed by a shuffle, and dealt out by their last three context bytes. A
+partition weighs whole subtrees, of which only the sums go up to the shallow levels; once
+those are known it gives every code of its subtrees its log-probability from the full
+tree, in double precision from the counts themselves. Scoring then only looks codes up:
+the ``HEAD_CODES`` most frequent are sent to the tasks (16 bytes each) and all others
+meet their values in a join, as words beyond ``HEAD_WORDS`` meet their counts. Both are
+bounds of memory: they change no score. The shallow levels that are sent to the weighing
+tasks have at most 65,793 contexts by construction (about 6.6 million nodes if every
+pair of bytes that UTF-8 allows is met; tens of thousands in the given tables).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -28,25 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import stored
+from scrivener.llm.common import shuffle_partitions, stored
 from scrivener.llm.language_id import fold
 
 DEPTH = 5
-#: Nodes of the tree that is sent to tasks (16 bytes each), and words (their counts).
-TREE_NODES, HEAD_WORDS = 1 << 22, 1 << 18
+#: Codes (their probabilities) and words (their counts) that are sent to all scoring tasks.
+HEAD_CODES, HEAD_WORDS = 1 << 20, 1 << 17
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
-#: Longest contexts that are all sent to tasks, and whose longer ones are weighed apart.
+#: Contexts longer than this are weighed by subtree, up to this by depth.
 SHALLOW = 2
-#: Grams whose subtrees a task weighs at once, unless a single subtree has more.
-SUBTREE_GRAMS = 1 << 17
-CHUNK = 4 << 20
-#: Bytes scored at once, beside the linked model.
+#: Grams whose subtrees a task weighs at once, unless a single subtree has more; and grams of a partition.
+SUBTREE_GRAMS, PARTITION_GRAMS = 1 << 17, 1 << 20
+#: Bytes of text that are counted and scored at once.
+CHUNK = 1 << 21
 SCORED = 1 << 20
 #: Texts of a chunk, at most: their places and 48 bits of a code share one number.
 PLACE_BITS = 15
-FLUSH = 1 << 22
-CACHE_BITS = 21
+#: Distinct grams, and words, that a counting task holds before it hands them on.
+FLUSH, FLUSH_WORDS = 1 << 21, 1 << 19
+CACHE_BITS = 20
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HALF = np.log(0.5)
@@ -126,7 +131,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             counts.update(words_of(text.as_py()))
             counts[b""] += 1  # the end of a text
-        if len(counts) > FLUSH // 4:
+        if len(counts) > FLUSH_WORDS:
             yield from out()
     yield from out()
 
@@ -154,43 +159,39 @@ def _weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tup
     return np.exp(_HALF + own - both), both
 
 
-def _decisions(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context and node, zeros, ones) of the eight decisions of each (context, byte) with its count."""
-    context, byte = codes >> 8, codes & 255
-    keys = np.concatenate([context << 8 | 1 << j | byte >> 8 - j for j in range(8)])
-    bit = np.concatenate([byte >> 7 - j & 1 for j in range(8)])
-    every = np.tile(n, 8)
-    return _summed(keys, np.where(bit, 0, every), np.where(bit, every, 0))
-
-
-_NODE_FIELDS = ["depth", "key", "zeros", "ones", "weight", "log_w", "n"]
-#: ``n``: how often the context was met, of contexts longer than SHALLOW only.
-_NODES = "depth int, key bigint, zeros bigint, ones bigint, weight double, log_w double, n bigint"
-
-
-def _node_batches(depth: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(key), 1 << 18):
-        part = [np.full(len(key[i : i + (1 << 18)]), depth, np.int32), *(c[i : i + (1 << 18)] for c in (key, *columns))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], _NODE_FIELDS)
-
-
 def _up(key: np.ndarray, depth: int) -> np.ndarray:
     """The key of the same decision under the context of ``depth`` bytes."""
     return key & ((1 << 8 * depth + 8) - 1)
 
 
-def _subtrees(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-    """(depth, columns of its nodes, by key) from DEPTH down to SHALLOW + 1, of all contexts that share so many last bytes."""
-    key, zeros, ones = _decisions(code, n)
+def _levels(code: np.ndarray, n: np.ndarray, j: int) -> Iterator[tuple]:
+    """Decision ``j`` of whole subtrees, at each depth from DEPTH down to SHALLOW + 1.
+
+    Yields the depth, its nodes (key, zeros, ones, weight, ln of the weighted probability)
+    and the node of each code. A node without counts weighs one half and multiplies
+    nothing, so codes that training never met have nodes too.
+    """
+    byte = code & 255
+    bit = byte >> 7 - j & 1
+    key, at = np.unique(code >> 8 << 8 | 1 << j | byte >> 8 - j, return_inverse=True)
+    zeros, ones = np.bincount(at, n * (1 - bit), len(key)), np.bincount(at, n * bit, len(key))
     below = None
     for depth in range(DEPTH, SHALLOW, -1):
         if depth < DEPTH:
-            key, zeros, ones, below = _summed(_up(key, depth), zeros, ones, log_w)  # noqa: F821
+            key, up = np.unique(_up(key, depth), return_inverse=True)
+            zeros, ones, below = (np.bincount(up, x, len(key)) for x in (zeros, ones, log_w))  # noqa: F821
+            at = up[at]
         weight, log_w = _weigh(zeros, ones, below)
-        # a context's own count is that of its first decision, which sorts before its others
-        first = np.flatnonzero(key & 255 == 1)
-        met = np.repeat((zeros + ones)[first], np.diff(np.append(first, len(key))))
-        yield depth, (key, zeros, ones, weight, log_w, met)
+        yield depth, key, zeros, ones, weight, log_w, at
+
+
+_NODE_FIELDS = ["key", "zeros", "ones", "weight", "log_w"]
+_NODES = "key bigint, zeros double, ones double, weight double, log_w double"
+
+
+def _node_batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 18)]) for c in columns], _NODE_FIELDS)
 
 
 def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -217,74 +218,108 @@ def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndar
         at = end
 
 
-def _deep_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtree_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counted nodes at depth SHALLOW + 1."""
     for code, n in _whole_subtrees(batches):
-        for depth, columns in _subtrees(code, n):
-            yield from _node_batches(depth, *columns)
-
-
-def _far_codes(shallow, floor: float):
-    """log10 of the probability of every code whose context was met less than ``floor`` times, by the full tree."""
-
-    def some(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, ones, weights = ([x] for x in shallow.value)
-        far = np.ones(len(code), bool)
-        taught = n > 0
-        for depth, (key, zeros, one, weight, _, met) in _subtrees(code[taught], n[taught]) if taught.any() else ():
-            if depth == DEPTH:
-                often = key[(key & 255 == 1) & (met >= floor)] >> 8
-                far = ~np.isin(code >> 8, often)
-                if not far.any():
-                    return
-            keys.append(np.int64(depth) << 48 | key)
-            ones.append(((one + 0.5) / (zeros + one + 1)).astype(np.float32))
-            weights.append(weight.astype(np.float32))
-        keys, ones, weights = (np.concatenate(x) for x in (keys, ones, weights))
-        order = np.argsort(keys, kind="stable")
-        tree = ContextTree(keys[order], ones[order], weights[order])
-        code = np.sort(code[far])
-        for i in range(0, len(code), 1 << 16):
-            part = code[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tree._evaluate(part))], ["code", "log10"])
+        for j in range(8):
+            for depth, *nodes, _ in _levels(code, n, j):
+                if depth == SHALLOW + 1:
+                    met = nodes[1] + nodes[2] > 0
+                    yield from _node_batches(*(x[met] for x in nodes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, n in _whole_subtrees(batches):
-            yield from some(code, n)
 
-    return run
+def _one_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weigh one depth from sums over its longer contexts."""
+    for batch in batches:
+        key, zeros, ones, below = (batch.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
+        yield from _node_batches(key, zeros, ones, *_weigh(zeros, ones, below))
 
 
-def _one_level(depth: int):
-    """Weigh one depth from sums over its longer contexts."""
+def _met(context: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether training met each code's context."""
+    distinct, at = np.unique(context, return_inverse=True)
+    return (np.bincount(at, n, len(distinct)) > 0)[at]
 
+
+def evaluate(code: np.ndarray, n: np.ndarray, shallow: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 of the probability of each code's last byte after its context, for the codes of whole subtrees.
+
+    ``n``: how often training met each; ``shallow``: the sorted keys, zeros, ones and weights of
+    the depths 0 to SHALLOW. An estimate is at least half a count over all counts plus
+    one, so no probability is zero.
+    """
+    context = code >> 8
+    inside = {d: _met(context & (1 << 8 * d) - 1, n) for d in range(DEPTH, SHALLOW, -1)}
+    total = np.zeros(len(code))
+    for j in range(8):
+        bit = (code >> 7 - j & 1).astype(bool)
+        p, started = np.full(len(code), 0.5), np.zeros(len(code), bool)
+
+        def mix(zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray, at: np.ndarray, has: np.ndarray) -> None:
+            nonlocal p, started
+            own = (np.where(bit, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)  # noqa: B023
+            w = weight[at]
+            p = np.where(has, np.where(started, w * own + (1 - w) * p, own), p)
+            started = started | has
+
+        for depth, key, zeros, ones, weight, _, at in _levels(code, n, j):
+            mix(zeros, ones, weight, at, inside[depth])
+        for depth in range(SHALLOW, -1, -1):
+            key, up = np.unique(_up(key, depth), return_inverse=True)
+            at = up[at]
+            zeros, ones, weight, found = _look_up(shallow[depth], key)
+            if j == 0:  # the first decision of a context is met if the context is
+                inside[depth] = found[at]
+            mix(zeros, ones, weight, at, inside[depth])
+        total += np.log10(p)
+    return total
+
+
+def _look_up(level: tuple[np.ndarray, ...], key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """zeros, ones and weight of the nodes of a level, those of a node without counts where there is none, and whether there is one."""
+    keys, *columns = level
+    if not len(keys):
+        return np.zeros(len(key)), np.zeros(len(key)), np.full(len(key), 0.5), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    found = keys[at] == key
+    return *(np.where(found, c[at], none) for c, none in zip(columns, (0.0, 0.0, 0.5), strict=True)), found
+
+
+def _values(shallow):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, zeros, ones, below = (batch.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
-            weight, log_w = _weigh(zeros, ones, below)
-            yield from _node_batches(depth, key, zeros, ones, weight, log_w, np.zeros(len(key), np.int64))
+        for code, n in _whole_subtrees(batches):
+            value = evaluate(code, n, shallow.value)
+            for i in range(0, len(code), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (code, n, value)], ["code", "n", "log10"])
 
     return run
 
 
-def _by_subtree(grams: DataFrame) -> DataFrame:
+def _by_subtree(grams: DataFrame, partitions: int) -> DataFrame:
     """The (code, n) of all contexts that share their last SHALLOW + 1 bytes in one partition."""
     last = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (SHALLOW + 1)) - 1))
-    return grams.select("code", "n").repartition(last)
+    return grams.select("code", "n").repartition(partitions, last)
+
 
+def code_values(grams: DataFrame) -> DataFrame:
+    """(code, n, log10) of every code, by the tree of all codes with their counts.
 
-def tree_nodes(grams: DataFrame) -> DataFrame:
-    """All nodes of the weighted tree: depth, key (context, then node of the byte's decisions), counts and weights."""
-    at = stored(_by_subtree(grams).mapInArrow(_deep_levels, _NODES), "ctw")
-    levels = [at]
+    ``grams`` has code and n, 0 for codes that are to be scored but teach nothing, each
+    code once. An empty table gives none; without any count each byte has 1/256.
+    """
+    spark = grams.sparkSession
+    partitions = max(shuffle_partitions(spark), -(-grams.count() // PARTITION_GRAMS))
+    at = stored(_by_subtree(grams, partitions).mapInArrow(_subtree_tops, _NODES), "ctw")
+    shallow: list = [None] * (SHALLOW + 1)
     for depth in range(SHALLOW, -1, -1):
         upper = F.col("key").bitwiseAND(F.lit((1 << 8 * depth + 8) - 1))
-        sums = at.filter(F.col("depth") == depth + 1).groupBy(upper.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
-        at = stored(sums.mapInArrow(_one_level(depth), _NODES), "ctw")
-        levels.append(at)
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
-    return nodes
+        sums = at.groupBy(upper.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below"))
+        at = stored(sums.mapInArrow(_one_level, _NODES), "ctw")
+        level = at.select("key", "zeros", "ones", "weight").toArrow()
+        order = np.argsort(level["key"].to_numpy())
+        shallow[depth] = tuple(level[c].to_numpy()[order] for c in ("key", "zeros", "ones", "weight"))
+    sent = spark.sparkContext.broadcast(shallow)
+    return stored(_by_subtree(grams, partitions).mapInArrow(_values(sent), "code bigint, n bigint, log10 double"), "codes")
 
 
 def _floor_for(rows: DataFrame, n, at_most: int) -> float:
@@ -298,60 +333,30 @@ def _floor_for(rows: DataFrame, n, at_most: int) -> float:
     return floor
 
 
-class ContextTree:
-    """The nodes kept for scoring, linked from each decision to the next."""
-
-    def __init__(self, keys: np.ndarray, ones: np.ndarray, weights: np.ndarray, whole: bool = True):
-        """``keys``: depth, context and node in one number, sorted. ``whole``: these are all nodes there are."""
-        self.keys, self.whole = keys, whole
-        # one more node stands for all that were never seen
-        self.null = len(keys)
-        self.p_one = np.append(ones, np.float32(0.5))
-        self.weight = np.append(weights, np.float32(0.5))
-        self.next = np.full((2, len(keys) + 1), self.null, np.int32)
-        for i in range(0, len(keys), 1 << 18):
-            part = keys[i : i + (1 << 18)]
-            inner = np.flatnonzero(part & 255 < 128)
-            for bit in (0, 1):
-                self.next[bit, i + inner] = self._find(part[inner] + (part[inner] & 255) + bit)
+class CodeTable:
+    """log10 probabilities by code, through a table of those looked up before."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        """``codes``: sorted."""
+        self.codes, self.values = codes, values
         self.slots = np.full(1 << CACHE_BITS, -1, np.int64)
-        self.known = np.zeros(1 << CACHE_BITS, np.float32)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), self.null, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, self.null).astype(np.int32)
-
-    def _evaluate(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's last byte after its context; NaN where that takes nodes not kept."""
-        context, byte = codes >> 8, codes & 255
-        at = [self._find(np.int64(d) << 48 | (context & ((1 << 8 * d) - 1)) << 8 | 1) for d in range(DEPTH + 1)]
-        in_tree = [a != self.null for a in at]
-        total = np.zeros(len(codes))
-        for j in range(8):
-            bit = (byte >> 7 - j & 1).astype(bool)
-            p = np.full(len(codes), 0.5)
-            started = np.zeros(len(codes), bool)
-            for d in range(DEPTH, -1, -1):
-                own, weight = self.p_one[at[d]].astype(float), self.weight[at[d]]
-                p = np.where(in_tree[d], np.where(started, weight * own + (1 - weight) * p, own), p)
-                started |= in_tree[d]
-                at[d] = np.where(bit, self.next[1][at[d]], self.next[0][at[d]])
-            total += np.log10(np.where(bit, p, 1 - p))
-        return total if self.whole else np.where(in_tree[DEPTH], total, np.nan)
+        self.known = np.zeros(1 << CACHE_BITS)
+
+    def _find(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(codes), np.nan)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.values[at], np.nan)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """As ``_evaluate``, through a table of those met before."""
+        """NaN for codes that are not in the table."""
         slot = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         missed = np.flatnonzero(self.slots[slot] != codes)
-        out = self.known[slot].astype(float)
+        out = self.known[slot]
         if len(missed):
-            new, where = np.unique(codes[missed], return_inverse=True)
-            values = np.concatenate([self._evaluate(new[i : i + (1 << 18)]) for i in range(0, len(new), 1 << 18)])
-            out[missed] = values[where]
+            out[missed] = self._find(codes[missed])
+            # of codes that share a slot the last stays, in both arrays
             self.slots[slot[missed]] = codes[missed]
-            # slots that two codes share hold the last; both writes go in the same order
             self.known[slot[missed]] = out[missed]
         return out
 
@@ -360,18 +365,18 @@ class ContextTree:
 _LINKED: dict[int, tuple] = {}
 
 
-def _score(model, key: str, whole: bool, words_total: int, vocabulary: int):
+def _score(model, key: str, words_total: int, vocabulary: int):
     """Rows of texts, with what their bounded model gives, and rows of codes that it has not: the texts that have them, and how often."""
 
-    names = ["row", "id", "held_out", "n_tokens", "n_head", "head", "score", "rest", "code", "at", "times"]
+    names = ["row", "id", "held_out", "n_tokens", "n_head", "head", "score", "n_bytes", "rest", "code", "at", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LINKED:
             _LINKED.clear()
-            keys, ones, weights, words, counts = model.value
+            codes, values, words, counts = model.value
             base = np.log10((counts + 1) / (words_total + vocabulary + 1)).tolist()
-            _LINKED[key] = (ContextTree(keys, ones, weights, whole), dict(zip(words, base, strict=True)))
-        tree, head = _LINKED[key]
+            _LINKED[key] = (CodeTable(codes, values), dict(zip(words.to_pylist(), base, strict=True)))
+        table, head = _LINKED[key]
         for batch in batches:
             ids, held, places = batch.column(0), batch.column(1), batch.column(3).to_numpy()
             rows: list[tuple] = []
@@ -381,12 +386,12 @@ def _score(model, key: str, whole: bool, words_total: int, vocabulary: int):
             def out() -> Iterator[pa.RecordBatch]:
                 lengths = [len(t) for t in texts]
                 codes = _codes(texts)
-                values = tree.log10(codes)
+                values = table.log10(codes)
                 far = np.flatnonzero(np.isnan(values))
                 values[far] = 0
                 scores = np.add.reduceat(values, np.cumsum([0, *lengths[:-1]]))
                 i = [r[0] for r in rows]
-                arrays = [pa.array(places[i]), ids.take(pa.array(i)), held.take(pa.array(i)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array(scores), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
+                arrays = [pa.array(places[i]), ids.take(pa.array(i)), held.take(pa.array(i)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array(scores), pa.array(lengths, pa.int64()), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
                 none = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*arrays, *none], names)
                 if len(far):
@@ -417,16 +422,18 @@ def _score(model, key: str, whole: bool, words_total: int, vocabulary: int):
     return run
 
 
-def ctw_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree_bound: int = TREE_NODES, head_words: int = HEAD_WORDS) -> DataFrame:
+def ctw_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_codes: int = HEAD_CODES, head_words: int = HEAD_WORDS) -> DataFrame:
     """Score every text by the tree learned from those outside the held-out fold.
 
     Returns the identifier, held_out (crc32 of the identifier as text, modulo 7, is 2),
     n_tokens (words and the end), n_known (those met in training), train_tokens,
-    base_score (add-one unigrams, log10) and score (log10 probability of the text's
-    bytes). Code length per byte is -score / log10(2) / bytes. Defined cases: a null text
-    is empty and has its end only; a null identifier is not held out and teaches
-    nothing; repeated rows count each; without training texts the tree gives every bit
-    one half; an empty table gives no rows.
+    base_score (add-one unigrams, log10), score (log10 probability of the text's bytes)
+    and bits_per_byte, the code length that the score stands for over the bytes of the
+    text, its end included. Defined cases: a null text is empty and has its end only; a
+    null identifier is not held out and teaches nothing; repeated rows count each;
+    without training texts the tree gives every bit one half; other columns are not
+    looked at; an empty table gives no rows. ``head_codes`` and ``head_words`` bound what
+    tasks hold and change no result.
     """
     spark = docs.sparkSession
     own = fold(id_col, FOLDS)
@@ -434,39 +441,35 @@ def ctw_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     counts = stored(train.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     every = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(own != HELD_OUT, F.lit(False)).alias("teaches"))
     grams = stored(every.mapInArrow(_count_grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    nodes = tree_nodes(grams.filter(F.col("n") > 0))
+    known = code_values(grams)
 
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, vocabulary = sums["n"], sums["v"]
     head = counts.filter(F.col("n") >= _floor_for(counts, F.col("n"), head_words)).toArrow()
-    deep = nodes.filter(F.col("depth") > SHALLOW)
-    shallow = nodes.filter(F.col("depth") <= SHALLOW).count()
-    floor = _floor_for(deep, F.col("n"), max(0, tree_bound - shallow))
-    share = ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).cast("float")
-    sent = nodes.filter((F.col("depth") <= SHALLOW) | (F.col("n") >= floor))
-    kept = sent.select(F.shiftleft(F.col("depth").cast("long"), 48).bitwiseOR(F.col("key")).alias("key"), share.alias("p_one"), F.col("weight").cast("float").alias("weight")).toArrow()
-    keys = kept["key"].to_numpy()
-    order = np.argsort(keys)
-    keys, ones, weights = keys[order], kept["p_one"].to_numpy()[order], kept["weight"].to_numpy()[order]
-    del kept
-    whole, far = floor == 0, None
-    if not whole:
-        top = spark.sparkContext.broadcast(tuple(x[: np.searchsorted(keys, np.int64(SHALLOW + 1) << 48)].copy() for x in (keys, ones, weights)))
-        far = stored(_by_subtree(grams).mapInArrow(_far_codes(top, floor), "code bigint, log10 double"), "far")
-    model = spark.sparkContext.broadcast((keys, ones, weights, head["word"].to_pylist(), head["n"].to_numpy()))
+    # codes that training never met count as met once here
+    often = F.greatest(F.col("n"), F.lit(1))
+    floor = _floor_for(known, often, head_codes)
+    sent = known.filter(often >= floor).select("code", "log10").toArrow()
+    codes = sent["code"].to_numpy()
+    order = np.argsort(codes)
+    model = spark.sparkContext.broadcast((codes[order], sent["log10"].to_numpy()[order], head["word"].combine_chunks(), head["n"].to_numpy()))
+    del sent, codes, order, head
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(own == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    met = rows.mapInArrow(_score(model, uuid.uuid4().hex, whole, total, vocabulary), f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head double, score double, rest array<binary>, code bigint, at array<bigint>, times array<bigint>")
-    met = stored(met, "scored")
+    schema = (
+        f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head double, score double, n_bytes bigint, rest array<binary>, "
+        "code bigint, at array<bigint>, times array<bigint>"
+    )
+    met = stored(rows.mapInArrow(_score(model, uuid.uuid4().hex, total, vocabulary), schema), "scored")
     scored = met.filter(F.col("code").isNull()).drop("code", "at", "times")
     rest = scored.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     share = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + vocabulary + 1)))
     tails = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("tail"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_tail"))
     found = scored.join(tails, "row", "left")
     score = F.col("score")
-    if far is not None:
-        asked = met.filter(F.col("code").isNotNull()).select("code", "at", "times").join(far, "code")
+    if floor > 0:
+        asked = met.filter(F.col("code").isNotNull()).select("code", "at", "times").join(known.select("code", "log10"), "code")
         one = asked.select("log10", F.explode(F.arrays_zip("at", "times")).alias("x")).select(F.col("x.at").alias("row"), (F.col("x.times") * F.col("log10")).alias("part"))
         found = found.join(one.groupBy("row").agg(F.sum("part").alias("far")), "row", "left")
         score = F.col("score") + F.coalesce("far", F.lit(0.0))
@@ -478,4 +481,5 @@ def ctw_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("head") + F.coalesce("tail", F.lit(0.0))).alias("base_score"),
         score.alias("score"),
+        (score / (-math.log10(2) * F.col("n_bytes"))).alias("bits_per_byte"),
     )

@@ -314,7 +314,7 @@ def plain_base(rows):
     return {i: (len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in toks.items()}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"tree_bound": 300, "head_words": 2}])
+@pytest.mark.parametrize("bounds", [{}, {"head_codes": 300, "head_words": 2}])
 def test_ctw_base_score_and_bounds(spark, bounds):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(["the", "Then", "that", "cat", "sat", "mat", "zz" + str(i)], k=rng.randint(1, 60))), "en", "s") for i in range(60)] + [(100, None, "en", "s"), (101, "", "en", "s")]
@@ -372,15 +372,24 @@ def plain_ctw(train, depth):
 
 def test_ctw_against_recursion_and_sums_to_one(spark):
     train = [b"abab", b"abba ab", b"b"]
-    grams = spark.createDataFrame([(int(c), int(n)) for c, n in Counter(ctw._codes([t + ctw.END for t in train]).tolist()).items()], "code bigint, n bigint")
-    nodes = sorted((int(r.depth) << 48 | r.key, (r.ones + 0.5) / (r.zeros + r.ones + 1), r.weight) for r in ctw.tree_nodes(grams).collect())
-    tree = ctw.ContextTree(np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes], np.float64), np.array([n[2] for n in nodes], np.float64))
+    asked = [int.from_bytes(c + bytes([b]), "big") for c in (b"\n\n\n\nb", b"\n\n\nab", b"xxxba", b"qqqqq") for b in range(256)]
+    counts = Counter(ctw._codes([t + ctw.END for t in train]).tolist())
+    grams = spark.createDataFrame([(int(c), int(counts.get(c, 0))) for c in {*counts, *asked}], "code bigint, n bigint")
+    found = {r.code: r.log10 for r in ctw.code_values(grams).collect()}
     plain = plain_ctw(train, ctw.DEPTH)
-    for context in (b"\n\n\n\nb", b"\n\n\nab", b"xxxba", b"qqqqq"):
-        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        found = tree.log10(codes)
-        assert abs((10**found).sum() - 1) < 1e-5
-        assert np.allclose(found, [plain(context, b) for b in range(256)], atol=1e-5)
+    for at in range(0, len(asked), 256):
+        codes = asked[at : at + 256]
+        assert abs(sum(10 ** found[c] for c in codes) - 1) < 1e-9
+        assert np.allclose([found[c] for c in codes], [plain((c >> 8).to_bytes(5, "big"), c & 255) for c in codes], atol=1e-9)
+    assert {round(r.log10, 9) for r in ctw.code_values(grams.withColumn("n", F.lit(0).cast("long"))).collect()} == {round(-math.log10(256), 9)}
+
+
+def test_ctw_never_scores_minus_infinity(spark):
+    # one context that was met twenty million times with one byte, and asked for another
+    codes = [int.from_bytes(b"aaaaa" + bytes([b]), "big") for b in (255, 97, 0)]
+    grams = spark.createDataFrame([(codes[0], 20_000_000), (codes[1], 0), (codes[2], 0)], "code bigint, n bigint")
+    found = {r.code: r.log10 for r in ctw.code_values(grams).collect()}
+    assert all(math.isfinite(v) for v in found.values()) and -1e-6 < found[codes[0]] <= 0 and max(found[c] for c in codes[1:]) < -7
 
 
 def test_ctw_bound_changes_no_score(spark):
@@ -388,10 +397,12 @@ def test_ctw_bound_changes_no_score(spark):
     rows = [(i, " ".join(rng.choices(["the", "then", "cathedral", "sat", "zürich", "q" + str(i)], k=rng.randint(1, 40))), "en", "s") for i in range(80)] + [(100, None, "en", "s"), (100, "only here: xyzzy", "en", "s"), (None, "the cat", "en", "s")]
     taught = [b" ".join(ctw.words_of(t)) for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     plain = plain_ctw(taught, ctw.DEPTH)
-    want = sorted(sum(plain((b"\n" * 5 + data)[at : at + 5], data[at]) for at in range(len(data))) for data in (b" ".join(ctw.words_of(t)) + ctw.END for _, t, *_ in rows))
-    for bound in (1, 9000, ctw.TREE_NODES):
-        got = ctw.ctw_score(docs(spark, rows), tree_bound=bound).collect()
-        assert len(got) == len(rows) and np.allclose(sorted(r.score for r in got), want, rtol=1e-5)
+    score = lambda data: sum(plain((b"\n" * 5 + data)[at : at + 5], data[at]) for at in range(len(data)))
+    texts = [b" ".join(ctw.words_of(t)) + ctw.END for _, t, *_ in rows]
+    want = sorted((score(data), -score(data) / math.log10(2) / len(data)) for data in texts)
+    for bound in (0, 90, ctw.HEAD_CODES):
+        got = ctw.ctw_score(docs(spark, rows), head_codes=bound).collect()
+        assert len(got) == len(rows) and np.allclose(sorted((r.score, r.bits_per_byte) for r in got), want, rtol=1e-9)
 
 
 def test_large_hosts_lose_the_same_passages(spark):
