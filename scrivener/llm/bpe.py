@@ -304,9 +304,13 @@ def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int =
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """``docs`` with an array of token identifiers; a null text has none.
 
+    Null and empty texts have an empty array; repeated rows each get theirs; columns of
+    ``docs`` that have the name of a new one are replaced; an empty table stays empty.
+
     ``verify_col`` names a further column: whether decoding the identifiers gives the
     text back (a null text counts as empty).
     """
+    docs = docs.drop(out_col, *([verify_col] if verify_col else []))
     tokenizer = _tokenizer(docs, ranks_path, pattern, max_pieces, max_states)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields]).add(out_col, ArrayType(IntegerType()))
@@ -330,7 +334,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their token identifiers; null for null, U+FFFD for bytes that are no text."""
+    """``rows`` with the text of their token identifiers; null for null, U+FFFD for bytes that are no text.
+
+    A column that has the name of the new one is replaced; an unknown identifier is an
+    error; an empty table stays empty.
+    """
+    rows = rows.drop(out_col)
     tokenizer = _tokenizer(rows, ranks_path, ".")
     at = rows.columns.index(ids_col)
 

@@ -3,10 +3,12 @@
 Rows are dealt out by length and content hash. Each partition inserts the full byte
 strings into a compressed radix trie whose terminal nodes hold the identifier of the
 row that stays and the number of rows seen. A trie over its memory budget moves its
-largest subtree to a local temporary file and returns to it at the end.
+largest subtree to a temporary file of its own task and returns to it at the end; the
+files of a task hold less than the texts of its partition, and a retried task begins anew.
 
 The same trie first runs inside every input partition, so a text copied a billion
-times leaves each partition once and no task gathers a hot group.
+times leaves each partition once. Owners go back to the rows by digest; those of hot
+texts are broadcast, so no task gathers a hot group there either.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivener.llm.common import spread_join, stored
+
 #: Text bytes that one trie holds before it spills a subtree.
-TRIE_BYTES = 128 << 20
+TRIE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -234,12 +238,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     facts = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    owners = text_owners(docs, id_col, text_col, keep, trie_bytes)
-    return facts.join(owners, ["n_bytes", "digest"], "left").select(
-        F.col(id_col),
+    owners = stored(text_owners(docs, id_col, text_col, keep, trie_bytes), "owners")
+    total = owners.agg(F.sum("group_size")).first()[0] or 0
+    facts = facts.withColumnRenamed(id_col, "__id")
+    return spread_join(facts, owners, ["n_bytes", "digest"], "group_size", total).select(
+        F.col("__id").alias(id_col),
         F.col("keep_id").cast(dict(docs.dtypes)[id_col]).alias("keep_id"),
         "group_size",
-        F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("__id").cast(dict(owners.dtypes)["keep_id"]).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -247,7 +253,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all of their columns, one a distinct text.
 
-    Repeats of the owning row itself (equal identifier and text) are reduced to one.
+    Repeats of the owning row itself (equal identifier and text) are reduced to one, of
+    which any may stay where they differ in other columns. Null texts are empty; of a
+    group of null identifiers one row stays; column names do not matter; an empty table
+    gives an empty one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = lambda digest, ident: F.concat(F.hex(digest), F.lit(":"), F.coalesce(F.col(ident).cast("string"), F.lit("")))

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from scrivener.llm.common import stored
 
 #: n-grams in a profile, of a language and of a document.
 PROFILE = 400
@@ -23,7 +24,7 @@ GRAM = 3
 UNKNOWN = "und"
 #: n-grams that a task counts for a language before it hands them on.
 FLUSH = 1 << 21
-#: Profile rows that are sent to the tasks, at most; 24 bytes each.
+#: Profile rows that are sent to a task at once; with more, languages are compared in parts.
 MAX_PROFILE_ROWS = 1 << 20
 FOLDS, HELD_OUT = 4, 2
 
@@ -101,11 +102,24 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", (F.col("place") - 1).alias("place"), "code")
 
 
+def _parts(profiles: DataFrame, most: int) -> list[DataFrame]:
+    """The profiles in ranges of languages of at most ``most`` rows, or of one language."""
+    sizes = profiles.groupBy("lang").count().orderBy("lang").collect()  # one row a language
+    if sum(s["count"] for s in sizes) <= most:
+        return [profiles]
+    firsts, held = [], most + 1
+    for s in sizes:
+        if held + s["count"] > most:
+            firsts.append(s["lang"])
+            held = 0
+        held += s["count"]
+    ends = [*firsts[1:], None]
+    return [profiles.filter((F.col("lang") >= a) & (F.lit(True) if b is None else F.col("lang") < b)) for a, b in zip(firsts, ends, strict=True)]
+
+
 def _table(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the codes of all profiles in order, and each code's place by language (-1: absent)."""
-    rows = profiles.limit(MAX_PROFILE_ROWS + 1).toArrow()
-    if rows.num_rows > MAX_PROFILE_ROWS:
-        raise ValueError(f"more than {MAX_PROFILE_ROWS} profile rows: too many languages to send to tasks")
+    rows = profiles.toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     index = {lang: i for i, lang in enumerate(langs)}
     codes, where = np.unique(rows["code"].to_numpy(), return_inverse=True)
@@ -126,26 +140,35 @@ def _predict(langs: list[str], codes: np.ndarray, places: np.ndarray, size: int,
     return langs[best], float(1 - off[best] / (size * len(own)))
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """``docs`` with __lang_pred and __score (1: same order as the profile, 0: nothing shared).
-
-    ``__lang_pred`` is ``und`` with score 0 where the text is null or has no letter, or
-    nothing was learned. Distances that tie go to the language that sorts first.
-    """
-    table = docs.sparkSession.sparkContext.broadcast(_table(profiles))
-    at = docs.columns.index(text_col)
+def _nearest(rows: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
+    """``rows`` (doc, text, lang, score) with the language of ``profiles`` where it scores higher."""
+    table = rows.sparkSession.sparkContext.broadcast(_table(profiles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, codes, places = table.value
         for batch in batches:
-            found = [_predict(langs, codes, places, size, t.as_py()) for t in batch.column(at)]
-            arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "__lang_pred", "__score"])
+            found = [_predict(langs, codes, places, size, t.as_py()) for t in batch.column(1)]
+            best = [f if f[0] != UNKNOWN and (lang == UNKNOWN or f[1] > score) else (lang, score) for f, lang, score in zip(found, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            arrays = [batch.column(0), batch.column(1), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "text", "lang", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__lang_pred", "string").add("__score", "double"))
+    return rows.mapInArrow(run, rows.schema)
+
+
+def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", size: int = PROFILE, most: int = MAX_PROFILE_ROWS) -> DataFrame:
+    """(doc, lang, score): each row of ``docs`` as a struct, its language and score (1: same order as the profile, 0: nothing shared).
+
+    The language is ``und`` with score 0 where the text is null or has no letter, or
+    nothing was learned. Distances that tie go to the language that sorts first.
+    ``profiles`` is read once for each part of ``most`` rows; columns may have any names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).cast("string").alias("text"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    for part in _parts(profiles, most):
+        rows = _nearest(rows, part, size)
+    return rows.select("doc", "lang", "score")
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, most: int = MAX_PROFILE_ROWS) -> DataFrame:
     """Learn from the rows outside the held-out fold and predict every row.
 
     Returns the identifier, held_out (crc32 of the identifier as text, modulo 4, is 2),
@@ -153,7 +176,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier is not held out; repeated rows count each; empty tables give no rows.
     """
     own = fold(id_col, FOLDS)
-    profiles = learn_profiles(docs.filter(own != HELD_OUT), text_col, lang_col, size)
-    rows = docs.select(F.col(id_col), F.coalesce(own == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("__text"))
-    found = identify(rows, profiles, "__text", size)
-    return found.select(id_col, "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    # learned once: sizes and rows of the profiles are both asked for
+    profiles = stored(learn_profiles(docs.filter(own != HELD_OUT), text_col, lang_col, size), "profiles")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(own == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    found = identify(rows, profiles, "text", size, most)
+    return found.select(F.col("doc.id").alias(id_col), "doc.held_out", F.col("lang").alias("lang_pred"), "score")

@@ -87,21 +87,23 @@ def mix_sources(
 ) -> DataFrame:
     """Assign training positions to every document.
 
-    Returns the identifier, the columns named in ``keep``, size (words), source_size,
-    target, taken (words, repeats counted) and positions: one position in 0..1 for each
+    Returns the identifier, size (words), source_size, target, taken (words, repeats
+    counted), with ``keep`` a struct ``kept`` of the columns named there, and positions: one position in 0..1 for each
     time the document is taken, at most ``max_epochs``. A document is taken in a pass if
     its midpoint on the axis of its source's words, passes laid end to end, lies below
     the target; so a source's words differ from its target by half a document at most.
 
     Defined cases: a null text has size 0 and, as a text without words does, is taken
     zero words; a null source is a source, listed last; documents of equal hash are
-    ordered by identifier; repeated rows count each; an empty table gives no rows; a
-    table without words has targets of 0.
+    ordered by identifier, those of one identifier by a hash of their text; repeated rows
+    count each; columns may have any names; an empty table gives no rows; a table without
+    words has targets of 0.
     """
     rows = docs.select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"),
-        *[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)],
-    ).withColumn("__hash", F.xxhash64(F.lit(SEED), F.col("__id").cast("string")))
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("__text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__kept")] if keep else []),
+    )
+    rows = rows.withColumn("__hash", F.xxhash64(F.lit(SEED), F.col("__id").cast("string")))
     rows = rows.withColumn("__slice", F.floor((F.shiftrightunsigned("__hash", 40)) * F.lit(slices) / F.lit(1 << 24)).cast("int"))
     totals = rows.groupBy("__source", "__slice").agg(F.sum("size").alias("size"))
     targets = source_targets(totals, weights, share, max_epochs)
@@ -114,7 +116,7 @@ def mix_sources(
     )
     if facts.count() <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
-    within = Window.partitionBy("__source", "__slice").orderBy("__hash", F.col("__id").cast("string")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__source", "__slice").orderBy("__hash", F.col("__id").cast("string"), "__text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(facts, placed["__source"].eqNullSafe(facts["__s"]) & (placed["__slice"] == facts["__k"]))
     middle = F.col("__offset") + F.col("__before") + F.col("size") / 2
@@ -125,7 +127,7 @@ def mix_sources(
         passes.append(F.when((F.col("size") > 0) & (at < F.col("target")), _invert(at / F.col("target"), start, end)))
     return placed.withColumn("positions", F.array_compact(F.array(*passes))).select(
         F.col("__id").alias(id_col),
-        *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)],
+        *([F.col("__kept").alias("kept")] if keep else []),
         "size",
         "source_size",
         "target",

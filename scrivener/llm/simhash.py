@@ -9,7 +9,8 @@ its table. No pair within the radius is missed.
 Links run between distinct fingerprints only. A bucket is one row an element until its
 size is known: buckets up to ``BUCKET`` are linked in one call, and larger ones are dealt
 out in pairs of blocks, so no task holds an unbounded bucket. A bucket gives back the
-edges of a spanning forest, not its pairs.
+edges of a spanning forest, not its pairs. Sizes and components go back to their rows
+by joins that spread hot buckets, fingerprints and components.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import stored
+from scrivener.llm.common import spread_join, stored
 from scrivener.llm.components import component_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints that one call links; larger buckets are dealt out in blocks of this size.
 BUCKET = 4096
+#: Buckets up to this size travel as one row each.
+SMALL = 64
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -85,44 +87,51 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the pairs (a, b) that differ in at most ``radius`` bits."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges, ua, ub = [], a.view(np.uint64), b.view(np.uint64)
-    step = max(1, (1 << 21) // max(1, len(ub)))
-    for at in range(0, len(ua), step):
-        near = np.bitwise_count(ua[at : at + step, None] ^ ub[None, :]) <= radius
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            if same and at + i >= j:
-                continue
-            x, y = int(a[at + i]), int(b[j])
-            if (p := top(x)) != (q := top(y)):
-                parent[q] = p
-                edges.append((x, y))
+def _forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the pairs that differ in at most ``radius`` bits, by breadth-first search."""
+    edges: list[tuple[int, int]] = []
+    if len(fps) <= 16:
+        free = list(fps)
+        while free:
+            queue = [free.pop()]
+            while queue and free:
+                at = queue.pop()
+                near = [x for x in free if ((x ^ at) & (1 << BITS) - 1).bit_count() <= radius]
+                if near:
+                    edges += [(at, x) for x in near]
+                    queue += near
+                    free = [x for x in free if x not in near]
+        return edges
+    every = np.asarray(fps, np.int64)
+    bits, rest = every.view(np.uint64), np.arange(len(every))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = np.bitwise_count(bits[rest] ^ bits[at]) <= radius
+            if near.any():
+                found = rest[near].tolist()
+                edges += [(int(every[at]), int(every[x])) for x in found]
+                queue += found
+                rest = rest[~near]
     return edges
 
 
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+
 def _link(radius: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            edges = [e for fps in part["fps"] for e in _forest(np.asarray(fps, np.int64), np.asarray(fps, np.int64), radius, True)]
-            yield pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _edge_batch([e for fps in batch.column(0).to_pylist() for e in _forest(fps, radius)])
 
     return run
 
 
 def _link_blocks(radius: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = (part.loc[part["side"] == s, "fp"].to_numpy(np.int64) for s in (0, 1))
-        same = not len(right)
-        return pd.DataFrame(_forest(left, left if same else right, radius, same), columns=["src", "dst"], dtype="int64")
+    def run(part: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_edge_batch(_forest(part["fp"].to_pylist(), radius))])
 
     return run
 
@@ -133,26 +142,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(sizes, ["t", "key"])
-    small = met.filter(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    found = small.select("fps").mapInPandas(_link(radius), "src bigint, dst bigint")
+    met = spread_join(rows, sizes, ["t", "key"], "n", distinct.count() * len(masks)).filter("n > 1")
+    few = min(SMALL, bucket)
+    small = met.filter(F.col("n") <= few).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
+    found = small.select("fps").mapInArrow(_link(radius), "src bigint, dst bigint")
     # a large bucket of k blocks: each fingerprint goes to the k pairs of its own block
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    large = met.filter(F.col("n") > bucket).withColumn("b", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    paired = large.select("t", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "fp")
-    more = paired.groupBy("t", "key", "i", "j").applyInPandas(_link_blocks(radius), "src bigint, dst bigint")
+    large = met.filter(F.col("n") > few).withColumn("b", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    paired = large.select("t", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "fp")
+    more = paired.groupBy("t", "key", "i", "j").applyInArrow(_link_blocks(radius), "src bigint, dst bigint")
     return found.unionByName(more).distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The marked documents (id, text_hash, fp), and each fingerprint's component (__fp, component_id)."""
+    """The marked documents (id, text_hash, fp), and of each fingerprint its rows and component (fp, n, component_id)."""
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = links(least.select("fp"), radius)
-    member = component_of(edges, "src", "dst")  # fp of every linked fingerprint -> its component
-    named = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked, named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
+    least = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fingerprints")
+    member = component_of(links(least.select("fp"), radius), "src", "dst")  # fp of every linked fingerprint -> its component
+    named = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    named = stored(named, "members")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    found = spread_join(named, smallest, ["component"], "members", named.count())
+    return marked, stored(found.select("fp", "n", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -166,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = dict(docs.dtypes)[id_col]
     marked, facts = _components(docs, id_col, text_col, shingle, radius)
-    out = marked.join(facts, marked["fp"] == facts["__fp"])
+    out = spread_join(marked, facts, ["fp"], "n", marked.count())
     return out.select(F.col("id").cast(kind).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id"))
 
 
@@ -174,10 +185,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay, with all of their columns: of each component the one with the smallest identifier.
 
     Where that identifier is repeated within the component, one of its rows stays.
+    Defined cases as for ``near_duplicates``: null, empty and wordless texts are one group;
+    of a component of null identifiers one row stays; column names do not matter; an
+    empty table gives an empty one.
     """
     marked, facts = _components(docs, id_col, text_col, shingle, radius)
     name = lambda ident, text_hash: F.concat_ws(":", ident.cast("string"), text_hash.cast("string"))
-    found = marked.join(facts, marked["fp"] == facts["__fp"]).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    named = facts.select(F.col("fp").alias("__fp"), "component_id")
+    found = marked.join(named, (marked["fp"] == named["__fp"]) & marked["id"].eqNullSafe(named["component_id"]))
     # a component of null identifiers only is named by one of its fingerprints
     owners = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("k")).agg(F.min("text_hash").alias("text_hash")).select(name(F.col("component_id"), F.col("text_hash")).alias("__owner"))
     rows = docs.withColumn("__row", name(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))

@@ -72,7 +72,10 @@ def listed_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", liste
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """The rules as a table of literals, so that no Python worker reads them."""
+    cells = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("verdict", "host", "path"), rule, strict=True)]) for rule in rules]
+    none = F.array().cast("array<struct<verdict:string,host:string,path:string>>")
+    return spark.range(1).select(F.explode(F.array(*cells) if cells else none).alias("r")).select("r.*")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -90,21 +93,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     rule = F.concat("host", "path")
     listed = rules.filter("host is not null and path is not null").groupBy(rule.alias("__key")).agg(F.max("verdict").alias("verdict"), F.max(F.size(F.split("host", r"\."))).alias("__labels"), F.max(F.length("path")).alias("__length"))
-    # one row a shape: label counts and path lengths are bounded by the length of a URL
-    shapes = listed.groupBy("__labels", "__length").count().collect()
-    rows = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    if not shapes:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    # all shapes in one row: label counts and path lengths are bounded by the length of a URL
+    shapes = listed.groupBy("__labels", "__length").agg(F.lit(1)).agg(F.collect_list(F.struct(F.col("__labels").alias("labels"), F.col("__length").alias("length"))).alias("__shapes"))
+    rows = pages.select(F.col(id_col).alias("__id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     labels = F.size(F.split("host", r"\."))
-    keys = [
-        F.when((labels >= s["__labels"]) & (F.length("path") >= s["__length"]) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -s["__labels"]), F.substring("path", 1, s["__length"])))
-        for s in shapes
-    ]
-    cut = rows.groupBy("host", "path").agg(F.lit(1).alias("__one")).select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("__url_key"))
-    hits = possible_hits(cut, "__url_key", listed, "__key", sum(s["count"] for s in shapes))
+    fits = F.filter("__shapes", lambda s: (labels >= s["labels"]) & (F.length("path") >= s["length"]) & (F.col("host") != ""))
+    keys = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substring(F.col("path"), F.lit(1), s["length"])))
+    cut = rows.select("host", "path").distinct().join(F.broadcast(shapes)).select("host", "path", F.explode(keys).alias("__url_key"))
+    hits = possible_hits(cut, "__url_key", listed, "__key", listed.count())
     best = (
         hits.join(listed, hits["__url_key"] == listed["__key"])
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("__key").alias("length"), F.col("__key").alias("rule"), F.col("verdict"))).alias("__best"))
     )
-    return rows.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    return rows.join(best, ["host", "path"], "left").select(F.col("__id").alias(id_col), "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

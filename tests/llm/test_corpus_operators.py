@@ -235,6 +235,46 @@ def test_language_id_learns_outside_the_fold(spark):
     assert language_id.language_id(docs(spark, [])).count() == 0
 
 
+def plain_grams(text):
+    found: Counter = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        padded = f" {word} "
+        found.update(word)
+        for n in (2, 3):
+            found.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    return found
+
+
+def test_language_id_by_brute_force(spark):
+    """Profiles, places and distances against plain dictionaries; also with languages in parts."""
+    rng = random.Random(9)
+    letters = {"xa": "abcdefgh", "xb": "efghijkl", "xc": "ijklmnop", "xd": "aeimoszé"}
+    text = lambda lang, n: " ".join("".join(rng.choices(letters[lang], weights=range(8, 0, -1), k=rng.randint(1, 7))) for _ in range(n))
+    rows = [(k, text(lang, rng.randint(1, 60)), lang, "s") for k, lang in enumerate(["xa", "xb", "xc", "xd"] * 12)] + [(200, text("xa", 9000), "xa", "s"), (3, text("xb", 5), "xb", "s"), (3, text("xb", 5), "xb", "s"), (201, None, "xa", "s"), (202, "7 ?", "xb", "s")]
+    frame = docs(spark, rows).withColumns({"lang_pred": F.lit(1), "score": F.lit("s"), "doc": F.lit("d")})
+    size = 30
+    # ties among equal counts go by the packed code: order the n-grams as the operator does
+    code = lambda g: (lambda p: p[0] if len(g) == 1 else (p[0] | p[1] << 21 | 1 << 62) if len(g) == 2 else (p[0] | p[1] << 21 | p[2] << 42) - (1 << 63))([0 if c == " " else ord(c) for c in g])
+    top = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+    learned: dict = {}
+    for i, t, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(plain_grams(t))
+    profiles = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in learned.items()}
+    want = []
+    for i, t, *_ in rows:
+        own = top(plain_grams(t))
+        if not own:
+            want.append((i, "und", 0.0))
+            continue
+        off = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(off, key=lambda lang: (off[lang], lang))
+        want.append((i, best, round(1 - off[best] / (size * len(own)), 12)))
+    for most in (language_id.MAX_PROFILE_ROWS, 70, 1):
+        got = [(r.doc_id, r.lang_pred, round(r.score, 12)) for r in language_id.language_id(frame, size=size, most=most).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_grams_by_brute_force():
     text = "Été, 12 ab—a"
     codes, counts = language_id.grams(text)
@@ -458,6 +498,40 @@ def test_mixing_targets_and_positions(spark):
     assert order == sorted(order) and len(order) == sum(len(r.positions) for r in got)
 
 
+def test_mixing_positions_by_brute_force(spark):
+    """Midpoints on the axis of cumulative words, and the demand inverted by bisection; clashing columns and repeated identifiers."""
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 150), " ".join("w" * rng.randint(0, 30)), "en", rng.choice(["a", "b", "c", "a"])) for _ in range(300)]
+    frame = docs(spark, rows).withColumns({"target": F.lit("t"), "taken": F.lit(1), "positions": F.lit(2), "source_size": F.lit(3)})
+    found = mixing.mix_sources(frame, keep=tuple(frame.columns)).collect()
+    order = {(r.doc_id, r.text): (r.h, r.x) for r in frame.select("doc_id", "text", F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("x")).collect()}
+    unsigned = lambda h: h & (1 << 64) - 1
+    slice_of = lambda h: (unsigned(h) >> 40) * mixing.SLICES >> 24
+    want = []
+    for place, source in enumerate("abc"):
+        mine = sorted([r for r in rows if r[3] == source], key=lambda r: (slice_of(order[r[0], r[1]][0]), order[r[0], r[1]][0], str(r[0]), order[r[0], r[1]][1]))
+        total = sum(len(t.split()) for _, t, *_ in mine)
+        target = plain_targets({s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in "abc"})[source]
+        start, end = mixing.RAMPS[place]
+        demand = lambda t: start * t + (end - start) * t * t / 2  # noqa: B023, E731
+        before = 0
+        for i, t, *_ in mine:
+            size, times = len(t.split()), []
+            for k in range(2):
+                at = k * total + before + size / 2
+                if size and at < target:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if demand(mid) < at / target * demand(1) else (low, mid)
+                    times.append(round(low, 6))
+            want.append((i, t, source, size, total, *times))
+            before += size
+    assert sorted((r.doc_id, r.kept.text, r.kept.source, r.size, r.source_size, *(round(p, 6) for p in r.positions)) for r in found) == sorted(want)
+    again = mixing.mix_sources(frame.repartition(9)).collect()
+    assert sorted((r.doc_id, r.size, *r.positions) for r in again) == sorted((r.doc_id, r.size, *r.positions) for r in found)
+
+
 def test_mixing_empty_and_wordless(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     got = mixing.mix_sources(docs(spark, [(1, "", "en", "a"), (2, None, "en", None)])).collect()
@@ -485,11 +559,23 @@ def test_warc_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == 3
 
 
+def test_warc_deals_out_a_shared_payload_and_takes_an_empty_table(spark):
+    rows = [(k, f"u{k}", "same" * 1000 if k < 300 else f"p{k}") for k in range(320)] + [(None, "n", "same" * 1000)]
+    path, none = common.scratch_path(spark, "warc-hot"), common.scratch_path(spark, "warc-none")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    warc.write_archive(pages, path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_index(spark, path).collect()}
+    assert got == {k: ("response", None, len(h)) if k == 0 or k is not None and k >= 300 else ("revisit", 0, len(h)) for k, _, h in rows}
+    assert spark.read.parquet(f"{path}/payloads").count() == 21
+    warc.write_archive(pages.limit(0), none)
+    assert warc.read_index(spark, none).count() == 0
+
+
 def test_warc_stops_at_damaged_payloads(spark):
     path = common.scratch_path(spark, "warc-bad")
     warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string"), path)
     bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"y")).collect()
-    spark.createDataFrame(bad, "digest binary, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    spark.createDataFrame(bad, "digest binary, payload binary, copies bigint").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match"):
         warc.read_index(spark, path).collect()
 
@@ -522,6 +608,18 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert url_filter.possible_hits(other, "k2", keys, "k", 3000).count() < 1000
 
 
+# joins that spread hot keys
+
+
+def test_spread_join_equals_a_left_join(spark):
+    rows = [(k % 7 if k % 2 else 3, k) for k in range(1000)] + [(None, 1), (99, 2)]
+    left = spark.createDataFrame(rows, "a int, b int")
+    right = left.filter("a <> 99").groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("top"))
+    want = sorted(left.join(right, "a", "left").select("a", "b", "n", "top").collect(), key=str)
+    for total in (1002, 1 << 24):
+        assert sorted(common.spread_join(left, right, ["a"], "n", total).collect(), key=str) == want
+
+
 # components
 
 
