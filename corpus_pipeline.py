@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of ``documents``; ``run`` writes each result to the shared folder as Parquet
 and reads it again, so no stage recomputes another and a lost executor costs one stage.
+
+Every stage accepts an empty table, repeated rows, nulls in any column, texts of any
+length and further columns of any name, which it carries along; its docstring says what
+becomes of them.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ MAX_PIECES, MAX_STATES = 1 << 17, 1 << 16
 
 def language_floors(found: DataFrame) -> list[tuple[str, float]]:
     """The least score of each language, by the scores of rows that are labelled with it and taken for it."""
-    own = found.filter(F.col("lang").cast("string") == F.col("__lang_pred"))
+    own = found.filter(F.col("doc.lang").cast("string") == F.col("lang"))
     counts: dict[str, dict[int, int]] = {}
-    for r in own.groupBy("__lang_pred", F.floor(F.col("__score") * SCORE_STEPS).cast("int").alias("step")).count().collect():
-        counts.setdefault(r["__lang_pred"], {})[r["step"]] = r["count"]
+    # one row a language and step of the score
+    for r in own.groupBy("lang", F.floor(F.col("score") * SCORE_STEPS).cast("int").alias("step")).count().collect():
+        counts.setdefault(r["lang"], {})[r["step"]] = r["count"]
 
     def at(steps: dict[int, int], share: float) -> int:
         left = share * sum(steps.values())
@@ -47,36 +52,55 @@ def language_floors(found: DataFrame) -> list[tuple[str, float]]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, or that are farther from every learned language than its own documents are."""
+    """Drop documents without a letter, or that are farther from every learned language than its own documents are.
+
+    Null, empty and letterless texts go. A null language or identifier teaches nothing,
+    and its document is judged by its text. Repeated rows share one fate. Where nothing
+    is labelled no language is known, and every document goes.
+    """
     taught = docs.filter(language_id.fold("doc_id", language_id.FOLDS) != language_id.HELD_OUT)
     profiles = language_id.learn_profiles(taught)
     # learned once, as both the floors and the documents are scored by them
-    profiles = spark.createDataFrame(profiles.limit(language_id.MAX_PROFILE_ROWS + 1).toArrow(), profiles.schema)
-    floors = spark.createDataFrame(language_floors(language_id.identify(taught, profiles)), "__of string, __floor double")
-    found = language_id.identify(docs, profiles).join(F.broadcast(floors), F.col("__lang_pred") == F.col("__of"), "left")
-    kept = found.filter((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= F.coalesce("__floor", F.lit(MIN_LANGUAGE_SCORE))))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    profiles = stored(profiles, "profiles")
+    floors = spark.createDataFrame(language_floors(language_id.identify(taught, profiles)), "of string, floor double")
+    found = language_id.identify(docs, profiles).join(F.broadcast(floors), F.col("lang") == F.col("of"), "left")
+    kept = found.filter((F.col("lang") != language_id.UNKNOWN) & (F.col("score") >= F.coalesce("floor", F.lit(MIN_LANGUAGE_SCORE))))
+    return kept.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest identifier stays."""
+    """Of equal texts the document with the largest identifier stays.
+
+    A null text is empty. A null identifier stays only where all of its text's are null;
+    of repeated rows, and of rows that share identifier and text, one stays.
+    """
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked SimHash fingerprints the document with the smallest identifier stays."""
+    """Of linked SimHash fingerprints the document with the smallest identifier stays.
+
+    Texts without words are one group. A null identifier stays only where all of its
+    group's are null; of rows that share the identifier that stays, one stays.
+    """
     return simhash.representatives(docs, radius=NEAR_RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    order = mixing.training_order(mixing.mix_sources(docs, keep=tuple(rest)))
-    return order.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each document as often as the mix takes it, in training order.
+
+    Texts without words are not taken. A null source is a source of its own, a null
+    identifier sorts first, and repeated rows are documents each.
+    """
+    order = mixing.training_order(mixing.mix_sources(docs, keep=tuple(docs.columns)))
+    return order.select(*[F.col(f"kept.`{c}`") for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token identifiers of every text, and whether decoding gives the text back."""
+    """Token identifiers of every text, and whether decoding gives the text back.
+
+    Null and empty texts have no tokens; one row for each row that comes in.
+    """
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, verify_col="round_trip", max_pieces=MAX_PIECES, max_states=MAX_STATES)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
