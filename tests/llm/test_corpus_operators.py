@@ -146,8 +146,8 @@ def test_nearest_is_exact_with_ties_and_odd_vectors(spark):
     vectors = [(i, rng.normal(size=6).round(1).tolist()) for i in range(400)]
     vectors += [(i, [1.0] * 6) for i in range(400, 480)] + [(500, [0.0] * 6), (600, None), (700, []), (701, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (702, [float("nan")] * 6), (None, [1.0] * 6), (800, [1.0, 2.0])]
     rows = spark.createDataFrame([(i, v, 0, 1) for i, v in vectors], "vec_id bigint, embedding array<float>, rank int, score int")
-    for shard_rows, query_rows in ((8192, 4096), (90, 2)):
-        got = vptree.nearest(rows, query_every=20, shard_rows=shard_rows, query_rows=query_rows).collect()
+    for shard_rows, sample in ((8192, 1 << 14), (40, 1 << 14), (30, 60), (30, 0)):
+        got = vptree.nearest(rows, query_every=20, shard_rows=shard_rows, sample=sample).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == brute(vectors, 10, 20)
     assert vptree.nearest(rows.limit(0)).count() == 0
 
@@ -169,6 +169,29 @@ def test_nearest_with_ties_at_the_last_place_and_repeated_ids(spark):
         assert sorted((n, round(s, 9), i) for n, s, i in got[q]) == sorted((n, round(s, 9), i) for n, s, i in want)
 
 
+def test_shards_are_skipped_and_relaxed_search_keeps_recall(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 4
+    data = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))).tolist()
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    want = brute(list(enumerate(data)), 10, 100)
+    found = {relax: [(r.query_id, r.vec_id) for r in vptree.nearest(table, shard_rows=200, relax=relax).collect()] for relax in (1.0, 1.5)}
+    exact = {(q, v) for q, _, v, _ in want}
+    assert set(found[1.0]) == exact and len(found[1.0]) == len(exact)
+    assert len(set(found[1.5]) & exact) / len(exact) >= 0.9
+    points = np.array(data)
+    cells = vptree.Cells(points[:1000], 20)
+    at = cells.assign(points)
+    for c in range(20):
+        for r, path in zip(np.flatnonzero(at == c), cells.path_distances(points[at == c], at[at == c]), strict=True):
+            assert np.allclose(path, [np.linalg.norm(points[r] - cells.points[v]) for v in cells.paths[c]])
+        reach = np.array(cells.path_distances(points[at == c], at[at == c]))
+        cells.low[c, : reach.shape[1]], cells.high[c, : reach.shape[1]] = reach.min(axis=0), reach.max(axis=0)
+    least = np.array([[np.linalg.norm(points[at == c] - q, axis=1).min() for c in range(20)] for q in points[:50]])
+    bounds = cells.bounds(points[:50])
+    assert (bounds <= least).all() and (bounds > 0).mean() > 0.3
+
+
 def test_relaxed_search_keeps_recall_and_skips_more():
     rng = np.random.default_rng(1)
     points, queries = rng.normal(size=(3000, 8)), rng.normal(size=(40, 8))
