@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
 LEXICAL = r"\p{L}+"
 COUNTED = r"[\p{L}\p{N}]+"
+#: A run of word characters, inner apostrophes and hyphens included.
+WORDLIKE = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 NON_SPACE = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 # Closed-class words and suffixes of the coarse tagger.
@@ -114,25 +116,41 @@ def margin_bin(margin: Column) -> Column:
 
 
 def feature_text(value: Column) -> Column:
-    """Two, three or four decimals by size, trailing zeros cut; ``Unavailable`` for null."""
-    by_size = F.when(F.abs(value) >= 100, F.format_string("%.2f", value)).when(F.abs(value) >= 10, F.format_string("%.3f", value)).otherwise(F.format_string("%.4f", value))
-    return F.when(value.isNull(), "Unavailable").otherwise(F.regexp_replace(F.regexp_replace(by_size, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    """Two decimals from 100, three from 10, else four with trailing zeros cut; ``Unavailable`` for null."""
+    small = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value), "0+$", ""), r"\.$", "")
+    by_size = F.when(F.abs(value) >= 100, F.format_string("%.2f", value)).when(F.abs(value) >= 10, F.format_string("%.3f", value)).otherwise(small)
+    return F.when(value.isNull(), "Unavailable").otherwise(by_size)
 
 
 def signal_text(p: Column) -> Column:
-    return F.when(p.isNull(), "Not reported").otherwise(F.concat(F.regexp_replace(F.format_string("%.1f", p * 100), r"\.0$", ""), F.lit("%")))
+    """Three decimals; ``Not reported`` for null."""
+    return F.when(p.isNull(), "Not reported").otherwise(F.format_string("%.3f", p))
+
+
+def number_text(value: Column) -> Column:
+    """Thousands separators and two decimals; ``n/a`` for null."""
+    return F.coalesce(F.format_number(value, 2), F.lit("n/a"))
+
+
+# What is shown for each outcome.
+HEADLINES = {"insufficient": "INSUFFICIENT EVIDENCE", "ai_associated": "AI-ASSOCIATED EVIDENCE", "human_associated": "HUMAN-ASSOCIATED EVIDENCE"}
+EXPLANATIONS = {
+    "none": "Submit a passage to inspect the available measurements.",
+    "insufficient": "The text does not contain enough usable information for reliable stylistic analysis.",
+    "ai_associated": "The measured writing characteristics are more consistent with the machine-associated examples used by the model.",
+    "human_associated": "The measured writing characteristics are more consistent with the human-associated examples used by the model.",
+}
 
 
 def headline(state: Column, label: Column) -> Column:
-    return F.when(state.isNull() | (state == "insufficient_evidence"), "INSUFFICIENT EVIDENCE").when(label == "ai_associated", "AI-ASSOCIATED").otherwise("HUMAN-ASSOCIATED")
+    unsure = state.isNull() | (state == "insufficient_evidence")
+    return F.when(unsure, HEADLINES["insufficient"]).when(label == "ai_associated", HEADLINES["ai_associated"]).otherwise(HEADLINES["human_associated"])
 
 
 def explanation(state: Column, label: Column) -> Column:
-    return (
-        F.when(state.isNull() | (state == "insufficient_evidence"), "One or more required features could not be measured, so no class is given.")
-        .when(label == "ai_associated", "The measured features lie nearer to the machine-associated reference texts.")
-        .otherwise("The measured features lie nearer to the human-associated reference texts.")
-    )
+    """A null state stands for no result yet."""
+    known = F.when(state == "insufficient_evidence", EXPLANATIONS["insufficient"]).when(label == "ai_associated", EXPLANATIONS["ai_associated"]).otherwise(EXPLANATIONS["human_associated"])
+    return F.when(state.isNull(), EXPLANATIONS["none"]).otherwise(known)
 
 
 def overlay(spans: Column, inclusive_end: bool = True) -> tuple[Column, Column]:

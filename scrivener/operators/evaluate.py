@@ -78,6 +78,21 @@ def best_threshold(rows: DataFrame, value: str, label: str = "label") -> DataFra
     return scored.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def localization(rows: DataFrame, group: str, index: str) -> DataFrame:
+    """Flagged against known places of each group: precision, recall, overlap (shared over either), and the share of known ends that a flagged run has too.
+
+    An end lies between two places of which one is known and one is not; the same for flags.
+    """
+    by = Window.partitionBy(group).orderBy(index)
+    ends = lambda c: F.col(c) != F.lead(c).over(by)
+    marked = rows.withColumns({"__known": F.coalesce(ends("known"), F.lit(False)), "__flag": F.coalesce(ends("flagged"), F.lit(False))})
+    hit = F.count_if(F.col("flagged") & F.col("known"))
+    return marked.groupBy(group).agg(
+        ratio(hit, F.count_if("flagged")).alias("precision"), ratio(hit, F.count_if("known")).alias("recall"), ratio(hit, F.count_if(F.col("flagged") | F.col("known"))).alias("overlap"),
+        ratio(F.count_if(F.col("__known") & F.col("__flag")), F.count_if("__known")).alias("boundary_accuracy"),
+    )
+
+
 def margins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("margin", F.abs(F.col("p") - 0.5)).withColumn("margin_bin", T.margin_bin(F.col("margin")))
 

@@ -13,9 +13,18 @@ from scrivener.functions import text as T
 from scrivener.functions.stats import finite, ratio
 
 FEATURES = ("perplexity", "sentence_length_cv", "mattr", "pos_3gram_entropy")
+REASONS = {"perplexity": "perplexity_reason", "sentence_length_cv": "cv_reason", "mattr": "mattr_reason", "pos_3gram_entropy": "pos_reason"}
 MATTR_WINDOW = 25
 CONTEXT_LIMIT = 1024
 ADD_K = 0.5
+#: Bigrams of a model that is sent to all tasks, at most; about 60 bytes each.
+BROADCAST_BIGRAMS = 1 << 20
+
+
+def context_limit(tokenizer_limit: int | None = CONTEXT_LIMIT, positions: int | None = CONTEXT_LIMIT) -> int | None:
+    """The smaller of a tokenizer's limit (of no account unless between 0 and a million) and a model's positions; None if neither is known."""
+    known = [x for x, ok in ((tokenizer_limit, tokenizer_limit is not None and 0 < tokenizer_limit < 1_000_000), (positions, positions is not None and positions > 0)) if ok]
+    return min(known, default=None)
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,82 +37,167 @@ def token_rows(docs: DataFrame, pattern: str = T.LEXICAL, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(F.col(text_col), pattern)).alias("pos", "token"))
 
 
-def sentence_length_cv(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sample deviation over mean of sentence lengths: (id, sentence_length_cv, cv_reason).
-
-    Lengths live in one array a document, so no row leaves its task.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.transform(T.sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda s: T.count_matches(s, T.COUNTED)).alias("l"))
+def _with_variation(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column text) and sentence_length_cv and cv_reason."""
+    kept = rows.columns
+    rows = rows.select(*kept, F.transform(T.sentences(F.coalesce(F.col("text"), F.lit(""))), lambda s: T.count_matches(s, T.COUNTED)).alias("__l"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    sums = F.aggregate("l", start, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+    sums = F.aggregate("__l", start, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     # whole-number sums, read in one pass: the variance has no rounding before its division
-    n, s, q = F.col("m.n"), F.col("m.s"), F.col("m.q")
+    n, s, q = F.col("__m.n"), F.col("__m.s"), F.col("__m.q")
     reason = F.when(n < 2, "insufficient_sentences_for_cv: require_at_least=2").when(s == 0, "zero_mean_sentence_length")
     value = F.when((n >= 2) & (s > 0), F.sqrt(ratio(n * q - s * s, n * (n - 1))) / ratio(s, n))
-    return rows.select("id", sums.alias("m")).select("id", value.alias("sentence_length_cv"), reason.alias("cv_reason"))
+    return rows.select(*kept, sums.alias("__m")).select(*kept, value.alias("sentence_length_cv"), reason.alias("cv_reason"))
 
 
-def mattr(docs: DataFrame, window: int = MATTR_WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Moving-average type-token ratio over full windows: (id, mattr, mattr_reason).
+def _with_mattr(rows: DataFrame, window: int = MATTR_WINDOW) -> DataFrame:
+    """``rows`` (with a column text) and mattr and mattr_reason.
 
     A token at p is the first of its kind in every window that holds p but not the place
     of its last occurrence; summing how many windows that is gives all distinct counts in
-    one pass, with one exchange on (document, token).
+    one pass. Sorting a document's (token, place) brings the last occurrence next to each
+    token, so no row leaves its task.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(T.count_matches(F.col(text_col), T.LEXICAL), F.lit(0)).alias("n"))
-    arrays = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
-    rows = arrays.filter(F.size("w") >= window).select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
-    before = F.coalesce(F.lag("pos").over(Window.partitionBy("id", "token").orderBy("pos")), F.lit(-1))
-    new = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - window) - F.greatest(F.col("pos") - window + 1, F.col("before") + 1, F.lit(0)) + 1)
-    sums = rows.withColumn("before", before).groupBy("id").agg(F.sum(new).alias("distinct"))
-    joined = sizes.join(sums, "id", "left")
-    reason = F.when(F.col("n") < window, F.concat(F.lit("insufficient_tokens_for_window: have="), F.col("n").cast("string"), F.lit(f" require_at_least={window}")))
-    return joined.select("id", F.when(reason.isNull(), F.col("distinct") / (window * (F.col("n") - window + 1))).alias("mattr"), reason.alias("mattr_reason"))
+    kept = rows.columns
+    rows = rows.select(*kept, T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("__w"))
+    n = F.size("__w")
+    places = F.sort_array(F.transform("__w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    rows = rows.select(*kept, n.alias("__n"), F.when(n >= window, places).alias("__s"))
+    n = F.col("__n")
+    before = F.concat(F.array(F.struct(F.lit("").alias("t"), F.lit(-1).alias("i"))), F.slice("__s", 1, n - 1))
+
+    def new(x, y):
+        last = F.when(x["t"] == y["t"], y["i"]).otherwise(-1)
+        return F.greatest(F.lit(0), F.least(x["i"], n - window) - F.greatest(x["i"] - window + 1, last + 1, F.lit(0)) + 1)
+
+    total = F.aggregate(F.zip_with("__s", before, new), F.lit(0).cast("long"), lambda a, x: a + x)
+    reason = F.when(n < window, F.concat(F.lit("insufficient_tokens_for_window: have="), n.cast("string"), F.lit(f" require_at_least={window}")))
+    return rows.select(*kept, F.when(n >= window, total / (window * (n - window + 1))).alias("mattr"), reason.alias("mattr_reason"))
+
+
+def _with_entropy(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column text) and pos_3gram_entropy and pos_reason.
+
+    Equal trigrams lie side by side once a document's are sorted; the lengths of their
+    runs are the counts.
+    """
+    kept = rows.columns
+    rows = rows.select(*kept, F.transform(T.tokens(F.coalesce(F.col("text"), F.lit("")), T.COUNTED), T.tag).alias("__g"))
+    rows = rows.select(*kept, F.size("__g").alias("__n"), F.when(F.size("__g") >= 3, F.sort_array(T.grams(F.col("__g"), 3))).alias("__s"))
+    after = F.concat(F.slice("__s", 2, F.size("__s") - 1), F.array(F.lit("")))
+    ends = F.filter(F.transform(F.zip_with("__s", after, lambda x, y: x != y), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+    rows = rows.select(*kept, "__n", ends.alias("__p"))
+    runs = F.zip_with("__p", F.concat(F.array(F.lit(-1)), F.slice("__p", 1, F.size("__p") - 1)), lambda x, y: (x - y).cast("double"))
+    total = F.aggregate(runs, F.lit(0.0), lambda a, c: a + c * F.log2(c))
+    n, grams = F.col("__n"), (F.col("__n") - 2).cast("double")
+    reason = F.when(n < 3, F.concat(F.lit("insufficient_pos_tags_for_3grams: have="), n.cast("string"), F.lit(" require_at_least=3")))
+    return rows.select(*kept, F.when(n >= 3, F.log2(grams) - total / grams).alias("pos_3gram_entropy"), reason.alias("pos_reason"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def sentence_length_cv(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sample deviation over mean of sentence lengths: (id, sentence_length_cv, cv_reason)."""
+    return _with_variation(_texts(docs, id_col, text_col)).drop("text")
+
+
+def mattr(docs: DataFrame, window: int = MATTR_WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Moving-average type-token ratio over full windows: (id, mattr, mattr_reason)."""
+    return _with_mattr(_texts(docs, id_col, text_col), window).drop("text")
 
 
 def pos_trigram_entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Entropy in bits of tag trigrams, across sentences: (id, pos_3gram_entropy, pos_reason)."""
-    tags = F.transform(T.tokens(F.coalesce(F.col(text_col), F.lit("")), T.COUNTED), T.tag)
-    rows = docs.select(F.col(id_col).alias("id"), tags.alias("g"))
-    have = rows.select("id", F.size("g").alias("n"))
-    counts = rows.filter(F.size("g") >= 3).select("id", F.explode(T.grams(F.col("g"), 3)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
-    sums = counts.groupBy("id").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    reason = F.when(F.col("n") < 3, F.concat(F.lit("insufficient_pos_tags_for_3grams: have="), F.col("n").cast("string"), F.lit(" require_at_least=3")))
-    return have.join(sums, "id", "left").select("id", (F.log2("t") - F.col("s") / F.col("t")).alias("pos_3gram_entropy"), reason.alias("pos_reason"))
+    return _with_entropy(_texts(docs, id_col, text_col)).drop("text")
+
+
+def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The three features that need no language model, and their reasons, by one pass without an exchange."""
+    return _with_entropy(_with_mattr(_with_variation(_texts(docs, id_col, text_col)))).drop("text")
 
 
 def bigram_model(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of a reference corpus: bigrams (a, b, c_ab), contexts (a, c_a) and one row with v, the vocabulary size."""
+    """Counts of a reference corpus: bigrams (a, b, c_ab), contexts (a, c_a) and one row with v, the vocabulary size, and n, the distinct bigrams."""
     tokens = corpus.select(F.explode(T.sentences(F.col(text_col))).alias("s")).select(T.tokens(F.col("s")).alias("w"))
     pairs = tokens.filter(F.size("w") >= 2).select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     bigrams = pairs.groupBy("a", "b").agg(F.count("*").alias("c_ab"))
     contexts = bigrams.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     vocabulary = tokens.select(F.explode("w").alias("t")).agg(F.count_distinct("t").alias("v"))
-    return bigrams, contexts, vocabulary
+    sizes = vocabulary.join(F.broadcast(bigrams.agg(F.count("*").alias("n"))))
+    return bigrams, contexts, sizes
 
 
-def sentence_perplexity(docs: DataFrame, corpus: DataFrame, k: float = ADD_K, limit: int = CONTEXT_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add-k bigram perplexity of every sentence.
+class LanguageModel:
+    """The counts of a reference corpus, made once and kept for every batch that is scored by them.
 
-    Returns id, sentence_id, sentence, n_tokens, perplexity, status (``ok``,
-    ``insufficient_input`` below two tokens, ``exceeds_context``), reason and warning (one
-    prediction only). The first token of a sentence is not scored; a sentence over the
-    context limit is not scored at all, never cut.
+    ``path`` names a folder for them; without one they are kept by the executors and
+    counted again where one is lost.
     """
-    bigrams, contexts, vocabulary = bigram_model(corpus)
-    v = vocabulary.first()["v"]
-    rows = sentence_rows(docs, id_col, text_col).withColumn("w", T.tokens(F.col("sentence"))).withColumn("n_tokens", F.size("w"))
-    inside = (F.col("n_tokens") >= 2) & (F.col("n_tokens") <= limit)
-    pairs = rows.filter(inside).select("id", "sentence_id", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("id", "sentence_id", "p.a", "p.b")
+
+    def __init__(self, corpus: DataFrame, text_col: str = "text", path: str | None = None):
+        self.bigrams, self.contexts, sizes = bigram_model(corpus, text_col)
+        if path is None:
+            self.bigrams, self.contexts = self.bigrams.persist(), self.contexts.persist()
+        else:
+            spark = corpus.sparkSession
+            for name in ("bigrams", "contexts"):
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+                setattr(self, name, spark.read.parquet(f"{path}/{name}"))
+        found = sizes.first()
+        self.vocabulary, self.small = found["v"], found["n"] <= BROADCAST_BIGRAMS
+
+    def unpersist(self) -> None:
+        self.bigrams.unpersist()
+        self.contexts.unpersist()
+
+
+def nll_by_model(pairs: DataFrame, model: LanguageModel, k: float = ADD_K) -> DataFrame:
+    """Mean negative log-likelihood of the tokens of every sentence: (id, sentence_id, nll) from rows (id, sentence_id, a, b).
+
+    A model of up to BROADCAST_BIGRAMS bigrams goes to the tasks, and tokens stay where
+    their document is. A larger one is joined by shuffle, tokens counted first; its
+    contexts are as many as the vocabulary and meet distinct pairs only.
+    """
+    logs = -F.ln((F.coalesce("c_ab", F.lit(0)) + k) / (F.coalesce("c_a", F.lit(0)) + F.lit(k * model.vocabulary)))
+    if model.small:
+        seen = pairs.join(F.broadcast(model.bigrams), ["a", "b"], "left").join(F.broadcast(model.contexts), "a", "left")
+        return seen.groupBy("id", "sentence_id").agg(F.avg(logs).alias("nll"))
     asked = pairs.groupBy("id", "sentence_id", "a", "b").agg(F.count("*").alias("times"))
-    seen = asked.join(bigrams, ["a", "b"], "left").join(contexts, "a", "left")
-    nll = -F.ln((F.coalesce("c_ab", F.lit(0)) + k) / (F.coalesce("c_a", F.lit(0)) + F.lit(k) * v))
-    scored = seen.groupBy("id", "sentence_id").agg((F.sum(nll * F.col("times")) / F.sum("times")).alias("nll"))
-    joined = rows.join(scored, ["id", "sentence_id"], "left")
-    status = F.when(F.col("n_tokens") < 2, "insufficient_input").when(F.col("n_tokens") > limit, "exceeds_context").otherwise("ok")
-    reason = F.when(F.col("n_tokens") > limit, "sentence_exceeds_language_model_context").when(F.col("n_tokens") < 2, "perplexity_unavailable")
-    warning = F.when(F.col("n_tokens") == 2, "one_usable_prediction")
-    return joined.select("id", "sentence_id", "sentence", "n_tokens", finite(F.exp("nll")).alias("perplexity"), status.alias("status"), reason.alias("reason"), warning.alias("warning"))
+    known = asked.select("a", "b").distinct().join(model.bigrams, ["a", "b"], "left").join(model.contexts, "a", "left").select("a", "b", logs.alias("log"))
+    return asked.join(known, ["a", "b"]).groupBy("id", "sentence_id").agg((F.sum(F.col("log") * F.col("times")) / F.sum("times")).alias("nll"))
+
+
+def sentence_perplexity(
+    docs: DataFrame, corpus: DataFrame | LanguageModel, k: float = ADD_K, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text", scorer=None
+) -> DataFrame:
+    """Perplexity of every sentence, by an add-k bigram model of ``corpus`` unless a ``scorer`` is given.
+
+    Returns id, sentence_id, sentence, n_tokens, perplexity, status (``insufficient_input``
+    below two tokens, ``exceeds_context``, ``non_finite`` or ``ok``), reason and warning (one
+    prediction only). The first token of a sentence is not scored; a sentence over the
+    context limit is not scored at all, never cut. ``scorer`` takes rows (id, sentence_id, a,
+    b), one for each two tokens in a row, and returns (id, sentence_id, nll).
+    """
+    limit = context_limit() if limit is None else limit
+    if scorer is None:
+        model = corpus if isinstance(corpus, LanguageModel) else LanguageModel(corpus)
+        scorer = lambda pairs: nll_by_model(pairs, model, k)
+    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(T.sentences(F.col(text_col))).alias("p", "sentence"))
+    rows = cut.select("id", (F.col("p") + 1).alias("sentence_id"), "sentence", T.tokens(F.col("sentence")).alias("w"))
+    n = F.size("w")
+    inside = (n >= 2) & (n <= limit)
+    both = F.arrays_zip(F.slice("w", 1, n - 1).alias("a"), F.slice("w", 2, n - 1).alias("b"))
+    pairs = rows.filter(inside).select("id", "sentence_id", F.explode(both).alias("p")).select("id", "sentence_id", "p.a", "p.b")
+    scored = scorer(pairs).select("id", "sentence_id", "nll")
+    joined = rows.select("id", "sentence_id", "sentence", n.alias("n_tokens")).join(scored, ["id", "sentence_id"], "left")
+    value = finite(F.exp("nll"))
+    size = F.col("n_tokens")
+    status = F.when(size < 2, "insufficient_input").when(size > limit, "exceeds_context").when(value.isNull(), "non_finite").otherwise("ok")
+    reason = F.when(size > limit, "sentence_exceeds_language_model_context").when(value.isNull(), "perplexity_unavailable")
+    warning = F.when(size == 2, "one_usable_prediction")
+    return joined.select("id", "sentence_id", "sentence", "n_tokens", value.alias("perplexity"), status.alias("status"), reason.alias("reason"), warning.alias("warning"))
 
 
 def document_perplexity(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -122,25 +216,24 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def feature_table(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", perplexity: DataFrame | None = None) -> DataFrame:
+def feature_table(docs: DataFrame, corpus: DataFrame | LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", perplexity: DataFrame | None = None, scorer=None) -> DataFrame:
     """All four features of every document and their reasons, one row each.
 
     ``perplexity`` may bring (id, perplexity, perplexity_reason) and further columns, where
-    a caller has grouped the scored sentences already.
+    a caller has grouped the scored sentences already. The other three come from one pass
+    over the documents.
     """
-    out = document_perplexity(docs, sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col), id_col) if perplexity is None else perplexity
-    for part in (sentence_length_cv(docs, id_col, text_col), mattr(docs, id_col=id_col, text_col=text_col), pos_trigram_entropy(docs, id_col, text_col)):
-        out = out.join(part, "id", "left")
-    return out
+    if perplexity is None:
+        perplexity = document_perplexity(docs, sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col, scorer=scorer), id_col)
+    return perplexity.join(text_features(docs, id_col, text_col), "id", "left")
 
 
 def feature_array(table: DataFrame) -> DataFrame:
     """``table`` with ``features``: an array of (name, value, available, reason) in the fixed order, and ``complete``."""
-    reasons = {"perplexity": "perplexity_reason", "sentence_length_cv": "cv_reason", "mattr": "mattr_reason", "pos_3gram_entropy": "pos_reason"}
     cells = []
     for name in FEATURES:
         value = finite(F.col(name))
-        reason = F.when(value.isNull(), F.coalesce(F.col(reasons[name]), F.lit(f"{name}_unavailable")))
+        reason = F.when(value.isNull(), F.coalesce(F.col(REASONS[name]), F.lit(f"{name}_unavailable")))
         cells.append(F.struct(F.lit(name).alias("name"), value.alias("value"), value.isNotNull().alias("available"), reason.alias("reason")))
     complete = F.lit(True)
     for name in FEATURES:

@@ -77,35 +77,46 @@ def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def repeated_ngram_ratio(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, repeated_ngram_ratio): repeats beyond the first over all n-grams; null below 2n words."""
-    rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit("")), T.COUNTED).alias("w"))
-    counts = rows.filter(F.size("w") >= 2 * n).select("id", F.explode(T.grams(F.col("w"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
-    ratios = counts.groupBy("id").agg(ratio(F.sum(F.col("c") - 1), F.sum("c")).alias("repeated_ngram_ratio"))
-    return rows.select("id").join(ratios, "id", "left")
+    """(id, repeated_ngram_ratio): repeats beyond the first over all n-grams of words; null below 2n words."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(_with_repeats, n).drop("text")
 
 
-# What a generated text must not say.
-LEAKAGE = ("as an ai", "language model", "i cannot", "here is the essay", "word count", "prompt:")
+def _with_repeats(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (with a column text) and repeated_ngram_ratio, counted inside the row."""
+    kept = rows.columns
+    words = T.tokens(F.coalesce(F.col("text"), F.lit("")), T.WORDLIKE)
+    rows = rows.select(*kept, words.alias("__w")).select(*kept, F.when(F.size("__w") >= 2 * n, T.grams(F.col("__w"), n)).alias("__g"))
+    return rows.select(*kept, F.when(F.col("__g").isNotNull(), ratio(F.size("__g") - F.size(F.array_distinct("__g")), F.size("__g"))).alias("repeated_ngram_ratio"))
 
 
-def quality_checks(docs: DataFrame, keywords: tuple[str, ...], low: int = 250, high: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Checks of a generated text: size, leakage, keywords, ending and repetition."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    lower = F.lower(t)
-    lines = F.filter(F.transform(F.split(t, "\n"), T.strip), lambda x: x != "")
-    words = T.word_count(t)
-    any_of = F.lit(False)
-    for phrase in LEAKAGE:
-        any_of = any_of | F.contains(lower, F.lit(phrase))
-    hits = F.lit(0)
-    for word in keywords:
-        hits = hits + F.contains(lower, F.lit(word)).cast("int")
-    rows = docs.select(
-        F.col(id_col).alias("id"), (T.strip(t) != "").alias("non_empty"), words.alias("words"), words.between(low, high).alias("length_ok"), any_of.alias("leakage"), hits.alias("keyword_hits"),
-        (hits >= 2).alias("keywords_ok"), T.strip(t).rlike(r"[.!?][\"')\]]*$").alias("ends_ok"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("repeated_lines"),
+# What a generated text must not say, and words of the task that it should say.
+LEAKAGE = ("as an ai", "language model", "prompt", "instruction", "controlled local generation", "experiment")
+KEYWORDS = ("setback", "changed", "approach", "learned", "reflection", "mistake")
+
+
+def quality_checks(docs: DataFrame, keywords: tuple[str, ...] = KEYWORDS, leakage: tuple[str, ...] = LEAKAGE, low: int = 250, high: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Checks of a generated text: size, leakage, keywords, ending and repetition, by one pass without an exchange.
+
+    A null text is empty. Up to five repeated lines are named, in the order of their first places.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    rows = _with_repeats(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), 4)
+    lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), T.strip), lambda x: x != "")
+    found = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda term: F.contains(F.lower(t), term))
+    rows = rows.select(
+        "id", "repeated_ngram_ratio", T.strip(t).alias("t"), T.word_count(t).alias("words"), found(leakage).alias("leaked_terms"), found(keywords).alias("keyword_hits"),
+        F.sort_array(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("lines"),
+    )
+    # of each line that occurs again, its first place: sorted, equal lines follow each other
+    before, after = (F.concat(F.array(F.lit(None).cast("struct<x:string,i:int>")), F.slice("lines", 1, F.size("lines"))), F.slice("lines", 2, F.size("lines")))
+    firsts = F.zip_with(F.zip_with("lines", F.slice(before, 1, F.size("lines")), lambda x, y: F.when(y.isNull() | (x["x"] != y["x"]), x)), after, lambda x, y: F.when(x.isNotNull() & (x["x"] == y["x"]), F.struct(x["i"].alias("i"), x["x"].alias("x"))))
+    rows = rows.withColumn("repeats", F.sort_array(F.filter(firsts, lambda x: x.isNotNull())))
+    return rows.select(
+        "id", (F.col("t") != "").alias("non_empty"), "words", F.col("words").between(low, high).alias("length_ok"), F.array_join("leaked_terms", "|").alias("leaked_terms"), (F.size("leaked_terms") == 0).alias("no_leakage"),
+        F.array_join("keyword_hits", "|").alias("keyword_hits"), (F.size("keyword_hits") >= 2).alias("keywords_ok"), F.col("t").rlike(r"[.!?][\"')\]]?\s*$").alias("ends_ok"), "repeated_ngram_ratio",
+        F.array_join(F.transform(F.slice("repeats", 1, 5), lambda x: x["x"]), "|").alias("repeated_lines"),
+        ((F.coalesce("repeated_ngram_ratio", F.lit(0.0)) > 0.08) | (F.size("repeats") > 0)).alias("repetitive"),
     )
-    out = rows.join(repeated_ngram_ratio(docs, 4, id_col, text_col), "id", "left")
-    return out.withColumn("repetitive", (F.coalesce("repeated_ngram_ratio", F.lit(0.0)) > 0.08) | (F.col("repeated_lines") > 0))
 
 
 def pilot_score(words: Column, grade: Column, independent: Column, rows: Column) -> Column:

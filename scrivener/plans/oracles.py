@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from scrivener.functions.text import CLOSED_CLASS, SUFFIXES, WORD_BINS
+from scrivener.functions.text import CLOSED_CLASS, EXPLANATIONS, HEADLINES, SUFFIXES, WORD_BINS, WORDLIKE
 from scrivener.operators.model import INTERCEPT, PARAMETERS
 from scrivener.operators.profile import LEAKAGE
 from scrivener.plans.queries import KEYWORDS, SEED, SETS
@@ -152,9 +152,29 @@ def mean_abs(zs: list[str]) -> str:
     return f"list_avg(list_filter([{', '.join(f'abs({x})' for x in zs)}], lambda v: v IS NOT NULL))"
 
 
-SCORED = f"""(SELECT d.doc_id, d.lang, {count('d.text', r'\S+')} AS words, quality AS label, 1 / (1 + exp(-((sentence_length_cv - 0.6) / 0.25 * 0.5))) AS p,
-    CASE WHEN sentence_length_cv IS NOT NULL THEN (1 / (1 + exp(-((sentence_length_cv - 0.6) / 0.25 * 0.5))) > 0.5)::INT END AS predicted
-    FROM documents d JOIN labels USING (doc_id) JOIN {cv(DOCS)} f ON f.id = d.doc_id)"""
+_Z = f"{INTERCEPT} + " + " + ".join(f"({n} - {m}) / {s} * {c}" for n, m, s, c in PARAMETERS)
+_WHOLE = "perplexity IS NOT NULL AND sentence_length_cv IS NOT NULL AND mattr IS NOT NULL AND pos_3gram_entropy IS NOT NULL"
+LABELLED = "SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+#: Relations that several parts of a query read; ``whole`` computes each once.
+SHARED = {
+    "scored": f"""SELECT *, (p > 0.5)::INT AS predicted FROM (SELECT d.doc_id, d.lang, d.source, {count('d.text', r'\S+')} AS words, quality AS label,
+        CASE WHEN {_WHOLE} THEN {six(f'1 / (1 + exp(-({_Z})))', 9)} END AS p FROM documents d JOIN labels USING (doc_id) JOIN {features(LABELLED, CORPUS)} f ON f.id = d.doc_id)""",
+}
+SCORED = "scored"
+
+
+def whole(sql: str) -> str:
+    """``sql`` with the shared relations that it names, each computed once."""
+    used, text = [], sql
+    for name, relation in reversed(SHARED.items()):  # one may read those before it
+        if re.search(rf"\b(?:FROM|JOIN) {name}\b", text):
+            used.insert(0, name)
+            text += relation
+    if not used:
+        return sql
+    own = ", ".join(f"{n} AS MATERIALIZED ({SHARED[n]})" for n in used)
+    rest = sql.strip()
+    return f"WITH {own}, {rest[5:]}" if rest.startswith("WITH ") else f"WITH {own} {rest}"
 
 
 def metrics(rel: str, keys: str = "") -> str:
@@ -182,24 +202,25 @@ _MARGIN_BIN = "CASE " + " ".join(f"WHEN margin >= {k * 0.05:.2f} AND margin {'<=
 _MARGIN_BIN = re.sub(r">= (\d\.\d\d)", r">= \1::DOUBLE", _MARGIN_BIN)
 _BINNED = f"(SELECT *, {_WORD_BIN} AS word_bin FROM {SCORED})"
 _MARGINS = f"(SELECT *, {_MARGIN_BIN} AS margin_bin FROM (SELECT *, abs(p - 0.5) AS margin FROM {SCORED}) WHERE margin IS NOT NULL)"
-_Z = f"{INTERCEPT} + " + " + ".join(f"({n} - {m}) / {s} * {c}" for n, m, s, c in PARAMETERS)
 _FEATURES = features(DOCS, CORPUS)
 _STATE = f"""(SELECT d.doc_id, d.text, f.*, CASE WHEN perplexity IS NOT NULL AND sentence_length_cv IS NOT NULL AND mattr IS NOT NULL AND pos_3gram_entropy IS NOT NULL THEN 1 / (1 + exp(-({_Z}))) END AS p
     FROM documents d JOIN {_FEATURES} f ON f.id = d.doc_id)"""
 _ALL = ("perplexity", "sentence_length_cv", "mattr", "pos_3gram_entropy")
-_LONG = f"""(WITH f AS (SELECT s.pair_id, s.label, c.sentence_length_cv, m.mattr, p.pos_3gram_entropy FROM ({SIDES}) s JOIN {cv(SIDE_DOCS)} c ON c.id = s.pair_id || '#' || s.label
-    JOIN {mattr(SIDE_DOCS)} m ON m.id = c.id JOIN {pos(SIDE_DOCS)} p ON p.id = c.id)
-    SELECT pair_id, label, 'sentence_length_cv' AS feature, sentence_length_cv AS v FROM f UNION ALL SELECT pair_id, label, 'mattr', mattr FROM f UNION ALL SELECT pair_id, label, 'pos_3gram_entropy', pos_3gram_entropy FROM f)"""
+SHARED["side_features"] = f"SELECT s.pair_id, s.label, f.* FROM ({SIDES}) s JOIN {features(SIDE_DOCS, 'SELECT text FROM documents')} f ON f.id = s.pair_id || '#' || s.label"
+SHARED["long"] = " UNION ALL ".join(f"SELECT pair_id, label, '{n}' AS feature, {six(n, 9)} AS v, {r} AS reason FROM side_features" for n, r in zip(_ALL, ("perplexity_reason", "cv_reason", "mattr_reason", "pos_reason"), strict=True))
+_LONG = "long"
 _GROUPED = "SELECT doc_id, CASE WHEN lang = 'en' THEN 'reference' ELSE 'audited' END AS audit_group FROM documents"
 _SIDES_OF = f"(SELECT DISTINCT pair_id FROM ({PAIRS}))"
 _SPLIT = f"(SELECT pair_id, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}|' || pair_id), pair_id) <= ceil(count(*) OVER () * 0.2) THEN 'validation' ELSE 'train' END AS split FROM {_SIDES_OF})"
 _LOCAL = local()
 _SPLICE_DOCS = f"SELECT pair_id || '#' || hybrid_index AS id, text FROM {SPLICE}"
 _LEN = f"(SELECT doc_id, sentence_id, {count('s', COUNTED)}::DOUBLE AS length FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS sentence_id FROM (SELECT doc_id, {sentences('text')} AS l FROM documents)))"
-_ANOMALY_IN = f"(SELECT l.*, perplexity FROM {_LOCAL} l JOIN {doc_ppl(_SPLICE_DOCS, 'SELECT text FROM documents')} p ON p.id = l.pair_id || '#' || l.hybrid_index)"
-_ANOMALY = f"""(WITH f AS MATERIALIZED (SELECT * FROM {_ANOMALY_IN})
-    SELECT f.pair_id, f.hybrid_index, f.origin, a.z AS z_perplexity, b.z AS z_length, c.z AS z_mattr, e.z AS z_pos_3gram_entropy, {mean_abs(['a.z', 'b.z', 'c.z', 'e.z'])} AS score
-    FROM f JOIN {z('f', 'perplexity')} a USING (pair_id, hybrid_index) JOIN {z('f', 'length')} b USING (pair_id, hybrid_index) JOIN {z('f', 'mattr')} c USING (pair_id, hybrid_index) JOIN {z('f', 'pos_3gram_entropy')} e USING (pair_id, hybrid_index))"""
+SHARED["spliced_ppl"] = f"SELECT s.pair_id, s.hybrid_index, {six('perplexity', 9)} AS perplexity FROM {SPLICE} s JOIN {doc_ppl(_SPLICE_DOCS, 'SELECT text FROM documents')} p ON p.id = s.pair_id || '#' || s.hybrid_index"
+SHARED["spliced"] = f"SELECT l.*, perplexity FROM {_LOCAL} l JOIN spliced_ppl USING (pair_id, hybrid_index)"
+SHARED["anomaly"] = f"""SELECT f.pair_id, f.hybrid_index, f.origin, a.z AS z_perplexity, b.z AS z_length, c.z AS z_mattr, e.z AS z_pos_3gram_entropy, {mean_abs(['a.z', 'b.z', 'c.z', 'e.z'])} AS score
+    FROM spliced f JOIN {z('spliced', 'perplexity')} a USING (pair_id, hybrid_index) JOIN {z('spliced', 'length')} b USING (pair_id, hybrid_index)
+    JOIN {z('spliced', 'mattr')} c USING (pair_id, hybrid_index) JOIN {z('spliced', 'pos_3gram_entropy')} e USING (pair_id, hybrid_index)"""
+_ANOMALY = "anomaly"
 
 
 def banded(rel: str, group: str, floor_one: bool = False) -> str:
@@ -215,37 +236,48 @@ def _rates(known: str) -> str:
 def _grid() -> str:
     parts = []
     for width in (1, 3, 5, 7):
-        zs = ", ".join(f"{c}_z.z AS z_{c}" for c in SETS["all"])
-        joins = " ".join(f"JOIN {z(f'l{width}', c)} {c}_z USING (pair_id, hybrid_index)" for c in SETS["all"])
+        zs = ", ".join(f"{c}_z.z AS z_{c}" for c in SETS["all_features"])
+        joins = " ".join(f"JOIN {z(f'l{width}', c)} {c}_z USING (pair_id, hybrid_index)" for c in SETS["all_features"])
         parts.append(f"SELECT {width} AS win, l.pair_id, l.hybrid_index, l.origin, {zs} FROM l{width} l {joins}")
-    tables = ", ".join(f"l{w} AS MATERIALIZED (SELECT * FROM {local(w)})" for w in (1, 3, 5, 7))
+    tables = ", ".join(f"l{w} AS MATERIALIZED (SELECT l.*, perplexity FROM {local(w)} l JOIN spliced_ppl USING (pair_id, hybrid_index))" for w in (1, 3, 5, 7))
     sets = " UNION ALL ".join(f"SELECT win, pair_id, hybrid_index, origin, '{name}' AS feature_set, {six(mean_abs([f'z_{c}' for c in cs]), 9)} AS score FROM every" for name, cs in SETS.items())
     known = "origin = 'ai_inserted' AND score IS NOT NULL"
     rates = ", ".join(six(f"count(*) FILTER ({b} AND {known}) / nullif(count(*) FILTER ({known}), 0)") + f" AS {b}" for b in ("top_50", "top_25", "top_10"))
     return f"""WITH {tables}, every AS MATERIALIZED ({' UNION ALL '.join(parts)}), s AS ({sets})
-        SELECT win AS "window", feature_set, count(score) AS scored, {six("median(score) FILTER (origin = 'ai_inserted')")} AS ai_median, {six("median(score) FILTER (origin = 'human')")} AS human_median, {rates}
+        SELECT win AS "window", feature_set, count(score) AS scored, {six("median(score) FILTER (origin = 'ai_inserted')")} AS ai_median, {six("median(score) FILTER (origin = 'human')")} AS human_median,
+        {six("median(score) FILTER (origin = 'ai_inserted') - median(score) FILTER (origin = 'human')")} AS gap, {rates}
         FROM {banded('s', 'win, feature_set, pair_id')} GROUP BY win, feature_set"""
 
 
-_CHANGES = ("length", "log_length", "mattr", "pos_3gram_entropy")
-_BOUNDARY = f"""(SELECT * FROM (SELECT pair_id, hybrid_index AS boundary_index, origin || '__TO__' || lead(origin) OVER o AS boundary_type, origin <> lead(origin) OVER o AS target_boundary,
+_CHANGES = ("perplexity", "log_perplexity", "length", "mattr", "pos_3gram_entropy")
+SHARED["boundary"] = f"""SELECT * FROM (SELECT pair_id, hybrid_index AS boundary_index, origin || '__TO__' || lead(origin) OVER o AS boundary_type, origin <> lead(origin) OVER o AS target_boundary,
     {', '.join(six(f'abs(lead({c}) OVER o - {c})', 9) + f' AS change_{c}' for c in _CHANGES)}
-    FROM (SELECT *, CASE WHEN length > 0 THEN ln(length) END AS log_length FROM {_LOCAL}) WINDOW o AS (PARTITION BY pair_id ORDER BY hybrid_index)) WHERE boundary_type IS NOT NULL)"""
+    FROM (SELECT *, CASE WHEN perplexity > 0 THEN ln(perplexity) END AS log_perplexity FROM spliced) WINDOW o AS (PARTITION BY pair_id ORDER BY hybrid_index)) WHERE boundary_type IS NOT NULL"""
+_BOUNDARY = "boundary"
+SHARED["boundary_scored"] = f"""SELECT b.*, {mean_abs(['x.z', 'y.z', 'w.z', 'v.z'])} AS score
+    FROM boundary b JOIN {z('boundary', 'change_log_perplexity', index='boundary_index')} v USING (pair_id, boundary_index) JOIN {z('boundary', 'change_length', index='boundary_index')} x USING (pair_id, boundary_index)
+    JOIN {z('boundary', 'change_mattr', index='boundary_index')} y USING (pair_id, boundary_index) JOIN {z('boundary', 'change_pos_3gram_entropy', index='boundary_index')} w USING (pair_id, boundary_index)"""
 _VARIANTS = f"""(SELECT a.pair_id, k AS left_out, a.pair_id || '#' || k AS id, coalesce(string_agg(s.text, ' ' ORDER BY s.hybrid_index), '') AS text
     FROM (SELECT pair_id, unnest(range(-1, count(*))) AS k FROM {SPLICE} GROUP BY pair_id) a LEFT JOIN {SPLICE} s ON s.pair_id = a.pair_id AND s.hybrid_index <> k GROUP BY a.pair_id, k)"""
-_ONE = " + ".join(f"({n} - {m}) / {s} * {c}" for n, m, s, c in (PARAMETERS[1], PARAMETERS[3]))
-_VARIANT_P = f"(SELECT v.pair_id, v.left_out, 1 / (1 + exp(-({INTERCEPT} + {_ONE}))) AS p FROM {_VARIANTS} v JOIN {cv(f'SELECT id, text FROM {_VARIANTS}')} USING (id) JOIN {pos(f'SELECT id, text FROM {_VARIANTS}')} USING (id))"
+SHARED["variants"] = f"SELECT * FROM {_VARIANTS}"
+SHARED["variant_p"] = f"SELECT v.pair_id, v.left_out, CASE WHEN {_WHOLE} THEN 1 / (1 + exp(-({_Z}))) END AS p FROM variants v JOIN {features('SELECT id, text FROM variants', 'SELECT text FROM documents')} f USING (id)"
+SHARED["attribution"] = f"""SELECT pair_id, hybrid_index AS left_out, origin, score AS contribution, reason, rk, n_ranked, top_25, top_10 FROM {banded(f"""(SELECT r.pair_id, r.left_out AS hybrid_index, s.origin, {six('f.p - r.p', 9)} AS score,
+        CASE WHEN r.p IS NULL THEN 'reduced_document_not_classified' END AS reason
+        FROM variant_p r JOIN variant_p f ON r.pair_id = f.pair_id AND f.left_out = -1 AND r.left_out >= 0 AND f.p IS NOT NULL JOIN {SPLICE} s ON s.pair_id = r.pair_id AND s.hybrid_index = r.left_out)""", 'pair_id', True)}"""
 _PREFIX = f"(SELECT id, target, least(target, len(w)) AS n_tokens, len(list_distinct(w[1:target])) / nullif(least(target, len(w)), 0) AS ttr FROM (SELECT id, {tokens('text')} AS w, unnest([10, 25, 50, 100, 200]) AS target FROM ({DOCS})))"
 _OFFSETS = """(SELECT doc_id, i AS sentence_id, e - length(s) AS "start", e AS "end" FROM
     (SELECT doc_id, s, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
         (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]+|[^.!?]+$') AS l FROM documents))))"""
-_NGRAMS = f"""(WITH w AS (SELECT id, {tokens("coalesce(text, '')", COUNTED)} AS w FROM ({DOCS})),
+_NGRAMS = f"""(WITH w AS (SELECT id, {tokens("coalesce(text, '')", WORDLIKE.replace("'", "''"))} AS w FROM ({DOCS})),
     g AS (SELECT id, w[i:i + 3] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 8)),
     c AS (SELECT id, count(*) AS c FROM g GROUP BY id, g)
     SELECT w.id, r FROM w LEFT JOIN (SELECT id, sum(c - 1) / sum(c) AS r FROM c GROUP BY id) USING (id))"""
 _LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-_HITS = " + ".join(f"contains(lower(text), '{w}')::INT" for w in KEYWORDS)
-_DAMAGE = " OR ".join(f"contains(lower(text), '{p}')" for p in LEAKAGE)
+_TERMS = lambda terms: f"list_filter([{', '.join(repr(w) for w in terms)}], lambda x: contains(lower(text), x))"
+_HITS, _LEAKS = _TERMS(KEYWORDS), _TERMS((*LEAKAGE, "tion of"))
+_REPEATED_LINES = f"""(SELECT doc_id, array_to_string((list(l ORDER BY f))[1:5], '|') AS r, count(*) AS n FROM
+    (SELECT doc_id, l, min(i) AS f FROM (SELECT doc_id, unnest({_LINES}) AS l, unnest(range(0, len({_LINES}))) AS i FROM documents) GROUP BY doc_id, l HAVING count(*) > 1) GROUP BY doc_id)"""
+_SHOWN = lambda v: f"CASE WHEN {v} IS NULL THEN 'Unavailable' WHEN abs({v}) >= 100 THEN printf('%.2f', {six(v, 9)}) WHEN abs({v}) >= 10 THEN printf('%.3f', {six(v, 9)}) ELSE rtrim(rtrim(printf('%.4f', {six(v, 9)}), '0'), '.') END"
 _STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -265,10 +297,12 @@ ORACLE_SQL: dict[str, str] = {
     "analyze": rf"""SELECT doc_id, CASE WHEN p IS NULL THEN 'insufficient_evidence' ELSE 'classified' END AS state,
         CASE WHEN p > 0.5 THEN 'ai_associated' WHEN p IS NOT NULL THEN 'human_associated' END AS label, {six('p')} AS ai_probability, {', '.join(f'{six(f)} AS {f}' for f in _ALL)},
         len({sentences('text')}) AS n_evidence, {count('text', r'\S+')} AS word_count,
-        CASE WHEN p IS NULL THEN 'INSUFFICIENT EVIDENCE' WHEN p > 0.5 THEN 'AI-ASSOCIATED' ELSE 'HUMAN-ASSOCIATED' END AS headline FROM {_STATE}""",
+        CASE WHEN p IS NULL THEN '{HEADLINES["insufficient"]}' WHEN p > 0.5 THEN '{HEADLINES["ai_associated"]}' ELSE '{HEADLINES["human_associated"]}' END AS headline,
+        CASE WHEN p IS NULL THEN '{EXPLANATIONS["insufficient"]}' WHEN p > 0.5 THEN '{EXPLANATIONS["ai_associated"]}' ELSE '{EXPLANATIONS["human_associated"]}' END AS explanation,
+        CASE WHEN p IS NULL THEN 'Not reported' ELSE printf('%.3f', {six('p', 9)}) END AS signal FROM {_STATE}""",
     "evidence_top3": f"""SELECT doc_id, place, sentence_id, {six('perplexity')} AS perplexity FROM (
         SELECT id AS doc_id, sentence_id, perplexity, row_number() OVER (PARTITION BY id ORDER BY {six('perplexity', 9)}, sentence_id) AS place FROM {ppl(DOCS, CORPUS)} WHERE perplexity IS NOT NULL) WHERE place <= 3""",
-    "feature_display": rf"""SELECT id AS doc_id, coalesce(regexp_replace(regexp_replace(printf('%.4f', {six('sentence_length_cv', 4)}), '(\.\d*?)0+$', '\1'), '\.$', ''), 'Unavailable') AS shown FROM {cv(DOCS)}""",
+    "feature_display": f"SELECT id AS doc_id, {', '.join(f'{_SHOWN(n)} AS {n}' for n in _ALL)} FROM {_FEATURES}",
     "standardise": f"""WITH f AS (SELECT sentence_length_cv AS a, pos_3gram_entropy AS b FROM {cv(DOCS)} JOIN {pos(DOCS)} USING (id) WHERE sentence_length_cv IS NOT NULL AND pos_3gram_entropy IS NOT NULL)
         SELECT 'sentence_length_cv' AS feature, count(*) AS n, {six('avg(a)')} AS mean, {six('stddev_pop(a)')} AS scale FROM f
         UNION ALL SELECT 'pos_3gram_entropy', count(*), {six('avg(b)')}, {six('stddev_pop(b)')} FROM f""",
@@ -308,7 +342,8 @@ ORACLE_SQL: dict[str, str] = {
                {six('(a.m - h.m) / sqrt(((h.n - 1) * h.var + (a.n - 1) * a.var) / (h.n + a.n - 2))')} AS cohens_d, {six('a.med - h.med')} AS median_difference
         FROM s h JOIN s a ON h.feature = a.feature AND h.label = 0 AND a.label = 1""",
     "paired_differences": f"""WITH d AS (SELECT h.feature, a.v - h.v AS x FROM {_LONG} h JOIN {_LONG} a ON h.feature = a.feature AND h.pair_id = a.pair_id AND h.label = 0 AND a.label = 1)
-        SELECT feature, count(*) AS pairs, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x > 0) AS rising, count(*) FILTER (x < 0) AS falling, count(*) FILTER (x = 0) AS equal, {six('avg(x)')} AS mean, {six('median(x)')} AS median FROM d GROUP BY feature""",
+        SELECT feature, count(*) AS pairs, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x > 0) AS rising, count(*) FILTER (x < 0) AS falling, count(*) FILTER (x = 0) AS equal, count(x) AS count, {six('avg(x)')} AS mean, {six('median(x)')} AS median,
+        {six('stddev_samp(x)')} AS stdev, {six('quantile_cont(x, 0.25)')} AS q1, {six('quantile_cont(x, 0.75)')} AS q3, {six('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)')} AS iqr, {six('min(x)')} AS min, {six('max(x)')} AS max FROM d GROUP BY feature""",
     "hybrid_splice": f"SELECT * FROM {SPLICE}",
     "hybrid_rejects": f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len({sentences('human_text')}) < 2 THEN 'insufficient_human_sentences_for_middle_insertion'
         WHEN len({sentences('ai_text')}) < 3 THEN 'insufficient_ai_sentences_for_two_sentence_block' END AS reason FROM ({PAIRS})) WHERE reason IS NOT NULL GROUP BY reason""",
@@ -321,14 +356,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT "rows", known, {six('top_50')} AS top_50, {six('top_25')} AS top_25, {six('top_10')} AS top_10, {six('m50')} AS macro_top_50, {six('m25')} AS macro_top_25, {six('m10')} AS macro_top_10 FROM
         (SELECT count(*) AS "rows", count(*) FILTER (origin = 'ai_inserted') AS known, {_rates("origin = 'ai_inserted'")} FROM b), (SELECT avg(top_50) AS m50, avg(top_25) AS m25, avg(top_10) AS m10 FROM e)""",
     "sensitivity_grid": _grid(),
-    "boundary_scores": f"""WITH b AS MATERIALIZED (SELECT * FROM {_BOUNDARY})
-        SELECT b.pair_id, b.boundary_index, boundary_type, target_boundary, {', '.join(f'{six(f"change_{c}")} AS change_{c}' for c in _CHANGES)}, {six(mean_abs(['x.z', 'y.z', 'w.z']))} AS score
-        FROM b JOIN {z('b', 'change_log_length', index='boundary_index')} x USING (pair_id, boundary_index) JOIN {z('b', 'change_mattr', index='boundary_index')} y USING (pair_id, boundary_index)
-        JOIN {z('b', 'change_pos_3gram_entropy', index='boundary_index')} w USING (pair_id, boundary_index)""",
+    "boundary_scores": f"SELECT pair_id, boundary_index, boundary_type, target_boundary, {', '.join(f'{six(f"change_{c}")} AS change_{c}' for c in _CHANGES)}, {six('score')} AS score FROM boundary_scored",
+    "boundary_capture": f"""WITH b AS MATERIALIZED (SELECT * FROM {banded(f"(SELECT pair_id, boundary_index AS hybrid_index, target_boundary, {six('score', 9)} AS score FROM boundary_scored)", 'pair_id')}), e AS (SELECT {_rates("target_boundary")} FROM b GROUP BY pair_id)
+        SELECT "rows", known, {six('top_50')} AS top_50, {six('top_25')} AS top_25, {six('top_10')} AS top_10, {six('m50')} AS macro_top_50, {six('m25')} AS macro_top_25, {six('m10')} AS macro_top_10 FROM
+        (SELECT count(*) AS "rows", count(*) FILTER (target_boundary) AS known, {_rates("target_boundary")} FROM b), (SELECT avg(top_50) AS m50, avg(top_25) AS m25, avg(top_10) AS m10 FROM e)""",
     "boundary_summary": f"SELECT boundary_type, count(*) AS n, {six('avg(change_length)')} AS mean_change, {six('median(change_length)')} AS median_change FROM {_BOUNDARY} GROUP BY boundary_type",
-    "loo_attribution": f"""WITH v AS MATERIALIZED (SELECT * FROM {_VARIANT_P}) SELECT r.pair_id, r.left_out, {six('f.p - r.p')} AS contribution,
-        CASE WHEN f.p IS NULL THEN 'full_document_not_classified' WHEN r.p IS NULL THEN 'reduced_document_not_classified' END AS reason
-        FROM v r JOIN v f ON r.pair_id = f.pair_id AND f.left_out = -1 AND r.left_out >= 0""",
+    "loo_attribution": f"SELECT pair_id, left_out, origin, {six('contribution')} AS contribution, reason, rk AS rank, top_25, top_10 FROM attribution",
+    "attribution_report": f"""WITH e AS (SELECT pair_id, count(*) FILTER (top_10 AND origin = 'ai_inserted') / count(*) FILTER (origin = 'ai_inserted') AS c10, count(*) FILTER (top_25 AND origin = 'ai_inserted') / count(*) FILTER (origin = 'ai_inserted') AS c25,
+            median(contribution) FILTER (origin = 'ai_inserted') AS ai, median(contribution) FILTER (origin = 'human') AS human FROM attribution GROUP BY pair_id)
+        SELECT count(*) AS documents, {six('avg(c10)')} AS top_10, {six('avg(c25)')} AS top_25, {six('median(ai)')} AS ai_median, {six('median(human)')} AS human_median, {six('median(ai - human)')} AS median_difference FROM e""",
     "prefix_stability": f"""SELECT target, count(*) AS n, {six('avg(ttr)')} AS mean, {six('median(ttr)')} AS median, {six('min(ttr)')} AS min, {six('max(ttr)')} AS max, {six('stddev_samp(ttr)')} AS stdev,
         {six('stddev_samp(ttr) / nullif(avg(ttr), 0)')} AS cv FROM {_PREFIX} WHERE ttr IS NOT NULL GROUP BY target""",
     "prefix_drift": f"""SELECT id AS doc_id, target, {six('ttr - lag(ttr) OVER o')} AS delta_from_previous, {six('(ttr - lag(ttr) OVER o) / nullif(lag(ttr) OVER o, 0)')} AS relative_delta, {six('ttr - first_value(ttr) OVER o')} AS delta_from_first
@@ -347,17 +383,19 @@ ORACLE_SQL: dict[str, str] = {
             + least(8.0, log2(greatest(1, len(string_split(text, chr(10))))))''')} AS score FROM (SELECT *, {count('text', r'\S+')} AS n FROM documents)),
         t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS turn FROM s) SELECT doc_id, source, turn, score FROM t ORDER BY turn, source LIMIT 8""",
     "repeated_ngrams": f"SELECT id AS doc_id, {six('r')} AS repeated_ngram_ratio FROM {_NGRAMS}",
-    "quality_checks": rf"""SELECT doc_id, {_STRIPPED} <> '' AS non_empty, {count('text', r'\S+')} AS words, {count('text', r'\S+')} BETWEEN 250 AND 600 AS length_ok, {_DAMAGE} AS leakage, {_HITS} AS keyword_hits, ({_HITS}) >= 2 AS keywords_ok,
-        regexp_matches({_STRIPPED}, '[.!?]["'')\]]*$') AS ends_ok, len({_LINES}) - len(list_distinct({_LINES})) AS repeated_lines, {six('r')} AS repeated_ngram_ratio,
-        coalesce(r, 0) > 0.08 OR len({_LINES}) - len(list_distinct({_LINES})) > 0 AS repetitive FROM documents JOIN {_NGRAMS} g ON g.id = doc_id""",
+    "quality_checks": rf"""SELECT d.doc_id, {_STRIPPED} <> '' AS non_empty, {count('text', r'\S+')} AS words, {count('text', r'\S+')} BETWEEN 250 AND 600 AS length_ok,
+        array_to_string({_LEAKS}, '|') AS leaked_terms, len({_LEAKS}) = 0 AS no_leakage, array_to_string({_HITS}, '|') AS keyword_hits, len({_HITS}) >= 2 AS keywords_ok,
+        regexp_matches({_STRIPPED}, '[.!?]["'')\]]?\s*$') AS ends_ok, {six('g.r')} AS repeated_ngram_ratio, coalesce(l.r, '') AS repeated_lines,
+        coalesce(g.r, 0) > 0.08 OR coalesce(l.n, 0) > 0 AS repetitive FROM documents d JOIN {_NGRAMS} g ON g.id = d.doc_id LEFT JOIN {_REPEATED_LINES} l ON l.doc_id = d.doc_id""",
     "span_mapping": f"""WITH p AS (SELECT doc_id, k AS span_id, k * 1000 AS s, least((k + 1) * 1000, length(text)) AS e FROM (SELECT doc_id, text, unnest(range(0, length(text) // 1000 + 1)) AS k FROM documents))
         SELECT p.doc_id, span_id, count(*) AS n, min(sentence_id) AS first_sentence, max(sentence_id) AS last_sentence FROM p JOIN {_OFFSETS} o ON o.doc_id = p.doc_id AND p.s < o."end" AND p.e > o."start" GROUP BY p.doc_id, span_id""",
     "leakage_copies": r"""SELECT sha256(t) AS text_hash, count(*) AS n, count(DISTINCT source) AS families, min(doc_id) AS first_id FROM
         (SELECT doc_id, source, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) GROUP BY t HAVING count(DISTINCT source) > 1""",
     "localization": f"""WITH l AS MATERIALIZED (SELECT pair_id, hybrid_index, origin, {count('text', COUNTED)}::DOUBLE AS length FROM {SPLICE}),
-        s AS (SELECT l.pair_id, l.hybrid_index, origin, {six('abs(z)', 9)} AS score FROM l JOIN {z('l', 'length')} USING (pair_id, hybrid_index))
-        SELECT pair_id, {six("count(*) FILTER (top_25 AND origin = 'ai_inserted') / nullif(count(*) FILTER (top_25), 0)")} AS precision,
-               {six("count(*) FILTER (top_25 AND origin = 'ai_inserted') / nullif(count(*) FILTER (origin = 'ai_inserted'), 0)")} AS recall FROM {banded('s', 'pair_id', True)} GROUP BY pair_id""",
+        s AS (SELECT l.pair_id, l.hybrid_index, origin, {six('abs(z)', 9)} AS score FROM l JOIN {z('l', 'length')} USING (pair_id, hybrid_index)),
+        b AS (SELECT pair_id, top_25 AS f, origin = 'ai_inserted' AS k, top_25 <> lead(top_25) OVER o AS fe, (origin = 'ai_inserted') <> (lead(origin) OVER o = 'ai_inserted') AS ke FROM {banded('s', 'pair_id', True)} WINDOW o AS (PARTITION BY pair_id ORDER BY hybrid_index))
+        SELECT pair_id, {six("count(*) FILTER (f AND k) / nullif(count(*) FILTER (f), 0)")} AS precision, {six("count(*) FILTER (f AND k) / nullif(count(*) FILTER (k), 0)")} AS recall,
+               {six("count(*) FILTER (f AND k) / nullif(count(*) FILTER (f OR k), 0)")} AS overlap, {six("count(*) FILTER (fe AND ke) / nullif(count(*) FILTER (ke), 0)")} AS boundary_accuracy FROM b GROUP BY pair_id""",
     "chat_prompts": "SELECT conv_id, sha256(t) AS prompt_sha256, length(t) AS n_chars FROM (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
     "reproducibility": rf"""WITH w AS (SELECT conv_id, abs({count('text', r'\S+')} - first_value({count('text', r'\S+')}) OVER (PARTITION BY conv_id ORDER BY turn)) AS x FROM conversations)
         SELECT conv_id, CASE WHEN count(*) >= 2 THEN max(x)::DOUBLE END AS max_absolute_difference, CASE WHEN count(*) >= 2 THEN max(x) <= 1e-9 END AS effectively_identical FROM w GROUP BY conv_id""",
@@ -387,3 +425,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'groups_disjoint' AS check_name, bool_and(n = 1) AS passed FROM (SELECT count(DISTINCT split) AS n FROM r GROUP BY pair_id)
         UNION ALL SELECT 'both_classes_each_side', bool_and(n = 2) FROM (SELECT count(DISTINCT label) AS n FROM r GROUP BY split)""",
 }
+
+ORACLE_SQL = {name: whole(sql) for name, sql in ORACLE_SQL.items()}

@@ -25,6 +25,7 @@ from scrivener.operators import sampling as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 20260813
+#: Words that the generated texts of the tables have; those of the reference task are the operator's default.
 KEYWORDS = ("the", "and", "with", "that", "tion", "ing")
 
 
@@ -55,11 +56,13 @@ def _features(spark, d):
 
 
 def _scored(spark, d):
-    """Labelled documents with p by one feature, the prediction, and word counts."""
-    cv = X.sentence_length_cv(_docs(spark, d)).withColumnRenamed("id", "doc_id")
-    rows = _docs(spark, d).select("doc_id", "lang", T.word_count(F.col("text")).alias("words")).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").join(cv, "doc_id")
-    p = M.probability([("sentence_length_cv", 0.6, 0.25, 0.5)], 0.0)
-    return rows.select("doc_id", "lang", "words", "label", p.alias("p"), (p > 0.5).cast("int").alias("predicted"))
+    """Labelled documents with the model's p, null where it abstains, the prediction, and word counts."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    docs = _docs(spark, d).join(labels, "doc_id")
+    found = X.feature_table(docs, table(spark, d, "conversations")).withColumnRenamed("id", "doc_id")
+    p = rounded(M.probability(list(M.PARAMETERS), M.INTERCEPT), 9)
+    rows = docs.select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("words"), "label").join(found.select("doc_id", p.alias("p")), "doc_id")
+    return rows.withColumn("predicted", (F.col("p") > 0.5).cast("int"))
 
 
 def _hybrid(spark, d):
@@ -120,7 +123,8 @@ def analyze(spark, d):
     value = lambda n: F.get("features", F.lit(n))["value"]
     rows = found.select(
         "doc_id", "state", "label", "ai_probability", *[value(i).alias(n) for i, n in enumerate(X.FEATURES)], F.size("sentence_evidence").alias("n_evidence"), F.col("text_statistics.word_count").alias("word_count"),
-        T.headline(F.col("state"), F.col("label")).alias("headline"),
+        T.headline(F.col("state"), F.col("label")).alias("headline"), T.explanation(F.col("state"), F.col("label")).alias("explanation"),
+        T.signal_text(rounded(F.col("ai_probability"), 9)).alias("signal"),
     )
     return _six(rows)
 
@@ -133,8 +137,9 @@ def evidence_top3(spark, d):
 
 @register
 def feature_display(spark, d):
-    rows = X.sentence_length_cv(_docs(spark, d))
-    return rows.select(F.col("id").alias("doc_id"), T.feature_text(rounded(F.col("sentence_length_cv"), 4)).alias("shown"))
+    rows = _features(spark, d)
+    shown = [T.feature_text(rounded(F.col(n), 9)).alias(n) for n in X.FEATURES]
+    return rows.select(F.col("id").alias("doc_id"), *shown)
 
 
 @register
@@ -144,29 +149,29 @@ def standardise(spark, d):
 
 
 def _training(spark, d):
-    """Both halves of every pair with three language-model-free features, and the pair's split."""
-    rows = H.unpivot(_pairs(spark, d)).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
-    wide = rows.select("id", "pair_id", "label").join(X.sentence_length_cv(rows, "id"), "id").join(X.mattr(rows, id_col="id"), "id").join(X.pos_trigram_entropy(rows, "id"), "id")
-    return S.group_split(wide.dropna(subset=list(X.FEATURES[1:])), "pair_id", 0.2, SEED)
+    """Both halves of every pair with all four features, and the pair's split."""
+    return S.group_split(_pair_features(spark, d).dropna(subset=list(X.FEATURES)), "pair_id", 0.2, SEED)
 
 
 @register
 def fit_logreg(spark, d):
-    return M.fit(_training(spark, d).filter("split = 'train'"), "label", X.FEATURES[1:])
+    return M.fit(_training(spark, d).filter("split = 'train'"), "label")
 
 
 @register
 def ablation(spark, d):
-    """Validation metrics of the model with one feature and with all, on the same rows."""
+    """Validation metrics of the models with the first feature, two, three and all four, on the same rows; F1 above the first's, and coefficients."""
     rows = _training(spark, d).persist()
     out = None
-    for name, features in (("one_feature", X.FEATURES[1:2]), ("all_features", X.FEATURES[1:])):
+    for rung in range(1, len(X.FEATURES) + 1):
+        features = X.FEATURES[:rung]
         params, intercept = M.load_parameters(M.fit(rows.filter("split = 'train'"), "label", features))
         p = M.probability(params, intercept)
-        scored = rows.filter("split = 'validation'").select(F.lit(name).alias("model"), "label", p.alias("p"), (p > 0.5).cast("int").alias("predicted"))
-        part = E.binned(scored, "model")
+        scored = rows.filter("split = 'validation'").select(F.lit("+".join(features)).alias("model"), "label", p.alias("p"), (p > 0.5).cast("int").alias("predicted"))
+        part = E.binned(scored, "model").withColumn("coefficients", F.array(*[F.lit(float(x[3])) for x in params]))
         out = part if out is None else out.unionByName(part)
-    return out
+    base = out.filter(F.col("model") == X.FEATURES[0]).select(F.col("f1").alias("base_f1"))
+    return out.join(F.broadcast(base)).withColumn("delta_f1", F.col("f1") - F.col("base_f1")).drop("base_f1")
 
 
 @register
@@ -260,11 +265,11 @@ def family_split(spark, d):
 
 def _pair_features(spark, d):
     rows = H.unpivot(_pairs(spark, d)).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
-    return rows.select("id", "pair_id", "label").join(X.sentence_length_cv(rows, "id"), "id").join(X.mattr(rows, id_col="id"), "id").join(X.pos_trigram_entropy(rows, "id"), "id")
+    return rows.select("id", "pair_id", "label").join(X.feature_table(rows, table(spark, d, "documents"), "id"), "id")
 
 
 def _long_features(spark, d):
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in X.FEATURES[1:]])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), rounded(F.col(f), 9).alias("v"), F.col(X.REASONS[f]).alias("reason")) for f in X.FEATURES])
     return _pair_features(spark, d).select("pair_id", "label", F.explode(cells).alias("x")).select("pair_id", "label", "x.*")
 
 
@@ -289,7 +294,7 @@ def distribution_overlap(spark, d):
 def paired_differences(spark, d):
     wide = _long_features(spark, d).groupBy("feature", "pair_id").agg(F.max(F.when(F.col("label") == 0, F.col("v"))).alias("h"), F.max(F.when(F.col("label") == 1, F.col("v"))).alias("a"))
     diff = F.col("a") - F.col("h")
-    return _six(wide.withColumn("x", diff).groupBy("feature").agg(F.count("*").alias("pairs"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") > 0).alias("rising"), F.count_if(F.col("x") < 0).alias("falling"), F.count_if(F.col("x") == 0).alias("equal"), F.avg("x").alias("mean"), F.median("x").alias("median")))
+    return _six(wide.withColumn("x", diff).groupBy("feature").agg(F.count("*").alias("pairs"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") > 0).alias("rising"), F.count_if(F.col("x") < 0).alias("falling"), F.count_if(F.col("x") == 0).alias("equal"), *nine_numbers(F.col("x"))))
 
 
 @register
@@ -319,13 +324,16 @@ def robust_z(spark, d):
     return _six(H.robust_z(rows, "doc_id", "sentence_id", "length"))
 
 
-def _anomaly(spark, d):
-    sentences = _hybrid(spark, d)
-    rows = H.local_features(sentences)
-    ids = sentences.withColumn("id", F.concat_ws("#", "pair_id", F.col("hybrid_index").cast("string")))
+def _hybrid_perplexity(spark, d):
+    """(pair_id, hybrid_index, perplexity) of spliced sentences, to nine decimals."""
+    ids = _hybrid(spark, d).withColumn("id", F.concat_ws("#", "pair_id", F.col("hybrid_index").cast("string")))
     # each sentence is one document of one sentence or more here: the median stands for it
-    ppl = X.document_perplexity(ids, X.sentence_perplexity(ids, table(spark, d, "documents"), id_col="id"), "id").select("id", "perplexity")
-    rows = rows.join(ids.select("id", "pair_id", "hybrid_index").join(ppl, "id").drop("id"), ["pair_id", "hybrid_index"])
+    ppl = X.document_perplexity(ids, X.sentence_perplexity(ids, table(spark, d, "documents"), id_col="id"), "id")
+    return ids.select("id", "pair_id", "hybrid_index").join(ppl.select("id", rounded(F.col("perplexity"), 9).alias("perplexity")), "id").drop("id")
+
+
+def _anomaly(spark, d):
+    rows = H.local_features(_hybrid(spark, d)).join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"])
     scores = H.anomaly_scores(rows, "pair_id", "hybrid_index", ("perplexity", "length", "mattr", "pos_3gram_entropy"))
     return H.ranked(rows.select("pair_id", "hybrid_index", "origin").join(scores, ["pair_id", "hybrid_index"]), "pair_id", "hybrid_index")
 
@@ -340,42 +348,63 @@ def anomaly_capture(spark, d):
     return _six(H.capture_rates(_anomaly(spark, d), F.col("origin") == "ai_inserted"))
 
 
-SETS = {"length": ("length",), "mattr": ("mattr",), "pos": ("pos_3gram_entropy",), "window": ("mattr", "pos_3gram_entropy"), "all": ("length", "mattr", "pos_3gram_entropy")}
+COMPONENTS = ("perplexity", "length", "mattr", "pos_3gram_entropy")
+SETS = {"perplexity_only": COMPONENTS[:1], "sentence_length_only": COMPONENTS[1:2], "mattr_only": COMPONENTS[2:3], "pos_3gram_entropy_only": COMPONENTS[3:], "all_features": COMPONENTS}
+WIDTHS = (1, 3, 5, 7)
 
 
-@register
-def sensitivity_grid(spark, d):
-    """4 windows by 5 feature sets; a component's z is computed once a window and shared by the sets."""
-    sentences = _hybrid(spark, d)
-    every = None
-    for width in (1, 3, 5, 7):
-        rows = H.local_features(sentences, width)
-        scores = H.anomaly_scores(rows, "pair_id", "hybrid_index", SETS["all"]).join(rows.select("pair_id", "hybrid_index", "origin"), ["pair_id", "hybrid_index"])
-        part = scores.select(F.lit(width).alias("window"), "pair_id", "hybrid_index", "origin", *[f"z_{c}" for c in SETS["all"]])
+def _grid(spark, d):
+    """(window, feature_set, pair_id, hybrid_index, origin, score) of 4 windows by 5 feature sets; one pass ranks all windows' values."""
+    sentences, every = _hybrid(spark, d), None
+    for width in WIDTHS:
+        part = H.local_features(sentences, width).withColumn("window", F.lit(width))
         every = part if every is None else every.unionByName(part)
-    cells = []
-    for name, components in SETS.items():
-        zs = F.array_compact(F.array(*[F.abs(F.col(f"z_{c}")) for c in components]))
-        cells.append(F.struct(F.lit(name).alias("feature_set"), F.when(F.size(zs) > 0, F.aggregate(zs, F.lit(0.0), lambda a, z: a + z) / F.size(zs)).alias("score")))
-    rows = every.select("window", "pair_id", "hybrid_index", "origin", F.explode(F.array(*cells)).alias("x")).select("window", "pair_id", "hybrid_index", "origin", "x.*")
+    rows = every.join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"]).withColumn("doc", F.concat_ws("|", F.col("window").cast("string"), "pair_id"))
+    scores = H.anomaly_scores(rows, "doc", "hybrid_index", COMPONENTS)
+    scores = rows.select("doc", "window", "pair_id", "hybrid_index", "origin").join(scores, ["doc", "hybrid_index"])
     # scores to nine decimals: a rank must not turn on the last bit of a sum
-    rows = rows.withColumn("score", rounded(F.col("score"), 9)).withColumn("doc", F.concat_ws("|", F.col("window").cast("string"), "feature_set", "pair_id"))
+    cells = [F.struct(F.lit(name).alias("feature_set"), rounded(H.mean_abs([F.col(f"z_{c}") for c in cs]), 9).alias("score")) for name, cs in SETS.items()]
+    return scores.select("window", "pair_id", "hybrid_index", "origin", F.explode(F.array(*cells)).alias("x")).select("window", "pair_id", "hybrid_index", "origin", "x.*")
+
+
+@register
+def sensitivity_grid(spark, d):
+    rows = _grid(spark, d).withColumn("doc", F.concat_ws("|", F.col("window").cast("string"), "feature_set", "pair_id"))
     ranks = H.ranked(rows, "doc", "hybrid_index")
     ai = (F.col("origin") == "ai_inserted") & F.col("score").isNotNull()
     human = F.when(F.col("origin") == "human", F.col("score"))
-    return _six(ranks.groupBy("window", "feature_set").agg(F.count("score").alias("scored"), F.median(F.when(ai, F.col("score"))).alias("ai_median"), F.median(human).alias("human_median"), *[E.capture(F.col(b), ai).alias(b) for b in H.BANDS]))
+    inserted = F.when(ai, F.col("score"))
+    return _six(ranks.groupBy("window", "feature_set").agg(
+        F.count("score").alias("scored"), F.median(inserted).alias("ai_median"), F.median(human).alias("human_median"), (F.median(inserted) - F.median(human)).alias("gap"),
+        *[E.capture(F.col(b), ai).alias(b) for b in H.BANDS],
+    ))
+
+
+CHANGES = ("log_perplexity", "length", "mattr", "pos_3gram_entropy")
 
 
 def _boundary(spark, d):
-    rows = H.local_features(_hybrid(spark, d)).withColumn("log_length", safe_log(F.col("length")))
-    return H.boundaries(rows, ("length", "log_length", "mattr", "pos_3gram_entropy"))
+    rows = H.local_features(_hybrid(spark, d)).join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"])
+    return H.boundaries(rows.withColumn("log_perplexity", safe_log(F.col("perplexity"))), ("perplexity", *CHANGES))
+
+
+def _boundary_scores(spark, d):
+    rows = _boundary(spark, d)
+    scores = H.anomaly_scores(rows, "pair_id", "boundary_index", tuple(f"change_{c}" for c in CHANGES))
+    return rows.join(scores.select("pair_id", "boundary_index", "score"), ["pair_id", "boundary_index"])
 
 
 @register
 def boundary_scores(spark, d):
-    rows = _boundary(spark, d)
-    scores = H.anomaly_scores(rows, "pair_id", "boundary_index", ("change_log_length", "change_mattr", "change_pos_3gram_entropy"))
-    return _six(rows.join(scores.select("pair_id", "boundary_index", "score"), ["pair_id", "boundary_index"]).select("pair_id", "boundary_index", "boundary_type", "target_boundary", "change_length", "change_log_length", "change_mattr", "change_pos_3gram_entropy", "score"))
+    changes = [f"change_{c}" for c in ("perplexity", *CHANGES)]
+    return _six(_boundary_scores(spark, d).select("pair_id", "boundary_index", "boundary_type", "target_boundary", *changes, "score"))
+
+
+@register
+def boundary_capture(spark, d):
+    """Share of all boundaries between origins that each band holds; bands rank the boundaries of a document."""
+    rows = _boundary_scores(spark, d).withColumn("score", rounded(F.col("score"), 9))
+    return _six(H.capture_rates(H.ranked(rows, "pair_id", "boundary_index"), F.col("target_boundary")))
 
 
 @register
@@ -383,13 +412,32 @@ def boundary_summary(spark, d):
     return _six(_boundary(spark, d).groupBy("boundary_type").agg(F.count("*").alias("n"), F.avg("change_length").alias("mean_change"), F.median("change_length").alias("median_change")))
 
 
+def _attribution(spark, d):
+    """Every spliced document analysed again by the whole model without each of its sentences; documents that it abstains from are left out."""
+    variants = H.without_each(_hybrid(spark, d))
+    found = X.feature_table(variants, table(spark, d, "documents"), "id")
+    p = M.probability(list(M.PARAMETERS), M.INTERCEPT)
+    scored = variants.select("id", "pair_id", "left_out").join(found, "id").select("pair_id", "left_out", p.alias("p"))
+    rows = H.attribution(scored).filter("reason is null or reason <> 'full_document_not_classified'").withColumn("contribution", rounded(F.col("contribution"), 9))
+    ranks = H.ranked(rows, "pair_id", "left_out", "contribution", floor_one=True)
+    return ranks.join(_hybrid(spark, d).select("pair_id", F.col("hybrid_index").alias("left_out"), "origin"), ["pair_id", "left_out"])
+
+
 @register
 def loo_attribution(spark, d):
-    """Every spliced document re-analysed without each of its sentences."""
-    variants = H.without_each(_hybrid(spark, d))
-    p = M.probability([M.PARAMETERS[1], M.PARAMETERS[3]], M.INTERCEPT)
-    scored = variants.join(X.sentence_length_cv(variants, "id"), "id").join(X.pos_trigram_entropy(variants, "id"), "id").select("pair_id", "left_out", p.alias("p"))
-    return _six(H.attribution(scored))
+    return _six(_attribution(spark, d).select("pair_id", "left_out", "origin", "contribution", "reason", "rank", "top_25", "top_10"))
+
+
+@register
+def attribution_report(spark, d):
+    """Rates and medians per document first, then their means and medians over documents."""
+    ai = F.col("origin") == "ai_inserted"
+    side = lambda y: F.median(F.when(F.col("origin") == y, F.col("contribution")))
+    each = _attribution(spark, d).groupBy("pair_id").agg(E.capture(F.col("top_10"), ai).alias("c10"), E.capture(F.col("top_25"), ai).alias("c25"), side("ai_inserted").alias("ai"), side("human").alias("human"))
+    return _six(each.agg(
+        F.count("*").alias("documents"), F.avg("c10").alias("top_10"), F.avg("c25").alias("top_25"), F.median("ai").alias("ai_median"), F.median("human").alias("human_median"),
+        F.median(F.col("ai") - F.col("human")).alias("median_difference"),
+    ))
 
 
 @register
@@ -463,7 +511,7 @@ def repeated_ngrams(spark, d):
 
 @register
 def quality_checks(spark, d):
-    return _six(P.quality_checks(_docs(spark, d), KEYWORDS).withColumnRenamed("id", "doc_id"))
+    return _six(P.quality_checks(_docs(spark, d), KEYWORDS, (*P.LEAKAGE, "tion of")).withColumnRenamed("id", "doc_id"))
 
 
 @register
@@ -483,12 +531,11 @@ def leakage_copies(spark, d):
 
 @register
 def localization(spark, d):
-    """Precision and recall of the top quarter of sentences by length z against the inserted ones, per document."""
+    """Of the top quarter of sentences by length z against the inserted ones, per document: precision, recall, overlap, and the share of their ends that a flagged run shares."""
     sentences = _hybrid(spark, d).withColumn("length", T.count_matches(F.col("text"), T.COUNTED).cast("double"))
     z = H.robust_z(sentences, "pair_id", "hybrid_index", "length").withColumn("score", rounded(F.abs("z"), 9))
     ranks = H.ranked(sentences.select("pair_id", "hybrid_index", "origin").join(z, ["pair_id", "hybrid_index"]), "pair_id", "hybrid_index", floor_one=True)
-    hit = F.col("top_25") & (F.col("origin") == "ai_inserted")
-    return _six(ranks.groupBy("pair_id").agg(ratio(F.count_if(hit), F.count_if(F.col("top_25"))).alias("precision"), ratio(F.count_if(hit), F.count_if(F.col("origin") == "ai_inserted")).alias("recall")))
+    return _six(E.localization(ranks.withColumn("known", F.col("origin") == "ai_inserted").withColumn("flagged", F.col("top_25")), "pair_id", "hybrid_index"))
 
 
 @register

@@ -133,7 +133,7 @@ def test_scalars(spark):
     assert one(spark, T.lenient_int(F.col("v")), "12.0", "x", None, "7") == [12, 0, 0, 7]
     assert one(spark, T.strict_int(F.col("v")), "12.0", "12", "x", None) == [10**12, 12, 10**12, 10**12]
     assert one(spark, T.feature_text(F.col("v")), 123.456, 42.93217, 0.5, 3.0, None, schema="v double") == ["123.46", "42.932", "0.5", "3", "Unavailable"]
-    assert one(spark, T.signal_text(F.col("v")), 0.5, None, schema="v double") == ["50%", "Not reported"]
+    assert one(spark, T.signal_text(F.col("v")), 0.5, None, schema="v double") == ["0.500", "Not reported"]
     assert one(spark, T.preview(F.col("v"), 3), "abc", " ab\ncd") == ["abc", "ab ..."]
     assert one(spark, T.word_count(F.col("v")), "  one two\nthree ", "") == [3, 0]
     assert one(spark, F.size(T.sentences(F.col("v"))), "One. Two? Three", "") == [3, 0]
