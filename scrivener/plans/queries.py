@@ -22,6 +22,7 @@ from scrivener.operators import hybrid as H
 from scrivener.operators import model as M
 from scrivener.operators import profile as P
 from scrivener.operators import sampling as S
+from scrivener.sources.readers import dealt_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 20260813
@@ -44,22 +45,26 @@ def _six(rows: DataFrame) -> DataFrame:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return dealt_out(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def _turns(spark, d):
+    return dealt_out(table(spark, d, "conversations"))
 
 
 def _pairs(spark, d):
-    return H.pairs(table(spark, d, "conversations"))
+    return H.pairs(_turns(spark, d))
 
 
 def _features(spark, d):
-    return X.feature_table(_docs(spark, d), table(spark, d, "conversations"))
+    return X.feature_table(_docs(spark, d), _turns(spark, d))
 
 
 def _scored(spark, d):
     """Labelled documents with the model's p, null where it abstains, the prediction, and word counts."""
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     docs = _docs(spark, d).join(labels, "doc_id")
-    found = X.feature_table(docs, table(spark, d, "conversations")).withColumnRenamed("id", "doc_id")
+    found = X.feature_table(docs, _turns(spark, d)).withColumnRenamed("id", "doc_id")
     p = rounded(M.probability(list(M.PARAMETERS), M.INTERCEPT), 9)
     rows = docs.select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("words"), "label").join(found.select("doc_id", p.alias("p")), "doc_id")
     return rows.withColumn("predicted", (F.col("p") > 0.5).cast("int"))
@@ -91,19 +96,19 @@ def pos_trigram_entropy(spark, d):
 
 @register
 def lm_bigram_counts(spark, d):
-    return X.bigram_model(table(spark, d, "conversations"))[0]
+    return X.bigram_model(_turns(spark, d))[0]
 
 
 @register
 def sentence_perplexity(spark, d):
-    rows = X.sentence_perplexity(_docs(spark, d), table(spark, d, "conversations"))
+    rows = X.sentence_perplexity(_docs(spark, d), _turns(spark, d))
     return _six(rows.select(F.col("id").alias("doc_id"), "sentence_id", "n_tokens", "perplexity", "status", "reason", "warning"))
 
 
 @register
 def doc_perplexity(spark, d):
     docs = _docs(spark, d)
-    return _six(X.document_perplexity(docs, X.sentence_perplexity(docs, table(spark, d, "conversations"))).withColumnRenamed("id", "doc_id"))
+    return _six(X.document_perplexity(docs, X.sentence_perplexity(docs, _turns(spark, d))).withColumnRenamed("id", "doc_id"))
 
 
 @register
@@ -119,7 +124,7 @@ def insufficient_reasons(spark, d):
 
 @register
 def analyze(spark, d):
-    found = M.analyze(_docs(spark, d), table(spark, d, "conversations"), M.parameters(spark))
+    found = M.analyze(_docs(spark, d), _turns(spark, d), M.parameters(spark))
     value = lambda n: F.get("features", F.lit(n))["value"]
     rows = found.select(
         "doc_id", "state", "label", "ai_probability", *[value(i).alias(n) for i, n in enumerate(X.FEATURES)], F.size("sentence_evidence").alias("n_evidence"), F.col("text_statistics.word_count").alias("word_count"),
@@ -131,7 +136,7 @@ def analyze(spark, d):
 
 @register
 def evidence_top3(spark, d):
-    rows = M.lowest_evidence(X.sentence_perplexity(_docs(spark, d), table(spark, d, "conversations")))
+    rows = M.lowest_evidence(X.sentence_perplexity(_docs(spark, d), _turns(spark, d)))
     return _six(rows.select(F.col("id").alias("doc_id"), "place", "sentence_id", "perplexity"))
 
 
@@ -265,7 +270,7 @@ def family_split(spark, d):
 
 def _pair_features(spark, d):
     rows = H.unpivot(_pairs(spark, d)).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
-    return rows.select("id", "pair_id", "label").join(X.feature_table(rows, table(spark, d, "documents"), "id"), "id")
+    return rows.select("id", "pair_id", "label").join(X.feature_table(rows, _docs(spark, d), "id"), "id")
 
 
 def _long_features(spark, d):
@@ -328,7 +333,7 @@ def _hybrid_perplexity(spark, d):
     """(pair_id, hybrid_index, perplexity) of spliced sentences, to nine decimals."""
     ids = _hybrid(spark, d).withColumn("id", F.concat_ws("#", "pair_id", F.col("hybrid_index").cast("string")))
     # each sentence is one document of one sentence or more here: the median stands for it
-    ppl = X.document_perplexity(ids, X.sentence_perplexity(ids, table(spark, d, "documents"), id_col="id"), "id")
+    ppl = X.document_perplexity(ids, X.sentence_perplexity(ids, _docs(spark, d), id_col="id"), "id")
     return ids.select("id", "pair_id", "hybrid_index").join(ppl.select("id", rounded(F.col("perplexity"), 9).alias("perplexity")), "id").drop("id")
 
 
@@ -415,7 +420,7 @@ def boundary_summary(spark, d):
 def _attribution(spark, d):
     """Every spliced document analysed again by the whole model without each of its sentences; documents that it abstains from are left out."""
     variants = H.without_each(_hybrid(spark, d))
-    found = X.feature_table(variants, table(spark, d, "documents"), "id")
+    found = X.feature_table(variants, _docs(spark, d), "id")
     p = M.probability(list(M.PARAMETERS), M.INTERCEPT)
     scored = variants.select("id", "pair_id", "left_out").join(found, "id").select("pair_id", "left_out", p.alias("p"))
     rows = H.attribution(scored).filter("reason is null or reason <> 'full_document_not_classified'").withColumn("contribution", rounded(F.col("contribution"), 9))
@@ -457,7 +462,7 @@ def prefix_drift(spark, d):
 
 @register
 def reconstruct_concat(spark, d):
-    rows = table(spark, d, "conversations")
+    rows = _turns(spark, d)
     out = P.reconstruct_concat(rows, "conv_id", "turn", "text")
     return out.select("conv_id", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"))
 
@@ -494,7 +499,7 @@ def fk_check(spark, d):
 
 @register
 def turn_spans(spark, d):
-    rows = table(spark, d, "conversations")
+    rows = _turns(spark, d)
     return P.span_summary(rows.withColumn("last", F.col("turn") + F.length("text")), "conv_id", "turn", "last")
 
 
@@ -540,12 +545,12 @@ def localization(spark, d):
 
 @register
 def chat_prompts(spark, d):
-    return P.chat_prompts(table(spark, d, "conversations")).select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
+    return P.chat_prompts(_turns(spark, d)).select("conv_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
 
 
 @register
 def reproducibility(spark, d):
-    rows = table(spark, d, "conversations").withColumn("words", T.word_count(F.col("text")).cast("double"))
+    rows = _turns(spark, d).withColumn("words", T.word_count(F.col("text")).cast("double"))
     return _six(P.reproducibility(rows, "conv_id", "turn", "words"))
 
 

@@ -22,9 +22,24 @@ def read_strings(spark: SparkSession, path: str, columns: tuple[str, ...]) -> Da
 
 
 def with_row_index(rows: DataFrame) -> DataFrame:
-    """``rows`` with row_index from 0 in file order, by one count per partition and no global sort."""
-    schema = StructType([*rows.schema.fields]).add("row_index", "long", False)
-    return rows.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """``rows`` with row_index from 0 in file order: the place in its partition and the rows of the partitions before it.
+
+    Counts come from a first pass that reads no column; no row leaves the JVM, and the
+    counts are one row a partition.
+    """
+    marked = rows.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    index = F.col("__offset") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = marked.join(F.broadcast(offsets), F.col("__part") == F.col("__of"))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], index.alias("row_index"))
+
+
+def dealt_out(rows: DataFrame, pieces_a_core: int = 4) -> DataFrame:
+    """``rows`` over all cores where a table comes in fewer pieces than they need; as it is where it comes in many."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < pieces_a_core * cores else rows
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
