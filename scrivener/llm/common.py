@@ -65,8 +65,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], size_col: st
     limit = max(HOT_ROWS, total // HOT_KEYS)
     named = lambda mark: [F.col(k).alias(f"__{mark}_{i}") for i, k in enumerate(keys)]
     found = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    # no literal, or the optimizer would drop the salt from the join's keys
     hot = right.filter(F.col(size_col) > limit).select(*named("hot"), found.alias("__hot"))
-    cold = right.filter(F.col(size_col) <= limit).select(*named("cold"), F.lit(0).cast("long").alias("__none"), found.alias("__cold"))
+    cold = right.filter(F.col(size_col) <= limit).select(*named("cold"), F.least(F.col(size_col), F.lit(0)).cast("long").alias("__none"), found.alias("__cold"))
     same = lambda mark: [left[k] == F.col(f"__{mark}_{i}") for i, k in enumerate(keys)]
     rows = left.join(F.broadcast(hot), same("hot"), "left")
     rows = rows.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
