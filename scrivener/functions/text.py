@@ -115,16 +115,29 @@ def margin_bin(margin: Column) -> Column:
     return out
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """So many decimals of the double itself, not of its shortest decimal form: 0.0045 lies below its tie.
+
+    The product with a power of ten is taken with its rounding error, which decides ties.
+    """
+    scale, size = float(10**digits), F.abs(value)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    product = size * scale
+    error = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product) + F.when((product - F.floor(product) - 0.5) + error >= 0, 1).otherwise(0)
+    return F.format_string(f"%.{digits}f", F.signum(value) * whole.cast("double") / scale)
+
+
 def feature_text(value: Column) -> Column:
     """Two decimals from 100, three from 10, else four with trailing zeros cut; ``Unavailable`` for null."""
-    small = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value), "0+$", ""), r"\.$", "")
-    by_size = F.when(F.abs(value) >= 100, F.format_string("%.2f", value)).when(F.abs(value) >= 10, F.format_string("%.3f", value)).otherwise(small)
+    small = F.regexp_replace(F.regexp_replace(fixed(value, 4), "0+$", ""), r"\.$", "")
+    by_size = F.when(F.abs(value) >= 100, fixed(value, 2)).when(F.abs(value) >= 10, fixed(value, 3)).otherwise(small)
     return F.when(value.isNull(), "Unavailable").otherwise(by_size)
 
 
 def signal_text(p: Column) -> Column:
     """Three decimals; ``Not reported`` for null."""
-    return F.when(p.isNull(), "Not reported").otherwise(F.format_string("%.3f", p))
+    return F.when(p.isNull(), "Not reported").otherwise(fixed(p, 3))
 
 
 def number_text(value: Column) -> Column:

@@ -426,4 +426,32 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'both_classes_each_side', bool_and(n = 2) FROM (SELECT count(DISTINCT label) AS n FROM r GROUP BY split)""",
 }
 
+def _nine(v: str, prefix: str) -> str:
+    q = lambda x: f"quantile_cont({v}, {x})"
+    return (
+        f"count({v}) AS {prefix}count, {six(f'avg({v})')} AS {prefix}mean, {six(f'median({v})')} AS {prefix}median, {six(f'stddev_samp({v})')} AS {prefix}stdev, {six(q(0.25))} AS {prefix}q1, "
+        f"{six(q(0.75))} AS {prefix}q3, {six(f'{q(0.75)} - {q(0.25)}')} AS {prefix}iqr, {six(f'min({v})')} AS {prefix}min, {six(f'max({v})')} AS {prefix}max"
+    )
+
+
+_AI, _HUMAN = "CASE WHEN origin = 'ai_inserted' THEN score END", "CASE WHEN origin = 'human' THEN score END"
+_NINES = f"(SELECT pair_id, origin, {six('score', 9)} AS score FROM anomaly)"
+_USED = f"SELECT pair_id FROM ({PAIRS}) ORDER BY md5('{SEED}|' || pair_id), pair_id LIMIT 20"
+
+ORACLE_SQL |= {
+    "eligibility_count": rf"SELECT count(*) AS total, count(*) FILTER ({_STRIPPED} <> '') AS pool, count(*) FILTER (lang = 'en' AND {count('text', r'\S+')} BETWEEN 300 AND 1800) AS eligible FROM documents",
+    "first_pairs": f"SELECT pair_id FROM ({PAIRS}) ORDER BY split_part(pair_id, '-', 1)::BIGINT, split_part(pair_id, '-', 2)::BIGINT LIMIT 20",
+    "role_texts": rf"SELECT pair_id, label, sha256(text) AS text_hash, {count('text', r'\S+')} AS words FROM ({SIDES}) JOIN {_SPLIT} USING (pair_id) WHERE split = 'validation'",
+    "prediction_rows": f"SELECT doc_id, label, words, {_WORD_BIN} AS word_bin, {six('p')} AS p, {six('margin')} AS margin, margin_bin, predicted, predicted = label AS correct FROM {_MARGINS}",
+    "id_union": "SELECT count(*) AS ids, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)",
+    "id_overlap": f"""WITH used AS ({_USED}), later AS (SELECT pair_id FROM ({PAIRS}) WHERE pair_id NOT IN (SELECT pair_id FROM used) ORDER BY md5('{SEED + 2}|' || pair_id), pair_id LIMIT 10)
+        SELECT count(*) AS shared, count(*) = 0 AS disjoint FROM (SELECT pair_id FROM used INTERSECT SELECT pair_id FROM later)""",
+    "human_above_ai": f"""WITH m AS (SELECT *, min({_AI}) OVER (PARTITION BY pair_id) AS least FROM {_NINES})
+        SELECT pair_id, {six('any_value(least)')} AS least_ai, CASE WHEN any_value(least) IS NOT NULL THEN count(*) FILTER (origin = 'human' AND score > least) END AS above FROM m GROUP BY pair_id""",
+    "anomaly_report": f"""SELECT count(DISTINCT pair_id) AS documents, {_nine(_AI, 'ai_')}, {_nine(_HUMAN, 'human_')}, {six(f'median({_AI}) - median({_HUMAN})')} AS gap,
+        (SELECT count(*) FROM ({PAIRS}) WHERE len({sentences('human_text')}) < 2 OR len({sentences('ai_text')}) < 3) AS rejected FROM {_NINES}""",
+    "distribution_reasons": "SELECT feature, label, reason, count(*) AS n FROM long WHERE v IS NULL GROUP BY feature, label, reason",
+    "span_keys": "SELECT count(*) AS keys, count(*) FILTER (n > 1) AS with_several FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)",
+}
+
 ORACLE_SQL = {name: whole(sql) for name, sql in ORACLE_SQL.items()}

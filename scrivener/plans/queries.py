@@ -588,3 +588,90 @@ def checks_hybrid(spark, d):
 @register
 def checks_split(spark, d):
     return C.split_checks(S.group_split(H.unpivot(_pairs(spark, d)).select("pair_id", "label"), "pair_id", 0.2, SEED), "pair_id", "label")
+
+
+@register
+def eligibility_count(spark, d):
+    """How many texts a pilot could use; the pool itself keeps every text that is not blank."""
+    words = T.word_count(F.col("text"))
+    eligible = (F.col("lang") == "en") & words.between(300, 1800)
+    return _docs(spark, d).agg(F.count("*").alias("total"), F.count_if(T.strip(F.col("text")) != "").alias("pool"), F.count_if(eligible).alias("eligible"))
+
+
+@register
+def first_pairs(spark, d):
+    """The first twenty pairs in the order of their conversations."""
+    key = F.split("pair_id", "-")
+    rows = _pairs(spark, d).withColumns({"conv": F.get(key, F.lit(0)).cast("long"), "turn": F.get(key, F.lit(1)).cast("long")})
+    return rows.orderBy("conv", "turn").limit(20).select("pair_id")
+
+
+@register
+def role_texts(spark, d):
+    """The text that each row of the validation half stands for: the human one for label 0, else the other."""
+    rows = S.group_split(H.unpivot(_pairs(spark, d)).select("pair_id", "label"), "pair_id", 0.2, SEED).filter("split = 'validation'")
+    text = F.when(F.col("label") == 0, F.col("human_text")).otherwise(F.col("ai_text"))
+    return rows.join(_pairs(spark, d), "pair_id").select("pair_id", "label", F.sha2(text, 256).alias("text_hash"), T.word_count(text).alias("words"))
+
+
+@register
+def prediction_rows(spark, d):
+    """Every scored row with its bins and whether its prediction is right, in order."""
+    rows = E.margins(_scored(spark, d).filter("p is not null")).withColumn("word_bin", T.word_bin(F.col("words")))
+    columns = ("doc_id", "label", "words", "word_bin", "p", "margin", "margin_bin", "predicted", (F.col("predicted") == F.col("label")).alias("correct"))
+    return _six(rows.select(*columns)).orderBy("doc_id", "label")
+
+
+@register
+def id_union(spark, d):
+    """Identifiers that either table knows, each once."""
+    both = _docs(spark, d).select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
+    return both.agg(F.count("*").alias("ids"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@register
+def id_overlap(spark, d):
+    """A later sample shares no pair with the one before it."""
+    pairs = _pairs(spark, d)
+    used = S.sample(pairs, "pair_id", 20, SEED)
+    later = S.sample(S.untouched(pairs, used, "pair_id"), "pair_id", 10, SEED + 2)
+    shared = used.select("pair_id").intersect(later.select("pair_id"))
+    return shared.agg(F.count("*").alias("shared"), (F.count("*") == 0).alias("disjoint"))
+
+
+def _rounded_anomaly(spark, d):
+    return _anomaly(spark, d).withColumn("score", rounded(F.col("score"), 9))
+
+
+@register
+def human_above_ai(spark, d):
+    """Per document the original sentences that score above its least anomalous inserted one; null without such a score."""
+    least = F.min(F.when(F.col("origin") == "ai_inserted", F.col("score")))
+    rows = _rounded_anomaly(spark, d).groupBy("pair_id").agg(least.alias("least_ai"), F.collect_list(F.when(F.col("origin") == "human", F.col("score"))).alias("human"))
+    above = F.size(F.filter("human", lambda x: x > F.col("least_ai"))).cast("long")
+    return _six(rows.select("pair_id", "least_ai", F.when(F.col("least_ai").isNotNull(), above).alias("above")))
+
+
+@register
+def anomaly_report(spark, d):
+    """Nine numbers of the scores by origin, the gap between the medians, and documents built and rejected."""
+    rows = _rounded_anomaly(spark, d)
+    side = lambda y: F.when(F.col("origin") == y, F.col("score"))
+    gap = F.median(side("ai_inserted")) - F.median(side("human"))
+    scores = rows.agg(F.count_distinct("pair_id").alias("documents"), *nine_numbers(side("ai_inserted"), "ai_"), *nine_numbers(side("human"), "human_"), gap.alias("gap"))
+    rejected = H.splice(_pairs(spark, d))[1].agg(F.count("*").alias("rejected"))
+    return _six(scores.join(F.broadcast(rejected)))
+
+
+@register
+def distribution_reasons(spark, d):
+    """Why values are missing, by feature and side."""
+    return _long_features(spark, d).filter("v is null").groupBy("feature", "label", "reason").agg(F.count("*").alias("n"))
+
+
+@register
+def span_keys(spark, d):
+    """Keys of the span aggregate, and how many have more than one row."""
+    rows = _turns(spark, d)
+    spans = P.span_summary(rows.withColumn("last", F.col("turn") + F.length("text")), "conv_id", "turn", "last")
+    return spans.agg(F.count("*").alias("keys"), F.count_if(F.col("rows") > 1).alias("with_several"))

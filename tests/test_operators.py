@@ -134,6 +134,10 @@ def test_scalars(spark):
     assert one(spark, T.strict_int(F.col("v")), "12.0", "12", "x", None) == [10**12, 12, 10**12, 10**12]
     assert one(spark, T.feature_text(F.col("v")), 123.456, 42.93217, 0.5, 3.0, None, schema="v double") == ["123.46", "42.932", "0.5", "3", "Unavailable"]
     assert one(spark, T.signal_text(F.col("v")), 0.5, None, schema="v double") == ["0.500", "Not reported"]
+    values = [0.0045, 0.82875, 0.89525, 12.0005, 100.005, 1234.565, -3.14155, 1.00005, 99.9999, 0.1, 2.675, 1e-7]
+    assert [float(x) for x in one(spark, T.fixed(F.col("v"), 4), *values, schema="v double")] == [float(f"{x:.4f}") for x in values]
+    assert one(spark, T.fixed(F.col("v"), 3), *values, schema="v double") == [f"{x:.3f}" for x in values]
+    assert one(spark, T.number_text(F.col("v")), 1234.5, None, schema="v double") == ["1,234.50", "n/a"]
     assert one(spark, T.preview(F.col("v"), 3), "abc", " ab\ncd") == ["abc", "ab ..."]
     assert one(spark, T.word_count(F.col("v")), "  one two\nthree ", "") == [3, 0]
     assert one(spark, F.size(T.sentences(F.col("v"))), "One. Two? Three", "") == [3, 0]
