@@ -16,6 +16,7 @@ an unfinished character from one call to the next.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -79,12 +80,17 @@ class BytePairTransducer:
 
     def _merge(self, text: bytes) -> list[int]:
         """Tokens by merging, for the short strings that settle which tokens may be neighbours."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 60:
-                break
+        pairs = [rank(text[i : i + 2], none) for i in range(len(text) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            at = pairs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            # only the pairs beside the merged part have another rank now
+            for i in (at - 1, at):
+                if 0 <= i < len(pairs):
+                    pairs[i] = rank(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def _fits(self, before: int | None, token: int) -> bool:
@@ -150,17 +156,18 @@ class BytePairTransducer:
         out: list[int] = []
         last: list[int] = []
         state, steps = 0, self.steps
-        for byte in text:
-            step = steps[state].get(byte)
-            if step is None:
-                step = self._step(state, byte)
-                steps = self.steps
-            state, token = step
-            last.append(token)
-            if not len(last) % WINDOW:
+        for start in range(0, len(text), WINDOW):
+            if start:
                 settled = self._settled(last, state)
                 out += settled
                 del last[: sum(len(self.bytes_of[t]) for t in settled)]
+            for byte in text[start : start + WINDOW]:
+                step = steps[state].get(byte)
+                if step is None:
+                    step = self._step(state, byte)
+                    steps = self.steps
+                state, token = step
+                last.append(token)
         return (*out, *self._back(last, len(last)))
 
 
@@ -267,6 +274,8 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
         self.transducer = BytePairTransducer(ranks, max_states)
         self.pieces = _Pieces(self.transducer, max_pieces)
+        #: The decimal form of every identifier, for digests.
+        self.decimal = {rank: str(rank) for rank in ranks.values()}
         self.findall = regex.compile(pattern).findall
         simple = narrow(pattern)
         self.findall_narrow = re.compile(simple).findall if simple else self.findall
@@ -296,6 +305,8 @@ def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int =
         if name not in _COMPILED:
             _COMPILED.clear()
             _COMPILED[name] = Tokenizer(shipped.value, pattern, max_pieces, max_states)
+            # the compiled tables stay as long as the worker: the collector need not visit them
+            gc.freeze()
         return _COMPILED[name]
 
     return get
@@ -370,7 +381,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             for text in batch.column(1):
                 ids = own.encode(text.as_py())
                 out[0].append(len(ids))
-                out[1].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                out[1].append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
