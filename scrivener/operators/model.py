@@ -102,6 +102,31 @@ def lowest_evidence(scored: DataFrame, n: int = 3) -> DataFrame:
     return scored.filter(F.col("perplexity").isNotNull()).withColumn("place", place).filter(F.col("place") <= n)
 
 
+def verify_known(scored: DataFrame, known: DataFrame, *keys: str, tolerance: float = 1e-12) -> DataFrame:
+    """Whether a model still gives known rows what it gave them: each must be found once, with the same prediction and p.
+
+    ``known`` has the keys, expected_prediction and expected_p; a row that is missing or
+    repeated is not verified.
+    """
+    found = scored.join(known.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys).agg(F.count("*").alias("matches"), F.max("predicted").alias("observed_prediction"), F.max("p").alias("observed_p"))
+    joined = known.join(found, list(keys), "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    delta = F.abs(F.col("observed_p") - F.col("expected_p"))
+    same = (F.col("matches") == 1) & (F.col("observed_prediction") == F.col("expected_prediction")) & (delta <= tolerance)
+    return joined.select(*keys, "matches", "expected_prediction", "observed_prediction", "expected_p", "observed_p", delta.alias("delta"), F.coalesce(same, F.lit(False)).alias("verified"))
+
+
+def training_metadata(rows: DataFrame, split: DataFrame, group: str) -> DataFrame:
+    """One row on a training run: rows before and after the feature filter, and groups and rows on each side."""
+    side = lambda name: F.col("split") == name
+    kept = split.agg(
+        F.count("*").alias("__kept"), F.count_distinct(F.when(side("train"), F.col(group))).alias("training_groups"), F.count_if(side("train")).alias("training_rows"),
+        F.count_distinct(F.when(side("validation"), F.col(group))).alias("validation_groups"), F.count_if(side("validation")).alias("validation_rows"),
+    )
+    before = rows.agg(F.count("*").alias("rows_before_feature_filter"))
+    dropped = (F.col("rows_before_feature_filter") - F.col("__kept")).alias("rows_dropped")
+    return before.join(F.broadcast(kept)).select("rows_before_feature_filter", dropped, "training_groups", "training_rows", "validation_groups", "validation_rows")
+
+
 class Detector:
     """``analyze`` with a corpus and parameters in place, for any batch of documents."""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scrivener.functions import text as T
 from scrivener.functions.stats import ratio, variation
@@ -152,10 +156,33 @@ def reproducibility(runs: DataFrame, key: str, order: str, value: str, tolerance
 
 
 def normalised(text: Column) -> Column:
-    """A view for comparison only: NFC left to the source, line ends and white space made one."""
+    """A view for comparison only: line ends and white space made one; ``nfc`` composes characters before it where texts need it."""
     return T.normalise_spaces(F.regexp_replace(text, "\r\n?", "\n"))
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Texts in Unicode normalisation form C, which no built-in function gives; null for null."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def normalised_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_sha256, view_sha256, changed): the text as it is, and its view for comparison; a null text counts as empty."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("t")).withColumn("view", normalised(nfc("t")))
+    return rows.select("id", F.sha2("t", 256).alias("text_sha256"), F.sha2("view", 256).alias("view_sha256"), (F.col("t") != F.col("view")).alias("changed"))
+
+
+MANIFEST = ("document_id", "family_id", "category", "source_id", "topic_id", "language", "word_count", "generation_model", "transformation_type", "transformation_regions", "split", "dataset_version")
+
+
+def corpus_manifest(docs: DataFrame, split: Column, version: str) -> DataFrame:
+    """The twelve columns of a document manifest; columns that ``docs`` lacks are null, word_count comes from its text."""
+    given = {c: F.col(c).cast("string") for c in docs.columns}
+    given |= {"word_count": T.word_count(F.coalesce(F.col("text"), F.lit(""))), "split": split, "dataset_version": F.lit(version)}
+    return docs.select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in MANIFEST])
+
+
 def copies(rows: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """Texts that are equal after normalisation but belong to more than one family: leakage across a split by family."""
     digest = F.sha2(normalised(F.coalesce(F.col(text), F.lit(""))), 256)

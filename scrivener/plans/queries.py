@@ -22,7 +22,7 @@ from scrivener.operators import hybrid as H
 from scrivener.operators import model as M
 from scrivener.operators import profile as P
 from scrivener.operators import sampling as S
-from scrivener.sources.readers import dealt_out
+from scrivener.sources.readers import dealt_out, table_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 20260813
@@ -675,3 +675,108 @@ def span_keys(spark, d):
     rows = _turns(spark, d)
     spans = P.span_summary(rows.withColumn("last", F.col("turn") + F.length("text")), "conv_id", "turn", "last")
     return spans.agg(F.count("*").alias("keys"), F.count_if(F.col("rows") > 1).alias("with_several"))
+
+
+def _long_of(rows):
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), rounded(F.col(f), 9).alias("v"), F.col(X.REASONS[f]).alias("reason")) for f in X.FEATURES])
+    return rows.select("pair_id", "label", F.explode(cells).alias("x")).select("pair_id", "label", "x.*")
+
+
+@register
+def checks_distribution(spark, d):
+    """Of a run over 200 sampled pairs."""
+    pairs = _pairs(spark, d)
+    selected = S.sample(pairs, "pair_id", 200, SEED)
+    rows = H.unpivot(selected).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
+    long = _long_of(rows.select("id", "pair_id", "label").join(X.feature_table(rows, _docs(spark, d), "id"), "id"))
+    summary = long.groupBy("feature", "label").agg(*nine_numbers(F.col("v")))
+    same = C.unchanged(table_digest(_turns(spark, d)), table_digest(table(spark, d, "conversations")))
+    return C.distribution_checks(selected, long, summary, 200).unionByName(same)
+
+
+@register
+def checks_sources(spark, d):
+    hybrid, rejected = H.splice(_pairs(spark, d))
+    return C.source_checks(hybrid, _pairs(spark, d), _anomaly(spark, d), rejected)
+
+
+@register
+def checks_grid(spark, d):
+    return C.grid_checks(_grid(spark, d), _hybrid(spark, d), len(WIDTHS) * len(SETS))
+
+
+@register
+def checks_pilot(spark, d):
+    docs = _docs(spark, d)
+    selected = docs.join(F.broadcast(pilot_round_robin(spark, d).select("doc_id")), "doc_id", "left_semi")
+    offsets = P.sentence_offsets(selected)
+    parts = offsets.join(selected, offsets["id"] == selected["doc_id"]).select("doc_id", "start", (F.col("end") - 1).alias("end"), "sentence_id", F.expr("substring(text, int(start) + 1, int(end - start))").alias("part"))
+    rebuilt = P.reconstruct_overlay(parts, "doc_id", "start", "end", "sentence_id", "part")
+    same = C.unchanged(table_digest(docs), table_digest(table(spark, d, "documents").select(*docs.columns)), "raw_table_unchanged")
+    return C.pilot_checks(selected, rebuilt, "doc_id", "source", "text").unionByName(same)
+
+
+@register
+def known_rows(spark, d):
+    """The first five classified documents, scored again by the parameters as read from their table."""
+    scored = _scored(spark, d)
+    known = scored.filter("p is not null").orderBy("doc_id").limit(5).select("doc_id", F.col("predicted").alias("expected_prediction"), F.col("p").alias("expected_p"))
+    params, intercept = M.load_parameters(M.parameters(spark))
+    found = X.feature_table(_docs(spark, d), _turns(spark, d)).select(F.col("id").alias("doc_id"), rounded(M.probability(params, intercept), 9).alias("p"))
+    return _six(M.verify_known(found.withColumn("predicted", (F.col("p") > 0.5).cast("int")), known, "doc_id"))
+
+
+@register
+def training_metadata(spark, d):
+    rows = _pair_features(spark, d)
+    return M.training_metadata(rows, S.group_split(rows.dropna(subset=list(X.FEATURES)), "pair_id", 0.2, SEED), "pair_id")
+
+
+def _labelled_words(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return _docs(spark, d).join(labels, "doc_id").select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("words"), "label")
+
+
+@register
+def group_holdouts(spark, d):
+    """Each source held out, judged by the word counts of the others."""
+    return _six(E.group_out(_labelled_words(spark, d), "source", "words"))
+
+
+@register
+def metadata_leakage(spark, d):
+    """Area under the curve of a score that knows language and source only."""
+    return _six(E.roc_auc(E.learned_share(_labelled_words(spark, d), ("lang", "source"), "doc_id", SEED)))
+
+
+@register
+def sanity_checks(spark, d):
+    """Areas that length, source and permuted labels give, and families on both sides of a pair split."""
+    rows = _labelled_words(spark, d)
+    named = lambda name, found: found.select(F.lit(name).alias("check_name"), F.col("roc_auc").alias("value"))
+    out = named("length_only", E.roc_auc(rows, score="words", width=1.0))
+    out = out.unionByName(named("topic_only", E.roc_auc(E.learned_share(rows, ("source",), "doc_id", SEED))))
+    out = out.unionByName(named("permuted_labels", E.roc_auc(E.permuted_labels(rows, "doc_id", SEED), score="words", width=1.0)))
+    sides = pair_split(spark, d).groupBy("pair_id").agg(F.count_distinct("split").alias("sides"))
+    return _six(out.unionByName(sides.agg(F.lit("families_on_both_sides").alias("check_name"), F.count_if(F.col("sides") > 1).cast("double").alias("value"))))
+
+
+@register
+def normalised_view(spark, d):
+    return P.normalised_view(_docs(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+@register
+def corpus_manifest(spark, d):
+    """Both halves of every pair, and the spliced document where there is one with the sentences that it took over."""
+    sides = H.unpivot(_pairs(spark, d)).select(
+        F.concat_ws("#", "pair_id", F.col("label").cast("string")).alias("document_id"), F.col("pair_id").alias("family_id"), F.when(F.col("label") == 0, "human").otherwise("ai").alias("category"),
+        F.lit("none").alias("transformation_type"), F.lit(None).cast("string").alias("transformation_regions"), "text",
+    )
+    taken = F.col("origin") == "ai_inserted"
+    ordered = F.array_sort(F.collect_list(F.struct("hybrid_index", "text")))
+    at = F.when(taken, F.col("hybrid_index"))
+    spliced = _hybrid(spark, d).groupBy("pair_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.concat_ws("-", F.min(at).cast("string"), F.max(at).cast("string")).alias("transformation_regions"))
+    spliced = spliced.select(F.concat("pair_id", F.lit("#hybrid")).alias("document_id"), F.col("pair_id").alias("family_id"), F.lit("hybrid").alias("category"), F.lit("inserted_block").alias("transformation_type"), "transformation_regions", "text")
+    docs = sides.unionByName(spliced).withColumn("source_id", F.lit("conversations"))
+    return P.corpus_manifest(docs, S.three_way(F.col("family_id"), SEED), "1")

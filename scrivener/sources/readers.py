@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -101,6 +102,23 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     return params
 
 
+def model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The metadata row of a written model; of one that is not there, that it is not and the features it would take."""
+    from scrivener.operators.features import FEATURES
+
+    try:
+        return spark.read.json(f"{path}/metadata").withColumn("artifact_available", F.lit(True))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.range(1).select(F.lit(False).alias("artifact_available"), F.array(*map(F.lit, FEATURES)).alias("feature_order"))
+
+
+def table_digest(rows: DataFrame) -> DataFrame:
+    """One row (n, digest) that no order of rows changes: equal before and after a run that left the table alone."""
+    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)")).alias("digest"))
+
+
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of each file: equal before and after a run if the input was left alone."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

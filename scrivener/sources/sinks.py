@@ -30,6 +30,12 @@ def manifest(ids: DataFrame, key: str, seed: int, digest: str) -> DataFrame:
     return ids.agg(F.lit(seed).alias("seed"), F.count("*").alias("n"), F.lit(digest).alias("dataset_sha256"), F.array_sort(F.collect_list(F.col(key).cast("string"))).alias("selected_ids"))
 
 
+def write_model(params: DataFrame, path: str, metadata: DataFrame) -> None:
+    """The parameter table, and one row of metadata as JSON, under one folder."""
+    params.write.mode("errorifexists").parquet(f"{path}/parameters")
+    metadata.limit(1).coalesce(1).write.mode("errorifexists").json(f"{path}/metadata")
+
+
 def markdown(counts: DataFrame, title: str, limit: int = 50) -> str:
     """A small table of (value, n) rows as Markdown; ``(none)`` if there are none."""
     rows = counts.limit(limit).collect()

@@ -1,5 +1,6 @@
 """Core operators against plain Python, and the cases that the given tables never hold."""
 
+import hashlib
 import math
 import random
 import re
@@ -245,3 +246,88 @@ def test_stream_scores_each_batch(spark, tmp_path):
     query = scoring.score_stream(scoring.requests(spark, f"{tmp_path}/in"), detector, f"{tmp_path}/out", f"{tmp_path}/ckpt")
     query.awaitTermination(120)
     assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1] and [r.doc_id for r in spark.read.parquet(f"{tmp_path}/out_rejected").collect()] == [2]
+
+
+def test_thresholds_and_areas_beyond_all_slices(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 1), float(rng.choice([-9000, -8999, -1, 0, 1, 2, 7, 4096, 4097, 9000, 9001]))) for _ in range(300)] + [(1, None)]
+    frame_ = spark.createDataFrame(rows, "label int, p double")
+    known = [(y, p) for y, p in rows if p is not None]
+    ones, zeros = ([p for y, p in known if y == c] for c in (1, 0))
+    area = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros)
+    assert math.isclose(evaluate.roc_auc(frame_).first().roc_auc, area) and math.isclose(evaluate.roc_auc(frame_, width=1.0).first().roc_auc, area)
+    f1 = {t: 2 * sum(y for y, p in known if p <= t) / (sum(p <= t for _, p in known) + len(ones)) for _, t in known}
+    best = min(f1, key=lambda t: (-f1[t], t))
+    got = evaluate.best_threshold(frame_, "p").first()
+    assert (got.threshold, got.tp, got.positives) == (best, sum(y for y, p in known if p <= best), len(ones)) and math.isclose(got.f1, f1[best])
+    assert evaluate.best_threshold(frame_.limit(0), "p").count() == 0
+
+
+def test_places_by_hash(spark):
+    rows = spark.createDataFrame([(f"p{k}", "x" if k < 700 else None if k < 1000 else "y") for k in range(3000)], "k string, g string")
+    by_hash = lambda keys, seed: sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{k}".encode()).hexdigest(), k))
+    split = {r.k for r in sampling.group_split(rows, "k", 0.2, 7).filter("split = 'validation'").collect()}
+    assert split == set(by_hash([f"p{k}" for k in range(3000)], 7)[:600])
+    two = {r.k for r in sampling.balanced(rows.filter("g is null or g = 'y'"), "k", "g", 3).collect()}
+    assert two == {f"p{k}" for k in range(700, 1000)} | set(by_hash([f"p{k}" for k in range(1000, 3000)], 3)[:300])
+
+
+def test_holdouts_and_leakage(spark):
+    rows = [(i, "a" if i < 40 else "b" if i < 70 else None, i % 7, int(i % 3 == 0)) for i in range(100)]
+    frame_ = spark.createDataFrame(rows, "id int, g string, x int, label int")
+    got = {r.g: r for r in evaluate.group_out(frame_, "g", "x").collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        mean = [statistics.mean(x for _, h, x, y in rows if h != g and y == c) for c in (0, 1)]
+        t, up = sum(mean) / 2, mean[1] >= mean[0]
+        own = [(x, y) for _, h, x, y in rows if h == g]
+        assert math.isclose(r.threshold, t) and math.isclose(r.accuracy, sum(((x > t) if up else (x < t)) == (y == 1) for x, y in own) / len(own)) and r.n_train == 100 - len(own)
+    alone = evaluate.group_out(frame_.filter("g = 'a'"), "g", "x").first()
+    assert alone.threshold is None and alone.accuracy is None and alone.n_test == 40
+    moved = {r.id: r.label for r in evaluate.permuted_labels(frame_, "id", 4).collect()}
+    assert sum(moved.values()) == sum(y for *_, y in rows) and any(moved[i] != y for i, _, _, y in rows)
+    taught = {i: hashlib.md5(f"4|{i}".encode()).hexdigest()[0] < "8" for i in range(100)}
+    for r in evaluate.learned_share(frame_, ("g",), "id", 4).select("g", "p").distinct().collect():
+        cell = [y for i, g, _, y in rows if g == r.g and taught[i]]
+        assert math.isclose(r.p, (sum(cell) + 1) / (len(cell) + 2))
+
+
+def test_known_rows_and_model_files(spark, tmp_path):
+    scored = spark.createDataFrame([(1, 1, 0.75), (2, 0, 0.25), (2, 0, 0.25), (3, 1, 0.9)], "id int, predicted int, p double")
+    known = spark.createDataFrame([(1, 1, 0.75), (2, 0, 0.25), (3, 1, 0.9 + 1e-9), (4, 1, 0.6)], "id int, expected_prediction int, expected_p double")
+    got = {r.id: (r.matches, r.verified) for r in model.verify_known(scored, known, "id").collect()}
+    assert got == {1: (1, True), 2: (2, False), 3: (1, False), 4: (0, False)}
+    absent = readers.model_metadata(spark, f"{tmp_path}/model").first()
+    assert not absent.artifact_available and absent.feature_order == list(features.FEATURES)
+    sinks.write_model(model.parameters(spark), f"{tmp_path}/model", spark.createDataFrame([("run", 3)], "name string, rows int"))
+    assert readers.model_metadata(spark, f"{tmp_path}/model").first().name == "run" and readers.read_parameters(spark, f"{tmp_path}/model/parameters").count() == 4
+
+
+def test_normalised_view(spark):
+    got = {r.id: r for r in profile.normalised_view(frame(spark, ["cafe\u0301\r\nx", "caf\u00e9 x", None, ""])).collect()}
+    assert got[0].view_sha256 == got[1].view_sha256 == got[1].text_sha256 and got[0].changed and not got[1].changed
+    assert got[2].view_sha256 == got[3].view_sha256 and not got[2].changed
+
+
+def test_checks_fail_on_unsound_runs(spark):
+    failed = lambda rows: {r.check_name for r in rows.collect() if not r.passed}
+    table = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id int, t string")
+    digest = readers.table_digest
+    assert not failed(checks.unchanged(digest(table), digest(table.repartition(3)))) and failed(checks.unchanged(digest(table), digest(table.distinct())))
+    assert failed(checks.unchanged(digest(table), digest(table.fillna("b")))) == {"raw_dataset_unchanged"} and not failed(checks.unchanged(digest(table.limit(0)), digest(table.limit(0))))
+    chosen = spark.createDataFrame([("p",), ("q",), ("q",)], "pair_id string")
+    long = spark.createDataFrame([("p", 0, "mattr", 1.5, None), ("p", 1, "mattr", float("nan"), None), ("r", 0, "mattr", None, "short")], "pair_id string, label int, feature string, v double, reason string")
+    summary = spark.createDataFrame([("mattr", 0, 2)], "feature string, label int, count bigint")
+    assert len(failed(checks.distribution_checks(chosen, long, summary, 2))) == 7
+    pairs = spark.createDataFrame([("p", "H1. H2. H3.", "A1. A2. A3. A4."), ("q", "H1.", "A1. A2. A3.")], "pair_id string, human_text string, ai_text string")
+    kept, rejected = hybrid.splice(pairs)
+    scores = spark.createDataFrame([(1.0, None), (None, "none")], "score double, score_reason string")
+    assert not failed(checks.source_checks(kept, pairs, scores, rejected))
+    other = kept.withColumn("text", F.concat("text", F.lit("x"))).withColumn("hybrid_index", F.col("hybrid_index") + 1)
+    bad = spark.createDataFrame([(float("inf"), None), (None, None)], "score double, score_reason string")
+    assert len(failed(checks.source_checks(other.filter("hybrid_index > 2"), pairs, bad, rejected.limit(0)))) == 6
+    grid = kept.select(F.explode(F.array(F.lit(1), F.lit(3))).alias("window"), F.lit("all").alias("feature_set"), "pair_id", "origin")
+    assert not failed(checks.grid_checks(grid, kept, 2)) and len(failed(checks.grid_checks(grid.filter("origin = 'human'"), kept, 3))) == 3
+    picked = spark.createDataFrame([(1, "a", " "), (1, "a", " ")], "id int, prompt string, t string")
+    rebuilt = spark.createDataFrame([(1, "x", True)], "id int, text string, ok boolean")
+    assert len(failed(checks.pilot_checks(picked, rebuilt, "id", "prompt", "t"))) == 4
