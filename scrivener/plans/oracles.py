@@ -495,7 +495,7 @@ ORACLE_SQL |= {
     "checks_pilot": f"""WITH s AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_PILOT})))
         SELECT 'reconstructed_success' AS check_name, bool_and(array_to_string(regexp_extract_all(text, '[^.!?]+[.!?]+|[^.!?]+$'), '') = text) AS passed FROM s UNION ALL SELECT 'non_empty_files', bool_and({_STRIPPED} <> '') FROM s
         UNION ALL SELECT 'no_duplicate_ids', count(*) = count(DISTINCT doc_id) FROM s UNION ALL SELECT 'prompt_diversity', count(DISTINCT source) >= least(4, count(*)) FROM s UNION ALL SELECT 'raw_table_unchanged', true""",
-    "known_rows": f"SELECT doc_id, 1 AS matches, predicted AS expected_prediction, predicted AS observed_prediction, {six('p')} AS expected_p, {six('p')} AS observed_p, 0.0 AS delta, true AS verified FROM {SCORED} WHERE p IS NOT NULL ORDER BY doc_id LIMIT 5",
+    "known_rows": f"SELECT doc_id, 1::BIGINT AS matches, predicted AS expected_prediction, predicted AS observed_prediction, {six('p')} AS expected_p, {six('p')} AS observed_p, 0.0::DOUBLE AS delta, true AS verified FROM {SCORED} WHERE p IS NOT NULL ORDER BY doc_id LIMIT 5",
     "training_metadata": f"""WITH k AS MATERIALIZED (SELECT pair_id FROM side_features WHERE {_WHOLE}),
             g AS (SELECT pair_id, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}|' || pair_id), pair_id) <= ceil(count(*) OVER () * 0.2) THEN 'validation' ELSE 'train' END AS split FROM (SELECT DISTINCT pair_id FROM k)), s AS (SELECT * FROM k JOIN g USING (pair_id))
         SELECT (SELECT count(*) FROM side_features) AS rows_before_feature_filter, (SELECT count(*) FROM side_features) - count(*) AS rows_dropped, count(DISTINCT pair_id) FILTER (split = 'train') AS training_groups, count(*) FILTER (split = 'train') AS training_rows,

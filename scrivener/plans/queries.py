@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 from scrivener.functions.stats import cohens_d, nine_numbers, overlap_ratio, ratio, rounded, safe_log
+from scrivener.operators import calibrate as K
 from scrivener.operators import checks as C
 from scrivener.operators import evaluate as E
 from scrivener.operators import features as X
@@ -761,6 +762,19 @@ def sanity_checks(spark, d):
     return _six(out.unionByName(sides.agg(F.lit("families_on_both_sides").alias("check_name"), F.count_if(F.col("sides") > 1).cast("double").alias("value"))))
 
 
+@register
+def calibration_methods(spark, d):
+    """Brier score and expected calibration error of one half of the documents, as scored and by two maps that the other half taught."""
+    rows = _scored(spark, d).filter("p is not null").persist()
+    taught = F.substring(S.seeded(SEED, F.col("doc_id")), 1, 1) < "8"
+    learn, rest = rows.filter(taught), rows.filter(~taught)
+    out = None
+    for name, found in (("as_scored", rest), ("platt", K.platt(learn, rest)), ("isotonic", K.isotonic(learn, rest))):
+        part = E.calibration(found).agg(F.lit(name).alias("method"), F.sum("n").alias("n"), F.sum("brier_part").alias("brier"), F.sum("ece_part").alias("ece"))
+        out = part if out is None else out.unionByName(part)
+    return _six(out)
+
+
 @register
 def normalised_view(spark, d):
     return P.normalised_view(_docs(spark, d)).withColumnRenamed("id", "doc_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import stats as St
 from scrivener.functions import text as T
-from scrivener.operators import checks, evaluate, features, hybrid, model, profile, sampling
+from scrivener.operators import calibrate, checks, evaluate, features, hybrid, model, profile, sampling
 from scrivener.sources import readers, sinks
 from scrivener.streaming import scoring
 
@@ -331,3 +331,28 @@ def test_checks_fail_on_unsound_runs(spark):
     picked = spark.createDataFrame([(1, "a", " "), (1, "a", " ")], "id int, prompt string, t string")
     rebuilt = spark.createDataFrame([(1, "x", True)], "id int, text string, ok boolean")
     assert len(failed(checks.pilot_checks(picked, rebuilt, "id", "prompt", "t"))) == 4
+
+
+def test_recalibration_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    p = np.round(rng.uniform(0.02, 0.98, 150), 2)
+    y = (rng.uniform(size=150) < p**2).astype(int)
+    learn = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, label int")
+    asked = [0.0, 0.1, 0.5, 0.505, 0.9, 1.0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*asked, None])], "i int, p double")
+    found = {n: [r.p for r in f(learn, rows).orderBy("i").collect()] for n, f in (("platt", calibrate.platt), ("isotonic", calibrate.isotonic))}
+    logit = lambda v: np.log(np.clip(v, 1e-9, 1 - 1e-9) / (1 - np.clip(v, 1e-9, 1 - 1e-9)))
+    s, w = np.column_stack([np.ones(150), logit(p)]), np.zeros(2)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-s @ w))
+        w -= np.linalg.solve(s.T @ (s * (q * (1 - q))[:, None]), s.T @ (q - y))
+    assert np.allclose(found["platt"][:-1], 1 / (1 + np.exp(-(w[0] + w[1] * logit(np.array(asked))))), atol=1e-4) and found["platt"][-1] is None
+    blocks = []  # adjacent violators pooled: mean, weight, values
+    for v in sorted(set(p)):
+        blocks.append([y[p == v].mean(), (p == v).sum(), [v]])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b = blocks.pop()
+            a = blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    xs, ys = [v for b in blocks for v in b[2]], [b[0] for b in blocks for _ in b[2]]
+    assert np.allclose(found["isotonic"][:-1], np.interp(asked, xs, ys), atol=1e-9) and found["isotonic"][-1] is None
