@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import bpe, ctw, exact_dedup, html_text, language_id, mixing, simhash, url_filter, vptree, warc
+from scrivener.llm import bpe, ctw, exact_dedup, html_text, language_id, merkle, mixing, simhash, url_filter, vptree, warc
 from scrivener.llm.common import read_table, scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, url_filter.RULES))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +119,51 @@ ORACLE_SQL: dict[str, str] = {
                    row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS n
             FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1""",
+    "op12_merkle": """
+        WITH RECURSIVE fields AS (
+            SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS grp, text,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+                   xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                       lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) AS crc
+            FROM documents),
+        leaves AS (
+            SELECT rid, doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN crc % 5 = 0 AND text IS NOT NULL THEN sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS tampered,
+                   row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n
+            FROM fields),
+        tree AS (
+            SELECT grp, 0 AS lvl, n, pos, leaf AS node FROM leaves
+            UNION ALL
+            SELECT grp, lvl + 1, (n + 15) // 16, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY grp, lvl, n, pos // 16),
+        subroots AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS lvl, n, pos, subroot AS node FROM subroots
+            UNION ALL
+            SELECT lvl + 1, (n + 15) // 16, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 16),
+        near AS (
+            SELECT l.rid, 0 AS part, t.lvl, t.pos, t.node, t.pos < l.pos >> (4 * t.lvl) AS is_left
+            FROM leaves l JOIN tree t ON t.grp = l.grp AND t.n > 1 AND t.pos // 16 = l.pos >> (4 * t.lvl + 4)
+            WHERE t.pos <> l.pos >> (4 * t.lvl)
+            UNION ALL
+            SELECT l.rid, 1, t.lvl, t.pos, t.node, t.pos < s.pos >> (4 * t.lvl)
+            FROM leaves l JOIN subroots s USING (grp) JOIN top t ON t.n > 1 AND t.pos // 16 = s.pos >> (4 * t.lvl + 4)
+            WHERE t.pos <> s.pos >> (4 * t.lvl)),
+        levels AS (
+            SELECT l.rid, 0 AS part, t.lvl FROM leaves l JOIN (SELECT DISTINCT grp, lvl FROM tree WHERE n > 1) t USING (grp)
+            UNION ALL SELECT l.rid, 1, t.lvl FROM leaves l, (SELECT DISTINCT lvl FROM top WHERE n > 1) t),
+        segments AS (
+            SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY part, lvl) AS k,
+                   coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE is_left), '') AS l,
+                   coalesce(string_agg(node, '' ORDER BY pos) FILTER (WHERE NOT is_left), '') AS r
+            FROM levels LEFT JOIN near USING (rid, part, lvl) GROUP BY rid, part, lvl),
+        folded AS (
+            SELECT rid, 0::BIGINT AS k, coalesce(tampered, leaf) AS node FROM leaves
+            UNION ALL
+            SELECT f.rid, s.k, sha256(s.l || f.node || s.r) FROM folded f JOIN segments s ON s.rid = f.rid AND s.k = f.k + 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves JOIN (SELECT grp, subroot FROM subroots) USING (grp)
+        CROSS JOIN (SELECT node AS root FROM top WHERE n = 1)
+        LEFT JOIN (SELECT rid, string_agg(l || r, '' ORDER BY k) AS proof FROM segments GROUP BY rid) USING (rid)
+        JOIN (SELECT rid, arg_max(node, k) AS folded_root FROM folded GROUP BY rid) USING (rid)""",
 }
