@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import alignment, bpe, ctw, exact_dedup, html_text, language_id, merkle, mixing, simhash, url_filter, vptree, warc
+from scrivener.llm import alignment, bpe, covertree, ctw, exact_dedup, html_text, language_id, merkle, mixing, simhash, url_filter, vptree, warc
 from scrivener.llm.common import read_table, scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -59,6 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, url_filter.RULES))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_inner(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
+    "op11_cover_tree": op11_cover_tree,
     "op12_merkle": op12_merkle,
     "op13_alignment": op13_alignment,
 }
@@ -124,6 +129,17 @@ ORACLE_SQL: dict[str, str] = {
                    row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS n
             FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1""",
+    "op11_cover_tree": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+              AND coalesce(list_bool_and(list_transform(embedding, lambda x: isfinite(x))), true)),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 5""",
     "op12_merkle": """
         WITH RECURSIVE fields AS (
             SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS grp, text,
