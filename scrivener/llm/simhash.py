@@ -87,34 +87,31 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the pairs that differ in at most ``radius`` bits, by breadth-first search."""
-    edges: list[tuple[int, int]] = []
+def _stars(fps: list[int], radius: int) -> list[tuple[int, int]]:
+    """Of each group that links of at most ``radius`` bits hold together, by breadth-first search: every other member and the least one."""
+    groups: list[list[int]] = []
     if len(fps) <= 16:
         free = list(fps)
         while free:
-            queue = [free.pop()]
-            while queue and free:
-                at = queue.pop()
+            group = [free.pop()]
+            for at in group:
                 near = [x for x in free if ((x ^ at) & (1 << BITS) - 1).bit_count() <= radius]
                 if near:
-                    edges += [(at, x) for x in near]
-                    queue += near
+                    group += near
                     free = [x for x in free if x not in near]
-        return edges
-    every = np.asarray(fps, np.int64)
-    bits, rest = every.view(np.uint64), np.arange(len(every))
-    while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            at = queue.pop()
-            near = np.bitwise_count(bits[rest] ^ bits[at]) <= radius
-            if near.any():
-                found = rest[near].tolist()
-                edges += [(int(every[at]), int(every[x])) for x in found]
-                queue += found
-                rest = rest[~near]
-    return edges
+            groups.append(group)
+    else:
+        every = np.asarray(fps, np.int64)
+        bits, rest = every.view(np.uint64), np.arange(len(every))
+        while len(rest):
+            group, rest = [int(rest[0])], rest[1:]
+            for at in group:
+                near = np.bitwise_count(bits[rest] ^ bits[at]) <= radius
+                if near.any():
+                    group += rest[near].tolist()
+                    rest = rest[~near]
+            groups.append(every[group].tolist())
+    return [(x, least) for group in groups if len(group) > 1 for least in (min(group),) for x in group if x != least]
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -124,20 +121,25 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _edge_batch([e for fps in batch.column(0).to_pylist() for e in _forest(fps, radius)])
+            yield _edge_batch([e for fps in batch.column(0).to_pylist() for e in _stars(fps, radius)])
 
     return run
 
 
 def _link_blocks(radius: int):
     def run(part: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_edge_batch(_forest(part["fp"].to_pylist(), radius))])
+        return pa.Table.from_batches([_edge_batch(_stars(part["fp"].to_pylist(), radius))])
 
     return run
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints (column fp) that keep every link's component."""
+    """Edges (src, dst) between distinct fingerprints (column fp) that keep every link's component; null fingerprints have none, an empty table gives none.
+
+    A bucket ties each of its groups to the group's least member, so a fingerprint has one
+    such tie a table. All of them are then tied to the least: a group of any size that
+    many tables hold leaves with about one edge a fingerprint.
+    """
     masks = covering_masks(BITS, radius)
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
@@ -151,7 +153,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     large = met.filter(F.col("n") > few).withColumn("b", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     paired = large.select("t", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "fp")
     more = paired.groupBy("t", "key", "i", "j").applyInArrow(_link_blocks(radius), "src bigint, dst bigint")
-    return found.unionByName(more).distinct()
+    # as many ties as there are tables and blocks
+    tied = found.unionByName(more).groupBy("src").agg(F.collect_set("dst").alias("near")).withColumn("dst", F.array_min("near"))
+    return tied.select(F.explode(F.array_append("near", F.col("src"))).alias("src"), "dst").filter("src <> dst").distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
