@@ -28,6 +28,7 @@ import json
 import os
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,8 @@ CHUNK, FAN_IN = 1 << 12, 64
 #: Characters of text that are encoded together.
 BATCH_CHARS = 1 << 20
 
-_SIDE = 1 << 24
+#: Ids of side A, and documents of a spill, are below these; ids of side B below 2^15, or 2^63 over both.
+_SIDE, _DOCS = 1 << 24, 1 << 24
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -104,7 +106,8 @@ class Sides:
         self.lengths = [np.array(list(map(len, side)), np.int64) for side in (self.bytes_a, self.bytes_b)]
         # decimals with what follows them: another token, the other side, the next group, or nothing
         names = [[str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b)]
-        self.decimals = [n + end for side in names for end in (",", "|", ";", "") for n in side]
+        self.decimals = np.array([n + end for side in names for end in (",", "|", ";", "") for n in side], object)
+        self.pieces = [np.array(side, object) for side in (self.bytes_a, self.bytes_b)]
         self.starts = (0, 4 * len(self.bytes_a))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -112,12 +115,30 @@ class Sides:
         spaced = [" " + t for t in texts]
         left = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         right = self.b.encode(texts, num_threads=1)
-        for n, (text, a, b) in enumerate(zip(spaced, left, right, strict=True)):
-            data = text.encode()
-            if len(text) == 1 or b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
+        data = [t.encode() for t in spaced]
+        whole = [self._gives(n, side, data) for n, side in enumerate((left, right))]
+        for n, text in enumerate(texts):
+            if not text or not all(w[n] for w in whole):
                 left[n], right[n] = [], []
         return left, right
 
+    def _gives(self, n: int, side: list[list[int]], data: list[bytes]) -> list[bool]:
+        """Whether each list of ids stands for its bytes: all at once, and one by one where that fails."""
+        ids, sizes = _flat(side)
+        pieces = self.pieces[n][ids].tolist()
+        if b"".join(pieces) == b"".join(data):
+            ends = np.append(0, np.cumsum(self.lengths[n][ids]))[np.cumsum(sizes)]
+            if (ends == np.cumsum([len(d) for d in data])).all():
+                return [True] * len(side)
+        cuts = np.append(0, np.cumsum(sizes)).tolist()
+        return [b"".join(pieces[i:j]) == d for i, j, d in zip(cuts[:-1], cuts[1:], data, strict=True)]
+
+
+def _flat(side: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    sizes = np.array(list(map(len, side)), np.int64)
+    return np.fromiter(chain.from_iterable(side), np.int64, int(sizes.sum())), sizes
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next free from U+0100."""
@@ -138,11 +159,14 @@ class _Batch:
 
     def __init__(self, sides: Sides, left: list[list[int]], right: list[list[int]]):
         self.sides = sides
-        self.n = [np.array(list(map(len, side)), np.int64) for side in (left, right)]
-        self.ids = [np.fromiter((i for ids in side for i in ids), np.int64, int(n.sum())) for side, n in zip((left, right), self.n, strict=True)]
+        self.ids, self.n = zip(*map(_flat, (left, right)), strict=True)
         # both sides of a text have the same bytes, so ends of all texts lie on one axis
-        ends = [np.cumsum(lengths[ids]) for lengths, ids in zip(sides.lengths, self.ids, strict=True)]
-        _, self.at_a, self.at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        ends_a, ends_b = (np.cumsum(lengths[ids]) for lengths, ids in zip(sides.lengths, self.ids, strict=True))
+        place = np.full(int(ends_a[-1]) + 1 if len(ends_a) else 1, -1)
+        place[ends_a] = np.arange(len(ends_a))
+        met = place[ends_b]
+        self.at_b = np.flatnonzero(met >= 0)
+        self.at_a = met[self.at_b]
         self.doc = np.repeat(np.arange(len(left)), self.n[0])[self.at_a]
         self.groups = np.bincount(self.doc, minlength=len(left))
 
@@ -161,7 +185,7 @@ class _Batch:
         key_b[self.at_b] += np.where(last, 3, 2) * sizes[1]
         order = np.empty(len(key_a) + len(key_b), np.int64)
         order[place_a], order[place_b] = key_a, key_b
-        words = list(map(self.sides.decimals.__getitem__, order.tolist()))
+        words = self.sides.decimals[order].tolist()
         out, at = [], 0
         for n in (self.n[0] + self.n[1]).tolist():
             out.append(hashlib.sha256("".join(words[at : at + n]).encode()).hexdigest() if n else "")
@@ -174,6 +198,8 @@ class _Spill:
 
     def __init__(self, radixes: int, vocabulary_b: int):
         self.radixes, self.per = radixes, -(-vocabulary_b // radixes)
+        if self.radixes * self.per * _SIDE * _DOCS > 1 << 63:
+            raise ValueError(f"{vocabulary_b} ids of side B are too many for records of 64 bits")
         self.docs, self.records, self.held = 0, 0, []
 
     def add(self, batch: _Batch, docs: int) -> None:
@@ -186,14 +212,13 @@ class _Spill:
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(radix, directory, records) of every radix that has any."""
-        keys = np.concatenate([k for k, _ in self.held] or [np.zeros(0, np.int64)])
-        docs = np.concatenate([d for _, d in self.held] or [np.zeros(0, np.int64)])
+        # pair and document in one number: what is sorted is 64 bits wide
+        both = np.concatenate([k * _DOCS + d for k, d in self.held] or [np.zeros(0, np.int64)])
         self.held = []
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)])
-        times = np.diff(first, append=len(keys))
-        keys, docs = keys[first], docs[first]
+        both.sort()
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        times = np.diff(first, append=len(both))
+        keys, docs = both[first] // _DOCS, both[first] % _DOCS
         cuts = np.searchsorted(keys, np.arange(self.radixes + 1) * self.per * _SIDE)
         for radix in range(self.radixes):
             i, j = cuts[radix], cuts[radix + 1]
