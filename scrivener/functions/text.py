@@ -14,7 +14,10 @@ LEXICAL = r"\p{L}+"
 COUNTED = r"[\p{L}\p{N}]+"
 #: A run of word characters, inner apostrophes and hyphens included.
 WORDLIKE = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
-NON_SPACE = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# The characters that count as white space, those of Unicode included, as the inside of a class.
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NON_SPACE = rf"[\p{{L}}\p{{N}}]+|[^{SPACE}\p{{L}}\p{{N}}]"
 
 # Closed-class words and suffixes of the coarse tagger.
 CLOSED_CLASS = {
@@ -28,7 +31,8 @@ SUFFIXES = (("ADV", "ly"), ("VERB", "ing"), ("VERB", "ed"), ("NOUN", "tion"), ("
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without the white space at both ends."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def sentences(text: Column) -> Column:
@@ -45,8 +49,13 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Runs of non-space characters."""
-    return count_matches(text, r"\S+")
+    """Runs of characters that are not white space."""
+    return count_matches(text, f"[^{SPACE}]+")
+
+
+def regex_word_count(text: Column) -> Column:
+    """Runs of word characters, inner apostrophes and hyphens included."""
+    return count_matches(text, WORDLIKE)
 
 
 def grams(items: Column, n: int) -> Column:
@@ -75,7 +84,7 @@ def tag(token: Column) -> Column:
 
 
 def normalise_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def lenient_int(value: Column) -> Column:
@@ -85,7 +94,7 @@ def lenient_int(value: Column) -> Column:
 
 def strict_int(value: Column, sentinel: int = 10**12) -> Column:
     """An integer literal, or a sentinel that sorts last; ``12.0`` is none."""
-    return F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value.try_cast("long")).otherwise(F.lit(sentinel))
+    return F.when(value.rlike(rf"^[{SPACE}]*[+-]?\d+[{SPACE}]*$"), strip(value).try_cast("long")).otherwise(F.lit(sentinel))
 
 
 def preview(text: Column, width: int = 240) -> Column:

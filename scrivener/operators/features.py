@@ -1,16 +1,19 @@
 """Document features with a reason wherever a value cannot be given.
 
-Documents become relations of sentences and tokens; every feature is a grouping over
-them, keyed by document, so the keys of one exchange serve the next.
+Every feature is an expression over the arrays of a document's sentences and tokens, so
+a document is measured in its row; only a language model too large for the tasks needs
+an exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 from scrivener.functions.stats import finite, ratio
+from scrivener.operators.scoring import BigramTable, TextScorer
+from scrivener.sources.scratch import scratch_path
 
 FEATURES = ("perplexity", "sentence_length_cv", "mattr", "pos_3gram_entropy")
 REASONS = {"perplexity": "perplexity_reason", "sentence_length_cv": "cv_reason", "mattr": "mattr_reason", "pos_3gram_entropy": "pos_reason"}
@@ -37,6 +40,16 @@ def token_rows(docs: DataFrame, pattern: str = T.LEXICAL, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(F.col(text_col), pattern)).alias("pos", "token"))
 
 
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with these columns as a result of their own.
+
+    A later filter on a computed column would otherwise be moved below its computation and
+    written out there again, expression in expression.
+    """
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def _with_variation(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column text) and sentence_length_cv and cv_reason."""
     kept = rows.columns
@@ -115,117 +128,164 @@ def pos_trigram_entropy(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The three features that need no language model, and their reasons, by one pass without an exchange."""
-    return _with_entropy(_with_mattr(_with_variation(_texts(docs, id_col, text_col)))).drop("text")
+    return with_text_features(_texts(docs, id_col, text_col)).drop("text")
+
+
+def with_text_features(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column text) and the three features that need no language model, with their reasons."""
+    return with_moving(_with_variation(rows))
+
+
+def with_moving(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column text) and the two features that move over tokens, with their reasons."""
+    return _with_entropy(_with_mattr(rows))
 
 
 def bigram_model(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of a reference corpus: bigrams (a, b, c_ab), contexts (a, c_a) and one row with v, the vocabulary size, and n, the distinct bigrams."""
+    """Counts of a reference corpus: bigrams (a, b, c_ab), contexts (a, c_a) and one row with v, the vocabulary size."""
     tokens = corpus.select(F.explode(T.sentences(F.col(text_col))).alias("s")).select(T.tokens(F.col("s")).alias("w"))
     pairs = tokens.filter(F.size("w") >= 2).select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     bigrams = pairs.groupBy("a", "b").agg(F.count("*").alias("c_ab"))
     contexts = bigrams.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
     vocabulary = tokens.select(F.explode("w").alias("t")).agg(F.count_distinct("t").alias("v"))
-    sizes = vocabulary.join(F.broadcast(bigrams.agg(F.count("*").alias("n"))))
-    return bigrams, contexts, sizes
+    return bigrams, contexts, vocabulary
 
 
 class LanguageModel:
-    """The counts of a reference corpus, made once and kept for every batch that is scored by them.
+    """The counts of a reference corpus, made once and used for every batch that is scored by them.
 
-    ``path`` names a folder for them; without one they are kept by the executors and
-    counted again where one is lost.
+    Up to BROADCAST_BIGRAMS bigrams go to the tasks as arrays, and documents are scored in
+    their rows. More are written to the shared folder (or ``path``) and joined by shuffle.
+    ``release`` lets go of what the executors hold.
     """
 
     def __init__(self, corpus: DataFrame, text_col: str = "text", path: str | None = None):
-        self.bigrams, self.contexts, sizes = bigram_model(corpus, text_col)
-        if path is None:
-            self.bigrams, self.contexts = self.bigrams.persist(), self.contexts.persist()
-        else:
-            spark = corpus.sparkSession
-            for name in ("bigrams", "contexts"):
-                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-                setattr(self, name, spark.read.parquet(f"{path}/{name}"))
-        found = sizes.first()
-        self.vocabulary, self.small = found["v"], found["n"] <= BROADCAST_BIGRAMS
-
-    def unpersist(self) -> None:
-        self.bigrams.unpersist()
-        self.contexts.unpersist()
-
-
-def nll_by_model(pairs: DataFrame, model: LanguageModel, k: float = ADD_K) -> DataFrame:
-    """Mean negative log-likelihood of the tokens of every sentence: (id, sentence_id, nll) from rows (id, sentence_id, a, b).
-
-    A model of up to BROADCAST_BIGRAMS bigrams goes to the tasks, and tokens stay where
-    their document is. A larger one is joined by shuffle, tokens counted first; its
-    contexts are as many as the vocabulary and meet distinct pairs only.
+        spark = corpus.sparkSession
+        bigrams, _, sizes = bigram_model(corpus, text_col)
+        bigrams = bigrams.persist()
+        try:
+            found = sizes_of(bigrams, sizes)
+            self.vocabulary, self.small = found["v"], found["n"] <= BROADCAST_BIGRAMS
+            if self.small:
+                self.table = BigramTable(spark, bigrams.toArrow(), self.vocabulary)
+                return
+            path = path or scratch_path(spark, "bigrams")
+            bigrams.write.mode("overwrite").parquet(path)
+        finally:
+            bigrams.unpersist()
+        self.bigrams = spark.read.parquet(path)
+        self.contexts = self.bigrams.groupBy("a").agg(F.sum("c_ab").alias("c_a"))
+
+    def release(self) -> None:
+        if self.small:
+            self.table.release()
+
+
+def sizes_of(bigrams: DataFrame, vocabulary: DataFrame) -> dict[str, int]:
+    """v, the distinct words, and n, the distinct bigrams."""
+    return {"v": vocabulary.first()["v"], "n": bigrams.count()}
+
+
+def _nll_by_shuffle(rows: DataFrame, model: LanguageModel, k: float, limit: int) -> DataFrame:
+    """``rows`` (id, __w, ...) with __nll, by joins with counts that are too many for the tasks; identifiers do not repeat.
+
+    Pairs are counted by sentence before they meet the counts; contexts are as many as the
+    vocabulary and meet distinct pairs only.
     """
+    cut = rows.select("id", F.posexplode("__w").alias("at", "w")).filter((F.size("w") >= 2) & (F.size("w") <= limit))
+    both = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))
+    asked = cut.select("id", "at", F.explode(both).alias("p")).groupBy("id", "at", "p.a", "p.b").agg(F.count("*").alias("times"))
     logs = -F.ln((F.coalesce("c_ab", F.lit(0)) + k) / (F.coalesce("c_a", F.lit(0)) + F.lit(k * model.vocabulary)))
-    if model.small:
-        seen = pairs.join(F.broadcast(model.bigrams), ["a", "b"], "left").join(F.broadcast(model.contexts), "a", "left")
-        return seen.groupBy("id", "sentence_id").agg(F.avg(logs).alias("nll"))
-    asked = pairs.groupBy("id", "sentence_id", "a", "b").agg(F.count("*").alias("times"))
     known = asked.select("a", "b").distinct().join(model.bigrams, ["a", "b"], "left").join(model.contexts, "a", "left").select("a", "b", logs.alias("log"))
-    return asked.join(known, ["a", "b"]).groupBy("id", "sentence_id").agg((F.sum(F.col("log") * F.col("times")) / F.sum("times")).alias("nll"))
+    means = asked.join(known, ["a", "b"]).groupBy("id", "at").agg((F.sum(F.col("log") * F.col("times")) / F.sum("times")).alias("nll"))
+    held = means.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "nll"))).alias("__known"))
+    joined = rows.join(held, "id", "left")
+    return joined.withColumn("__nll", F.transform("__w", lambda w, i: F.try_element_at("__known", i))).drop("__known")
 
 
-def sentence_perplexity(
-    docs: DataFrame, corpus: DataFrame | LanguageModel, k: float = ADD_K, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text", scorer=None
-) -> DataFrame:
-    """Perplexity of every sentence, by an add-k bigram model of ``corpus`` unless a ``scorer`` is given.
+def with_sentences(rows: DataFrame, corpus: DataFrame | LanguageModel | None, k: float = ADD_K, limit: int | None = None, scorer: TextScorer | None = None, given: Column | None = None) -> DataFrame:
+    """``rows`` (id, text, ...) with ``sentences``: an array of (sentence, n_tokens, perplexity, status, reason, warning).
 
-    Returns id, sentence_id, sentence, n_tokens, perplexity, status (``insufficient_input``
-    below two tokens, ``exceeds_context``, ``non_finite`` or ``ok``), reason and warning (one
-    prediction only). The first token of a sentence is not scored; a sentence over the
-    context limit is not scored at all, never cut. ``scorer`` takes rows (id, sentence_id, a,
-    b), one for each two tokens in a row, and returns (id, sentence_id, nll).
+    By an add-k bigram model of ``corpus`` unless a ``scorer`` of texts is given. The
+    first token of a sentence is not scored; a sentence over the context limit has no
+    value, and is never cut. ``given`` holds the sentences, where they are known already.
     """
     limit = context_limit() if limit is None else limit
-    if scorer is None:
+    kept = rows.columns
+    rows = rows.select(*kept, (T.sentences(F.coalesce(F.col("text"), F.lit(""))) if given is None else given).alias("__s"))
+    if scorer is not None:
+        rows = rows.withColumn("__x", scorer.scores(F.col("__s")))
+        found = F.zip_with("__s", "__x", lambda s, x: F.struct(s.alias("sentence"), x["n_tokens"].alias("n_tokens"), F.when((x["status"] == "ok") & (x["n_tokens"] <= limit), x["nll"]).alias("nll"), x["status"].alias("said")))
+    else:
         model = corpus if isinstance(corpus, LanguageModel) else LanguageModel(corpus)
-        scorer = lambda pairs: nll_by_model(pairs, model, k)
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(T.sentences(F.col(text_col))).alias("p", "sentence"))
-    rows = cut.select("id", (F.col("p") + 1).alias("sentence_id"), "sentence", T.tokens(F.col("sentence")).alias("w"))
-    n = F.size("w")
-    inside = (n >= 2) & (n <= limit)
-    both = F.arrays_zip(F.slice("w", 1, n - 1).alias("a"), F.slice("w", 2, n - 1).alias("b"))
-    pairs = rows.filter(inside).select("id", "sentence_id", F.explode(both).alias("p")).select("id", "sentence_id", "p.a", "p.b")
-    scored = scorer(pairs).select("id", "sentence_id", "nll")
-    joined = rows.select("id", "sentence_id", "sentence", n.alias("n_tokens")).join(scored, ["id", "sentence_id"], "left")
-    value = finite(F.exp("nll"))
-    size = F.col("n_tokens")
-    status = F.when(size < 2, "insufficient_input").when(size > limit, "exceeds_context").when(value.isNull(), "non_finite").otherwise("ok")
-    reason = F.when(size > limit, "sentence_exceeds_language_model_context").when(value.isNull(), "perplexity_unavailable")
-    warning = F.when(size == 2, "one_usable_prediction")
-    return joined.select("id", "sentence_id", "sentence", "n_tokens", value.alias("perplexity"), status.alias("status"), reason.alias("reason"), warning.alias("warning"))
-
-
-def document_perplexity(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        rows = rows.withColumn("__w", F.transform("__s", lambda s: T.tokens(s)))
+        rows = rows.withColumn("__nll", model.table.nll(F.col("__w"), k, limit)) if model.small else _nll_by_shuffle(rows, model, k, limit)
+        sizes = F.zip_with("__s", F.transform("__w", F.size), lambda s, n: F.struct(s.alias("sentence"), n.alias("n_tokens")))
+        found = F.zip_with(sizes, "__nll", lambda s, x: F.struct(s["sentence"].alias("sentence"), s["n_tokens"].alias("n_tokens"), x.alias("nll"), F.lit("ok").alias("said")))
+
+    def cell(x):
+        size, value = x["n_tokens"], finite(F.exp(x["nll"]))
+        status = F.when(size < 2, "insufficient_input").when(size > limit, "exceeds_context").when(x["said"] != "ok", x["said"]).when(value.isNull(), "non_finite").otherwise("ok")
+        reason = F.when((size > limit) | (x["said"] == "exceeds_context"), "sentence_exceeds_language_model_context").when(value.isNull(), "perplexity_unavailable")
+        warning = F.when(size == 2, "one_usable_prediction")
+        return F.struct(x["sentence"].alias("sentence"), size.alias("n_tokens"), F.when(size >= 2, value).alias("perplexity"), status.alias("status"), reason.alias("reason"), warning.alias("warning"))
+
+    return rows.select(*kept, found.alias("__f")).select(*kept, F.transform("__f", cell).alias("sentences"))
+
+
+def sentence_perplexity(
+    docs: DataFrame, corpus: DataFrame | LanguageModel | None, k: float = ADD_K, limit: int | None = None, id_col: str = "doc_id", text_col: str = "text", scorer: TextScorer | None = None
+) -> DataFrame:
+    """Perplexity of every sentence: id, sentence_id, sentence, n_tokens, perplexity, status, reason and warning.
+
+    Status is ``ok``, ``insufficient_input`` below two tokens, ``exceeds_context``,
+    ``non_finite``, or what a ``scorer`` says; a warning tells of one prediction only.
+    """
+    rows = with_sentences(_texts(docs, id_col, text_col), corpus, k, limit, scorer)
+    return rows.select("id", F.posexplode("sentences").alias("p", "x")).select("id", (F.col("p") + 1).alias("sentence_id"), "x.*")
+
+
+def middle(values: Column) -> Column:
+    """Median of the non-null values of an array; null if there are none."""
+    known = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    return F.transform(F.array(known), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)[0]
+
+
+def with_median(rows: DataFrame) -> DataFrame:
+    """``rows`` (with sentences) and perplexity, the median of those that exist, and perplexity_reason."""
+    rows = rows.withColumn("perplexity", middle(F.transform("sentences", lambda x: x["perplexity"])))
+    return rows.withColumn("perplexity_reason", F.when(F.col("perplexity").isNull(), "no_valid_sentence_perplexity_values"))
+
+
+def document_perplexity(docs: DataFrame, corpus: DataFrame | LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", scorer: TextScorer | None = None) -> DataFrame:
     """Median of the sentence perplexities that exist: (id, perplexity, perplexity_reason)."""
-    medians = scored.groupBy("id").agg(F.median("perplexity").alias("perplexity"))
-    joined = docs.select(F.col(id_col).alias("id")).join(medians, "id", "left")
-    return joined.withColumn("perplexity_reason", F.when(F.col("perplexity").isNull(), "no_valid_sentence_perplexity_values"))
+    return with_median(with_sentences(_texts(docs, id_col, text_col), corpus, scorer=scorer)).drop("text", "sentences")
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Characters, words, sentences, lexical tokens, counted tokens and non-space tokens of every document."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("id"), F.length(t).cast("long").alias("char_count"), T.word_count(t).alias("word_count"), F.size(T.sentences(t)).cast("long").alias("sentence_count"),
+def statistics_of(t: Column) -> list[Column]:
+    """Characters, words, sentences, lexical tokens, counted tokens and non-space tokens of a text."""
+    return [
+        F.length(t).cast("long").alias("char_count"), T.word_count(t).alias("word_count"), F.size(T.sentences(t)).cast("long").alias("sentence_count"),
         T.count_matches(t, T.LEXICAL).alias("lexical_tokens"), T.count_matches(t, T.COUNTED).alias("counted_tokens"), T.count_matches(t, T.NON_SPACE).alias("non_space_tokens"),
-    )
+    ]
+
+
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The statistics of every document; a null text counts as empty."""
+    return docs.select(F.col(id_col).alias("id"), *statistics_of(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def feature_table(docs: DataFrame, corpus: DataFrame | LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", perplexity: DataFrame | None = None, scorer=None) -> DataFrame:
-    """All four features of every document and their reasons, one row each.
+def feature_table(docs: DataFrame, corpus: DataFrame | LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", scorer: TextScorer | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All four features of every document and their reasons, one row each, in one pass over the documents.
 
-    ``perplexity`` may bring (id, perplexity, perplexity_reason) and further columns, where
-    a caller has grouped the scored sentences already. The other three come from one pass
-    over the documents.
+    ``keep`` names further columns to carry along: those of ``docs``, ``text`` and
+    ``sentences`` (each with its perplexity).
     """
-    if perplexity is None:
-        perplexity = document_perplexity(docs, sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col, scorer=scorer), id_col)
-    return perplexity.join(text_features(docs, id_col, text_col), "id", "left")
+    own = [c for c in keep if c not in ("text", "sentences")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *own)
+    rows = with_text_features(with_median(with_sentences(rows, corpus, scorer=scorer)))
+    rows = settled(rows, *FEATURES, *REASONS.values())
+    return rows.drop(*[c for c in ("text", "sentences") if c not in keep])
 
 
 def feature_array(table: DataFrame) -> DataFrame:

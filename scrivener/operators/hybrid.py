@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import text as T
 from scrivener.functions.stats import finite, ratio, rounded
 from scrivener.operators import features as X
+from scrivener.operators.scoring import TextScorer
 
 BANDS = {"top_50": 0.5, "top_25": 0.25, "top_10": 0.1}
 
@@ -31,22 +32,33 @@ def unpivot(rows: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.explode(both).alias("x")).select("pair_id", "x.label", "x.text")
 
 
-def splice(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two sentences from the middle of the second text inside the middle of the first.
+def spliced_documents(rows: DataFrame) -> DataFrame:
+    """Two sentences from the middle of the second text inside the middle of the first: one row a pair.
 
-    Returns the spliced sentences (pair_id, hybrid_index from 0, origin, text,
-    source_human_index, source_ai_index) and the rejected pairs with their reason.
+    (pair_id, s, reason): s an array of (hybrid_index from 0, origin, text,
+    source_human_index, source_ai_index), or why a pair is rejected.
     """
     cut = rows.select("pair_id", T.sentences(F.col("human_text")).alias("h"), T.sentences(F.col("ai_text")).alias("a"))
     reason = F.when(F.size("h") < 2, "insufficient_human_sentences_for_middle_insertion").when(F.size("a") < 3, "insufficient_ai_sentences_for_two_sentence_block")
-    cut = cut.withColumn("reason", reason)
     middle, start = F.floor(F.size("h") / 2).cast("int"), F.greatest(F.lit(0), F.floor(F.size("a") / 2).cast("int") - 1)
     row = lambda origin, text, human, ai: F.struct(F.lit(origin).alias("origin"), text.alias("text"), human.cast("int").alias("source_human_index"), ai.cast("int").alias("source_ai_index"))
     human = F.transform("h", lambda s, i: row("human", s, i, F.lit(None)))
     ai = F.transform("a", lambda s, i: row("ai_inserted", s, F.lit(None), i))
     joined = F.concat(F.slice(human, 1, middle), F.slice(ai, start + 1, 2), F.slice(human, middle + 1, F.size("h")))
-    kept = cut.filter("reason is null").select("pair_id", F.posexplode(joined).alias("hybrid_index", "s")).select("pair_id", "hybrid_index", "s.*")
-    return kept, cut.filter("reason is not null").select("pair_id", "reason")
+    placed = F.transform(joined, lambda x, i: F.struct(i.alias("hybrid_index"), x["origin"].alias("origin"), x["text"].alias("text"), x["source_human_index"].alias("source_human_index"), x["source_ai_index"].alias("source_ai_index")))
+    return cut.select("pair_id", F.when(reason.isNull(), placed).alias("s"), reason.alias("reason"))
+
+
+def splice(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sentences of all spliced documents, a row each, and the rejected pairs with their reason."""
+    found = spliced_documents(rows)
+    return found.select("pair_id", F.inline("s")), found.filter("reason is not null").select("pair_id", "reason")
+
+
+def documents_of(sentences: DataFrame) -> DataFrame:
+    """Rows (pair_id, hybrid_index, text, ...) put together: (pair_id, s), s in order."""
+    rest = [c for c in sentences.columns if c not in ("pair_id", "hybrid_index")]
+    return sentences.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("hybrid_index", *rest))).alias("s"))
 
 
 def clipped_window(i: Column, n: Column) -> tuple[Column, Column]:
@@ -65,27 +77,41 @@ def shifted_window(i: Column, n: Column, width: int) -> tuple[Column, Column]:
     return F.when(odd, first), F.when(odd, first + size - 1)
 
 
-def windows(sentences: DataFrame, width: int | None = None) -> DataFrame:
-    """(pair_id, hybrid_index, id, text): each sentence's window as one text; ``width`` None clips, a number shifts."""
-    docs = sentences.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("hybrid_index", "text"))).alias("s"))
-    n = F.size("s")
-    rows = docs.select("pair_id", "s", F.explode(F.sequence(F.lit(0), n - 1)).alias("hybrid_index"))
-    first, last = clipped_window(F.col("hybrid_index"), n) if width is None else shifted_window(F.col("hybrid_index"), n, width)
-    text = F.array_join(F.transform(F.slice("s", first + 1, last - first + 1), lambda x: x["text"]), " ")
-    return rows.select("pair_id", "hybrid_index", F.concat_ws("#", "pair_id", F.col("hybrid_index").cast("string")).alias("id"), text.alias("text"), first.alias("window_first"), last.alias("window_last"))
+def _window(s: Column, i: Column, width: int | None) -> Column:
+    """(width, window_first, window_last, window_text) of the sentence at a place."""
+    n = F.size(s)
+    first, last = clipped_window(i, n) if width is None else shifted_window(i, n, width)
+    text = F.array_join(F.transform(F.slice(s, first + 1, last - first + 1), lambda x: x["text"]), " ")
+    return F.struct(F.lit(width).cast("int").alias("width"), first.alias("window_first"), last.alias("window_last"), text.alias("window_text"))
 
 
-def local_features(sentences: DataFrame, width: int | None = None) -> DataFrame:
-    """Per sentence: its length, and mattr and tag entropy of its window (null, with reason, where it has none).
+def windows(documents: DataFrame, widths: tuple[int | None, ...] = (None,)) -> DataFrame:
+    """Rows (pair_id, hybrid_index, origin, text, windows) of documents (pair_id, s): each sentence and its windows' texts; a width of None clips, a number shifts.
 
-    Both are kept to nine decimals, so that windows of equal content have equal values and
-    their deviations are zero instead of rounding errors.
+    All widths come from one pass over the document's array, and no sentence meets another by a join.
     """
-    rows = windows(sentences, width)
-    measured = X.text_features(rows, "id").select("id", rounded(F.col("mattr"), 9).alias("mattr"), "mattr_reason", rounded(F.col("pos_3gram_entropy"), 9).alias("pos_3gram_entropy"), "pos_reason")
-    measured = rows.select("pair_id", "hybrid_index", "id", "window_first", "window_last").join(measured, "id")
-    lengths = sentences.select("pair_id", "hybrid_index", "origin", T.count_matches(F.col("text"), T.COUNTED).cast("double").alias("length"))
-    return lengths.join(measured.drop("id"), ["pair_id", "hybrid_index"])
+    s = F.col("s")
+    every = F.transform(s, lambda x, i: F.struct(x["hybrid_index"].alias("hybrid_index"), x["origin"].alias("origin"), x["text"].alias("text"), F.array(*[_window(s, i, w) for w in widths]).alias("windows")))
+    return documents.select("pair_id", F.inline(every))
+
+
+def local_features(documents: DataFrame, widths: tuple[int | None, ...] = (None,), corpus: DataFrame | X.LanguageModel | None = None, scorer: TextScorer | None = None) -> DataFrame:
+    """A row a sentence and width of documents (pair_id, s): pair_id, hybrid_index, origin, width, window_first, window_last, length, and mattr and pos_3gram_entropy of the window with their reasons.
+
+    With a corpus or a scorer also the perplexity of the sentence, which is scored once for
+    all widths. Values are kept to nine decimals, so that windows of equal content have
+    equal values and their deviations are zero instead of rounding errors. No row leaves
+    its task.
+    """
+    rows = windows(documents, widths)
+    known = ["pair_id", "hybrid_index", "origin"]
+    if corpus is not None or scorer is not None:
+        rows = X.with_median(X.with_sentences(rows, corpus, scorer=scorer)).withColumn("perplexity", rounded(F.col("perplexity"), 9))
+        known.append("perplexity")
+    length = T.count_matches(F.col("text"), T.COUNTED).cast("double").alias("length")
+    rows = rows.select(*known, length, F.inline("windows")).withColumnRenamed("window_text", "text")
+    rows = X.with_moving(rows)
+    return rows.select(*known, "length", "width", "window_first", "window_last", rounded(F.col("mattr"), 9).alias("mattr"), "mattr_reason", rounded(F.col("pos_3gram_entropy"), 9).alias("pos_3gram_entropy"), "pos_reason")
 
 
 def _middle(by: WindowSpec, place: Column, value: Column, others: Column) -> Column:
@@ -97,16 +123,16 @@ def _middle(by: WindowSpec, place: Column, value: Column, others: Column) -> Col
     return F.when(others > 0, (pick(low) + pick(high)) / 2)
 
 
-def robust_z_long(rows: DataFrame, group: str, index: str, name: str, value: str) -> DataFrame:
-    """Leave-one-out robust z of each value among those of its group and name: (group, index, name, z, z_reason).
+def robust_z_long(rows: DataFrame, group: str, index: str, name: str, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Leave-one-out robust z of each value among those of its group and name: (group, index, name, z, z_reason) and the columns to keep.
 
     0.6745 (x - median) / MAD over all other finite values. Leaving one value out gives at
     most three different medians, so deviations are ranked once for each of them; medians
-    are read off by rank. One exchange, by group, serves all names and all windows:
-    n log n a group.
+    are read off by rank. One exchange, by group, serves all names and all windows, and
+    rows without a value go through the same pass: n log n a group.
     """
     x = finite(F.col(value).cast("double"))
-    cells = rows.select(F.col(group).alias("g"), F.col(index).alias("i"), F.col(name).alias("c"), x.alias("x")).repartition("g")
+    cells = rows.select(F.col(group).alias("g"), F.col(index).alias("i"), F.col(name).alias("c"), x.alias("x"), *keep).repartition("g")
     by = Window.partitionBy("g", "c")
     cells = cells.withColumn("k", F.row_number().over(by.orderBy(F.col("x").asc_nulls_last(), "i")) - 1).withColumn("n", F.count("x").over(by) - 1)
     known = F.col("x").isNotNull()
@@ -115,31 +141,33 @@ def robust_z_long(rows: DataFrame, group: str, index: str, name: str, value: str
     # which of the three medians a row has: it lies at or below the middle, between its halves, or above
     cells = cells.withColumn("j", F.when(F.col("k") <= low, 0).when(F.col("k") <= high, 1).otherwise(2))
     each = [F.max(F.when(F.col("j") == j, F.col("m"))).over(by) for j in range(3)]
-    cells = cells.withColumn("every", F.array(*each))
-    spread = cells.filter(known & (F.col("n") > 0)).select("g", "i", "c", "x", "n", "m", "j", F.posexplode("every").alias("v", "centre"))
-    # rows of a median that no value of the group has are not needed
-    spread = spread.filter("centre is not null").withColumn("d", F.abs(F.col("x") - F.col("centre")))
+    ranked = known & (F.col("n") > 0)
+    # medians that no value of the group has are not needed; a row without a z goes on once, beside the others
+    centres = F.filter(F.array(*[F.struct(F.lit(j).alias("v"), e.alias("centre")) for j, e in enumerate(each)]), lambda e: e["centre"].isNotNull())
+    alone = F.array(F.struct(F.lit(-1).alias("v"), F.lit(None).cast("double").alias("centre")))
+    spread = cells.withColumn("every", centres).select("g", "i", "c", "x", "n", "m", "j", *keep, F.inline(F.when(ranked, F.col("every")).otherwise(alone)))
+    spread = spread.withColumn("d", F.abs(F.col("x") - F.col("centre")))
     one = Window.partitionBy("g", "c", "v")
     spread = spread.withColumn("p", F.row_number().over(one.orderBy("d", "i")) - 1)
-    spread = spread.withColumn("mad", _middle(one, F.col("p"), F.col("d"), F.col("n"))).filter("v = j")
+    spread = spread.withColumn("mad", _middle(one, F.col("p"), F.col("d"), F.col("n"))).filter("v = j or v = -1")
     z = F.when(F.col("mad") != 0, 0.6745 * (F.col("x") - F.col("m")) / F.col("mad"))
-    scored = spread.select("g", "i", "c", z.alias("z"), F.when(F.col("mad") == 0, "mad_zero").alias("z_reason"))
-    missing = F.when(known, "no_reference_values").otherwise("current_value_unavailable")
-    rest = cells.filter(~known | (F.col("n") <= 0)).select("g", "i", "c", F.lit(None).cast("double").alias("z"), missing.alias("z_reason"))
-    return scored.unionByName(rest).select(F.col("g").alias(group), F.col("i").alias(index), F.col("c").alias(name), "z", "z_reason")
+    missing = F.when(F.col("x").isNull(), "current_value_unavailable").otherwise("no_reference_values")
+    reason = F.when(F.col("v") == -1, missing).when(F.col("mad") == 0, "mad_zero")
+    return spread.select(F.col("g").alias(group), F.col("i").alias(index), F.col("c").alias(name), F.when(F.col("v") >= 0, z).alias("z"), reason.alias("z_reason"), *keep)
 
 
-def robust_z(rows: DataFrame, group: str, index: str, value: str) -> DataFrame:
-    """Leave-one-out robust z of one value: (group, index, z, z_reason)."""
-    return robust_z_long(rows.withColumn("__name", F.lit(value)), group, index, "__name", value).drop("__name")
+def robust_z(rows: DataFrame, group: str, index: str, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Leave-one-out robust z of one value: (group, index, z, z_reason) and the columns to keep."""
+    return robust_z_long(rows.withColumn("__name", F.lit(value)), group, index, "__name", value, keep).drop("__name")
 
 
-def anomaly_scores(rows: DataFrame, group: str, index: str, components: tuple[str, ...]) -> DataFrame:
-    """Mean absolute robust z over the components that have one: (group, index, z_<component>, reason_<component>, score, score_reason)."""
+def anomaly_scores(rows: DataFrame, group: str, index: str, components: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Mean absolute robust z over the components that have one: (group, index, z_<component>, reason_<component>, score, score_reason) and the columns to keep."""
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in components])
-    long = robust_z_long(rows.select(group, index, F.explode(cells).alias("__c")).select(group, index, "__c.*"), group, index, "name", "x")
+    long = robust_z_long(rows.select(group, index, *keep, F.inline(cells)), group, index, "name", "x", keep)
     one = lambda column, c: F.max(F.when(F.col("name") == c, F.col(column)))
-    out = long.groupBy(group, index).agg(*[one("z", c).alias(f"z_{c}") for c in components], *[one("z_reason", c).alias(f"reason_{c}") for c in components])
+    held = [F.first(k).alias(k) for k in keep]
+    out = long.groupBy(group, index).agg(*[one("z", c).alias(f"z_{c}") for c in components], *[one("z_reason", c).alias(f"reason_{c}") for c in components], *held)
     return out.withColumn("score", mean_abs([F.col(f"z_{c}") for c in components])).withColumn("score_reason", F.when(F.col("score").isNull(), "no_available_component_z_scores"))
 
 
@@ -184,17 +212,14 @@ def capture_rates(rows: DataFrame, known: Column, group: str = "pair_id") -> Dat
     return pooled.join(F.broadcast(macro))
 
 
-def without_each(sentences: DataFrame) -> DataFrame:
-    """(pair_id, left_out, id, text): every document whole (left_out -1) and without each of its sentences."""
-    docs = sentences.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hybrid_index", "text"))), lambda x: x["text"]).alias("s"))
-    rows = docs.select("pair_id", "s", F.explode(F.sequence(F.lit(-1), F.size("s") - 1)).alias("left_out"))
-    text = F.array_join(F.filter("s", lambda x, i: i != F.col("left_out")), " ")
-    return rows.select("pair_id", "left_out", F.concat_ws("#", "pair_id", F.col("left_out").cast("string")).alias("id"), text.alias("text"))
-
+def attribution(variants: DataFrame, p: Column) -> DataFrame:
+    """(pair_id, left_out, contribution, reason, ...) of rows (pair_id, variants, ...): what the probability loses without a sentence.
 
-def attribution(variants: DataFrame, p: str = "p") -> DataFrame:
-    """(pair_id, left_out, contribution, reason): what the probability loses without a sentence."""
-    whole = variants.filter("left_out = -1").select("pair_id", F.col(p).alias("p_full"))
-    joined = variants.filter("left_out >= 0").join(whole, "pair_id")
-    reason = F.when(F.col("p_full").isNull(), "full_document_not_classified").when(F.col(p).isNull(), "reduced_document_not_classified")
-    return joined.select("pair_id", "left_out", (F.col("p_full") - F.col(p)).alias("contribution"), reason.alias("reason"))
+    ``p`` is the probability as an expression over the features of a variant.
+    """
+    kept = [c for c in variants.columns if c != "variants"]
+    rows = variants.select(*kept, F.get("variants", F.lit(0)).alias("__whole"), F.inline(F.slice("variants", 2, F.size("variants"))))
+    rows = rows.withColumn("p_part", p)
+    rows = rows.select(*kept, F.col("left_out").alias("__at"), "p_part", "__whole.*").withColumn("p_full", p)
+    reason = F.when(F.col("p_full").isNull(), "full_document_not_classified").when(F.col("p_part").isNull(), "reduced_document_not_classified")
+    return rows.select(*kept, F.col("__at").alias("left_out"), (F.col("p_full") - F.col("p_part")).alias("contribution"), reason.alias("reason"))

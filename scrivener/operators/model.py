@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +11,13 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 from scrivener.functions.stats import finite, rounded
-from scrivener.operators.features import FEATURES, feature_array, feature_table, sentence_perplexity, text_statistics
+from scrivener.operators.checks import split_checks
+from scrivener.operators.features import FEATURES, LanguageModel, feature_array, feature_table, statistics_of
+from scrivener.operators.sampling import group_split
+from scrivener.operators.scoring import TextScorer
+from scrivener.sources.readers import model_metadata, read_parameters
+from scrivener.sources.scratch import stored
+from scrivener.sources.sinks import write_model
 
 #: Parameters of the registered queries: feature, mean, scale and coefficient; the intercept.
 PARAMETERS = (("perplexity", 900.0, 600.0, -1.2), ("sentence_length_cv", 0.6, 0.25, -1.0), ("mattr", 0.85, 0.08, 0.9), ("pos_3gram_entropy", 4.5, 0.8, -0.9))
@@ -64,35 +72,47 @@ def fit(train: DataFrame, label: str = "label", features: tuple = FEATURES) -> D
     return parameters(spark, tuple((f, *map(float, scales[f]), float(c)) for f, c in zip(features, fitted.coefficients, strict=True)), float(fitted.intercept))
 
 
-def analyze(docs: DataFrame, corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def analyze(
+    docs: DataFrame, corpus: DataFrame | LanguageModel | None, params: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    scorer: TextScorer | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row a document: state, label, probability, features, sentence evidence and statistics.
 
     ``empty_input`` and ``whitespace_only_input`` are settled before anything is
     measured, a null text counting as empty; otherwise an incomplete feature vector gives
     ``insufficient_evidence`` and keeps what could be measured.
+
+    Perplexity comes from ``corpus``, or from a ``scorer`` of texts. An ``extractor`` takes
+    the place of all measuring: it is given rows (id, text), never an empty or blank text,
+    and returns them with the columns of ``feature_table`` and ``sentences``.
     """
     rows, intercept = load_parameters(params)
-    scored = sentence_perplexity(docs, corpus, id_col=id_col, text_col=text_col)
-    cell = F.struct("sentence_id", F.col("sentence").alias("text"), "perplexity", F.col("perplexity").isNotNull().alias("available"), F.when(F.col("perplexity").isNull(), F.coalesce("reason", F.lit("perplexity_unavailable"))).alias("reason"))
-    # one grouping gives a document's median and its evidence, so sentences are scored once
-    grouped = scored.groupBy("id").agg(F.median("perplexity").alias("perplexity"), F.sort_array(F.collect_list(cell)).alias("sentence_evidence"))
-    perplexity = docs.select(F.col(id_col).alias("id")).join(grouped, "id", "left").withColumn("perplexity_reason", F.when(F.col("perplexity").isNull(), "no_valid_sentence_perplexity_values"))
-    table = feature_array(feature_table(docs, corpus, id_col, text_col, perplexity))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    gate = F.when(F.col("t") == "", "empty_input").when(T.strip(F.col("t")) == "", "whitespace_only_input")
-    joined = text_statistics(docs, id_col, text_col).join(texts.select("id", gate.alias("gate")), "id").join(table, "id", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    gate = F.when(text == "", "empty_input").when(T.strip(text) == "", "whitespace_only_input")
+    if extractor is None:
+        table = feature_table(docs, corpus, id_col, text_col, scorer, ("text", "sentences"))
+    else:
+        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        table = extractor(given.filter(gate.isNull())).unionByName(given.filter(gate.isNotNull()), allowMissingColumns=True)
+    table = feature_array(table.withColumn("gate", gate))
     usable = F.col("gate").isNull() & F.col("complete")
     p = F.when(usable, probability(rows, intercept))
     barred = F.transform("features", lambda f: F.struct(f["name"].alias("name"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("available"), F.col("gate").alias("reason")))
     none = F.array().cast("array<struct<sentence_id:int,text:string,perplexity:double,available:boolean,reason:string>>")
-    return joined.select(
+
+    def evidence(x, i):
+        known = x["perplexity"].isNotNull()
+        reason = F.when(~known, F.coalesce(x["reason"], F.lit("perplexity_unavailable")))
+        return F.struct((i + 1).alias("sentence_id"), x["sentence"].alias("text"), x["perplexity"].alias("perplexity"), known.alias("available"), reason.alias("reason"))
+
+    return table.select(
         F.col("id").alias(id_col),
         F.when(usable, "classified").otherwise("insufficient_evidence").alias("state"),
         F.when(p > 0.5, "ai_associated").when(usable, "human_associated").alias("label"),
         p.alias("ai_probability"),
         F.when(F.col("gate").isNull(), F.col("features")).otherwise(barred).alias("features"),
-        F.when(F.col("gate").isNull(), F.coalesce("sentence_evidence", none)).otherwise(none).alias("sentence_evidence"),
-        F.struct("char_count", "word_count", "sentence_count", "lexical_tokens", "counted_tokens", "non_space_tokens").alias("text_statistics"),
+        F.when(F.col("gate").isNull(), F.coalesce(F.transform("sentences", evidence), none)).otherwise(none).alias("sentence_evidence"),
+        F.struct(*statistics_of(text)).alias("text_statistics"),
     )
 
 
@@ -127,11 +147,57 @@ def training_metadata(rows: DataFrame, split: DataFrame, group: str) -> DataFram
     return before.join(F.broadcast(kept)).select("rows_before_feature_filter", dropped, "training_groups", "training_rows", "validation_groups", "validation_rows")
 
 
+def train(rows: DataFrame, group: str, path: str, seed: int, share: float = 0.2, label: str = "label", known: int = 5, tolerance: float = 1e-12) -> DataFrame:
+    """One whole training run: split by group, fit, write, read back, and verify before anything uses it.
+
+    ``rows`` has the group, the label and all features; rows without one of them are left
+    out. The parameters go to ``path`` with one row of metadata. The first ``known`` rows of
+    the validation side must then be found once each, and get the same prediction and the
+    same p from what was read as from what was fitted, or the run fails. Returns the
+    metadata with the number of rows that were verified.
+    """
+    spark = rows.sparkSession
+    whole = rows.dropna(subset=[*FEATURES, label])
+    split = stored(group_split(whole, group, share, seed), "split")
+    failed = split_checks(split, group, label).filter("not passed").collect()
+    if failed:
+        raise ValueError(f"the split does not serve: {[r['check_name'] for r in failed]}")
+    fitted, intercept = load_parameters(fit(split.filter("split = 'train'"), label))
+    details = training_metadata(rows, split, group).withColumns({"feature_order": F.array(*map(F.lit, FEATURES)), "seed": F.lit(seed), "group": F.lit(group)})
+    write_model(parameters(spark, tuple(fitted), intercept), path, details)
+    read, read_intercept = load_parameters(read_parameters(spark, f"{path}/parameters"))
+    asked = split.filter("split = 'validation'").withColumn("__key", F.concat_ws("#", F.col(group).cast("string"), F.col(label).cast("string")))
+    scored = lambda values, constant: asked.select("__key", probability(values, constant).alias("p")).withColumn("predicted", (F.col("p") > 0.5).cast("int"))
+    expected = scored(fitted, intercept).orderBy("__key").limit(known).select("__key", F.col("predicted").alias("expected_prediction"), F.col("p").alias("expected_p"))
+    verdicts = verify_known(scored(read, read_intercept), expected, "__key", tolerance=tolerance).agg(F.count("*").alias("known"), F.count_if("verified").alias("verified")).first()
+    if verdicts["verified"] < verdicts["known"]:
+        raise ValueError(f"{verdicts['known'] - verdicts['verified']} of {verdicts['known']} known rows are not scored as before")
+    return model_metadata(spark, path).withColumn("verified_rows", F.lit(verdicts["verified"]))
+
+
 class Detector:
-    """``analyze`` with a corpus and parameters in place, for any batch of documents."""
+    """``analyze`` with everything in place, for any batch of documents: the language model is counted once, when it is made.
+
+    A ``scorer`` or an ``extractor`` takes the corpus's place. Used as a context, it lets go
+    of the model at the end.
+    """
 
-    def __init__(self, corpus: DataFrame, params: DataFrame):
-        self.corpus, self.params = corpus, params
+    def __init__(self, corpus: DataFrame | LanguageModel | None, params: DataFrame, scorer: TextScorer | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None):
+        needed = scorer is None and extractor is None
+        if needed and corpus is None:
+            raise ValueError("a corpus, a scorer or an extractor is needed")
+        self.model = (corpus if isinstance(corpus, LanguageModel) else LanguageModel(corpus)) if needed else None
+        self.params, self.scorer, self.extractor = params, scorer, extractor
 
     def __call__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        return analyze(docs, self.corpus, self.params, id_col, text_col)
+        return analyze(docs, self.model, self.params, id_col, text_col, self.scorer, self.extractor)
+
+    def release(self) -> None:
+        if self.model is not None:
+            self.model.release()
+
+    def __enter__(self) -> Detector:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.release()

@@ -108,7 +108,7 @@ def quality_checks(docs: DataFrame, keywords: tuple[str, ...] = KEYWORDS, leakag
     lines = F.filter(F.transform(F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), T.strip), lambda x: x != "")
     found = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda term: F.contains(F.lower(t), term))
     rows = rows.select(
-        "id", "repeated_ngram_ratio", T.strip(t).alias("t"), T.word_count(t).alias("words"), found(leakage).alias("leaked_terms"), found(keywords).alias("keyword_hits"),
+        "id", "repeated_ngram_ratio", T.strip(t).alias("t"), T.regex_word_count(t).alias("words"), found(leakage).alias("leaked_terms"), found(keywords).alias("keyword_hits"),
         F.sort_array(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("lines"),
     )
     # of each line that occurs again, its first place: sorted, equal lines follow each other

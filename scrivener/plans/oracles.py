@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from scrivener.functions.text import CLOSED_CLASS, EXPLANATIONS, HEADLINES, SUFFIXES, WORD_BINS, WORDLIKE
+from scrivener.functions.text import CLOSED_CLASS, EXPLANATIONS, HEADLINES, SPACE, SUFFIXES, WORD_BINS, WORDLIKE
 from scrivener.operators.model import INTERCEPT, PARAMETERS
 from scrivener.operators.profile import LEAKAGE
 from scrivener.plans.queries import KEYWORDS, SEED, SETS
@@ -177,6 +177,11 @@ def whole(sql: str) -> str:
     return f"WITH {own}, {rest[5:]}" if rest.startswith("WITH ") else f"WITH {own} {rest}"
 
 
+def unicode_spaces(sql: str) -> str:
+    """``sql`` with white space as Unicode has it, where its patterns say ``\\s``."""
+    return sql.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
+
 def metrics(rel: str, keys: str = "") -> str:
     k, g = (f"{keys}, ", f" GROUP BY {keys}") if keys else ("", "")
     return f"""SELECT {k}total, classified, {six('classified / total')} AS coverage, tn, fp, fn, tp, {six('coalesce((tn + tp) / nullif(tn + fp + fn + tp, 0), 0)')} AS accuracy,
@@ -278,6 +283,7 @@ _HITS, _LEAKS = _TERMS(KEYWORDS), _TERMS((*LEAKAGE, "tion of"))
 _REPEATED_LINES = f"""(SELECT doc_id, array_to_string((list(l ORDER BY f))[1:5], '|') AS r, count(*) AS n FROM
     (SELECT doc_id, l, min(i) AS f FROM (SELECT doc_id, unnest({_LINES}) AS l, unnest(range(0, len({_LINES}))) AS i FROM documents) GROUP BY doc_id, l HAVING count(*) > 1) GROUP BY doc_id)"""
 _SHOWN = lambda v: f"CASE WHEN {v} IS NULL THEN 'Unavailable' WHEN abs({v}) >= 100 THEN printf('%.2f', {six(v, 9)}) WHEN abs({v}) >= 10 THEN printf('%.3f', {six(v, 9)}) ELSE rtrim(rtrim(printf('%.4f', {six(v, 9)}), '0'), '.') END"
+_WORDLIKE_COUNT = count("text", WORDLIKE.replace("'", "''"))
 _STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -383,7 +389,7 @@ ORACLE_SQL: dict[str, str] = {
             + least(8.0, log2(greatest(1, len(string_split(text, chr(10))))))''')} AS score FROM (SELECT *, {count('text', r'\S+')} AS n FROM documents)),
         t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS turn FROM s) SELECT doc_id, source, turn, score FROM t ORDER BY turn, source LIMIT 8""",
     "repeated_ngrams": f"SELECT id AS doc_id, {six('r')} AS repeated_ngram_ratio FROM {_NGRAMS}",
-    "quality_checks": rf"""SELECT d.doc_id, {_STRIPPED} <> '' AS non_empty, {count('text', r'\S+')} AS words, {count('text', r'\S+')} BETWEEN 250 AND 600 AS length_ok,
+    "quality_checks": rf"""SELECT d.doc_id, {_STRIPPED} <> '' AS non_empty, {_WORDLIKE_COUNT} AS words, {_WORDLIKE_COUNT} BETWEEN 250 AND 600 AS length_ok,
         array_to_string({_LEAKS}, '|') AS leaked_terms, len({_LEAKS}) = 0 AS no_leakage, array_to_string({_HITS}, '|') AS keyword_hits, len({_HITS}) >= 2 AS keywords_ok,
         regexp_matches({_STRIPPED}, '[.!?]["'')\]]?\s*$') AS ends_ok, {six('g.r')} AS repeated_ngram_ratio, coalesce(l.r, '') AS repeated_lines,
         coalesce(g.r, 0) > 0.08 OR coalesce(l.n, 0) > 0 AS repetitive FROM documents d JOIN {_NGRAMS} g ON g.id = d.doc_id LEFT JOIN {_REPEATED_LINES} l ON l.doc_id = d.doc_id""",
@@ -515,4 +521,4 @@ ORACLE_SQL |= {
             transformation_regions, {_SPLIT_OF('family_id')} AS split, '1' AS dataset_version FROM s""",
 }
 
-ORACLE_SQL = {name: whole(sql) for name, sql in ORACLE_SQL.items()}
+ORACLE_SQL = {name: unicode_spaces(whole(sql)) for name, sql in ORACLE_SQL.items()}

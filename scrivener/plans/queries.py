@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import text as T
 from scrivener.functions.stats import cohens_d, nine_numbers, overlap_ratio, ratio, rounded, safe_log
+from scrivener.operators import attribution as A
 from scrivener.operators import calibrate as K
 from scrivener.operators import checks as C
 from scrivener.operators import evaluate as E
@@ -64,13 +65,16 @@ def _features(spark, d):
 def _scored(spark, d):
     """Labelled documents with the model's p, null where it abstains, the prediction, and word counts."""
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    docs = _docs(spark, d).join(labels, "doc_id")
-    found = X.feature_table(docs, _turns(spark, d)).withColumnRenamed("id", "doc_id")
+    found = X.feature_table(_docs(spark, d).join(labels, "doc_id"), _turns(spark, d), keep=("lang", "source", "label", "text"))
     p = rounded(M.probability(list(M.PARAMETERS), M.INTERCEPT), 9)
-    rows = docs.select("doc_id", "lang", "source", T.word_count(F.col("text")).alias("words"), "label").join(found.select("doc_id", p.alias("p")), "doc_id")
+    rows = found.select(F.col("id").alias("doc_id"), "lang", "source", T.word_count(F.col("text")).alias("words"), "label", p.alias("p"))
     return rows.withColumn("predicted", (F.col("p") > 0.5).cast("int"))
 
 
+def _spliced(spark, d):
+    return H.spliced_documents(_pairs(spark, d)).filter("reason is null").drop("reason")
+
+
 def _hybrid(spark, d):
     return H.splice(_pairs(spark, d))[0]
 
@@ -108,8 +112,7 @@ def sentence_perplexity(spark, d):
 
 @register
 def doc_perplexity(spark, d):
-    docs = _docs(spark, d)
-    return _six(X.document_perplexity(docs, X.sentence_perplexity(docs, _turns(spark, d))).withColumnRenamed("id", "doc_id"))
+    return _six(X.document_perplexity(_docs(spark, d), _turns(spark, d)).withColumnRenamed("id", "doc_id"))
 
 
 @register
@@ -271,7 +274,7 @@ def family_split(spark, d):
 
 def _pair_features(spark, d):
     rows = H.unpivot(_pairs(spark, d)).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
-    return rows.select("id", "pair_id", "label").join(X.feature_table(rows, _docs(spark, d), "id"), "id")
+    return X.feature_table(rows, _docs(spark, d), "id", keep=("pair_id", "label"))
 
 
 def _long_features(spark, d):
@@ -315,12 +318,12 @@ def hybrid_rejects(spark, d):
 
 @register
 def local_windows_clipped(spark, d):
-    return _six(H.local_features(_hybrid(spark, d)).select("pair_id", "hybrid_index", "window_first", "window_last", "length", "mattr", "pos_3gram_entropy"))
+    return _six(H.local_features(_spliced(spark, d)).select("pair_id", "hybrid_index", "window_first", "window_last", "length", "mattr", "pos_3gram_entropy"))
 
 
 @register
 def local_windows_shifted(spark, d):
-    return _six(H.local_features(_hybrid(spark, d), 5).select("pair_id", "hybrid_index", "window_first", "window_last", "length", "mattr", "pos_3gram_entropy"))
+    return _six(H.local_features(_spliced(spark, d), (5,)).select("pair_id", "hybrid_index", "window_first", "window_last", "length", "mattr", "pos_3gram_entropy"))
 
 
 @register
@@ -330,18 +333,12 @@ def robust_z(spark, d):
     return _six(H.robust_z(rows, "doc_id", "sentence_id", "length"))
 
 
-def _hybrid_perplexity(spark, d):
-    """(pair_id, hybrid_index, perplexity) of spliced sentences, to nine decimals."""
-    ids = _hybrid(spark, d).withColumn("id", F.concat_ws("#", "pair_id", F.col("hybrid_index").cast("string")))
-    # each sentence is one document of one sentence or more here: the median stands for it
-    ppl = X.document_perplexity(ids, X.sentence_perplexity(ids, _docs(spark, d), id_col="id"), "id")
-    return ids.select("id", "pair_id", "hybrid_index").join(ppl.select("id", rounded(F.col("perplexity"), 9).alias("perplexity")), "id").drop("id")
+COMPONENTS = ("perplexity", "length", "mattr", "pos_3gram_entropy")
 
 
 def _anomaly(spark, d):
-    rows = H.local_features(_hybrid(spark, d)).join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"])
-    scores = H.anomaly_scores(rows, "pair_id", "hybrid_index", ("perplexity", "length", "mattr", "pos_3gram_entropy"))
-    return H.ranked(rows.select("pair_id", "hybrid_index", "origin").join(scores, ["pair_id", "hybrid_index"]), "pair_id", "hybrid_index")
+    rows = H.local_features(_spliced(spark, d), corpus=_docs(spark, d))
+    return H.ranked(H.anomaly_scores(rows, "pair_id", "hybrid_index", COMPONENTS, ("origin",)), "pair_id", "hybrid_index")
 
 
 @register
@@ -354,23 +351,17 @@ def anomaly_capture(spark, d):
     return _six(H.capture_rates(_anomaly(spark, d), F.col("origin") == "ai_inserted"))
 
 
-COMPONENTS = ("perplexity", "length", "mattr", "pos_3gram_entropy")
 SETS = {"perplexity_only": COMPONENTS[:1], "sentence_length_only": COMPONENTS[1:2], "mattr_only": COMPONENTS[2:3], "pos_3gram_entropy_only": COMPONENTS[3:], "all_features": COMPONENTS}
 WIDTHS = (1, 3, 5, 7)
 
 
 def _grid(spark, d):
-    """(window, feature_set, pair_id, hybrid_index, origin, score) of 4 windows by 5 feature sets; one pass ranks all windows' values."""
-    sentences, every = _hybrid(spark, d), None
-    for width in WIDTHS:
-        part = H.local_features(sentences, width).withColumn("window", F.lit(width))
-        every = part if every is None else every.unionByName(part)
-    rows = every.join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"]).withColumn("doc", F.concat_ws("|", F.col("window").cast("string"), "pair_id"))
-    scores = H.anomaly_scores(rows, "doc", "hybrid_index", COMPONENTS)
-    scores = rows.select("doc", "window", "pair_id", "hybrid_index", "origin").join(scores, ["doc", "hybrid_index"])
+    """(window, feature_set, pair_id, hybrid_index, origin, score) of 4 windows by 5 feature sets; one pass measures and one ranks all windows' values."""
+    rows = H.local_features(_spliced(spark, d), WIDTHS, _docs(spark, d)).withColumn("doc", F.concat_ws("|", F.col("width").cast("string"), "pair_id"))
+    scores = H.anomaly_scores(rows, "doc", "hybrid_index", COMPONENTS, ("width", "pair_id", "origin"))
     # scores to nine decimals: a rank must not turn on the last bit of a sum
     cells = [F.struct(F.lit(name).alias("feature_set"), rounded(H.mean_abs([F.col(f"z_{c}") for c in cs]), 9).alias("score")) for name, cs in SETS.items()]
-    return scores.select("window", "pair_id", "hybrid_index", "origin", F.explode(F.array(*cells)).alias("x")).select("window", "pair_id", "hybrid_index", "origin", "x.*")
+    return scores.select(F.col("width").alias("window"), "pair_id", "hybrid_index", "origin", F.inline(F.array(*cells)))
 
 
 @register
@@ -390,14 +381,13 @@ CHANGES = ("log_perplexity", "length", "mattr", "pos_3gram_entropy")
 
 
 def _boundary(spark, d):
-    rows = H.local_features(_hybrid(spark, d)).join(_hybrid_perplexity(spark, d), ["pair_id", "hybrid_index"])
+    rows = H.local_features(_spliced(spark, d), corpus=_docs(spark, d))
     return H.boundaries(rows.withColumn("log_perplexity", safe_log(F.col("perplexity"))), ("perplexity", *CHANGES))
 
 
 def _boundary_scores(spark, d):
-    rows = _boundary(spark, d)
-    scores = H.anomaly_scores(rows, "pair_id", "boundary_index", tuple(f"change_{c}" for c in CHANGES))
-    return rows.join(scores.select("pair_id", "boundary_index", "score"), ["pair_id", "boundary_index"])
+    changes = tuple(f"change_{c}" for c in CHANGES)
+    return H.anomaly_scores(_boundary(spark, d), "pair_id", "boundary_index", changes, ("boundary_type", "target_boundary", "change_perplexity", *changes))
 
 
 @register
@@ -419,14 +409,11 @@ def boundary_summary(spark, d):
 
 
 def _attribution(spark, d):
-    """Every spliced document analysed again by the whole model without each of its sentences; documents that it abstains from are left out."""
-    variants = H.without_each(_hybrid(spark, d))
-    found = X.feature_table(variants, _docs(spark, d), "id")
+    """What every spliced document's probability loses without each of its sentences; documents that the model abstains from are left out."""
     p = M.probability(list(M.PARAMETERS), M.INTERCEPT)
-    scored = variants.select("id", "pair_id", "left_out").join(found, "id").select("pair_id", "left_out", p.alias("p"))
-    rows = H.attribution(scored).filter("reason is null or reason <> 'full_document_not_classified'").withColumn("contribution", rounded(F.col("contribution"), 9))
-    ranks = H.ranked(rows, "pair_id", "left_out", "contribution", floor_one=True)
-    return ranks.join(_hybrid(spark, d).select("pair_id", F.col("hybrid_index").alias("left_out"), "origin"), ["pair_id", "left_out"])
+    rows = H.attribution(A.without_each(_spliced(spark, d), _docs(spark, d)), p).filter("reason is null or reason <> 'full_document_not_classified'")
+    rows = rows.select("pair_id", "left_out", F.get("s", F.col("left_out"))["origin"].alias("origin"), rounded(F.col("contribution"), 9).alias("contribution"), "reason")
+    return H.ranked(rows, "pair_id", "left_out", "contribution", floor_one=True)
 
 
 @register
@@ -539,8 +526,8 @@ def leakage_copies(spark, d):
 def localization(spark, d):
     """Of the top quarter of sentences by length z against the inserted ones, per document: precision, recall, overlap, and the share of their ends that a flagged run shares."""
     sentences = _hybrid(spark, d).withColumn("length", T.count_matches(F.col("text"), T.COUNTED).cast("double"))
-    z = H.robust_z(sentences, "pair_id", "hybrid_index", "length").withColumn("score", rounded(F.abs("z"), 9))
-    ranks = H.ranked(sentences.select("pair_id", "hybrid_index", "origin").join(z, ["pair_id", "hybrid_index"]), "pair_id", "hybrid_index", floor_one=True)
+    z = H.robust_z(sentences, "pair_id", "hybrid_index", "length", ("origin",)).withColumn("score", rounded(F.abs("z"), 9))
+    ranks = H.ranked(z, "pair_id", "hybrid_index", floor_one=True)
     return _six(E.localization(ranks.withColumn("known", F.col("origin") == "ai_inserted").withColumn("flagged", F.col("top_25")), "pair_id", "hybrid_index"))
 
 
@@ -689,7 +676,7 @@ def checks_distribution(spark, d):
     pairs = _pairs(spark, d)
     selected = S.sample(pairs, "pair_id", 200, SEED)
     rows = H.unpivot(selected).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
-    long = _long_of(rows.select("id", "pair_id", "label").join(X.feature_table(rows, _docs(spark, d), "id"), "id"))
+    long = _long_of(X.feature_table(rows, _docs(spark, d), "id", keep=("pair_id", "label")))
     summary = long.groupBy("feature", "label").agg(*nine_numbers(F.col("v")))
     same = C.unchanged(table_digest(_turns(spark, d)), table_digest(table(spark, d, "conversations")))
     return C.distribution_checks(selected, long, summary, 200).unionByName(same)

@@ -71,7 +71,7 @@ def test_perplexity_statuses(spark):
         heads[a] += n
     nll = [-math.log((pairs[a, b] + 0.5) / (heads[a] + 0.5 * v)) for a, b in (("the", "cat"), ("cat", "sat"))]
     assert math.isclose(got[0, 2].perplexity, math.exp(sum(nll) / 2))
-    docp = {r.id: r for r in features.document_perplexity(docs, features.sentence_perplexity(docs, spark.createDataFrame(CORPUS, "text string"))).collect()}
+    docp = {r.id: r for r in features.document_perplexity(docs, spark.createDataFrame(CORPUS, "text string")).collect()}
     assert math.isclose(docp[0].perplexity, got[0, 2].perplexity) and docp[1].perplexity_reason == docp[4].perplexity_reason == "no_valid_sentence_perplexity_values"
 
 
@@ -154,11 +154,12 @@ def test_splice(spark):
 
 
 def test_windows(spark):
-    rows = spark.createDataFrame([(f"d{n}", i, f"s{i}") for n in (1, 2, 3, 6, 9) for i in range(n)], "pair_id string, hybrid_index int, text string")
-    got = {(r.pair_id, r.hybrid_index): (r.window_first, r.window_last, r.text) for r in hybrid.windows(rows, 7).collect()}
+    rows = spark.createDataFrame([(f"d{n}", i, "human", f"s{i}") for n in (1, 2, 3, 6, 9) for i in range(n)], "pair_id string, hybrid_index int, origin string, text string")
+    both = hybrid.windows(hybrid.documents_of(rows), (7, None)).collect()
+    got = {(r.pair_id, r.hybrid_index): (r.windows[0].window_first, r.windows[0].window_last, r.windows[0].window_text) for r in both}
     assert got["d1", 0] == (0, 0, "s0") and got["d2", 0][0] is None and got["d6", 3][0] is None
     assert got["d9", 0][:2] == (0, 6) and got["d9", 4][:2] == (1, 7) and got["d9", 8][:2] == (2, 8)
-    clipped = {(r.pair_id, r.hybrid_index): r.text for r in hybrid.windows(rows).collect()}
+    clipped = {(r.pair_id, r.hybrid_index): r.windows[1].window_text for r in both}
     assert clipped["d9", 0] == "s0 s1" and clipped["d9", 8] == "s7 s8" and clipped["d9", 4] == "s3 s4 s5" and clipped["d1", 0] == "s0"
 
 
