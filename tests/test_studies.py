@@ -204,3 +204,81 @@ def test_unicode_white_space(spark):
     assert [r[3] for r in rows] == [None if c is None else len(re.findall(r"\b[\w'-]+\b", c)) for c in cases]
     (row,) = model.analyze(frame(spark, ["  "]), corpus(spark), model.parameters(spark)).collect()
     assert {f.reason for f in row.features} == {"whitespace_only_input"}
+
+
+# many fits at once
+
+
+def newton(x, y, w, penalty=1.0):
+    """One fit by itself: coefficients and intercept for unscaled features."""
+    import numpy as np
+
+    n = w.sum()
+    mean = (w[:, None] * x).sum(axis=0) / n
+    scale = np.sqrt((w[:, None] * (x - mean) ** 2).sum(axis=0) / n)
+    z = np.concatenate(((x - mean) / scale, np.ones((len(x), 1))), axis=1)
+    keep = np.diag([penalty] * x.shape[1] + [0.0])
+    beta = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta - np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + keep, z.T @ (w * (p - y)) + keep @ beta)
+    weights = beta[:-1] / scale
+    return weights, beta[-1] - weights @ mean
+
+
+def labelled(n=400, groups=7):
+    rng = random.Random(21)
+    out = []
+    for i in range(n):
+        a, b = rng.gauss(50, 9), rng.gauss(0, 0.1)
+        y = int(rng.random() < 1 / (1 + math.exp(-(0.1 * (a - 50) + 8 * b + (i % groups) / 5 - 0.5))))
+        out.append((i, None if i % groups == 3 else f"g{i % groups}", y, a, b))
+    return out
+
+
+def test_group_refits_equal_separate_fits(spark):
+    import numpy as np
+
+    from scrivener.operators import refits
+
+    rows = labelled()
+    table = spark.createDataFrame([*rows, (999, "g0", 1, None, 0.0)], "k int, g string, label int, a double, b double").repartition(5)
+    got = {r.g: r for r in refits.group_refits(table, "g", ("a", "b")).collect()}
+    assert len(got) == 7 and None in got
+    x, y = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows], float)
+    for g, r in got.items():
+        own = np.array([q[1] == g for q in rows])
+        weights, constant = newton(x, y, (~own).astype(float))
+        assert np.allclose(r.weights, weights, atol=1e-8) and math.isclose(r.constant, constant, abs_tol=1e-7)
+        right = ((x[own] @ weights + constant > 0) == (y[own] == 1)).mean()
+        assert r.n_train == (~own).sum() and r.n_test == own.sum() and math.isclose(r.accuracy, right)
+
+
+def test_refits_without_a_class_or_rows(spark):
+    from scrivener.operators import refits
+
+    table = spark.createDataFrame([(g, y, float(i)) for i, (g, y) in enumerate([("a", 1), ("a", 1), ("b", 0), ("b", 0)] * 3)], "g string, label int, v double")
+    got = refits.group_refits(table, "g", ("v",)).collect()
+    assert [r.accuracy for r in got] == [None, None]
+    assert refits.group_refits(table.limit(0), "g", ("v",)).count() == 0
+
+
+def test_seed_refits_equal_separate_fits(spark):
+    import hashlib
+
+    import numpy as np
+
+    from scrivener.operators import refits
+
+    rows = labelled()
+    table = spark.createDataFrame(rows, "k int, g string, label int, a double, b double").repartition(3)
+    got = {r.seed: r for r in refits.seed_refits(table, "k", (1, 2, 3), ("a", "b")).collect()}
+    x, y = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows], float)
+    for seed, r in got.items():
+        at = [int(hashlib.md5(f"{seed}|{q[0]}".encode()).hexdigest()[:8], 16) / 2**32 for q in rows]
+        times = np.array([sum(u >= e for e in refits.POISSON) for u in at], float)
+        weights, constant = newton(x, y, times)
+        assert r.n_train == times.sum() and r.n_test == (times == 0).sum()
+        assert np.allclose(r.weights, weights, atol=1e-8) and math.isclose(r.constant, constant, abs_tol=1e-7)
+    summary = refits.over_seeds(spark.createDataFrame(list(got.values()))).first()
+    assert summary.runs == 3 and math.isclose(summary.mean_accuracy, sum(r.accuracy for r in got.values()) / 3)
