@@ -282,3 +282,107 @@ def test_seed_refits_equal_separate_fits(spark):
         assert np.allclose(r.weights, weights, atol=1e-8) and math.isclose(r.constant, constant, abs_tol=1e-7)
     summary = refits.over_seeds(spark.createDataFrame(list(got.values()))).first()
     assert summary.runs == 3 and math.isclose(summary.mean_accuracy, sum(r.accuracy for r in got.values()) / 3)
+
+
+# near copies, markers and metadata
+
+
+def near_texts():
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(40, 120))] for _ in range(12)]
+    out = []
+    for i, words in enumerate(base):
+        for k in range(5):
+            edited = list(words)
+            for _ in range(k):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            out.append((len(out), " ".join(edited) + ("." if k % 2 else ""), f"s{(i + k) % 3}"))
+    shared = [rng.choice(vocabulary) for _ in range(60)]
+    out += [(len(out) + k, " ".join([*shared, *(rng.choice(vocabulary) for _ in range(60))]), "s0") for k in range(20)]
+    return out + [(500, "two words", "s0"), (501, "Two  words!", "s1"), (502, "", "s0"), (503, None, "s1"), (504, "...", "s2")]
+
+
+def test_near_copies_equal_all_pairs(spark):
+    from scrivener.operators import leakage
+
+    rows = near_texts()
+    table = spark.createDataFrame(rows, "doc_id long, text string, split string").repartition(4)
+    sets = {}
+    for i, text, _ in rows:
+        words = re.findall(r"\w+", (text or "").lower())
+        sets[i] = frozenset(zip(*(words[k:] for k in range(5)), strict=False)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+    of = {i: min(j for j in sets if sets[j] == s) if s else i for i, s in sets.items()}
+    alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    links = {a: {b for b in set(of.values()) if b != a and alike(a, b)} for a in set(of.values())}
+    side = {i: s for i, _, s in rows}
+    got = {r.doc_id: r for r in leakage.near_copies(table, "split").collect()}
+    assert set(got) == set(sets) and any(links.values())
+    for i, r in got.items():
+        around = {side[j] for j in sets if of[j] == of[i] or of[j] in links[of[i]]}
+        assert (r.class_id, r.class_size, r.links, r.crosses) == (of[i], sum(c == of[i] for c in of.values()), len(links[of[i]]), len(around) > 1)
+    pairs = {(r.a, r.b): r.similarity for r in leakage.similar_sets(leakage.shingle_sets(table)).collect()}
+    assert set(pairs) == {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    assert leakage.near_copies(table.limit(0), "split").count() == 0
+
+
+def test_markers_and_metadata(spark):
+    from scrivener.operators import evaluate, leakage
+
+    rng = random.Random(2)
+    rows = [(i, i % 2, f"text {'As an AI' if i % 2 and i % 3 == 0 else ''}", f"maker{i % 2}" if rng.random() < 0.95 else "other", f"topic{rng.randrange(5)}", rng.choice(["a", None])) for i in range(400)]
+    table = spark.createDataFrame(rows, "k int, label int, text string, made string, topic string, odd string")
+    got = {(r.marker, r.label): (r.n, r.with_marker) for r in leakage.marker_shares(table, ("as an ai", "maker1")).collect()}
+    assert got["as an ai", 0] == (200, 0) and got["as an ai", 1] == (200, sum(1 for r in rows if "As an AI" in r[2])) and got["maker1", 1] == (200, 0)
+    planted = evaluate.roc_auc(leakage.metadata_scores(table, ("made", "topic", "odd"), "k", 5)).first().roc_auc
+    fair = evaluate.roc_auc(leakage.metadata_scores(table, ("topic", "odd"), "k", 5)).first().roc_auc
+    assert planted > 0.95 and 0.35 < fair < 0.65
+    # values that the taught half never held are one more category
+    strange = table.withColumn("made", F.when(F.md5(F.concat(F.lit("5|"), F.col("k").cast("string"))) < "8", F.col("made")).otherwise("never seen"))
+    assert leakage.metadata_scores(strange, ("made",), "k", 5).select("p").distinct().count() == 1
+
+
+# quantiles of large groups
+
+
+@pytest.mark.parametrize("bins, few", [(4, 1), (16, 3), (1 << 10, 1 << 14)])
+def test_quantiles_equal_percentile(spark, bins, few):
+    from scrivener.operators import quantiles
+
+    rng = random.Random(13)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(300)] + [(None, float(rng.randrange(4))) for _ in range(200)] + [("c", x) for x in (1e300, -1e300, 5.0, 1e-300, 0.0)] + [("d", 7.0), ("e", None), ("f", math.nan)]
+    rows += [("g", float(10**k)) for k in range(40)] + [("h", 3.0)] * 100
+    table = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.g, r.prob): r.value for r in quantiles.quantiles(table, "v", probs, "g", bins=bins, few=few).collect()}
+    want = table.filter("v is not null and not isnan(v)").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+    assert len(got) == len(want) * len(probs)
+    for r in want:
+        for p, q in zip(probs, r.q, strict=True):
+            assert got[r.g, p] == pytest.approx(q, rel=1e-12, abs=1e-12)
+    whole = {r.prob: r.value for r in quantiles.quantiles(table.filter("g = 'a'"), "v", (0.5,), bins=bins, few=few).collect()}
+    assert whole[0.5] == got["a", 0.5]
+
+
+# frozen selections
+
+
+def test_frozen_tree_names_the_set_and_finds_changes(spark, tmp_path):
+    from scrivener.operators import frozen
+
+    ids = spark.createDataFrame([(f"id{i}",) for i in range(3000)], "k string")
+    tree = frozen.digest_tree(ids, "k", 2)
+    root = lambda t: t.filter("level = 0").first().digest
+    assert root(tree) == root(frozen.digest_tree(ids.orderBy(F.desc("k")).repartition(7), "k", 2)) and tree.filter("level = 0").first().n == 3000
+    other = frozen.digest_tree(ids.withColumn("k", F.when(F.col("k") == "id77", "id77x").otherwise(F.col("k"))), "k", 2)
+    import hashlib
+
+    want = {hashlib.sha256(x.encode()).hexdigest()[:2] for x in ("id77", "id77x")}
+    found = frozen.changed_chunks(tree, other, 2).collect()
+    assert {r.prefix for r in found} == want and found[0].compared <= 1 + 16 + 32
+    assert frozen.changed_chunks(tree, tree, 2).count() == 0
+    (row,) = frozen.freeze(ids, "k", str(tmp_path / "m"), 5, "abc", 2).collect()
+    assert (row.seed, row.n, row.root) == (5, 3000, root(tree)) and spark.read.parquet(str(tmp_path / "m" / "identifiers")).count() == 3000
+    (none,) = frozen.freeze(ids.limit(0), "k", str(tmp_path / "e"), 5, "abc").collect()
+    assert none.n == 0 and none.root == hashlib.sha256(b"").hexdigest()
+    assert [frozen.depth_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 10**9)] == [1, 1, 2, 5]
