@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -53,6 +54,11 @@ BATCH_CHARS = 1 << 20
 #: Ids of side A, and documents of a spill, are below these; ids of side B below 2^15, or 2^63 over both.
 _SIDE, _DOCS = 1 << 24, 1 << 24
 
+# The pattern by which byte-level vocabularies cut a text, and characters that
+# every engine of such patterns puts into the same classes (Latin letters, ASCII, dashes and quotes).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ALIKE = re.compile("[\t\n\r\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*")
+
 
 def _narrow(values: np.ndarray) -> np.ndarray:
     """Whole numbers of 0 or more in the narrowest type that holds them."""
@@ -84,25 +90,48 @@ def _deltas(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=0)
 
 
+def plain_ranks(bpe_json: str) -> bool:
+    """Whether a tokenizer is nothing but byte-level merges in order of their ids, so that an encoder by ranks gives the same ids.
+
+    For every token, as a text of its own, both are compared.
+    """
+    spec = json.loads(bpe_json)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    extras = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if model.get("type") != "BPE" or extras or not level or spec.get("normalizer") or not all(t["special"] for t in spec.get("added_tokens", ())):
+        return False
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in merged or merged != sorted(merged) or len(model["vocab"]) - len(merged) - len(spec.get("added_tokens", ())) != 256:
+        return False
+    sides = Sides(bpe_json, None, True)
+    texts = [t.decode() for t in sides.bytes_a if t.decode("utf-8", "ignore").encode() == t]
+    return [e.ids for e in sides.a.encode_batch_fast(texts, add_special_tokens=False)] == [sides.fast.encode_ordinary(t) for t in texts]
+
+
 class Sides:
-    """Both tokenizers of a worker, and the bytes of their tokens."""
+    """Both tokenizers of a worker, and the bytes of their tokens; ``plain`` as ``plain_ranks`` has it."""
 
-    def __init__(self, bpe_json: str, piece_model: bytes):
+    def __init__(self, bpe_json: str, piece_model: bytes | None, plain: bool = False):
         # one thread: a task has one core
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_str(bpe_json)
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model) if piece_model else None
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         added = {t["id"] for t in json.loads(bpe_json).get("added_tokens", ())}
         letters = _byte_letters()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, ident in vocabulary.items():
             self.bytes_a[ident] = token.encode() if ident in added else bytes(letters[c] for c in token)
-        self.bytes_b = [_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())] if self.b else []
+        # texts of characters on which all engines agree are encoded by the faster one
+        ranks = {t: i for i, t in enumerate(self.bytes_a) if i not in added}
+        self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if plain else None
         self.lengths = [np.array(list(map(len, side)), np.int64) for side in (self.bytes_a, self.bytes_b)]
         # decimals with what follows them: another token, the other side, the next group, or nothing
         names = [[str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b)]
@@ -113,7 +142,9 @@ class Sides:
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; empty where a text is empty or either side's bytes are not those of the text after a space."""
         spaced = [" " + t for t in texts]
-        left = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        alike = [self.fast is not None and ALIKE.fullmatch(t) is not None for t in texts]
+        rest = iter(self.a.encode_batch_fast([t for t, same in zip(spaced, alike, strict=True) if not same], add_special_tokens=False))
+        left = [self.fast.encode_ordinary(t) if same else next(rest).ids for t, same in zip(spaced, alike, strict=True)]
         right = self.b.encode(texts, num_threads=1)
         data = [t.encode() for t in spaced]
         whole = [self._gives(n, side, data) for n, side in enumerate((left, right))]
@@ -408,7 +439,7 @@ def _sides(docs: DataFrame, bpe_path: str, piece_path: str) -> Callable[[], Side
     """Read both vocabularies once on the driver; each Python worker loads them once."""
     with open(bpe_path, encoding="utf-8") as bpe, open(piece_path, "rb") as piece:
         files = (bpe.read(), piece.read())
-    shipped = docs.sparkSession.sparkContext.broadcast(files)
+    shipped = docs.sparkSession.sparkContext.broadcast((*files, plain_ranks(files[0])))
     name = hashlib.sha256(files[0].encode() + files[1]).hexdigest()
 
     def get() -> Sides:

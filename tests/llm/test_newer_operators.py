@@ -1,6 +1,7 @@
 """Cover-tree search, Merkle manifest and tokenizer alignment against brute force."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -206,6 +207,19 @@ def test_alignment_equals_loops(spark, monkeypatch, bounds):
     assert sorted(map(tuple, alignment.align(table, BPE, PIECES, **bounds).collect()), key=str) == aligned_by_loops(rows)
 
 
+def test_both_encoders_of_side_a_agree_where_either_is_used():
+    with open(BPE, encoding="utf-8") as file:
+        spec = file.read()
+    assert alignment.plain_ranks(spec)
+    whole = json.loads(spec)
+    for part, key, value in (("model", "ignore_merges", True), ("model", "unk_token", "?"), ("pre_tokenizer", "add_prefix_space", True)):
+        assert not alignment.plain_ranks(json.dumps(whole | {part: whole[part] | {key: value}}))
+    sides = alignment.Sides(spec, None, True)
+    every = [chr(c) for c in range(0x2100) if alignment.ALIKE.fullmatch(chr(c))]
+    texts = [a + x + b for x in every for a in ("", "a", " ", "1", "'", "\n", "é", "  ") for b in ("", "a", " ", "1", "s", "\n", "  ")]
+    assert [e.ids for e in sides.a.encode_batch_fast(texts, add_special_tokens=False)] == [sides.fast.encode_ordinary(t) for t in texts]
+
+
 def test_alignment_of_no_rows(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string"), BPE, PIECES).count() == 0
 
