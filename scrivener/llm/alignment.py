@@ -102,7 +102,7 @@ def plain_ranks(bpe_json: str) -> bool:
     if model.get("type") != "BPE" or extras or not level or spec.get("normalizer") or not all(t["special"] for t in spec.get("added_tokens", ())):
         return False
     merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-    if None in merged or merged != sorted(merged) or len(model["vocab"]) - len(merged) - len(spec.get("added_tokens", ())) != 256:
+    if None in merged or merged != sorted(merged) or len(set(model["vocab"]) - {t["content"] for t in spec.get("added_tokens", ())}) - len(merged) != 256:
         return False
     sides = Sides(bpe_json, None, True)
     texts = [t.decode() for t in sides.bytes_a if t.decode("utf-8", "ignore").encode() == t]
