@@ -173,19 +173,3 @@ def explanation(state: Column, label: Column) -> Column:
     """A null state stands for no result yet."""
     known = F.when(state == "insufficient_evidence", EXPLANATIONS["insufficient"]).when(label == "ai_associated", EXPLANATIONS["ai_associated"]).otherwise(EXPLANATIONS["human_associated"])
     return F.when(state.isNull(), EXPLANATIONS["none"]).otherwise(known)
-
-
-def overlay(spans: Column, inclusive_end: bool = True) -> tuple[Column, Column]:
-    """Rebuild a text from (start, end, id, text) spans: the text, and whether every span fits.
-
-    Spans lie over a buffer of spaces in order of start, end and id, and later spans
-    overwrite. A span fits if its text has the length that the offsets give it.
-    """
-    extra = 1 if inclusive_end else 0
-    ordered = F.array_sort(spans)
-    size = F.aggregate(ordered, F.lit(0).cast("long"), lambda n, s: F.greatest(n, s["end"] + extra))
-    blank = F.repeat(F.lit(" "), size.cast("int"))
-    fitted = lambda s: F.rpad(s["text"], (s["end"] - s["start"] + extra).cast("int"), " ")
-    text = F.aggregate(ordered, blank, lambda buffer, s: F.overlay(buffer, fitted(s), (s["start"] + 1).cast("int"), (s["end"] - s["start"] + extra).cast("int")))
-    fits = F.forall(ordered, lambda s: F.length(s["text"]) == s["end"] - s["start"] + extra)
-    return text, fits

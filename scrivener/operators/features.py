@@ -96,6 +96,12 @@ def _with_entropy(rows: DataFrame) -> DataFrame:
     """
     kept = rows.columns
     rows = rows.select(*kept, F.transform(T.tokens(F.coalesce(F.col("text"), F.lit("")), T.COUNTED), T.tag).alias("__g"))
+    return entropy_of_tags(rows).drop("__g")
+
+
+def entropy_of_tags(rows: DataFrame) -> DataFrame:
+    """``rows`` (with __g, an array of tags) and pos_3gram_entropy and pos_reason."""
+    kept = rows.columns
     rows = rows.select(*kept, F.size("__g").alias("__n"), F.when(F.size("__g") >= 3, F.sort_array(T.grams(F.col("__g"), 3))).alias("__s"))
     after = F.concat(F.slice("__s", 2, F.size("__s") - 1), F.array(F.lit("")))
     ends = F.filter(F.transform(F.zip_with("__s", after, lambda x, y: x != y), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
@@ -251,6 +257,29 @@ def middle(values: Column) -> Column:
     return F.transform(F.array(known), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)[0]
 
 
+def prefix_scores(docs: DataFrame, corpus: DataFrame | LanguageModel, targets: tuple[int, ...], k: float = ADD_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, target, n_tokens, scored, nll, perplexity) of the first min(target, n) words of every text.
+
+    Each word is scored once, given the one before it; running sums give the mean at every
+    target, so no prefix is scored again. Null below two words.
+    """
+    model = corpus if isinstance(corpus, LanguageModel) else LanguageModel(corpus)
+    rows = docs.select(F.col(id_col).alias("id"), F.slice(T.tokens(F.coalesce(F.col(text_col), F.lit(""))), 1, max(targets)).alias("w"))
+    if model.small:
+        rows = rows.select("id", F.size("w").alias("n"), model.table.running(F.col("w"), k).alias("sums"))
+    else:
+        # a document's words are one sentence each two of them, so that the joined counts come back by place
+        pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))
+        rows = rows.withColumn("n", F.size("w")).withColumn("__w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<array<string>>")))
+        rows = _nll_by_shuffle(rows, model, k, 2)
+        start = F.array().cast("array<double>")
+        rows = rows.select("id", "n", F.aggregate("__nll", start, lambda s, x: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + x)).alias("sums"))
+    rows = rows.select("id", "n", "sums", F.explode(F.array(*map(F.lit, targets))).alias("target"))
+    size = F.least("target", "n")
+    nll = F.when(size >= 2, F.get("sums", size - 2) / (size - 1))
+    return rows.select("id", "target", size.alias("n_tokens"), F.greatest(size - 1, F.lit(0)).alias("scored"), nll.alias("nll"), finite(F.exp(nll)).alias("perplexity"))
+
+
 def with_median(rows: DataFrame) -> DataFrame:
     """``rows`` (with sentences) and perplexity, the median of those that exist, and perplexity_reason."""
     rows = rows.withColumn("perplexity", middle(F.transform("sentences", lambda x: x["perplexity"])))

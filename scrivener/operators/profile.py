@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,11 +22,47 @@ def reconstruct_concat(rows: DataFrame, key: str, order: str, text: str) -> Data
     return rows.groupBy(key).agg(F.array_join(F.filter(parts, lambda t: t != ""), " ").alias("text"))
 
 
+def _painted(starts: list[int], ends: list[int], texts: list[str], extra: int) -> str:
+    """Spans in order, later ones on top, over spaces: the ends cut the line into gaps, and each gap is read from the last span that covers it."""
+    cuts = sorted({0, *(max(0, s) for s in starts), *(max(0, e + extra) for e in ends)})
+    out, active, given = [], [], 0
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        while given < len(starts) and starts[given] <= low:
+            heapq.heappush(active, -given)
+            given += 1
+        while active and ends[-active[0]] + extra <= low:
+            heapq.heappop(active)
+        if active:
+            top = -active[0]
+            out.append((texts[top] or "")[low - starts[top] : high - starts[top]].ljust(high - low))
+        else:
+            out.append(" " * (high - low))
+    return "".join(out)
+
+
+def overlay_sweep(spans: Column, inclusive_end: bool = True) -> Column:
+    """The text of an array of (start, end, id, text) spans, laid over a line of spaces in order of start, end and id; n log n for n spans."""
+    extra = 1 if inclusive_end else 0
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in parts:
+            yield pa.array([None if row[0] is None else _painted(*row, extra) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.string())
+
+    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    ordered = F.array_sort(spans)
+    return F.arrow_udf("string")(run)(*[ordered.getField(name) for name in ("start", "end", "text")])
+
+
 def reconstruct_overlay(rows: DataFrame, key: str, start: str, end: str, ident: str, text: str, inclusive_end: bool = True) -> DataFrame:
-    """(key, text, ok): spans laid over spaces by their offsets, later ones on top."""
-    spans = F.collect_list(F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col(ident).cast("string").alias("id"), F.col(text).alias("text")))
-    whole, fits = T.overlay(F.col("__spans"), inclusive_end)
-    return rows.groupBy(key).agg(spans.alias("__spans")).select(key, whole.alias("text"), fits.alias("ok"))
+    """(key, text, ok, matched, total): spans laid over spaces by their offsets, later ones on top.
+
+    ``matched`` of ``total`` spans have the length that their offsets give them; ``ok`` says that all have.
+    """
+    extra = 1 if inclusive_end else 0
+    span = F.struct(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
+    fits = F.length(F.col(text)) == F.col(end) - F.col(start) + extra
+    held = rows.groupBy(key).agg(F.collect_list(span).alias("__spans"), F.count_if(fits).alias("matched"), F.count("*").alias("total"))
+    return held.select(key, overlay_sweep(F.col("__spans"), inclusive_end).alias("text"), (F.col("matched") == F.col("total")).alias("ok"), "matched", "total")
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -67,9 +106,27 @@ def span_summary(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def map_spans(spans: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Spans and the targets of the same key that they overlap (half-open offsets)."""
-    a, b = spans.alias("a"), targets.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))).select(f"a.{key}", "a.span_id", "b.target_id")
+    """Spans (key, span_id, start, end) and the targets (key, target_id, start, end) of the same key that they overlap: (key, span_id, target_id), offsets half-open.
+
+    Both lists are merged in order of their offsets, once: how many targets start before a
+    span's end, and how many have all ended by its start, are the ends of a run of targets
+    that it is joined to by number. Targets may overlap one another; those of a run that
+    ended early are left out at the end. A span_id names one span of its key.
+    """
+    order = Window.partitionBy(key).orderBy("start", "end", "target_id")
+    numbered = targets.withColumns({"at": (F.row_number().over(order) - 1).cast("long"), "reach": F.max("end").over(order)})
+    none, one, no = F.lit(None), F.lit(1).cast("long"), F.lit(0).cast("long")
+    event = lambda pos, rank, starts, ends, ask: F.struct(pos.cast("long").alias("pos"), F.lit(rank).alias("rank"), starts.alias("starts"), ends.alias("ends"), F.lit(ask).alias("ask"))
+    # of equal offsets: ends of targets, then spans, then starts of targets
+    of_targets = F.array(event(F.col("start"), 2, one, no, ""), event(F.col("reach"), 0, no, one, ""))
+    of_spans = F.array(event(F.col("start"), 1, no, no, "first"), event(F.col("end"), 1, no, no, "last"))
+    both = numbered.select(key, none.cast(dict(spans.dtypes)["span_id"]).alias("span_id"), none.cast("long").alias("start"), F.inline(of_targets)).unionByName(spans.select(key, "span_id", F.col("start").cast("long").alias("start"), F.inline(of_spans)))
+    upto = Window.partitionBy(key).orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumns({"started": F.sum("starts").over(upto), "ended": F.sum("ends").over(upto)}).filter("ask <> ''")
+    run = counted.groupBy(key, "span_id").agg(F.max(F.when(F.col("ask") == "first", F.col("ended"))).alias("first"), F.max(F.when(F.col("ask") == "last", F.col("started"))).alias("last"), F.max("start").alias("span_start"))
+    asked = run.filter("first < last").select(key, "span_id", "span_start", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("at"))
+    met = asked.join(numbered.select(key, "at", "end", "target_id"), [key, "at"])
+    return met.filter(F.col("end") > F.col("span_start")).select(key, "span_id", "target_id")
 
 
 def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,6 +206,14 @@ def drift(rows: DataFrame, value: str) -> DataFrame:
     return rows.select("id", "target", (F.col(value) - before).alias("delta_from_previous"), ratio(F.col(value) - before, before).alias("relative_delta"), (F.col(value) - first).alias("delta_from_first"))
 
 
+def first_to_final(rows: DataFrame, value: str) -> DataFrame:
+    """(id, points, first, final, absolute_change, relative_change): a document's measurements that exist, by token count."""
+    place = F.struct("n_tokens", "target")
+    held = rows.filter(F.col(value).isNotNull()).groupBy("id").agg(F.count("*").alias("points"), F.min_by(value, place).alias("first"), F.max_by(value, place).alias("final"))
+    change = F.col("final") - F.col("first")
+    return held.select("id", "points", "first", "final", change.alias("absolute_change"), ratio(change, F.col("first")).alias("relative_change"))
+
+
 def reproducibility(runs: DataFrame, key: str, order: str, value: str, tolerance: float = 1e-9) -> DataFrame:
     """Largest absolute difference of each key's values from its first run; null below two runs."""
     first = F.first_value(F.col(value)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -127,11 +127,28 @@ class BigramTable:
 
         return F.arrow_udf("array<double>")(_typed(run))(tokens)
 
+    def running(self, tokens: Column, k: float) -> Column:
+        """For an array of tokens, the running sums of the negative log-likelihoods of all but the first."""
+        shipped = self.shipped
+
+        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for part in parts:
+                logs, sizes, of = _logs(part, *shipped.value, k)
+                kept = np.maximum(sizes - 1, 0)
+                ends = np.cumsum(kept)
+                whole = np.cumsum(logs)
+                before = np.concatenate(([0.0], whole))[ends - kept]
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole - before[of]))
+
+        return F.arrow_udf("array<double>")(_typed(run))(tokens)
+
     def release(self) -> None:
         self.shipped.unpersist()
 
 
-def _mean_nll(sentences: pa.Array, words: pa.Array, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, vocabulary: int, k: float, limit: int) -> pa.Array:
+def _logs(sentences: pa.Array, words: pa.Array, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, vocabulary: int, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sentences, one after another, the negative log-likelihood of every token but the first; the sentences' sizes; and whose each value is."""
     sizes = pc.list_value_length(sentences).to_numpy(zero_copy_only=False).astype(np.int64)
     known = pc.list_flatten(sentences).dictionary_encode()
     place = pc.index_in(known.dictionary, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -147,5 +164,10 @@ def _mean_nll(sentences: pa.Array, words: pa.Array, keys: np.ndarray, counts: np
         joint[both] = np.where(keys[at] == asked, counts[at], 0.0)
         context[a >= 0] = contexts[a[a >= 0]]
     logs = -np.log((joint + k) / (context + k * vocabulary)) if vocabulary else np.full(len(a), np.nan)
+    return logs, sizes, of
+
+
+def _mean_nll(sentences: pa.Array, words: pa.Array, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, vocabulary: int, k: float, limit: int) -> pa.Array:
+    logs, sizes, of = _logs(sentences, words, keys, counts, contexts, vocabulary, k)
     means = np.bincount(of, logs, len(sizes)) / np.maximum(sizes - 1, 1)
     return pa.array(means, mask=(sizes < 2) | (sizes > limit))

@@ -24,7 +24,8 @@ from scrivener.operators import hybrid as H
 from scrivener.operators import model as M
 from scrivener.operators import profile as P
 from scrivener.operators import sampling as S
-from scrivener.sources.readers import dealt_out, table_digest
+from scrivener.sources.readers import dealt_out, read_parameters, table_digest
+from scrivener.sources.scratch import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 20260813
@@ -670,15 +671,22 @@ def _long_of(rows):
     return rows.select("pair_id", "label", F.explode(cells).alias("x")).select("pair_id", "label", "x.*")
 
 
+def _digest(rows):
+    """The digest of a table as it is now, as a value: later changes of the table do not reach it."""
+    return rows.sparkSession.createDataFrame([table_digest(rows).first()], "n bigint, digest decimal(38,0)")
+
+
 @register
 def checks_distribution(spark, d):
-    """Of a run over 200 sampled pairs."""
+    """Of a run over 200 sampled pairs; the table's digest is taken before the run and once more after it."""
+    before = _digest(table(spark, d, "conversations"))
     pairs = _pairs(spark, d)
     selected = S.sample(pairs, "pair_id", 200, SEED)
     rows = H.unpivot(selected).withColumn("id", F.concat_ws("#", "pair_id", F.col("label").cast("string")))
     long = _long_of(X.feature_table(rows, _docs(spark, d), "id", keep=("pair_id", "label")))
-    summary = long.groupBy("feature", "label").agg(*nine_numbers(F.col("v")))
-    same = C.unchanged(table_digest(_turns(spark, d)), table_digest(table(spark, d, "conversations")))
+    long = stored(long, "long")
+    summary = stored(long.groupBy("feature", "label").agg(*nine_numbers(F.col("v"))), "summary")
+    same = C.unchanged(before, table_digest(table(spark, d, "conversations")))
     return C.distribution_checks(selected, long, summary, 200).unionByName(same)
 
 
@@ -696,20 +704,23 @@ def checks_grid(spark, d):
 @register
 def checks_pilot(spark, d):
     docs = _docs(spark, d)
+    before = _digest(table(spark, d, "documents").select(*docs.columns))
     selected = docs.join(F.broadcast(pilot_round_robin(spark, d).select("doc_id")), "doc_id", "left_semi")
     offsets = P.sentence_offsets(selected)
     parts = offsets.join(selected, offsets["id"] == selected["doc_id"]).select("doc_id", "start", (F.col("end") - 1).alias("end"), "sentence_id", F.expr("substring(text, int(start) + 1, int(end - start))").alias("part"))
-    rebuilt = P.reconstruct_overlay(parts, "doc_id", "start", "end", "sentence_id", "part")
-    same = C.unchanged(table_digest(docs), table_digest(table(spark, d, "documents").select(*docs.columns)), "raw_table_unchanged")
+    rebuilt = stored(P.reconstruct_overlay(parts, "doc_id", "start", "end", "sentence_id", "part"), "rebuilt")
+    same = C.unchanged(before, table_digest(table(spark, d, "documents").select(*docs.columns)), "raw_table_unchanged")
     return C.pilot_checks(selected, rebuilt, "doc_id", "source", "text").unionByName(same)
 
 
 @register
 def known_rows(spark, d):
-    """The first five classified documents, scored again by the parameters as read from their table."""
+    """The first five classified documents, scored again by the parameters as written and read back."""
     scored = _scored(spark, d)
     known = scored.filter("p is not null").orderBy("doc_id").limit(5).select("doc_id", F.col("predicted").alias("expected_prediction"), F.col("p").alias("expected_p"))
-    params, intercept = M.load_parameters(M.parameters(spark))
+    path = scratch_path(spark, "parameters")
+    M.parameters(spark).write.parquet(path)
+    params, intercept = M.load_parameters(read_parameters(spark, path))
     found = X.feature_table(_docs(spark, d), _turns(spark, d)).select(F.col("id").alias("doc_id"), rounded(M.probability(params, intercept), 9).alias("p"))
     return _six(M.verify_known(found.withColumn("predicted", (F.col("p") > 0.5).cast("int")), known, "doc_id"))
 

@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-from scrivener.plans.oracles import ORACLE_SQL
-from scrivener.plans.queries import QUERIES
+from scrivener.plans import oracles, queries, studies
+
+QUERIES, ORACLE_SQL = queries.QUERIES | studies.QUERIES, oracles.ORACLE_SQL | studies.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"fit_logreg", "ablation", "calibration_methods"}
+ROWS_ONLY = {"fit_logreg", "ablation", "calibration_methods", "group_refits_features", "metadata_fit", "learned_tag_entropy"}
 
 
 def same(v):

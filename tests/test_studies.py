@@ -386,3 +386,104 @@ def test_frozen_tree_names_the_set_and_finds_changes(spark, tmp_path):
     (none,) = frozen.freeze(ids.limit(0), "k", str(tmp_path / "e"), 5, "abc").collect()
     assert none.n == 0 and none.root == hashlib.sha256(b"").hexdigest()
     assert [frozen.depth_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 10**9)] == [1, 1, 2, 5]
+
+
+# overlays, spans, prefixes and word classes
+
+
+def test_overlay_sweep_equals_painting(spark):
+    from scrivener.operators import profile
+
+    rng = random.Random(17)
+    rows, want = [], {}
+    for key in range(30):
+        spans = []
+        for i in range(rng.randrange(1, 25)):
+            start = rng.randrange(60)
+            size = rng.randrange(1, 20)
+            text = "".join(rng.choice("abcdéf") for _ in range(size if rng.random() < 0.8 else rng.randrange(1, 25)))
+            spans.append((start, start + size - 1, str(i), text))
+        line = [" "] * max(e + 1 for _, e, _, _ in spans)
+        for s, e, _, t in sorted(spans):
+            for k in range(s, e + 1):
+                line[k] = t[k - s] if k - s < len(t) else " "
+        want[key] = ("".join(line), sum(len(t) == e - s + 1 for s, e, _, t in spans), len(spans))
+        rows += [(key, *s) for s in spans]
+    table = spark.createDataFrame(rows, "k int, s long, e long, i string, t string").repartition(4)
+    got = {r.k: (r.text, r.matched, r.total) for r in profile.reconstruct_overlay(table, "k", "s", "e", "i", "t").collect()}
+    assert got == want
+    open_ = {r.k: (r.text, r.ok) for r in profile.reconstruct_overlay(spark.createDataFrame([("x", 0, 3, "1", "abc"), ("x", 3, 5, "2", "de")], "k string, s long, e long, i string, t string"), "k", "s", "e", "i", "t", False).collect()}
+    assert open_ == {"x": ("abcde", True)}
+
+
+def test_span_merge_equals_comparing_all(spark):
+    from scrivener.operators import profile
+
+    rng = random.Random(19)
+    spans, targets = [], []
+    for key in ("a", "b", "c"):
+        for i in range(60):
+            s = rng.randrange(300)
+            spans.append((key, i, s, s + rng.randrange(0, 40)))
+        for i in range(80):
+            s = rng.randrange(300)
+            targets.append((key, i, s, s + rng.randrange(0, 60 if key == "b" else 9)))
+    spans.append(("only spans", 0, 0, 9))
+    got = profile.map_spans(spark.createDataFrame(spans, "k string, span_id long, start long, end long"), spark.createDataFrame(targets, "k string, target_id long, start long, end long"), "k").collect()
+    # an empty span meets a target that it lies inside
+    want = sorted((k, i, j) for k, i, s, e in spans for l, j, a, b in targets if k == l and s < b and e > a)  # noqa: E741
+    assert sorted(map(tuple, got)) == want
+
+
+def test_spans_of_a_long_document(spark):
+    from scrivener.operators import profile
+
+    n = 100_000
+    targets = spark.range(n).select(F.lit("d").alias("k"), F.col("id").alias("target_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"))
+    spans = spark.range(n // 10).select(F.lit("d").alias("k"), F.col("id").alias("span_id"), (F.col("id") * 100 + 5).alias("start"), (F.col("id") * 100 + 105).alias("end"))
+    met = profile.map_spans(spans, targets, "k").groupBy("span_id").agg(F.count("*").alias("n"), F.min("target_id").alias("first"))
+    assert met.filter((F.col("n") != F.when(F.col("span_id") == n // 10 - 1, 10).otherwise(11)) | (F.col("first") != F.col("span_id") * 10)).count() == 0 and met.count() == n // 10
+
+
+def test_prefixes_are_scored_once(spark, monkeypatch):
+    from scrivener.operators import profile
+
+    docs = frame(spark, [passage(random.Random(k), 9).replace(".", "") for k in range(5)] + ["one", "", None])
+    targets = (2, 10, 25, 500)
+    found = lambda: {(r.id, r.target): r for r in features.prefix_scores(docs, corpus(spark), targets).collect()}
+    got = found()
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", r.text or "")
+        for t in targets:
+            (alone,) = features.sentence_perplexity(spark.createDataFrame([(0, " ".join(words[:t]))], "doc_id long, text string"), corpus(spark)).collect() or [None]
+            row = got[r.doc_id, t]
+            assert row.n_tokens == min(t, len(words)) and (row.perplexity is None) == (alone is None or alone.perplexity is None)
+            assert row.perplexity is None or row.perplexity == pytest.approx(alone.perplexity, rel=1e-9)
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 0)
+    for key, row in found().items():
+        assert row.nll is None and got[key].nll is None or row.nll == pytest.approx(got[key].nll, rel=1e-12)
+    ends = {r.id: r for r in profile.first_to_final(spark.createDataFrame(list(got.values())), "perplexity").collect()}
+    assert ends[0].first == got[0, 2].perplexity and ends[0].final == got[0, 500].perplexity and ends[0].points == 4 and 5 not in ends
+
+
+def test_planted_word_classes_come_back(spark):
+    from scrivener.operators import wordclass
+
+    rng = random.Random(23)
+    kinds = {"det": ["the", "ein", "los"], "noun": [f"noun{c}" for c in "abcdefgh"], "verb": [f"verb{c}" for c in "abcdefgh"], "adv": ["soon", "often"]}
+    pick = lambda k: rng.choice(kinds[k])
+    lines = [" ".join(pick(k) for k in ("det", "noun", "verb", "det", "noun", "adv")) + "." for _ in range(900)]
+    corpus_ = spark.createDataFrame([(x,) for x in lines], "text string")
+    classes = {r["word"]: r["class"] for r in wordclass.induce(corpus_, classes=4, contexts=16).collect()}
+    found = [{classes[w] for w in words} for words in kinds.values()]
+    assert all(len(f) == 1 for f in found) and len(set.union(*found)) == 4
+    again = {r["word"]: r["class"] for r in wordclass.induce(corpus_.repartition(7), classes=4, contexts=16).collect()}
+    assert again == classes
+    tags = wordclass.tagger(wordclass.induce(corpus_, classes=4, contexts=16))
+    docs = frame(spark, ["The nouna verbb 12 zebra.", None])
+    (row, none) = docs.select(tags(F.split(F.lower("text"), r"[ .]"))).orderBy("doc_id").collect()
+    assert row[0][:5] == [f"C{classes['the']}", f"C{classes['nouna']}", f"C{classes['verbb']}", "NUM", "RARE"] and none[0] is None
+    entropy = {r.id: r for r in wordclass.learned_entropy(frame(spark, ["the nouna verba. " * 5, "the"]), tags).collect()}
+    assert entropy[0].pos_3gram_entropy == pytest.approx(math.log2(13) - (5 * math.log2(5) + 2 * 4 * math.log2(4)) / 13)
+    assert entropy[1].pos_reason.startswith("insufficient")
+    assert wordclass.induce(corpus_.limit(0)).count() == 0
