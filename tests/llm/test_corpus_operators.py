@@ -209,9 +209,9 @@ def test_html_blocks():
     page = """<html><head><title>T</title><script>var x="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div>
     <article><header><h1>Title &amp; more</h1></header><p>One<b>two</b> <!-- c --> three<br>four<p>Caf&eacute;&nbsp;x</p><aside>Side</aside><div class="comments"><p>First!</div><form>q</form></article>
     <footer>&copy; me</footer></body>"""
-    assert html_text.blocks(page, True) == ["Title & more", "Onetwo three four", "Café x"]
-    assert html_text.blocks("a < b &lt;i&gt; <", False) == ["a < b <i> <"]
-    assert html_text.blocks("", True) == [] and html_text.blocks("<div><p>open", True) == ["open"]
+    assert html_text.blocks(page) == (["Title & more", "Onetwo three four", "Café x"], True)
+    assert html_text.blocks("a < b &lt;i&gt; <") == (["a < b <i> <"], False)
+    assert html_text.blocks("") == ([], False) and html_text.blocks("<div><p>open") == (["open"], False)
 
 
 def test_repeated_substrings_by_brute_force():

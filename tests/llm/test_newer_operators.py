@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ import pytest
 import sentencepiece
 import tokenizers
 
-from scrivener.llm import alignment, covertree, merkle
+from scrivener.llm import alignment, covertree, html_text, merkle
 
 LONG = 2**63 - 1
 
@@ -241,3 +243,40 @@ def test_heap_merge_adds_up_counts(chunk):
 def test_packed_arrays_come_back():
     arrays = [np.array(x, np.int64) for x in ([], [0, 255], [65536], [1 << 40, 3])]
     assert [a.tolist() for a in alignment.unpack(alignment.pack(*arrays))] == [a.tolist() for a in arrays]
+
+
+# pages that are broken, long or empty
+
+BROKEN = ("<script ", "<a ", "<!-- ", '<p class="', "<p class='\"", "<a<a", '"<a \'', "</", "<div></b>", "<div>", "<title>", "&amp", "<x y=")
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_a_megabyte_of_broken_markup_is_read_in_seconds(piece):
+    for end in ("", ">", "-->", "'>", "<p>end</p>"):
+        began = time.process_time()
+        html_text.blocks(piece * ((1 << 20) // len(piece)) + end)
+        assert time.process_time() - began < 10
+
+
+def test_markup_equals_one_pattern_over_random_pages():
+    whole = re.compile(
+        r"""<!--.*?(?:-->|$)|<(script|style|title|textarea|noscript|iframe|template|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S | re.I
+    )
+    rng = random.Random(41)
+    bits = ['<p class="x">', "<p>", "</p>", "<a href='q'>", '"', "'", "<", ">", "<script>", "</script >", "<!--", "-->", "<article>", "text ", "<br/>", "<div id=nav>", "<?x?>", "<!doctype html>", "</", "<title>t</title>", "<svg", "é ", "=", "/"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 16)))
+        want = [(m.start(), m.end(), "", None, "") if m[3] is None else (m.start(), m.end(), m[2], m[3], m[4]) for m in whole.finditer(page)]
+        assert list(html_text.markup(page)) == want, page
+
+
+def test_pages_without_blocks_long_pages_and_repeated_rows(spark):
+    empty = [(i, None, None) for i in range(3000)] + [(i, "http://h.net/x", "<nav>menu</nav>") for i in range(3000, 4000)]
+    long = "<article>" + "".join(f"<p>Satz {i} &amp; mehr</p>" for i in range(20_000)) + "</article>"
+    rows = [*empty, (9000, "http://h.net/l", long), (9001, "http://h.net/r", "<p>own words of this page</p>"), (9001, "http://h.net/r", "<p>own words of this page</p>")]
+    table = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "page_id long, url string, html string, text string, n_chars int, MARKS boolean").repartition(5)
+    got = html_text.extract_text(table).collect()
+    assert len(got) == len(rows) and all(r.text == "" and r.n_chars == 0 for r in got if r.page_id < 4000)
+    (found,) = [r for r in got if r.page_id == 9000]
+    assert found.text == "\n".join(f"Satz {i} & mehr" for i in range(20_000)) and found.n_chars == len(found.text)
+    assert [r.text for r in got if r.page_id == 9001] == ["own words of this page"] * 2
