@@ -204,7 +204,7 @@ _STATS = {"mean": "sum({v}::DECIMAL(28, 9))::DOUBLE / count(*)", "median": "medi
 _META = O.ORACLE_SQL["training_metadata"]
 
 ORACLE_SQL: dict[str, str] = {
-    "scored_by_text": f"""SELECT id AS doc_id, sentence_id, n_tokens, {O.six('nll')} AS nll, CASE WHEN n_tokens < 2 THEN 'insufficient_input' WHEN n_tokens > 1024 THEN 'exceeds_context' ELSE 'ok' END AS status,
+    "scored_by_text": f"""SELECT id AS doc_id, sentence_id, n_tokens, CASE WHEN n_tokens <= 1024 THEN {O.six('nll')} END AS nll, CASE WHEN n_tokens < 2 THEN 'insufficient_input' WHEN n_tokens > 1024 THEN 'exceeds_context' ELSE 'ok' END AS status,
         CASE WHEN n_tokens = 2 THEN 'one_usable_prediction' END AS warning FROM {_letters(O.DOCS)}""",
     "analyze_injected": f"""WITH s AS MATERIALIZED (SELECT id, count(*) AS n, median(exp(nll)) FILTER (n_tokens <= 1024) AS perplexity FROM {_letters(O.DOCS)} GROUP BY id),
         f AS (SELECT d.doc_id, coalesce(n, 0) AS n_evidence, perplexity, sentence_length_cv, mattr, pos_3gram_entropy FROM documents d LEFT JOIN s ON s.id = d.doc_id
