@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from scrivener.functions import text as T
 from scrivener.functions.stats import finite, ratio
 from scrivener.operators.scoring import BigramTable, TextScorer
-from scrivener.sources.scratch import scratch_path
+from scrivener.sources.scratch import scratch_path, stored
 
 FEATURES = ("perplexity", "sentence_length_cv", "mattr", "pos_3gram_entropy")
 REASONS = {"perplexity": "perplexity_reason", "sentence_length_cv": "cv_reason", "mattr": "mattr_reason", "pos_3gram_entropy": "pos_reason"}
 MATTR_WINDOW = 25
 CONTEXT_LIMIT = 1024
 ADD_K = 0.5
-#: Bigrams of a model that is sent to all tasks, at most; about 60 bytes each.
-BROADCAST_BIGRAMS = 1 << 20
+#: Bigrams of a model that is sent to all tasks, at most: about 60 bytes each on the driver while they are packed, and 16 in every task.
+BROADCAST_BIGRAMS = 1 << 21
 
 
 def context_limit(tokenizer_limit: int | None = CONTEXT_LIMIT, positions: int | None = CONTEXT_LIMIT) -> int | None:
@@ -193,20 +193,22 @@ def sizes_of(bigrams: DataFrame, vocabulary: DataFrame) -> dict[str, int]:
 
 
 def _nll_by_shuffle(rows: DataFrame, model: LanguageModel, k: float, limit: int) -> DataFrame:
-    """``rows`` (id, __w, ...) with __nll, by joins with counts that are too many for the tasks; identifiers do not repeat.
+    """``rows`` (__w, ...) with __nll, by joins with counts that are too many for the tasks.
 
-    Pairs are counted by sentence before they meet the counts; contexts are as many as the
-    vocabulary and meet distinct pairs only.
+    Rows are stored with a number first, which brings the scores back to them. Pairs are
+    counted by sentence before they meet the counts; contexts are as many as the vocabulary
+    and meet distinct pairs only.
     """
-    cut = rows.select("id", F.posexplode("__w").alias("at", "w")).filter((F.size("w") >= 2) & (F.size("w") <= limit))
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "sentences")
+    cut = rows.select("__row", F.posexplode("__w").alias("at", "w")).filter((F.size("w") >= 2) & (F.size("w") <= limit))
     both = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))
-    asked = cut.select("id", "at", F.explode(both).alias("p")).groupBy("id", "at", "p.a", "p.b").agg(F.count("*").alias("times"))
+    asked = cut.select("__row", "at", F.explode(both).alias("p")).groupBy("__row", "at", "p.a", "p.b").agg(F.count("*").alias("times"))
     logs = -F.ln((F.coalesce("c_ab", F.lit(0)) + k) / (F.coalesce("c_a", F.lit(0)) + F.lit(k * model.vocabulary)))
     known = asked.select("a", "b").distinct().join(model.bigrams, ["a", "b"], "left").join(model.contexts, "a", "left").select("a", "b", logs.alias("log"))
-    means = asked.join(known, ["a", "b"]).groupBy("id", "at").agg((F.sum(F.col("log") * F.col("times")) / F.sum("times")).alias("nll"))
-    held = means.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "nll"))).alias("__known"))
-    joined = rows.join(held, "id", "left")
-    return joined.withColumn("__nll", F.transform("__w", lambda w, i: F.try_element_at("__known", i))).drop("__known")
+    means = asked.join(known, ["a", "b"]).groupBy("__row", "at").agg((F.sum(F.col("log") * F.col("times")) / F.sum("times")).alias("nll"))
+    held = means.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("at", "nll"))).alias("__known"))
+    joined = rows.join(held, "__row", "left")
+    return joined.withColumn("__nll", F.transform("__w", lambda w, i: F.try_element_at("__known", i))).drop("__known", "__row")
 
 
 def with_sentences(rows: DataFrame, corpus: DataFrame | LanguageModel | None, k: float = ADD_K, limit: int | None = None, scorer: TextScorer | None = None, given: Column | None = None) -> DataFrame:

@@ -487,3 +487,13 @@ def test_planted_word_classes_come_back(spark):
     assert entropy[0].pos_3gram_entropy == pytest.approx(math.log2(13) - (5 * math.log2(5) + 2 * 4 * math.log2(4)) / 13)
     assert entropy[1].pos_reason.startswith("insufficient")
     assert wordclass.induce(corpus_.limit(0)).count() == 0
+
+
+def test_local_features_by_either_size_of_model(spark, monkeypatch):
+    documents = spliced(spark, [passage(random.Random(k), 5) for k in range(4)])
+    columns = ["pair_id", "hybrid_index", "width", "perplexity", "mattr", "length"]
+    found = lambda: sorted(map(tuple, hybrid.local_features(documents, (1, None), corpus(spark)).select(*columns).collect()), key=str)
+    removed = lambda: sorted(map(str, attribution.without_each(documents, corpus(spark)).select("pair_id", F.size("variants")).collect()))
+    small = found(), removed()
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 0)
+    assert (found(), removed()) == small and small[0][0][3] is not None
