@@ -117,25 +117,33 @@ def _parts(profiles: DataFrame, most: int) -> list[DataFrame]:
     return [profiles.filter((F.col("lang") >= a) & (F.lit(True) if b is None else F.col("lang") < b)) for a, b in zip(firsts, ends, strict=True)]
 
 
-def _table(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the codes of all profiles in order, and each code's place by language (-1: absent)."""
+def _table(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, the codes of all profiles in order, where each code's entries start, and of every entry its language and place.
+
+    One entry a profile row, so that memory follows the rows and not languages times codes.
+    """
     rows = profiles.toArrow()
-    langs = sorted(set(rows["lang"].to_pylist()))
+    named = rows["lang"].dictionary_encode().combine_chunks()
+    given = named.dictionary.to_pylist()
+    langs = sorted(given)
     index = {lang: i for i, lang in enumerate(langs)}
-    codes, where = np.unique(rows["code"].to_numpy(), return_inverse=True)
-    places = np.full((len(codes), len(langs)), -1, np.int32)
-    places[where, [index[x] for x in rows["lang"].to_pylist()]] = rows["place"].to_numpy()
-    return langs, codes, places
+    lang = np.array([index[x] for x in given], np.int32)[named.indices.to_numpy()]
+    order = np.argsort(rows["code"].to_numpy(), kind="stable")
+    codes, starts = np.unique(rows["code"].to_numpy()[order], return_index=True)
+    return langs, codes, np.append(starts, len(order)).astype(np.int64), lang[order], rows["place"].to_numpy()[order].astype(np.int32)
 
 
-def _predict(langs: list[str], codes: np.ndarray, places: np.ndarray, size: int, text: str | None) -> tuple[str, float]:
+def _predict(langs: list[str], codes: np.ndarray, starts: np.ndarray, lang: np.ndarray, place: np.ndarray, size: int, text: str | None) -> tuple[str, float]:
     found, counts = grams(text)
     if not len(found) or not langs:
         return UNKNOWN, 0.0
     own = _top(found, counts, size)
     at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-    rank = np.where((codes[at] == own)[:, None], places[at], -1)
-    off = np.where(rank < 0, size, np.abs(rank - np.arange(len(own))[:, None])).sum(axis=0)
+    held = np.where(codes[at] == own, starts[at + 1] - starts[at], 0)
+    # the entries of all own codes, one run after another
+    entry = np.arange(held.sum()) + np.repeat(starts[at] - np.cumsum(held) + held, held)
+    near = size - np.abs(place[entry] - np.repeat(np.arange(len(own)), held))
+    off = size * len(own) - np.bincount(lang[entry], near, len(langs))
     best = int(np.argmin(off))
     return langs[best], float(1 - off[best] / (size * len(own)))
 
@@ -145,9 +153,9 @@ def _nearest(rows: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
     table = rows.sparkSession.sparkContext.broadcast(_table(profiles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, codes, places = table.value
+        learned = table.value
         for batch in batches:
-            found = [_predict(langs, codes, places, size, t.as_py()) for t in batch.column(1)]
+            found = [_predict(*learned, size, t.as_py()) for t in batch.column(1)]
             best = [f if f[0] != UNKNOWN and (lang == UNKNOWN or f[1] > score) else (lang, score) for f, lang, score in zip(found, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             arrays = [batch.column(0), batch.column(1), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "text", "lang", "score"])
