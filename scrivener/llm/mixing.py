@@ -7,8 +7,9 @@ of its cumulative words; inverting the demand at a document's midpoint gives its
 position in training. Positions sort all documents by range.
 
 The order inside a source comes from a hash. Running totals are taken per slice of the
-hash range and added up over slices, so a source with a third of all rows is spread
-over all tasks.
+hash range and added up over slices, so a source with a third of all rows is spread over
+all tasks; slices grow in number with the rows. Rows of an identifier that fills a slice
+by itself (a null one, say) are cut further, by a hash of their text.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 
 from scrivener.llm.common import WORD
 
-#: Slices of the hash range within a source.
-SLICES = 256
+#: Slices of the hash range within a source, at least, and rows of a table for each slice
+#: beyond that. Slices change no position.
+SLICES, SLICE_ROWS = 256, 1 << 16
 SEED = 8
+#: Identifiers of a source that are cut further, at most.
+HOT_KEYS = 1 << 14
 #: Slices of all sources that are broadcast, at most; 40 bytes each.
 BROADCAST_ROWS = 1 << 18
 BASE_WEIGHTS = (3.0, 1.0, 2.0)
@@ -73,6 +77,29 @@ def _invert(share: Column, start: Column, end: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(slope == 0, share).otherwise(root)))
 
 
+def _cut_hot(rows: DataFrame, most: int, n_rows: int) -> DataFrame:
+    """``rows`` with __rank and __sub, which cut a slice without changing its order.
+
+    An identifier with more than ``most`` rows in a source (HOT_KEYS at most) has a rank of
+    its own, odd, between those of the hashes before and after it, and within it 256 parts
+    by the first byte of the text's hash. All other rows of a slice without one are one part.
+    """
+    plain = {"__rank": F.lit(0), "__sub": F.lit(0).cast("long")}
+    if n_rows <= most:
+        return rows.withColumns(plain)
+    # reads identifiers and sources alone; a slice has this many rows only by such an identifier or by chance
+    crowded = rows.groupBy("__source", "__slice").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.col("__source").alias("__s"), F.col("__slice").alias("__k"))
+    if crowded.isEmpty():
+        return rows.withColumns(plain)
+    met = [rows["__source"].eqNullSafe(F.col("__s")), rows["__slice"] == F.col("__k")]
+    by_hash = rows.join(F.broadcast(crowded), met, "left_semi").groupBy("__source", "__slice", "__hash").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    hot = by_hash.groupBy(F.col("__source").alias("__s"), F.col("__slice").alias("__k")).agg(F.sort_array(F.collect_list("__hash")).alias("__hots"))
+    held = rows.join(F.broadcast(hot), met, "left").withColumn("__hots", F.coalesce("__hots", F.array().cast("array<bigint>")))
+    own = F.array_contains("__hots", F.col("__hash"))
+    rank = F.size(F.filter("__hots", lambda h: h < F.col("__hash"))) * 2 + own.cast("int")
+    return held.withColumns({"__rank": rank, "__sub": F.when(own, F.shiftright("__text", 56)).otherwise(F.lit(0).cast("long"))}).drop("__s", "__k", "__hots")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -82,7 +109,8 @@ def mix_sources(
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
     ramps: tuple = RAMPS,
-    slices: int = SLICES,
+    slices: int | None = None,
+    slice_rows: int = SLICE_ROWS,
     keep: tuple = (),
 ) -> DataFrame:
     """Assign training positions to every document.
@@ -104,21 +132,28 @@ def mix_sources(
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__kept")] if keep else []),
     )
     rows = rows.withColumn("__hash", F.xxhash64(F.lit(SEED), F.col("__id").cast("string")))
+    n_rows = docs.count()
+    if slices is None:
+        slices = SLICES
+        while slices < min(n_rows // slice_rows, 1 << 24):
+            slices *= 2
     rows = rows.withColumn("__slice", F.floor((F.shiftrightunsigned("__hash", 40)) * F.lit(slices) / F.lit(1 << 24)).cast("int"))
-    totals = rows.groupBy("__source", "__slice").agg(F.sum("size").alias("size"))
+    rows = _cut_hot(rows, max(slice_rows, n_rows // HOT_KEYS), n_rows)
+    cut = ["__slice", "__rank", "__sub"]
+    totals = rows.groupBy("__source", *cut).agg(F.sum("size").alias("size"))
     targets = source_targets(totals, weights, share, max_epochs)
-    # slices of a source: at most ``slices`` rows a source
-    order = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__source", "__slice", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("__offset"))
-    # at most ``slices`` rows a source: sent to all tasks while few, joined by shuffle beyond that
+    # one row a slice, and a few hundred a hot identifier
+    order = Window.partitionBy("__source").orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__source", *cut, F.coalesce(F.sum("size").over(order), F.lit(0)).alias("__offset"))
+    # sent to all tasks while few, joined by shuffle beyond that
     facts = offsets.join(targets, offsets["__source"].eqNullSafe(targets["__source"])).select(
-        offsets["__source"].alias("__s"), offsets["__slice"].alias("__k"), "__offset", "source_size", "__place", "target"
+        offsets["__source"].alias("__s"), *[F.col(c).alias(f"{c}_of") for c in cut], "__offset", "source_size", "__place", "target"
     )
     if facts.count() <= BROADCAST_ROWS:
         facts = F.broadcast(facts)
-    within = Window.partitionBy("__source", "__slice").orderBy("__hash", F.col("__id").cast("string"), "__text").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__source", *cut).orderBy("__hash", F.col("__id").cast("string"), "__text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(facts, placed["__source"].eqNullSafe(facts["__s"]) & (placed["__slice"] == facts["__k"]))
+    placed = placed.join(facts, [placed["__source"].eqNullSafe(F.col("__s")), *[F.col(c) == F.col(f"{c}_of") for c in cut]])
     middle = F.col("__offset") + F.col("__before") + F.col("size") / 2
     start, end = _cycle(F.col("__place"), tuple(r[0] for r in ramps)), _cycle(F.col("__place"), tuple(r[1] for r in ramps))
     passes = []
