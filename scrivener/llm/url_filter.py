@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import ascii_lower
+from scrivener.llm.common import ascii_lower, spread_join, stored
 
 BITS_PER_KEY = 16
 PROBES = 6
@@ -84,7 +84,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ``rules`` has verdict, host and path. A rule fits its host and all subdomains where
     the path starts with the rule's path. Candidate keys are cut from each URL in the
     shapes that the rules have (labels of host, length of path), so a page makes at most
-    one key a shape. Returns the identifier, host, path, rule (``host`` + ``path``, null
+    one key a shape. Each distinct host and path is judged once, and the verdict goes back
+    to its pages by a join that spreads pairs with many pages, null URLs among them. Returns the identifier, host, path, rule (``host`` + ``path``, null
     if none fits) and verdict (``default`` if none fits), one row for each page.
 
     Defined cases: a null URL or one without ``://`` has empty host and path and no rule;
@@ -99,11 +100,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     labels = F.size(F.split("host", r"\."))
     fits = F.filter("__shapes", lambda s: (labels >= s["labels"]) & (F.length("path") >= s["length"]) & (F.col("host") != ""))
     keys = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substring(F.col("path"), F.lit(1), s["length"])))
-    cut = rows.select("host", "path").distinct().join(F.broadcast(shapes)).select("host", "path", F.explode(keys).alias("__url_key"))
+    pairs = rows.groupBy("host", "path").agg(F.count("*").alias("__n"))
+    cut = pairs.filter("host <> ''").join(F.broadcast(shapes)).select("host", "path", F.explode(keys).alias("__url_key"))
     hits = possible_hits(cut, "__url_key", listed, "__key", listed.count())
     best = (
         hits.join(listed, hits["__url_key"] == listed["__key"])
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("__key").alias("length"), F.col("__key").alias("rule"), F.col("verdict"))).alias("__best"))
     )
-    return rows.join(best, ["host", "path"], "left").select(F.col("__id").alias(id_col), "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    # pairs without a hit stay in the list, so that much-repeated ones are known and spread like the others
+    judged = stored(pairs.join(best, ["host", "path"], "left").select("host", "path", "__n", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict")), "verdicts")
+    total = judged.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    return spread_join(rows, judged, ["host", "path"], "__n", total).select(F.col("__id").alias(id_col), "host", "path", "rule", "verdict")

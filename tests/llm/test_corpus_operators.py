@@ -310,6 +310,16 @@ def test_grams_by_brute_force():
     assert sorted(counts.tolist()) == sorted(want.values()) and len(codes) == len(want)
 
 
+def test_language_profiles_of_thousands_of_languages(spark):
+    """Memory follows profile rows: 3,000 languages of their own letters each, and each is found."""
+    word = lambda k: "".join(chr(0x4E00 + (k * 7 + j) % 20000) for j in range(7))
+    profiles = language_id.learn_profiles(spark.createDataFrame([(f"l{k:04d}", word(k)) for k in range(3000)], "lang string, text string"))
+    table = language_id._table(profiles)
+    assert len(table[0]) == 3000 and sum(x.nbytes for x in table[1:]) < 40 * profiles.count()
+    asked = spark.createDataFrame([(k, word(k)) for k in range(0, 3000, 50)], "id int, text string")
+    assert all(r.lang == f"l{r.doc.id:04d}" and r.score == 1.0 for r in language_id.identify(asked, profiles).collect())
+
+
 # SimHash
 
 
@@ -555,6 +565,28 @@ def test_mixing_positions_by_brute_force(spark):
     assert sorted((r.doc_id, r.size, *r.positions) for r in again) == sorted((r.doc_id, r.size, *r.positions) for r in found)
 
 
+def test_mixing_cuts_hot_identifiers_without_changing_positions(spark):
+    """A third of the rows share a null identifier: cut by text, and with more slices, positions stay those of one task a slice."""
+    rows = [(None if i % 3 == 0 else i % 900, " ".join("w" * (i % 23)) + f" t{i}", "en", "ab"[i % 5 == 0] if i % 11 else None) for i in range(6000)]
+    frame = docs(spark, rows)
+    plain = mixing.mix_sources(frame, keep=("text",))
+    parts = []
+    cut_hot = mixing._cut_hot
+
+    def watched(*args):
+        out = cut_hot(*args)
+        parts.append(out.groupBy("__source", "__slice", "__rank", "__sub").count().agg(F.max("count")).first()[0])
+        return out
+
+    mixing._cut_hot = watched
+    try:
+        cut = mixing.mix_sources(frame, keep=("text",), slice_rows=8)
+    finally:
+        mixing._cut_hot = cut_hot
+    key = lambda df: sorted((str(r.doc_id), r.kept.text, r.size, *r.positions) for r in df.collect())
+    assert key(cut) == key(plain) and parts[0] <= 60
+
+
 def test_mixing_empty_and_wordless(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     got = mixing.mix_sources(docs(spark, [(1, "", "en", "a"), (2, None, "en", None)])).collect()
@@ -606,6 +638,16 @@ def test_warc_stops_at_damaged_payloads(spark):
 # URL filter
 
 
+def test_url_rules_spread_repeated_pages(spark):
+    """Thousands of null URLs and of one URL, with and without a rule: one row each, and not all in one task."""
+    many = spark.range(20000).select(F.col("id").alias("page_id"), F.expr("case when id % 3 = 0 then null when id % 3 = 1 then 'http://a.net/x' else concat('https://h', id, '.org/fr/') end").alias("url"))
+    found = url_filter.judge_urls(many, url_filter.rules_frame(spark, url_filter.RULES))
+    got = {(r.rule, r.verdict): r.n for r in found.groupBy("rule", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, "allow"): 6667, ("net/", "block"): 6667, ("org/fr/", "allow"): 6666}
+    sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 3 * 20000 / len(sizes)
+
+
 def test_url_rules(spark):
     urls = ["http://Example.NET/en/x?q", "https://a.example.net/en/", "http://example.net/fr/", "http://m.example.com/de/1#t", "http://example.com/d", "ftp://x.org/fr/1", "http://org", "http://net/", "http://notnet/", "no scheme net/", None, "http://net?x", "://b.net/"]
     pages = spark.createDataFrame([(k, u, "p", "r") for k, u in enumerate(urls)] + [(0, urls[0], "p", "r")], "page_id bigint, url string, path string, rule string")
