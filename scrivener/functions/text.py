@@ -124,6 +124,12 @@ def margin_bin(margin: Column) -> Column:
     return out
 
 
+def checked_margin_bin(margin: Column) -> Column:
+    """``margin_bin``, but a margin outside [0, 0.5] is an error; null stays null."""
+    name = margin_bin(margin)
+    return F.when(margin.isNotNull() & name.isNull(), F.raise_error(F.concat(F.lit("no bin for the margin "), margin.cast("string")))).otherwise(name)
+
+
 def fixed(value: Column, digits: int) -> Column:
     """So many decimals of the double itself, not of its shortest decimal form: 0.0045 lies below its tie.
 

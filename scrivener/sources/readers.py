@@ -94,6 +94,11 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One document a line, split over tasks; one that is no JSON is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     from scrivener.operators.model import PARAMETER_SCHEMA, load_parameters
 

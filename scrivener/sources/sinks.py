@@ -11,8 +11,12 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 
 def write_predictions(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """Delimited text with a header and the columns in this order; null becomes empty."""
-    rows.select(*columns).write.option("header", True).option("emptyValue", "").csv(path)
+    """Delimited text with a header and the columns in this order; null becomes empty.
+
+    Quotes are doubled, and white space at the ends of a value is kept, so ``readers.read_strings`` gets the values back.
+    """
+    kept = {"header": True, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*columns).write.options(**kept).csv(path)
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
@@ -30,6 +34,11 @@ def manifest(ids: DataFrame, key: str, seed: int, digest: str) -> DataFrame:
     return ids.agg(F.lit(seed).alias("seed"), F.count("*").alias("n"), F.lit(digest).alias("dataset_sha256"), F.array_sort(F.collect_list(F.col(key).cast("string"))).alias("selected_ids"))
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """The column ``line`` as text in files whose names sort in this order, sorted by range over all tasks."""
+    lines.orderBy(*order).select(F.col("line").alias("value")).write.text(path)
+
+
 def write_model(params: DataFrame, path: str, metadata: DataFrame) -> None:
     """The parameter table, and one row of metadata as JSON, under one folder."""
     params.write.mode("errorifexists").parquet(f"{path}/parameters")

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from scrivener.plans import oracles, queries, studies
+from scrivener.plans import inspections, oracles, queries, studies
 
-QUERIES, ORACLE_SQL = queries.QUERIES | studies.QUERIES, oracles.ORACLE_SQL | studies.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | studies.QUERIES | inspections.QUERIES, oracles.ORACLE_SQL | studies.ORACLE_SQL | inspections.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"fit_logreg", "ablation", "calibration_methods", "group_refits_features", "metadata_fit", "learned_tag_entropy"}
