@@ -187,7 +187,8 @@ ORACLE_SQL: dict[str, str] = {
     "pilot_report": f"""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY turn, source) AS number FROM ({O.ORACLE_SQL['pilot_round_robin']})),
         r AS (SELECT number, unnest(range(0, {len(_HEADS)})) AS place, [{', '.join(_HEADS)}] AS held FROM (SELECT *, {_COUNT} AS words FROM documents) JOIN c USING (doc_id))
         SELECT number AS section, place::INT AS place, held[place + 1] AS line FROM r""",
-    "delimited_documents": _READ,
+    # a null value is written as a blank one
+    "delimited_documents": "SELECT doc_id, nullif(lang, '') AS lang, nullif(source, '') AS source, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "delimited_segments": f"SELECT doc_id, nullif(source, '') AS source, k AS segments, length(text)::BIGINT AS last_end, sha256(text) AS text_sha256 FROM ({_SEGMENTS})",
     "segments_with_status": f"SELECT status AS ell_status, sum(k)::BIGINT AS segments, count(DISTINCT doc_id) AS essays, sum(length(text))::BIGINT AS characters FROM ({_SEGMENTS}) WHERE status IS NOT NULL GROUP BY status",
     "json_documents": _READ,

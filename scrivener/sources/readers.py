@@ -18,8 +18,12 @@ def strings(columns: tuple[str, ...]) -> StructType:
 
 
 def read_strings(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """A delimited file with a header and quoted line breaks; every column a string, blank as blank."""
-    return spark.read.schema(strings(columns)).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").csv(path)
+    """A delimited file with a header and quoted line breaks; every column a string, never null: a value that is blank, or that a short row lacks, is blank.
+
+    A file is one task, as line breaks may be quoted; a folder of files is as many.
+    """
+    rows = spark.read.schema(strings(columns)).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
 def with_row_index(rows: DataFrame) -> DataFrame:
