@@ -280,3 +280,50 @@ def test_pages_without_blocks_long_pages_and_repeated_rows(spark):
     (found,) = [r for r in got if r.page_id == 9000]
     assert found.text == "\n".join(f"Satz {i} & mehr" for i in range(20_000)) and found.n_chars == len(found.text)
     assert [r.text for r in got if r.page_id == 9001] == ["own words of this page"] * 2
+
+
+# repeats of a host, pages with landmarks included
+
+
+def test_suffix_array_and_common_prefixes_by_brute_force():
+    rng = np.random.default_rng(11)
+    for turn in range(150):
+        n = int(rng.integers(0, 50))
+        tokens, segment = rng.integers(0, 1 + turn % 3, n), np.sort(rng.integers(0, 1 + turn % 5, n))
+        order, common = html_text.suffix_array(tokens, segment)
+        suffix = [[int(t) for t, s in zip(tokens[i:], segment[i:], strict=True) if s == segment[i]] for i in range(n)]
+        assert sorted(order.tolist()) == list(range(n))
+        for k in range(1, n):
+            a, b = suffix[order[k - 1]], suffix[order[k]]
+            same = [x == y for x, y in zip(a, b, strict=False)]
+            assert a <= b and common[k] == (same.index(False) if False in same else len(same))
+
+
+def test_pages_with_landmarks_join_the_suffix_array_of_their_host(spark):
+    """Every page of a host is evidence by what lies outside of a marked main part; by brute force, for hosts of one part and of many."""
+    rng = random.Random(17)
+    say = lambda k, n=12: " ".join(f"{k}w{j}" for j in range(n))
+    lines = [say(f"m{k}") for k in range(6)]
+    pages = []
+    for i in range(60):
+        marked, menu, own = rng.random() < 0.6, rng.choice(lines), say(f"own{i}", 9)
+        shared = rng.choice(lines)
+        main = f"<p>{own}</p><p>{shared}</p>"
+        pages.append((i, f"http://h{i % 3}.org/{i}", f"<nav>{menu}</nav>" + (f"<article>{main}</article>" if marked else f"<div>{main}</div>"), marked, menu, own, shared))
+    # a menu on one page with landmarks and one without
+    pages.append((100, "http://x.org/a", f"<nav>{say('menu')}</nav><article><p>{say('art')}</p></article>", True, say("menu"), say("art"), None))
+    pages.append((101, "http://x.org/b", f"<div>{say('menu')}</div><div>{say('other')}</div>", False, None, say("other"), say("menu")))
+    outside: dict = {}
+    for i, url, _, marked, menu, own, shared in pages:
+        for line in {menu} | (set() if marked else {own, shared}):
+            outside.setdefault((url.split("/")[2], line), set()).add(i)
+    repeats = lambda url, line: line is not None and len(outside.get((url.split("/")[2], line), ())) >= html_text.PAGES
+    table = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    for tokens in (html_text.CHUNK_TOKENS, 60):
+        got = {r.page_id: r for r in html_text.extract_text(table, chunk_tokens=tokens).collect()}
+        assert len(got) == len(pages)
+        for i, url, _, marked, menu, own, shared in pages:
+            body = [own, shared] if i < 100 else [own] if marked else [shared, own]
+            assert got[i].text == "\n".join(x for x in body if marked or not repeats(url, x)), (i, tokens)
+            assert got[i].n_repeated == sum(len(x.split()) for x in ([menu] if marked else [menu, own, shared]) if repeats(url, x)), (i, tokens)
+    assert got[101].text == say("other") and got[100].n_repeated == 12
