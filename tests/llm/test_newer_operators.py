@@ -327,3 +327,11 @@ def test_pages_with_landmarks_join_the_suffix_array_of_their_host(spark):
             assert got[i].text == "\n".join(x for x in body if marked or not repeats(url, x)), (i, tokens)
             assert got[i].n_repeated == sum(len(x.split()) for x in ([menu] if marked else [menu, own, shared]) if repeats(url, x)), (i, tokens)
     assert got[101].text == say("other") and got[100].n_repeated == 12
+
+
+def test_identifiers_of_pages_stay_as_they_are(spark):
+    rows = [(2**62 + 1, "http://a.b/1", "<article>one</article>"), (None, "http://a.b/2", "<p>two</p>"), (2**53 + 1, "http://a.b/3", "<p>three</p>"), (None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (html_text.CHUNK_TOKENS, 1):
+        got = html_text.extract_text(table, chunk_tokens=tokens).collect()
+        assert sorted((r.text, r.page_id) for r in got if r.text) == [("one", 2**62 + 1), ("three", 2**53 + 1), ("two", None)] and len(got) == 4
