@@ -300,7 +300,7 @@ def test_suffix_array_and_common_prefixes_by_brute_force():
 
 
 def test_pages_with_landmarks_join_the_suffix_array_of_their_host(spark):
-    """Every page of a host is evidence by what lies outside of a marked main part; by brute force, for hosts of one part and of many."""
+    """Every page of a host is evidence, by what lies outside of a marked main part and by what lies in one; by brute force, for hosts of one part and of many."""
     rng = random.Random(17)
     say = lambda k, n=12: " ".join(f"{k}w{j}" for j in range(n))
     lines = [say(f"m{k}") for k in range(6)]
@@ -310,23 +310,31 @@ def test_pages_with_landmarks_join_the_suffix_array_of_their_host(spark):
         shared = rng.choice(lines)
         main = f"<p>{own}</p><p>{shared}</p>"
         pages.append((i, f"http://h{i % 3}.org/{i}", f"<nav>{menu}</nav>" + (f"<article>{main}</article>" if marked else f"<div>{main}</div>"), marked, menu, own, shared))
-    # a menu on one page with landmarks and one without
+    # a menu on one page with landmarks and one without; a passage of two articles on two pages without; a host where all have landmarks
     pages.append((100, "http://x.org/a", f"<nav>{say('menu')}</nav><article><p>{say('art')}</p></article>", True, say("menu"), say("art"), None))
     pages.append((101, "http://x.org/b", f"<div>{say('menu')}</div><div>{say('other')}</div>", False, None, say("other"), say("menu")))
+    pages += [(110 + i, f"http://y.org/{i}", f"<article><p>{say(f'a{i}')}</p><p>{say('quote')}</p></article>", True, None, say(f"a{i}"), say("quote")) for i in range(2)]
+    pages += [(120 + i, f"http://y.org/{i}", f"<p>{say('quote')}</p><p>{say(f'b{i}')}</p>", False, None, say(f"b{i}"), say("quote")) for i in range(2)]
+    pages += [(130 + i, f"http://z.org/{i}", f"<nav>{say('top')}</nav><article><p>{say('top')}</p></article>", True, say("top"), say("top"), None) for i in range(3)]
     outside: dict = {}
+    within: dict = {}
     for i, url, _, marked, menu, own, shared in pages:
         for line in {menu} | (set() if marked else {own, shared}):
             outside.setdefault((url.split("/")[2], line), set()).add(i)
+        for line in {own, shared} if marked else ():
+            within.setdefault((url.split("/")[2], line), set()).add(i)
     repeats = lambda url, line: line is not None and len(outside.get((url.split("/")[2], line), ())) >= html_text.PAGES
+    goes = lambda url, line: repeats(url, line) and len(outside[url.split("/")[2], line]) > len(within.get((url.split("/")[2], line), ()))
     table = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
     for tokens in (html_text.CHUNK_TOKENS, 60):
         got = {r.page_id: r for r in html_text.extract_text(table, chunk_tokens=tokens).collect()}
         assert len(got) == len(pages)
         for i, url, _, marked, menu, own, shared in pages:
-            body = [own, shared] if i < 100 else [own] if marked else [shared, own]
-            assert got[i].text == "\n".join(x for x in body if marked or not repeats(url, x)), (i, tokens)
-            assert got[i].n_repeated == sum(len(x.split()) for x in ([menu] if marked else [menu, own, shared]) if repeats(url, x)), (i, tokens)
+            body = [x for x in ((own, shared) if i < 100 or marked else (shared, own)) if x]
+            assert got[i].text == "\n".join(x for x in body if marked or not goes(url, x)), (i, tokens)
+            assert got[i].n_repeated == sum(len(x.split()) for x in [menu] * repeats(url, menu) + [x for x in (own, shared) if not marked and goes(url, x)]), (i, tokens)
     assert got[101].text == say("other") and got[100].n_repeated == 12
+    assert got[120].text == f"{say('quote')}\n{say('b0')}" and got[130].text == say("top") and got[130].n_repeated == 12
 
 
 def test_identifiers_of_pages_stay_as_they_are(spark):
