@@ -7,7 +7,8 @@ holds, for each place where a token may still be open, the trie node reached sin
 the token before it; a step by a byte gives the last token of the prefix that ends there.
 Walking back over those gives the tokens. All places that are open lie within the longest
 token's length, so tokens before the last boundary that they share are settled and can be
-emitted. States and steps are made when first needed and kept.
+emitted. States and steps are made when first needed and kept. The new pieces of a batch
+of texts step together, a byte of each at a time, through arrays of the steps made so far.
 
 Decoding maps identifiers to bytes and bytes to text by a UTF-8 state machine that keeps
 an unfinished character from one call to the next.
@@ -22,6 +23,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +37,9 @@ MAX_NEIGHBOURS = 1 << 19
 #: Bytes of a piece after which settled tokens are emitted.
 WINDOW = 1 << 12
 ROWS_OUT = 1000
+#: Characters of texts whose pieces are looked up together, and of a piece that is remembered.
+CHARS_TOGETHER = 1 << 20
+MAX_KEPT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +48,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Steps:
+    """Steps by state and byte as arrays, open addressing: many are looked up or added at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.used = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of every key, -1 where there is none."""
+        places, top = self._places(keys), (1 << self.bits) - 1
+        there = self.keys[places]
+        out = np.where(there == keys, self.values[places], -1)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            places[rest] = at = (places[rest] + 1) & top
+            there, wanted = self.keys[at], keys[rest]
+            same = there == wanted
+            out[rest[same]] = self.values[at[same]]
+            rest = rest[~same & (there >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keep the values of keys that are all different and not there yet."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            kept = self.keys >= 0
+            keys, values = np.concatenate([self.keys[kept], keys]), np.concatenate([self.values[kept], values])
+            self.__init__((2 * len(keys)).bit_length())
+            self.used = len(keys)
+        places, top = self._places(keys), (1 << self.bits) - 1
+        while len(keys):
+            free = self.keys[places] < 0
+            self.keys[places[free]] = keys[free]
+            won = self.keys[places] == keys
+            self.values[places[won]] = values[won]
+            keys, values, places = keys[~won], values[~won], (places[~won] + 1) & top
+
+
 class BytePairTransducer:
     """Encode byte strings by ranks, as repeated merging of the lowest-ranked pair would."""
 
@@ -52,6 +99,8 @@ class BytePairTransducer:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for the single bytes {missing}")
+        self.size_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size_of[list(ranks.values())] = list(map(len, ranks))
         # the trie: children by node and byte, and the token that ends at a node
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int | None] = [None]
@@ -73,10 +122,13 @@ class BytePairTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, None),)
+        # nodes and the tokens before them by turns: flat, so that the collector has little to visit
+        start = (0, None)
         self.states: dict[tuple, int] = {start: 0}
         self.keys: list[tuple] = [start]
-        self.steps: list[dict[int, tuple[int, int]]] = [{}]
+        # steps by state and byte, for a piece alone and for pieces together
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.together = _Steps()
 
     def _merge(self, text: bytes) -> list[int]:
         """Tokens by merging, for the short strings that settle which tokens may be neighbours."""
@@ -108,28 +160,44 @@ class BytePairTransducer:
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         """Make the step from a state by a byte: the next state, and the last token of the prefix."""
         alive, ended = [], None
-        for node, before in self.keys[state]:
+        key = self.keys[state]
+        for node, before in zip(key[::2], key[1::2], strict=True):
             nxt = self.children[node].get(byte)
             if nxt is None:
                 continue
             if self.children[nxt]:
-                alive.append((nxt, before))
+                alive += (nxt, before)
             token = self.token_at[nxt]
             if ended is None and token is not None and self._fits(before, token):
                 ended = token
-        alive.append((0, ended))
+        alive += (0, ended)
         key = tuple(alive)
-        if key not in self.states and len(self.keys) >= self.max_states:
-            self._reset()
-            state = -1
         nxt = self.states.setdefault(key, len(self.keys))
         if nxt == len(self.keys):
             self.keys.append(key)
-            self.steps.append({})
-        if state >= 0:
-            self.steps[state][byte] = (nxt, ended)
         return nxt, ended
 
+    def _step_alone(self, state: int, byte: int) -> tuple[int, int]:
+        """The step of a single piece, which may be the one that starts the states anew."""
+        step = self.steps[state << 8 | byte] = self._step(state, byte)
+        if len(self.keys) > self.max_states:
+            key = self.keys[step[0]]
+            self._reset()
+            step = (self.states.setdefault(key, len(self.keys)), step[1])
+            if step[0]:
+                self.keys.append(key)
+        return step
+
+    def _steps_together(self, keys: np.ndarray) -> np.ndarray:
+        """For each state and byte the next state and the last token, as one number."""
+        found = self.together.find(keys)
+        if len(new := np.flatnonzero(found < 0)):
+            wanted, where = np.unique(keys[new], return_inverse=True)
+            made = np.array([nxt << 32 | token for nxt, token in (self._step(k >> 8, k & 255) for k in wanted.tolist())], np.int64)
+            self.together.add(wanted, made)
+            found[new] = made[where]
+        return found
+
     def _back(self, last: list[int], end: int) -> list[int]:
         """Tokens up to ``end``, given the last token of every prefix."""
         out = []
@@ -142,7 +210,7 @@ class BytePairTransducer:
 
     def _settled(self, last: list[int], state: int) -> list[int]:
         """The tokens that no further byte can change: those that all open places have before them."""
-        ways = [self._back(last, len(last) - self.depth[node]) for node, _ in self.keys[state]]
+        ways = [self._back(last, len(last) - self.depth[node]) for node in self.keys[state][::2]]
         least = min(map(len, ways))
         shared = next((k for k in range(least) if any(w[k] != ways[0][k] for w in ways)), least)
         return ways[0][:shared]
@@ -162,14 +230,59 @@ class BytePairTransducer:
                 out += settled
                 del last[: sum(len(self.bytes_of[t]) for t in settled)]
             for byte in text[start : start + WINDOW]:
-                step = steps[state].get(byte)
+                step = steps.get(state << 8 | byte)
                 if step is None:
-                    step = self._step(state, byte)
+                    step = self._step_alone(state, byte)
                     steps = self.steps
                 state, token = step
                 last.append(token)
         return (*out, *self._back(last, len(last)))
 
+    def encode_together(self, texts: list[bytes]) -> list[tuple[int, ...]]:
+        """The tokens of every piece, as ``encode`` gives them; for many short pieces."""
+        out: list[tuple[int, ...]] = [() if not t else (whole,) if (whole := self.ranks.get(t)) is not None else None for t in texts]
+        # longest first, so that those not yet at their end are always the first ones
+        todo = sorted((i for i, tokens in enumerate(out) if tokens is None), key=lambda i: -len(texts[i]))
+        size = np.fromiter((len(texts[i]) for i in todo), np.int64, len(todo))
+        ends = np.cumsum(size)
+        # states are only started anew between groups, so a group has a quarter of them in bytes at most
+        first = 0
+        while first < len(todo):
+            before = ends[first] - size[first]
+            n = max(1, int(np.searchsorted(ends[first:], before + max(1, self.max_states // 4), "right")))
+            if len(self.keys) >= self.max_states:
+                self._reset()
+            part = todo[first : first + n]
+            for i, tokens in zip(part, self._group([texts[i] for i in part], size[first : first + n]), strict=True):
+                out[i] = tokens
+            first += n
+        return out
+
+    def _group(self, texts: list[bytes], size: np.ndarray) -> Iterator[tuple[int, ...]]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(size)
+        starts = ends - size
+        last = np.empty(len(data), np.int64)
+        state = np.zeros(len(texts), np.int64)
+        # pieces longer than j are the first ``open_at[j]``
+        open_at = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        for j, n in enumerate(open_at.tolist()):
+            at = starts[:n] + j
+            step = self._steps_together(state[:n] << 8 | data[at])
+            state[:n] = step >> 32
+            last[at] = step & 0xFFFFFFFF
+        # walk back over last tokens, all pieces at once; a token stands where its last byte does
+        stands = np.zeros(len(data), bool)
+        at, floor = ends - 1, starts
+        while len(at):
+            stands[at] = True
+            at = at - self.size_of[last[at]]
+            open_ = at >= floor
+            at, floor = at[open_], floor[open_]
+        upto = np.cumsum(stands)[ends - 1].tolist()
+        tokens = last[stands].tolist()
+        return (tuple(tokens[a:b]) for a, b in zip([0, *upto], upto))
+
 
 class _Pieces(dict):
     """Tokens by piece, made by the transducer when first asked for.
@@ -186,12 +299,32 @@ class _Pieces(dict):
         tokens = self.older.get(piece)
         if tokens is None:
             tokens = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        self._keep(piece, tokens)
+        return tokens
+
+    def _keep(self, piece: str, tokens: tuple[int, ...]) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= MAX_KEPT:
             self[piece] = tokens
-        return tokens
+
+    def of_all(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of every piece; short ones not met before are made together."""
+        out, new = {}, []
+        for piece in pieces:
+            tokens = self.get(piece)
+            if tokens is None:
+                if len(piece) <= MAX_KEPT and piece not in self.older:
+                    new.append(piece)
+                    continue
+                tokens = self[piece]
+            out[piece] = tokens
+        made = self.transducer.encode_together([p.encode("utf-8", "surrogatepass") for p in new])
+        for piece, tokens in zip(new, made, strict=True):
+            out[piece] = tokens
+            self._keep(piece, tokens)
+        return out
 
 
 #: Code points for which ``narrow`` spells out the classes of a pattern.
@@ -281,10 +414,29 @@ class Tokenizer:
         self.findall_narrow = re.compile(simple).findall if simple else self.findall
         self.is_wide = re.compile(f"[^\x00-\\u{NARROW_TOP - 1:04x}]").search
 
-    def encode(self, text: str | None) -> list[int]:
+    def _split(self, text: str | None) -> list[str]:
         text = text or ""
-        findall = self.findall if self.is_wide(text) else self.findall_narrow
-        return list(chain.from_iterable(map(self.pieces.__getitem__, findall(text))))
+        return (self.findall if self.is_wide(text) else self.findall_narrow)(text)
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self._split(text))))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """The tokens of every text, in their order; pieces of several texts are looked up together."""
+        held: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            held.append(self._split(text))
+            chars += len(text or "")
+            if chars >= CHARS_TOGETHER:
+                yield from self._joined(held)
+                held, chars = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, held: list[list[str]]) -> Iterator[list[int]]:
+        known = self.pieces.of_all(set(chain.from_iterable(held)))
+        for pieces in held:
+            yield list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def decode(self, tokens: list[int], part: int = 1 << 16) -> str:
         decoder = StreamingDecoder(self.transducer.bytes_of)
@@ -295,21 +447,28 @@ class Tokenizer:
 _COMPILED: dict[tuple, Tokenizer] = {}
 
 
+def _compiled(name: tuple, ranks: Callable[[], dict[bytes, int]]) -> Tokenizer:
+    """The worker's own tokenizer of that name.
+
+    Closures reach the workers by value and would bring a cache of their own to every task;
+    this function is pickled by name, so what it keeps outlives a task.
+    """
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = Tokenizer(ranks(), *name[2:])
+        # the compiled tables stay as long as the worker: the collector need not visit them
+        gc.freeze()
+    return _COMPILED[name]
+
+
 def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Callable[[], Tokenizer]:
     """Read the ranks once on the driver; each Python worker compiles them once."""
     ranks = read_ranks(ranks_path)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
-    name = (ranks_path, len(ranks), pattern, max_pieces, max_states)
-
-    def get() -> Tokenizer:
-        if name not in _COMPILED:
-            _COMPILED.clear()
-            _COMPILED[name] = Tokenizer(shipped.value, pattern, max_pieces, max_states)
-            # the compiled tables stay as long as the worker: the collector need not visit them
-            gc.freeze()
-        return _COMPILED[name]
-
-    return get
+    # a worker outlives the query, so a file that has changed since has another name
+    digest = hashlib.sha256(b"".join(b"%d:%d:%b" % (rank, len(token), token) for token, rank in ranks.items())).hexdigest()
+    name = (ranks_path, digest, pattern, max_pieces, max_states)
+    return lambda: _compiled(name, lambda: shipped.value)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
@@ -335,7 +494,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             for i in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(i, ROWS_OUT)
                 texts = [t.as_py() or "" for t in batch.column(at)]
-                ids = [own.encode(t) for t in texts]
+                ids = list(own.encode_all(texts))
                 arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
                 if verify_col:
                     arrays.append(pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()))
@@ -378,8 +537,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         own = tokenizer()
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(1):
-                ids = own.encode(text.as_py())
+            for ids in own.encode_all(text.as_py() for text in batch.column(1)):
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())

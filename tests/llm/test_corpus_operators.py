@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -100,6 +102,81 @@ def test_transducer_equals_merging_for_any_merge_table(seed):
         assert list(own.encode(t.encode())) == plain.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("most", [1, 50, 1 << 18])
+def test_pieces_together_equal_merging(seed, most):
+    rng = random.Random(seed)
+    ranks = {bytes([b]): b for b in range(256)}
+    known = [b"a", b"b", "é".encode()]
+    while len(ranks) < 290:
+        token = rng.choice(known) + rng.choice(known)
+        if token not in ranks:
+            ranks[token] = len(ranks)
+            known.append(token)
+    plain = tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    own = bpe.BytePairTransducer(ranks, max_states=most)
+    texts = ["", "a"] + ["".join(rng.choice("abcé漢") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for _ in range(2):
+        assert own.encode_together([t.encode() for t in texts]) == [tuple(plain.encode_ordinary(t)) for t in texts]
+        assert list(own.encode(b"abcab" * 9)) == plain.encode_ordinary("abcab" * 9)
+    assert own.encode_together([]) == []
+
+
+def test_texts_together_equal_texts_alone(reference_encoding, monkeypatch):
+    rng = random.Random(3)
+    words = ["the", " thin", " 漢字", "x" * 200, " é" * 3, "\n", " qzv", "😀"]
+    texts = [None, ""] + ["".join(rng.choice(words) + rng.choice("abcdé ") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    want = [reference_encoding.encode_ordinary(t or "") for t in texts]
+    for chars, pieces, states in ((1, 8, 32), (500, 64, 64), (1 << 20, 1 << 19, 1 << 18)):
+        monkeypatch.setattr(bpe, "CHARS_TOGETHER", chars)
+        own = bpe.Tokenizer(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, pieces, states)
+        assert list(own.encode_all(texts)) == want
+        assert list(own.encode_all(iter(texts))) == want and list(own.encode_all([])) == []
+
+
+def test_new_pieces_step_together():
+    """Ten thousand new words take as many array look-ups as the longest has bytes, not one a byte and word."""
+    rng = random.Random(1)
+    own = bpe.Tokenizer(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [" ".join("".join(rng.choice("etaoins") for _ in range(12)) for _ in range(100)) for _ in range(100)]
+    looked_up, alone = [], []
+    steps, one = own.transducer._steps_together, own.transducer.encode
+    own.transducer._steps_together = lambda keys: looked_up.append(len(keys)) or steps(keys)
+    own.transducer.encode = lambda text: alone.append(text) or one(text)
+    found = list(own.encode_all(texts))
+    assert alone == [] and len(looked_up) <= 64 and sum(looked_up) > 100_000
+    assert [own.decode(ids) for ids in found] == texts
+
+
+def test_worker_keeps_its_tokenizer_from_task_to_task(spark):
+    """Tasks that find nothing compiled are no more than there are Python workers."""
+    rows = spark.range(0, 96, 1, 48).select(F.col("id").cast("string").alias("text"))
+    tokenizer = bpe._tokenizer(rows, RANKS, public_tokenizers.PATTERN)
+
+    def run(batches):
+        own = tokenizer()
+        met = len(own.pieces)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own.encode(text)
+        yield pa.RecordBatch.from_pylist([{"pid": os.getpid(), "met": met}])
+
+    found = rows.mapInArrow(run, "pid bigint, met bigint").collect()
+    workers = {r.pid for r in found}
+    assert len(found) == 48 > len(workers)
+    assert sum(r.met == 0 for r in found) <= len(workers)
+
+
+def test_changed_rank_file_is_compiled_again(spark, tmp_path):
+    path = tmp_path / "ranks"
+    got = []
+    for pair in (b"ab", b"bc"):
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*(bytes([b]) for b in range(256)), pair])))
+        rows = docs(spark, [(i, "abc", "en", "s") for i in range(8)]).coalesce(1)
+        got.append({tuple(r.ids) for r in bpe.encode(rows, str(path), r"\w+").collect()})
+    assert got == [{(256, 99)}, {(97, 256)}]
+
+
 def test_encode_hands_its_caps_on(spark, monkeypatch):
     seen = []
     plain = bpe._tokenizer
