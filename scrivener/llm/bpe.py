@@ -461,14 +461,26 @@ def _compiled(name: tuple, ranks: Callable[[], dict[bytes, int]]) -> Tokenizer:
     return _COMPILED[name]
 
 
-def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Callable[[], Tokenizer]:
-    """Read the ranks once on the driver; each Python worker compiles them once."""
+def _tokenizer(docs: DataFrame, ranks_path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES, keep: bool = False) -> Callable[[], Tokenizer]:
+    """Read the ranks once on the driver; each task compiles them once, or with ``keep`` each Python worker.
+
+    What a worker keeps stays in its memory beside whatever runs there next, such as a
+    pipeline's first stages when it runs again.
+    """
     ranks = read_ranks(ranks_path)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
     # a worker outlives the query, so a file that has changed since has another name
     digest = hashlib.sha256(b"".join(b"%d:%d:%b" % (rank, len(token), token) for token, rank in ranks.items())).hexdigest()
     name = (ranks_path, digest, pattern, max_pieces, max_states)
-    return lambda: _compiled(name, lambda: shipped.value)
+    if keep:
+        return lambda: _compiled(name, lambda: shipped.value)
+
+    def get() -> Tokenizer:
+        own = Tokenizer(shipped.value, pattern, max_pieces, max_states)
+        gc.freeze()
+        return own
+
+    return get
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", verify_col: str | None = None, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
@@ -530,7 +542,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     are not shipped between them. A null or empty text has no tokens and the digest of
     nothing; repeated rows count each; an empty table gives no rows.
     """
-    tokenizer = _tokenizer(docs, ranks_path, pattern)
+    tokenizer = _tokenizer(docs, ranks_path, pattern, keep=True)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
