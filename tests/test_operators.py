@@ -145,6 +145,14 @@ def test_scalars(spark):
     assert one(spark, St.safe_log(F.col("v")), 0.0, -1.0, 1.0, float("inf"), schema="v double") == [None, None, 0.0, None]
 
 
+def test_ties_are_shown_as_printf_shows_them(spark):
+    ties = [0.90625, 0.96875, 0.03125, 0.09375, -0.90625, 0.5, 12.40625]
+    assert one(spark, T.fixed(F.col("v"), 4), *ties, schema="v double") == [f"{x:.4f}" for x in ties]
+    assert one(spark, T.feature_text(F.col("v")), 0.90625, 100.125, 100.375, 10.0625, schema="v double") == ["0.9062", "100.12", "100.38", "10.062"]
+    # rounded to nine decimals these are 10 and 100, but their sizes lie below
+    assert one(spark, T.feature_text(St.rounded(F.col("v"), 9), F.col("v")), 9.9999999999, 99.9999999999, schema="v double") == ["10", "100.000"]
+
+
 def test_splice(spark):
     pairs = spark.createDataFrame([("p", "H1. H2. H3.", "A1. A2. A3. A4."), ("q", "H1.", "A1. A2. A3."), ("r", "H1. H2.", "A1. A2.")], "pair_id string, human_text string, ai_text string")
     kept, rejected = hybrid.splice(pairs)
