@@ -81,6 +81,35 @@ def test_model_sizes_give_equal_scores(spark, monkeypatch):
     assert len(small) == len(large) and all(a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-12) and a[5:] == b[5:] for a, b in zip(small, large, strict=True))
 
 
+@pytest.mark.parametrize("words, bigrams, bits", [(1 << 20, 1 << 20, 1 << 20), (1 << 20, 4, 1 << 20), (1 << 20, 0, 4096), (6, 4, 1 << 20), (0, 0, 4096)])
+def test_what_tasks_lack_of_a_large_model_changes_no_bit(spark, monkeypatch, words, bigrams, bits):
+    texts = [passage(random.Random(k), 6) for k in range(8)] + ["unseen words only. the unseen the.", "", None, "One.", "the " * 1025 + "end. the the the."]
+    docs = frame(spark, texts)
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 1 << 21)
+    found = lambda: sorted(map(tuple, features.sentence_perplexity(docs, corpus(spark)).collect()))
+    small = found()
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 0)
+    for name, value in (("SHIPPED_WORDS", words), ("SHIPPED_BIGRAMS", bigrams), ("FILTER_BITS", bits)):
+        monkeypatch.setattr(features, name, value)
+    # not nearly: sums follow the order of the tokens, wherever their counts come from
+    assert found() == small
+
+
+def test_no_text_is_stored_or_joined_where_a_large_model_scores(spark, monkeypatch):
+    docs = frame(spark, [passage(random.Random(k), 6) for k in range(4)] + [None]).withColumn("source", F.lit("s"))
+    table = lambda: sorted(map(str, features.feature_table(docs, corpus(spark), keep=("source", "text")).collect()))
+    small = table()
+    kept = []
+    real = features.stored
+    monkeypatch.setattr(features, "stored", lambda rows, label: kept.append(set(rows.columns)) or real(rows, label))
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 0)
+    assert table() == small
+    kept.clear()
+    for found in (features.feature_table(docs, corpus(spark), keep=("source",)), features.document_perplexity(docs, corpus(spark)), features.sentence_perplexity(docs, corpus(spark), texts=False)):
+        assert found.count() > 0
+    assert len(kept) == 6 and not any({"text", "__w", "__s"} & columns for columns in kept)
+
+
 def test_extractor_takes_the_place_of_measuring(spark):
     seen = spark.sparkContext.accumulator(0)
 
