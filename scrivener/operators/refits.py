@@ -164,7 +164,8 @@ def group_refits(rows: DataFrame, group: str, features: tuple[str, ...], label:
 
     Accuracy is null where the others have one class only. A null group is a group.
     """
-    known = rows.dropna(subset=[*features, label])
+    # measured once, as the groups, the fits and the verdicts all read it
+    known = stored(rows.dropna(subset=[*features, label]).select(group, *features, label), "known")
     groups = [r[0] for r in known.select(group).distinct().orderBy(group).limit(MAX_MODELS + 1).collect()]
     kind = dict(rows.dtypes)[group]
     if not groups:

@@ -110,6 +110,22 @@ def test_no_text_is_stored_or_joined_where_a_large_model_scores(spark, monkeypat
     assert len(kept) == 6 and not any({"text", "__w", "__s"} & columns for columns in kept)
 
 
+def test_refits_measure_their_rows_once(spark):
+    from scrivener.operators import refits
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def measured(x):
+        seen.add(1)
+        return float(x)
+
+    # not deterministic, so that no plan evaluates it twice for one reading
+    once = F.udf(measured, "double").asNondeterministic()
+    rows = spark.range(40).select(F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("g"), once("id").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    assert refits.group_refits(rows, "g", ("x",)).count() == 4
+    assert seen.value == 40
+
+
 def test_extractor_takes_the_place_of_measuring(spark):
     seen = spark.sparkContext.accumulator(0)
 
