@@ -110,6 +110,25 @@ def test_no_text_is_stored_or_joined_where_a_large_model_scores(spark, monkeypat
     assert len(kept) == 6 and not any({"text", "__w", "__s"} & columns for columns in kept)
 
 
+def test_analysis_without_texts_differs_in_them_alone(spark, monkeypatch):
+    docs = frame(spark, [passage(random.Random(k), 6) for k in range(4)] + [None, "", "  ", "Word."])
+    parameters = model.parameters(spark)
+    found = lambda texts: {r.doc_id: r.asDict(True) for r in model.analyze(docs, corpus(spark), parameters, texts=texts).collect()}
+    whole = found(True)
+    assert whole[0]["sentence_evidence"][0]["text"] and whole[4]["sentence_evidence"] == []
+    kept = []
+    real = features.stored
+    monkeypatch.setattr(features, "stored", lambda rows, label: kept.append(set(rows.columns)) or real(rows, label))
+    monkeypatch.setattr(features, "BROADCAST_BIGRAMS", 0)
+    assert found(True) == whole
+    kept.clear()
+    bare = found(False)
+    for row in whole.values():
+        for e in row["sentence_evidence"]:
+            e["text"] = None
+    assert bare == whole and kept and not any({"text", "__w"} & columns for columns in kept)
+
+
 def test_refits_measure_their_rows_once(spark):
     from scrivener.operators import refits
 
