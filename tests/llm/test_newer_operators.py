@@ -337,6 +337,18 @@ def test_pages_with_landmarks_join_the_suffix_array_of_their_host(spark):
     assert got[120].text == f"{say('quote')}\n{say('b0')}" and got[130].text == say("top") and got[130].n_repeated == 12
 
 
+def test_main_parts_of_wholly_marked_hosts_change_nothing():
+    """They are left out of the stream there; with them in it every text and count is the same."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    lines = [" ".join(f"l{k}w{j}" for j in range(rng.randint(6, 14))) for k in range(6)]
+    pick = lambda n: [rng.choice(lines) for _ in range(n)]
+    pages = [{"id": i, "url": f"u{i}", "host": "h", "part": 0, "parts": 1, "kept": pick(3), "beside": pick(2), "marks": True} for i in range(40)]
+    without, joined = (html_text._without_repeats(pa.Table.from_pylist([p | {"mixed": m} for p in pages]), None).to_pylist() for m in (False, True))
+    assert without == joined and [r["text"] for r in joined] == ["\n".join(p["kept"]) for p in pages] and any(r["n_repeated"] for r in joined)
+
+
 def test_identifiers_of_pages_stay_as_they_are(spark):
     rows = [(2**62 + 1, "http://a.b/1", "<article>one</article>"), (None, "http://a.b/2", "<p>two</p>"), (2**53 + 1, "http://a.b/3", "<p>three</p>"), (None, None, None)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
